@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark import fixtures as fx
+
 TICKS = """ticks AS (
   SELECT event_type AS symbol, ts, epoch_ms(ts) AS ts_ms, event_id AS seq, value AS price,
          CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS qty, event_id % 2 = 1 AS is_buyer_maker
@@ -170,41 +172,51 @@ def greedy(name, src, keys, cooldown):
   FROM {name} k WHERE k.rn IS NOT NULL)"""
 
 
-def trades(signals, series="x", keys="symbol", bar_keys=None, horizon=12, warmup=50, cooldown=2, tp=0.005, sl=0.005, size=50.0):
-    """CTEs from a relation ``signals(keys, rn, signal)`` to ``trades``."""
-    bar_keys = bar_keys or keys
+def exits(signals, tp, sl, horizon):
+    return f"(SELECT *, {tp} AS tp, {sl} AS sl, {horizon} AS hz FROM {signals})"
+
+
+def trades(signals, series="x", keys="symbol", bar_keys=None, warmup=50, cooldown=2, size=50.0, tag=""):
+    """CTEs from a relation ``signals(keys, rn, signal, tp, sl, hz)`` to ``trades``."""
     ks = [k.strip() for k in keys.split(",")]
-    bs = [k.strip() for k in bar_keys.split(",")]
-    t = ", ".join("t." + k for k in ks)
-    using = ", ".join(bs)
+    bs = [k.strip() for k in (bar_keys or keys).split(",")]
+
+    def cols(a):
+        return ", ".join(f"{a}.{k}" for k in ks)
+
+    def on(a, b, names):
+        return " AND ".join(f"{a}.{k} = {b}.{k}" for k in names)
+
+    up = "u IS NOT NULL AND (d IS NULL OR u < d)"
+    target = "CASE WHEN signal = 1 THEN e * (1 + tp) ELSE e * (1 - tp) END"
+    stop = "CASE WHEN signal = 1 THEN e * (1 - sl) ELSE e * (1 + sl) END"
     return [
-        f"""cand AS (SELECT {', '.join('s.' + k for k in ks)}, s.rn, s.signal FROM {signals} s JOIN {series} b USING ({using}, rn)
-             WHERE s.signal <> 0 AND s.rn >= {warmup} AND s.rn + 1 + {horizon} < b.n)""",
-        greedy("kept", "cand", keys, cooldown),
-        f"""ent AS (SELECT {', '.join('c.' + k for k in ks)}, c.rn, c.signal, b.open AS e, b.ts AS ets
-             FROM cand c JOIN kept k ON {' AND '.join(f'c.{k} = k.{k}' for k in ks)} AND c.rn = k.rn
-             JOIN {series} b ON {' AND '.join(f'c.{k} = b.{k}' for k in bs)} AND b.rn = c.rn + 1)""",
-        f"""path AS (SELECT {', '.join('t.' + k for k in ks)}, t.rn, b.rn - t.rn - 1 AS off, b.ts, b.close,
-               CASE WHEN signal = 1 THEN b.high >= e * (1 + {tp}) ELSE b.low <= e * (1 - {tp}) END AS up,
-               CASE WHEN signal = 1 THEN b.low <= e * (1 - {sl}) ELSE b.high >= e * (1 + {sl}) END AS dn
-             FROM ent t JOIN {series} b ON {' AND '.join(f't.{k} = b.{k}' for k in bs)}
-              AND b.rn BETWEEN t.rn + 1 AND t.rn + {horizon})""",
-        f"""fst AS (SELECT {keys}, rn, min(CASE WHEN up THEN off END) AS u, min(CASE WHEN dn THEN off END) AS d,
-               max(CASE WHEN off = {horizon} - 1 THEN close END) AS lc FROM path GROUP BY ALL)""",
-        f"""epi AS (SELECT {t}, t.rn, signal, e, ets,
-               CASE WHEN u IS NOT NULL AND (d IS NULL OR u < d) THEN 'tp' WHEN d IS NOT NULL THEN 'sl' ELSE 'horizon' END AS exit_reason,
-               CASE WHEN u IS NOT NULL AND (d IS NULL OR u < d) THEN u WHEN d IS NOT NULL THEN d ELSE {horizon} - 1 END AS off,
-               CASE WHEN u IS NOT NULL AND (d IS NULL OR u < d) THEN CASE WHEN signal = 1 THEN e * (1 + {tp}) ELSE e * (1 - {tp}) END
-                    WHEN d IS NOT NULL THEN CASE WHEN signal = 1 THEN e * (1 - {sl}) ELSE e * (1 + {sl}) END ELSE lc END AS x
-             FROM ent t JOIN fst USING ({keys}, rn))""",
-        f"""pnl0 AS (SELECT *, CASE WHEN signal = 1 THEN 1 ELSE -1 END * (x - e) / e * {size} AS gross,
-               {size} * 0.0023 AS cost FROM epi)""",
-        f"""trades AS (SELECT {', '.join('p.' + k for k in ks)}, p.rn, p.ets AS ts, CASE WHEN signal = 1 THEN 'BUY' ELSE 'SELL' END AS direction,
+        f"""cand{tag} AS (SELECT {cols('s')}, s.rn, s.signal, s.tp, s.sl, s.hz FROM {signals} s JOIN {series} b
+             ON {on('s', 'b', bs)} AND s.rn = b.rn
+             WHERE s.signal <> 0 AND s.rn >= {warmup} AND s.rn + 1 + s.hz < b.n)""",
+        greedy(f"kept{tag}", f"cand{tag}", keys, cooldown),
+        f"""ent{tag} AS (SELECT c.*, b.open AS e, b.ts AS ets
+             FROM cand{tag} c JOIN kept{tag} k ON {on('c', 'k', ks)} AND c.rn = k.rn
+             JOIN {series} b ON {on('c', 'b', bs)} AND b.rn = c.rn + 1)""",
+        f"""path{tag} AS (SELECT {cols('t')}, t.rn, hz, b.rn - t.rn - 1 AS off, b.close,
+               CASE WHEN signal = 1 THEN b.high >= {target} ELSE b.low <= {target} END AS up,
+               CASE WHEN signal = 1 THEN b.low <= {stop} ELSE b.high >= {stop} END AS dn
+             FROM ent{tag} t JOIN {series} b ON {on('t', 'b', bs)} AND b.rn BETWEEN t.rn + 1 AND t.rn + hz)""",
+        f"""fst{tag} AS (SELECT {keys}, rn, min(CASE WHEN up THEN off END) AS u, min(CASE WHEN dn THEN off END) AS d,
+               max(CASE WHEN off = hz - 1 THEN close END) AS lc FROM path{tag} GROUP BY ALL)""",
+        f"""epi{tag} AS (SELECT {cols('t')}, t.rn, signal, e, ets,
+               CASE WHEN {up} THEN 'tp' WHEN d IS NOT NULL THEN 'sl' ELSE 'horizon' END AS exit_reason,
+               CASE WHEN {up} THEN u WHEN d IS NOT NULL THEN d ELSE hz - 1 END AS off,
+               CASE WHEN {up} THEN {target} WHEN d IS NOT NULL THEN {stop} ELSE lc END AS x
+             FROM ent{tag} t JOIN fst{tag} f ON {on('t', 'f', ks)} AND t.rn = f.rn)""",
+        f"""pnl0{tag} AS (SELECT *, CASE WHEN signal = 1 THEN 1 ELSE -1 END * (x - e) / e * {size} AS gross,
+               {size} * 0.0023 AS cost FROM epi{tag})""",
+        f"""trades{tag} AS (SELECT {cols('p')}, p.rn, p.ets AS ts, CASE WHEN signal = 1 THEN 'BUY' ELSE 'SELL' END AS direction,
                {money('e', 2)} AS entry_price, {money('p.x', 2)} AS exit_price, exit_reason,
                b.ts AS exit_ts, p.off AS horizon_bars, {money('gross', 2)} AS gross_pnl, {size} * 0.002 AS fees,
                {size} * 0.0002 AS spread_cost, {size} * 0.0001 AS slippage, {money('gross - cost', 2)} AS net_pnl,
                CASE WHEN gross - cost > 0 THEN 'WIN' ELSE 'LOSS' END AS outcome
-             FROM pnl0 p JOIN {series} b ON {' AND '.join(f'p.{k} = b.{k}' for k in bs)} AND b.rn = p.rn + 1 + p.off)""",
+             FROM pnl0{tag} p JOIN {series} b ON {on('p', 'b', bs)} AND b.rn = p.rn + 1 + p.off)""",
     ]
 
 
@@ -212,30 +224,31 @@ def recursive(*ctes):
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
 
 
-def metrics(src="trades", keys="symbol", order="rn"):
+def metrics(tag="", keys="symbol", order="rn"):
     """CTE ``summary`` over ``src``: everything but the p-value."""
+    src = f"trades{tag}"
     inf = "'Infinity'::DOUBLE"
     return [
-        f"""cumu AS (SELECT {keys}, {order}, sum(net_pnl) OVER (PARTITION BY {keys} ORDER BY {order}) AS cum FROM {src})""",
-        f"""peak AS (SELECT {keys}, cum, greatest(0, max(cum) OVER (PARTITION BY {keys} ORDER BY {order})) AS pk FROM cumu)""",
-        f"dd AS (SELECT {keys}, least(0, min(cum - pk)) AS max_dd FROM peak GROUP BY {keys})",
-        f"""agg AS (SELECT {keys}, count(*) AS n, count(*) FILTER (net_pnl > 0) AS w, sum(net_pnl) AS t, avg(net_pnl) AS a,
+        f"""cumu{tag} AS (SELECT {keys}, {order}, sum(net_pnl) OVER (PARTITION BY {keys} ORDER BY {order}) AS cum FROM {src})""",
+        f"""peak{tag} AS (SELECT {keys}, cum, greatest(0, max(cum) OVER (PARTITION BY {keys} ORDER BY {order})) AS pk FROM cumu{tag})""",
+        f"dd{tag} AS (SELECT {keys}, least(0, min(cum - pk)) AS max_dd FROM peak{tag} GROUP BY {keys})",
+        f"""agg{tag} AS (SELECT {keys}, count(*) AS n, count(*) FILTER (net_pnl > 0) AS w, sum(net_pnl) AS t, avg(net_pnl) AS a,
                coalesce(stddev_samp(net_pnl), 0) AS sd, coalesce(stddev_samp(net_pnl) FILTER (net_pnl < 0), 0) AS ds,
                coalesce(sum(net_pnl) FILTER (net_pnl > 0), 0) AS won, coalesce(-sum(net_pnl) FILTER (net_pnl < 0), 0) AS lost
              FROM {src} GROUP BY {keys})""",
-        f"""summary AS (SELECT {keys}, n AS n_trades, w AS wins, n - w AS losses, {money('w / n', 4)} AS win_rate,
+        f"""summary{tag} AS (SELECT {keys}, n AS n_trades, w AS wins, n - w AS losses, {money('w / n', 4)} AS win_rate,
                {money('t', 2)} AS total_pnl, {money('a', 2)} AS avg_pnl, {money('CASE WHEN sd > 0 THEN a / sd ELSE 0 END', 4)} AS sharpe,
                CASE WHEN ds > 0 THEN {money('a / nullif(ds, 0)', 4)} WHEN a > 0 THEN {inf} ELSE 0 END AS sortino,
                CASE WHEN lost > 0 THEN {money('won / nullif(lost, 0)', 4)} ELSE {inf} END AS profit_factor,
                {money('max_dd', 2)} AS max_dd
-             FROM agg JOIN dd USING ({keys}))""",
+             FROM agg{tag} JOIN dd{tag} USING ({keys}))""",
     ]
 
 
 TRADE_OUT = """symbol, rn, ts, direction, entry_price, exit_price, exit_reason, exit_ts, CAST(horizon_bars AS BIGINT) AS horizon_bars,
   gross_pnl, round(fees, 4) AS fees, round(spread_cost, 4) AS spread_cost, round(slippage, 4) AS slippage, net_pnl, outcome"""
 VWAP_SIG = [*BASE, CUMULATIVE, f"sig AS (SELECT symbol, rn, {SIGNALS['vwap']} AS signal FROM x JOIN cum USING (symbol, rn))"]
-VWAP_TRADES = [*VWAP_SIG, *trades("sig", tp=2.0, sl=0.9)]
+VWAP_TRADES = [*VWAP_SIG, *trades(exits("sig", 2.0, 0.9, 12))]
 
 
 def build() -> dict[str, str]:
@@ -295,4 +308,237 @@ def build() -> dict[str, str]:
         o[f"signal_{name}"] = with_(*FULL) + \
             f"SELECT symbol, ts, {SIGNALS[name]} AS signal FROM ind WINDOW w AS (PARTITION BY symbol ORDER BY rn)"
     o["signal_ha_streak"] = with_(*BASE, *HEIKIN, *HA_STREAK) + "SELECT symbol, ts, signal FROM sg JOIN x USING (symbol, rn)"
+    o.update(rule_oracles())
+    o.update(ranking_oracles())
+    return o
+
+
+# rules ---------------------------------------------------------------------------------
+
+
+def choice(values, index):
+    items = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"([{items}])[({index}) % {len(values)} + 1]"
+
+
+def documents(name, table, key, size, where="true"):
+    condition = f"""{{'i': {choice(fx.DOC_INDICATORS, f'{key} + 3 * j')}, 'o': {choice(fx.DOC_OPS, f'{size} + 5 * j')},
+        'r': {choice(fx.DOC_ROLLING, f'{key} + j')}, 'p': CASE WHEN ({key} + j) % 5 <> 0 THEN 10 + {size} END}}"""
+    return f"""{name} AS (SELECT {key} AS rule_key, {key} % 13 = 0 AS anonymous, {key} % 11 = 0 AS wordy,
+        CASE WHEN {key} % 17 <> 0 THEN list_transform(range(0, CAST({key} % 3 + 1 AS BIGINT)), lambda j: {condition}) END AS conds
+      FROM {table} WHERE {where})"""
+
+
+FINGERPRINT = """substr(md5('[' || coalesce(list_aggregate(list_transform(list_sort(list_transform(conds,
+    lambda c: {'i': coalesce(c.i, '?'), 'o': coalesce(c.o, '?')})), lambda p: '["' || p.i || '", "' || p.o || '"]'), 'string_agg', ', '), '') || ']'), 1, 12)"""
+
+
+def any_(test):
+    return f"coalesce(len(list_filter(conds, lambda c: coalesce({test}, false))) > 0, false)"
+
+
+def indicator_rules(rule_list, columns, src, keys="symbol"):
+    """One (rule_id, keys, rn, signal, tp, sl, hz) relation of plain threshold, cross and sma rules."""
+    w = f"(PARTITION BY {keys} ORDER BY rn)"
+    parts = []
+    for r in rule_list:
+        tests = []
+        for c in r.conditions:
+            x = columns.get(c.indicator, c.indicator)
+            sign = {"lt": "<", "gt": ">", "lte": "<=", "gte": ">=", "eq": "=", "ne": "<>"}
+            if c.op in sign:
+                tests.append(f"{x} {sign[c.op]} {c.value}")
+            elif c.op == "cross_above":
+                tests.append(f"lag({x}) OVER {w} <= {c.value} AND {x} > {c.value}")
+            else:
+                tests.append(f"{x} {'>' if c.op == 'gt_rolling' else '<'} {roll('avg', x, c.period, keys)}")
+        parts.append(f"""SELECT '{r.rule_id}' AS rule_id, {keys}, rn,
+          CASE WHEN rn >= 50 AND {' AND '.join(f'coalesce({t}, false)' for t in tests)} THEN 1 ELSE 0 END AS signal,
+          {r.tp} AS tp, {r.sl} AS sl, {r.horizon} AS hz FROM {src}""")
+    return " UNION ALL ".join(parts)
+
+
+COLUMNS = {"rsi": "rsi_14", "adx": "adx_14", "atr": "atr_14", "ema": "ema_20"}
+WITH_E20 = [*FULL, ewm("e20", "x", "close", 2 / 21, 20), "i20 AS (SELECT ind.*, e20.v AS ema_20 FROM ind JOIN e20 USING (symbol, rn))"]
+SPLIT = """sp AS (SELECT *, CASE WHEN rn < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM x),
+xs AS (SELECT symbol, split, ts, open, high, low, close, volume,
+         row_number() OVER (PARTITION BY symbol, split ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY symbol, split) AS n FROM sp)"""
+
+
+def fold_series(name, src, extra=""):
+    return f"""{name}0 AS (SELECT *, least(rn // (n // 4), 3) AS fold FROM {src}),
+{name} AS (SELECT symbol, fold, ts, open, high, low, close, volume{extra},
+         row_number() OVER (PARTITION BY symbol, fold ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY symbol, fold) AS n FROM {name}0)"""
+
+
+def fold_bounds(name, src):
+    return f"""{name}a AS (SELECT symbol, fold, min(ts) AS test_start, max(ts) AS test_end, max(n) AS rows FROM {src} GROUP BY ALL),
+{name} AS (SELECT * FROM (SELECT *, min(test_start) OVER p AS train_start, max(test_end) OVER p AS train_end, sum(rows) OVER p AS before
+         FROM {name}a WINDOW p AS (PARTITION BY symbol ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+         WHERE before >= 72 AND rows >= 17)"""
+
+
+FOLD_METRICS = ("n_trades", "sharpe", "total_pnl", "max_dd", "win_rate", "profit_factor")
+
+
+def walk(signal_name):
+    return [
+        *FULL,
+        fold_series("xf", "ind", ", macd_hist, vwap"),
+        f"sigf AS (SELECT symbol, fold, rn, {SIGNALS[signal_name]} AS signal FROM xf WINDOW w AS (PARTITION BY symbol, fold ORDER BY rn))",
+        *trades(exits("sigf", 0.005, 0.005, 12), "xf", "symbol, fold", warmup=0),
+        *metrics(keys="symbol, fold"),
+        fold_bounds("fb", "xf"),
+        f"""wf AS (SELECT fb.symbol, CAST(fb.fold AS INT) AS fold, train_start, train_end, test_start, test_end,
+             {', '.join(f'coalesce({m}, 0) AS {m}' for m in FOLD_METRICS)}
+           FROM fb LEFT JOIN summary s ON fb.symbol = s.symbol AND fb.fold = s.fold)""",
+    ]
+
+
+def wf_summary(src, keys):
+    return f"""SELECT {keys}, count(*) AS n_folds, CAST(sum(n_trades) AS BIGINT) AS n_trades_total, {money('avg(sharpe)', 4)} AS oos_sharpe_mean,
+        {money('stddev_samp(sharpe)', 4)} AS oos_sharpe_std, min(sharpe) AS oos_sharpe_min, max(sharpe) AS oos_sharpe_max,
+        {money('sum(total_pnl)', 2)} AS oos_pnl_total, sum(n_trades) >= 30 AND bool_and(sharpe > 0) AS passes
+      FROM {src} GROUP BY {keys}"""
+
+
+def condition_columns(tests):
+    return ", ".join(f"CAST(coalesce({t}, false) AS INT) AS c{i}" for i, t in enumerate(tests))
+
+
+def streak(x, rows):
+    return f"sum(CASE WHEN {x} THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW) = {rows}"
+
+
+def rule_oracles():
+    o = {}
+    w = "(PARTITION BY symbol ORDER BY rn)"
+    full = with_(*FULL)
+    o["rules_threshold"] = full + "SELECT symbol, ts, " + condition_columns([
+        "rsi_14 < 45", "close > 60", "volume <= 300", "adx_14 >= 20", "regime = 2", "regime <> 2", "0 < 5", "0 > 5"]) + " FROM ind"
+    o["rules_cross"] = full + "SELECT symbol, ts, " + condition_columns([
+        f"lag(close) OVER {w} <= 50 AND close > 50", f"lag(rsi_14) OVER {w} >= 50 AND rsi_14 < 50",
+        f"lag(macd_hist) OVER {w} <= 0 AND macd_hist > 0"]) + " FROM ind"
+    o["rules_rolling"] = with_(*WITH_E20, ewm("er", "ind", "rsi_14", 2 / 11, 10)) + "SELECT symbol, ts, " + condition_columns([
+        f"close > {roll('avg', 'close', 20)}", "close < ema_20", f"volume > {roll('avg', 'volume', 10)}", "rsi_14 < er.v"]) + \
+        " FROM i20 JOIN er USING (symbol, rn)"
+    o["rules_streak"] = full + "SELECT symbol, ts, " + condition_columns([
+        streak("macd_hist > 0", 3), streak("close - pc < 0", 2), "false", streak("obi > 0", 4)]) + " FROM ind"
+    o["rules_evaluate"] = full + f"""SELECT symbol, ts, CASE WHEN rn >= 50 AND coalesce(rsi_14 < 55, false)
+        AND coalesce(close < {roll('avg', 'close', 20)}, false) THEN 1 ELSE 0 END AS signal FROM ind"""
+    docs = documents("docs", "part", "p_partkey", "p_size")
+    rolls = "c.o IN ('gt_rolling', 'lt_rolling')"
+    ops = ", ".join(f"'{p}'" for p in fx.DOC_OPS[:12])
+    errors = [
+        ("anonymous", "missing name"), ("conds IS NULL", "missing entry_conditions"),
+        (any_("c.i IS NULL"), "condition missing indicator"), (any_("c.o IS NULL"), "condition missing op"),
+        (any_(f"c.o NOT IN ({ops})"), "invalid op"), (any_(f"{rolls} AND c.r IS NULL"), "rolling op needs a method"),
+        (any_(f"{rolls} AND c.r NOT IN ('sma', 'ema')"), "invalid rolling method"),
+        (any_(f"{rolls} AND c.p IS NULL"), "rolling op needs a period"),
+        ("wordy AND conds IS NOT NULL", "value is not a number"),
+    ]
+    listed = ", ".join(f"CASE WHEN {t} THEN '{text}' END" for t, text in errors)
+    o["rules_validate"] = with_(docs) + f"""SELECT rule_key, len(e) = 0 AS valid, coalesce(list_aggregate(e, 'string_agg', '; '), '') AS errors
+        FROM (SELECT rule_key, list_filter([{listed}], lambda v: v IS NOT NULL) AS e FROM docs)"""
+    o["rules_fingerprint"] = with_(docs) + f"SELECT rule_key, {FINGERPRINT} AS fp FROM docs"
+    o["rules_dedup"] = with_(docs, documents("old", "supplier", "s_suppkey", "s_nationkey", "s_suppkey % 9 = 0")) + f"""
+        SELECT min(rule_key) AS rule_key, fp FROM (SELECT rule_key, {FINGERPRINT} AS fp FROM docs)
+        WHERE fp NOT IN (SELECT {FINGERPRINT} FROM old) GROUP BY fp"""
+    from checks.queries import PLAIN_RULES, RANDOM_RULES
+
+    o["rule_sweep"] = recursive(
+        *WITH_E20, f"sigr AS ({indicator_rules(RANDOM_RULES, COLUMNS, 'i20')})",
+        *trades("sigr", keys="rule_id, symbol", bar_keys="symbol"), *metrics(keys="rule_id, symbol"),
+    ) + "SELECT * FROM summary"
+    train = "xt AS (SELECT * EXCLUDE (split) FROM xs WHERE split = 'train')"
+    recent = """xr0 AS (SELECT *, greatest(least(2880, n - 100), 0) AS k FROM xt),
+xr AS (SELECT symbol, ts, open, high, low, close, volume, rn - (n - k) AS rn, k AS n FROM xr0 WHERE rn >= n - k)"""
+    o["rule_screen"] = recursive(
+        *BASE, SPLIT, train, recent,
+        f"sigq AS ({indicator_rules(PLAIN_RULES, {}, 'xr')})",
+        *trades("sigq", "xr", "rule_id, symbol", "symbol", tag="q"), *metrics("q", "rule_id, symbol"),
+        f"sigt AS ({indicator_rules(PLAIN_RULES, {}, 'xt')})",
+        *trades("sigt", "xt", "rule_id, symbol", "symbol", tag="t"), *metrics("t", "rule_id, symbol"),
+    ) + "SELECT summaryt.* FROM summaryt SEMI JOIN (SELECT * FROM summaryq WHERE sharpe > -0.05 AND n_trades >= 3) USING (rule_id, symbol)"
+    periods = (3, 15, 30, 100)
+    grid = [(f, m, s) for f in (3, 15) for m in (15, 30) for s in (30, 100)]
+    candidates = " UNION ALL ".join(
+        f"""SELECT {i} AS candidate, symbol, rn, CASE WHEN close < p{s} AND p{f} < p{m} THEN -1 WHEN close > p{s} AND p{f} > p{m} THEN 1 ELSE 0 END AS signal FROM emas"""
+        for i, (f, m, s) in enumerate(grid)
+    )
+    o["param_sweep"] = recursive(
+        *BASE, *(ewm(f"e{p}", "x", "close", 2 / (p + 1), p) for p in periods),
+        f"""emas AS (SELECT x.symbol, x.rn, close, {', '.join(f'e{p}.v AS p{p}' for p in periods)} FROM x
+             {' '.join(f'JOIN e{p} USING (symbol, rn)' for p in periods)})""",
+        f"sigp AS ({candidates})", *trades(exits("sigp", 2.0, 0.9, 12), keys="candidate, symbol", bar_keys="symbol"),
+        *metrics(keys="candidate, symbol"),
+        """scored AS (SELECT candidate, symbol, coalesce(n_trades, 0) AS n_trades, coalesce(sharpe, 0) AS sharpe
+             FROM (SELECT DISTINCT symbol FROM x) CROSS JOIN range(0, 8) r(candidate) LEFT JOIN summary USING (candidate, symbol))""",
+        "fit AS (SELECT *, CASE WHEN n_trades >= 30 THEN sharpe ELSE -999.0 END AS fitness FROM scored)",
+    ) + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fitness DESC, candidate) AS rank FROM fit) WHERE rank <= 4"""
+    keys = "rule_id, symbol, split"
+    o["holdout_overfit"] = recursive(
+        *BASE, SPLIT, train, f"sigh AS ({indicator_rules(PLAIN_RULES, {}, 'xs', 'symbol, split')})",
+        *trades("sigh", "xs", keys, "symbol, split", tag="h"), *metrics("h", keys),
+        fold_series("xf", "xt"), f"sigf AS (SELECT * EXCLUDE (tp, sl, hz) FROM ({indicator_rules(PLAIN_RULES, {}, 'xf', 'symbol, fold')}))",
+        *trades(exits("sigf", 0.005, 0.005, 12), "xf", "rule_id, symbol, fold", "symbol, fold", warmup=0, tag="f"),
+        *metrics("f", "rule_id, symbol, fold"), fold_bounds("fb", "xf"),
+        "ids AS (SELECT DISTINCT rule_id FROM sigh)",
+        """wff AS (SELECT rule_id, symbol, fold, coalesce(n_trades, 0) AS n_trades, coalesce(sharpe, 0) AS sharpe, coalesce(total_pnl, 0) AS total_pnl
+             FROM fb CROSS JOIN ids LEFT JOIN summaryf USING (rule_id, symbol, fold))""",
+        f"wfs AS ({wf_summary('wff', 'rule_id, symbol')})",
+        "big AS (SELECT DISTINCT symbol FROM xs WHERE split = 'test' AND n > 100)",
+        """joined AS (SELECT r.rule_id, s.symbol, coalesce(a.sharpe, 0) AS sharpe, coalesce(a.win_rate, 0) AS win_rate,
+             coalesce(a.profit_factor, 0) AS profit_factor, coalesce(a.total_pnl, 0) AS total_pnl, coalesce(a.max_dd, 0) AS max_dd,
+             coalesce(a.n_trades, 0) AS n_trades, coalesce(b.sharpe, 0) AS oos_sharpe, coalesce(b.n_trades, 0) AS oos_trades,
+             coalesce(wfs.oos_sharpe_mean, 0) AS wf_sharpe, coalesce(wfs.passes, false) AS wf_passes
+           FROM ids r CROSS JOIN (SELECT DISTINCT symbol FROM x) s
+           LEFT JOIN summaryh a ON a.rule_id = r.rule_id AND a.symbol = s.symbol AND a.split = 'train'
+           LEFT JOIN summaryh b ON b.rule_id = r.rule_id AND b.symbol = s.symbol AND b.split = 'test' AND s.symbol IN (SELECT symbol FROM big)
+           LEFT JOIN wfs ON wfs.rule_id = r.rule_id AND wfs.symbol = s.symbol)""",
+    ) + "SELECT *, oos_sharpe < sharpe - 0.3 AND oos_trades >= 10 AS overfit FROM joined"
+    return o
+
+
+# evaluation and ranking ------------------------------------------------------------------
+
+PNL = """trades AS (SELECT l_returnflag AS run_id, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_shipdate,
+    l_partkey, l_suppkey, l_extendedprice) AS rn, round(l_extendedprice * (l_discount - 0.05) / 100, 2) AS net_pnl FROM lineitem)"""
+BOARD = """board AS (SELECT *, oos_sharpe < sharpe - 0.3 AND oos_trades >= 10 AS overfit FROM (
+  SELECT c_custkey AS run_id, c_nationkey AS generation, c_acctbal / 10000 AS sharpe, coalesce(k, 0) AS n_trades,
+         c_acctbal / 10000 - (c_custkey % 7) / 10 AS oos_sharpe, coalesce(k, 0) // 2 AS oos_trades
+  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey))"""
+
+
+def ranking_oracles():
+    o = {}
+    o["max_drawdown"] = with_(PNL, *metrics(keys="run_id")[:3]) + f"SELECT run_id, {money('max_dd', 6)} AS max_dd FROM dd"
+    o["temporal_split"] = with_(*BASE, SPLIT) + """
+        SELECT split AS part, symbol, ts, rn FROM xs
+        UNION ALL SELECT 'recent', symbol, ts, rn - (n - least(300, n - 100)) FROM x WHERE rn >= n - least(300, n - 100)
+        UNION ALL SELECT 'tail', symbol, ts, rn FROM x WHERE rn >= n - 200"""
+    o["walk_forward_folds"] = recursive(*walk("macd")) + "SELECT * FROM wf"
+    o["walk_forward_summary"] = recursive(*walk("vwap")) + wf_summary("wf", "symbol")
+    o["market_context"] = with_(*FULL) + f"""SELECT symbol, {', '.join(f"{money(f'avg(CASE WHEN regime = {r} THEN 1.0 ELSE 0.0 END)', 6)} AS share_{r}" for r in range(4))},
+        arg_max(close, rn) AS last_price,
+        {money('(arg_max(close, rn) - max(CASE WHEN rn = greatest(n - 300, 0) THEN close END)) / max(CASE WHEN rn = greatest(n - 300, 0) THEN close END) * 100', 6)} AS return_pct,
+        {money('avg(volume)', 6)} AS avg_volume, {money('arg_max(adx_14, rn)', 6)} AS latest_adx FROM ind GROUP BY symbol"""
+    o["equity_curve"] = recursive(*VWAP_TRADES) + f"""SELECT symbol, exit_ts, rn AS trade_rn, {money('10000 + sum(net_pnl) OVER w', 2)} AS equity,
+        {money('sum(net_pnl) OVER w', 2)} AS total_pnl, {money('sum(fees) OVER w', 4)} AS total_fees, count(*) OVER w AS n_trades
+        FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY exit_ts, rn ROWS UNBOUNDED PRECEDING)"""
+    o["leaderboard_compact"] = with_(BOARD) + """SELECT CAST(run_id AS VARCHAR) AS run_id, generation, round(sharpe, 6) AS sharpe, n_trades,
+        CASE WHEN generation >= 12 THEN round(oos_sharpe, 6) END AS oos_sharpe, CASE WHEN generation >= 12 THEN oos_trades END AS oos_trades,
+        CASE WHEN generation >= 12 THEN overfit END AS overfit FROM board WHERE run_id % 50 <> 7"""
+    o["leaderboard_topk"] = with_(BOARD) + """SELECT run_id, round(sharpe, 6) AS sharpe, n_trades, round(oos_sharpe, 6) AS oos_sharpe
+        FROM board WHERE n_trades > 0 AND sharpe >= 0.2 ORDER BY sharpe DESC, run_id LIMIT 25"""
+    o["leaderboard_topk_per_group"] = with_(BOARD) + """SELECT generation, rank, run_id, round(sharpe, 6) AS sharpe FROM (
+        SELECT *, row_number() OVER (PARTITION BY generation ORDER BY sharpe DESC, run_id) AS rank FROM board) WHERE rank <= 3"""
+    o["leaderboard_digest"] = with_(BOARD) + """SELECT count(*) AS n_tested,
+        count(*) FILTER (sharpe > 0 AND n_trades >= 30 AND NOT overfit) AS n_positive, count(*) FILTER (n_trades >= 10) AS n_ranked,
+        count(*) FILTER (n_trades >= 10 AND sharpe > 0) AS n_ranked_positive, round(avg(sharpe) FILTER (n_trades >= 10), 6) AS mean_sharpe,
+        count(*) FILTER (n_trades >= 10 AND oos_trades >= 10 AND NOT overfit) AS n_oos_passed, round(max(sharpe), 6) AS best_sharpe,
+        (SELECT run_id FROM board ORDER BY sharpe DESC, run_id LIMIT 1) AS best_run FROM board"""
+    o["lineage_chain"] = """WITH RECURSIVE c AS (SELECT o_orderkey AS strategy_id, 0 AS hop, o_orderkey AS node FROM orders
+        UNION ALL SELECT c.strategy_id, c.hop + 1, node // 2 FROM c JOIN orders p ON p.o_orderkey = c.node // 2 WHERE c.node > 0)
+        SELECT * FROM c"""
     return o

@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import fixtures as fx
+from tidemark import staging
 from tidemark.functions.costs import spot_pnl, trade_costs
 from tidemark.functions.numbers import half_up
+from tidemark.operators import context, external, lineage, rules, trailing
 from tidemark.operators import indicators as ind
+from tidemark.operators import leaderboard as lb
 from tidemark.operators import metrics as met
 from tidemark.operators import resample as rs
 from tidemark.operators.indicators import Request
+from tidemark.operators.rules import Condition, Rule
 from tidemark.operators.signals import add_signal, signal_chunks
-from tidemark.plans import barriers
+from tidemark.plans import barriers, research, slices
 from tidemark.plans.cooldown import thin
+from tidemark.plans.series import index_rows
+from tidemark.sources import payloads, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,3 +165,182 @@ def backtest_trades(spark, sf):
 @query
 def backtest_summary(spark, sf):
     return met.summarise(_vwap_trades(spark, sf), ["symbol"], with_pvalue=False)
+
+
+# rules ---------------------------------------------------------------------------------
+
+CONDITIONS = {
+    "rules_threshold": [
+        Condition("rsi", "lt", 45), Condition("close", "gt", 60), Condition("volume", "lte", 300),
+        Condition("adx", "gte", 20), Condition("regime", "eq", 2), Condition("regime", "ne", 2),
+        Condition("nosuch", "lt", 5), Condition("nosuch", "gt", 5),
+    ],
+    "rules_cross": [
+        Condition("close", "cross_above", 50), Condition("rsi", "cross_below", 50), Condition("macd_hist", "cross_above", 0),
+    ],
+    "rules_rolling": [
+        Condition("close", "gt_rolling", rolling="sma", period=20), Condition("close", "lt_rolling", rolling="ema", period=20),
+        Condition("volume", "gt_rolling", rolling="sma", period=10), Condition("rsi", "lt_rolling", rolling="ema", period=10),
+    ],
+    "rules_streak": [
+        Condition("macd_hist", "streak_gte"), Condition("diff", "streak_lte", 2, period=4),
+        Condition("close", "streak_gte", 6, period=5), Condition("obi", "streak_gte", 4, period=6),
+    ],
+}
+
+
+def _conditions(conditions) -> Query:
+    def run(spark, sf):
+        ch, holds = rules.condition_chunks(fx.series(spark, sf), conditions)
+        columns = {f"c{i}": c.cast("int") for i, c in enumerate(holds)}
+        return ch.add(**columns).own().select("symbol", "ts", *columns)
+
+    return run
+
+
+for _name, _list in CONDITIONS.items():
+    _register(_name, _conditions(_list))
+
+RULE = Rule("r", (Condition("rsi", "lt", 55), Condition("close", "lt_rolling", rolling="sma", period=20)))
+PLAIN_RULES = [
+    Rule("h1", (Condition("close", "lt", 40),)),
+    Rule("h2", (Condition("close", "gt_rolling", rolling="sma", period=20), Condition("volume", "gt", 150))),
+    Rule("h3", (Condition("close", "cross_above", 50),)),
+    Rule("h4", (Condition("volume", "lt", 100), Condition("close", "gte", 20)), 2.0, 0.9, 12),
+]
+RANDOM_RULES = rules.random_rules(24, seed=7)
+
+
+@query
+def rules_evaluate(spark, sf):
+    return rules.evaluate(fx.series(spark, sf), RULE).select("symbol", "ts", "signal")
+
+
+def _documents(spark, sf):
+    return rules.parse_documents(
+        fx.rule_documents(fx.table(spark, sf, "part"), "p_partkey", "p_size", "p_retailprice")
+    )
+
+
+@query
+def rules_validate(spark, sf):
+    return rules.validate(_documents(spark, sf)).select(
+        "rule_key", "valid", F.concat_ws("; ", "errors").alias("errors")
+    )
+
+
+@query
+def rules_fingerprint(spark, sf):
+    return _documents(spark, sf).select("rule_key", rules.fingerprint().alias("fp"))
+
+
+@query
+def rules_dedup(spark, sf):
+    old = rules.parse_documents(
+        fx.rule_documents(fx.table(spark, sf, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal")
+    ).filter("rule_key % 9 = 0")
+    fresh = _documents(spark, sf).withColumn("fp", rules.fingerprint())
+    return rules.dedup(fresh, ["rule_key"], old.select(rules.fingerprint().alias("fp"))).select("rule_key", "fp")
+
+
+@query
+def rule_sweep(spark, sf):
+    trades = research.sweep(fx.series(spark, sf), RANDOM_RULES)
+    return met.summarise(trades, ["rule_id", "symbol"], with_pvalue=False)
+
+
+@query
+def rule_screen(spark, sf):
+    train = slices.holdout(fx.series(spark, sf)).filter("split = 'train'").drop("split")
+    return research.screened_sweep(train, PLAIN_RULES)
+
+
+@query
+def param_sweep(spark, sf):
+    grid = research.parameter_grid("ema_trend", 2)
+    scored = research.parameter_sweep(fx.series(spark, sf), "ema_trend", grid, tp=2.0, sl=0.9)
+    return research.elite(scored, len(grid), ratio=0.5).select(
+        "candidate", "symbol", "n_trades", "sharpe", "fitness", "rank"
+    )
+
+
+# evaluation and ranking ------------------------------------------------------------------
+
+
+@query
+def max_drawdown(spark, sf):
+    return met.max_drawdown(index_rows(fx.pnl(spark, sf), ["run_id"], ["seq"], "pnl"), ["run_id"])
+
+
+@query
+def bootstrap_pvalue(spark, sf):
+    return met.bootstrap_pvalue(index_rows(fx.pnl(spark, sf), ["run_id"], ["seq"], "pnl"), ["run_id"])
+
+
+@query
+def temporal_split(spark, sf):
+    series = fx.series(spark, sf)
+    columns = ["part", "symbol", "ts", "rn"]
+    split = slices.holdout(series).withColumnRenamed("split", "part").select(columns)
+    for part, rows in (("recent", slices.recent(series, 300)), ("tail", slices.last_rows(series))):
+        split = split.unionByName(rows.withColumn("part", F.lit(part)).select(columns))
+    return split
+
+
+@query
+def walk_forward_folds(spark, sf):
+    return research.walk_forward(fx.series(spark, sf), "macd_crossover")
+
+
+@query
+def walk_forward_summary(spark, sf):
+    return research.walk_forward_summary(research.walk_forward(fx.series(spark, sf), "vwap_bounce"))
+
+
+@query
+def holdout_overfit(spark, sf):
+    return research.holdout_comparison(fx.series(spark, sf), PLAIN_RULES)
+
+
+@query
+def market_context(spark, sf):
+    needed = [Request("regime", "regime"), Request("adx_14", "adx")]
+    return context.market_context(ind.add_indicators(fx.series(spark, sf), needed), back=300)
+
+
+@query
+def equity_curve(spark, sf):
+    return context.equity_curve(_vwap_trades(spark, sf))
+
+
+@query
+def leaderboard_compact(spark, sf):
+    """Two generations of log lines, the older one with fewer columns, and some broken lines."""
+    board = fx.board(spark, sf).withColumn("run_id", F.col("run_id").cast("string"))
+    older, newer = board.filter("generation < 12"), board.filter("generation >= 12")
+    rows = lb.add_rows(older.drop("oos_sharpe", "oos_trades", "overfit"), newer)
+    line = F.to_json(F.struct(*rows.columns))
+    broken = F.col("run_id").cast("long") % 50 == 7
+    log = staging.new_path(spark, "log")
+    rows.select(F.when(broken, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(log)
+    return lb.compact(spark, log).select(*board.columns)
+
+
+@query
+def leaderboard_topk(spark, sf):
+    return lb.top(fx.board(spark, sf), 25, 0.2).select("run_id", "sharpe", "n_trades", "oos_sharpe")
+
+
+@query
+def leaderboard_topk_per_group(spark, sf):
+    return lb.top_per_group(fx.board(spark, sf), ["generation"]).select("generation", "rank", "run_id", "sharpe")
+
+
+@query
+def leaderboard_digest(spark, sf):
+    return lb.digest(fx.board(spark, sf))
+
+
+@query
+def lineage_chain(spark, sf):
+    return lineage.chains(fx.lineage(spark, sf))

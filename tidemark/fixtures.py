@@ -76,3 +76,33 @@ def board(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("oos_trades", F.floor(F.col("n_trades") / 2))
         .withColumn("overfit", (F.col("oos_sharpe") < F.col("sharpe") - 0.3) & (F.col("oos_trades") >= 10))
     )
+
+
+# What the rule documents below draw from; the last entries are deliberate faults.
+DOC_INDICATORS = ["rsi", "adx", "close", "volume", "macd", "ema", "vwap", None]
+DOC_OPS = [
+    "lt", "gt", "lte", "gte", "eq", "ne", "cross_above", "cross_below",
+    "gt_rolling", "lt_rolling", "streak_gte", "streak_lte", "between", None,
+]
+DOC_ROLLING = ["sma", "ema", "wma", None]
+
+
+def _choice(values: list, index: str) -> str:
+    items = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"element_at(array({items}), cast(({index}) % {len(values)} as int) + 1)"
+
+
+def rule_documents(rows: DataFrame, key: str, size: str, number: str) -> DataFrame:
+    """One JSON rule document per row of a table, some of them faulty in various ways."""
+    value = f"CASE WHEN {key} % 11 = 0 THEN '\"high\"' WHEN {key} % 7 = 0 THEN 'null' ELSE cast({number} as string) END"
+    condition = f"""named_struct(
+        'indicator', {_choice(DOC_INDICATORS, f'{key} + 3 * j')}, 'op', {_choice(DOC_OPS, f'{size} + 5 * j')},
+        'value', parse_json({value}), 'rolling', {_choice(DOC_ROLLING, f'{key} + j')},
+        'period', if(({key} + j) % 5 = 0, NULL, 10 + {size}))"""
+    return rows.selectExpr(
+        f"{key} AS rule_key",
+        f"""to_json(named_struct(
+            'name', if({key} % 13 = 0, NULL, concat('rule_', {key})),
+            'entry_conditions', if({key} % 17 = 0, NULL, transform(sequence(0L, {key} % 3), j -> {condition})),
+            'exit', named_struct('tp_pct', 0.04D, 'sl_pct', 0.015D, 'horizon_bars', 48))) AS document""",
+    )
