@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidemark import fixtures as fx
 
 TICKS = """ticks AS (
-  SELECT event_type AS symbol, ts, epoch_ms(ts) AS ts_ms, event_id AS seq, value AS price,
+  SELECT event_type AS symbol, ts, epoch_us(ts) // 1000 AS ts_ms, event_id AS seq, value AS price,
          CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS qty, event_id % 2 = 1 AS is_buyer_maker
   FROM events)"""
 
@@ -310,6 +310,8 @@ def build() -> dict[str, str]:
     o["signal_ha_streak"] = with_(*BASE, *HEIKIN, *HA_STREAK) + "SELECT symbol, ts, signal FROM sg JOIN x USING (symbol, rn)"
     o.update(rule_oracles())
     o.update(ranking_oracles())
+    o.update(external_oracles())
+    o.update(table_oracles())
     return o
 
 
@@ -528,7 +530,7 @@ def ranking_oracles():
         FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY exit_ts, rn ROWS UNBOUNDED PRECEDING)"""
     o["leaderboard_compact"] = with_(BOARD) + """SELECT CAST(run_id AS VARCHAR) AS run_id, generation, round(sharpe, 6) AS sharpe, n_trades,
         CASE WHEN generation >= 12 THEN round(oos_sharpe, 6) END AS oos_sharpe, CASE WHEN generation >= 12 THEN oos_trades END AS oos_trades,
-        CASE WHEN generation >= 12 THEN overfit END AS overfit FROM board WHERE run_id % 50 <> 7"""
+        CASE WHEN generation >= 12 THEN CAST(overfit AS INT) END AS overfit FROM board WHERE run_id % 50 <> 7"""
     o["leaderboard_topk"] = with_(BOARD) + """SELECT run_id, round(sharpe, 6) AS sharpe, n_trades, round(oos_sharpe, 6) AS oos_sharpe
         FROM board WHERE n_trades > 0 AND sharpe >= 0.2 ORDER BY sharpe DESC, run_id LIMIT 25"""
     o["leaderboard_topk_per_group"] = with_(BOARD) + """SELECT generation, rank, run_id, round(sharpe, 6) AS sharpe FROM (
@@ -542,3 +544,116 @@ def ranking_oracles():
         UNION ALL SELECT c.strategy_id, c.hop + 1, node // 2 FROM c JOIN orders p ON p.o_orderkey = c.node // 2 WHERE c.node > 0)
         SELECT * FROM c"""
     return o
+
+
+# external series -------------------------------------------------------------------------
+
+TICK_OBS = "obs AS (SELECT symbol AS source, ts, price AS value FROM ticks)"
+ORDER_OBS = "obs AS (SELECT o_orderpriority AS source, o_orderdate AS ts, avg(o_totalprice) AS value FROM orders GROUP BY ALL)"
+NAMES = ("click", "error", "purchase", "signup", "view")
+PIVOT = ", ".join(f"max(value) FILTER (source = '{n}') AS {n}" for n in NAMES)
+WIDE = f"wide AS (SELECT ts, {PIVOT} FROM filled GROUP BY ts)"
+
+
+def grid(seconds):
+    us = seconds * 1000000
+    return f"""grid AS (SELECT source, make_timestamp(CAST(t AS BIGINT)) AS ts FROM (
+        SELECT source, unnest(range(CAST(floor(epoch_us(min(ts)) / {us}) AS BIGINT) * {us}, CAST(ceil(epoch_us(max(ts)) / {us}) AS BIGINT) * {us} + 1, {us})) AS t
+        FROM obs GROUP BY source))"""
+
+
+ASOF = "filled AS (SELECT g.source, g.ts, o.value, o.ts AS seen FROM grid g ASOF LEFT JOIN obs o ON g.source = o.source AND g.ts >= o.ts)"
+ON_GRID = """pts AS (SELECT g.source, g.ts, o.value, row_number() OVER (PARTITION BY g.source ORDER BY g.ts) AS k
+  FROM grid g LEFT JOIN obs o USING (source, ts))"""
+
+
+def external_oracles():
+    o = {}
+    o["external_json_parse"] = """SELECT source, ts, arg_min(value, k) AS value FROM (
+        SELECT o_orderpriority || '/' || (o_orderkey // 100) % 2 AS source, o_orderdate + INTERVAL 7305 DAYS AS ts, o_totalprice AS value,
+          o_orderkey AS k FROM orders WHERE o_orderkey % 31 <> 0 AND o_orderkey % 29 <> 0) GROUP BY source, ts"""
+    o["external_csv_parse"] = """SELECT o_orderpriority AS source, o_orderdate AS ts, arg_min(o_totalprice, o_orderkey) AS value
+        FROM orders WHERE o_orderkey % 23 <> 0 AND o_orderkey % 19 <> 0 GROUP BY 1, 2"""
+    o["external_retention"] = """WITH r AS (SELECT CASE WHEN o_orderkey % 10 < 7 THEN 'A' ELSE 'B' END AS source, o_orderdate AS ts,
+          o_totalprice AS value, o_orderkey FROM orders),
+        big AS (SELECT source, sum(length('{"t":"1995-01-01","v":' || o_orderkey || '}')) >= 300000 AS big FROM r GROUP BY source)
+        SELECT r.* FROM r JOIN big USING (source) WHERE NOT big OR ts >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAYS"""
+    o["external_upsert"] = """SELECT 'orders' AS source, ts, arg_max(value, (late, k)) AS value, strftime(ts, '%Y-%m') AS month FROM (
+        SELECT o_orderdate AS ts, o_totalprice AS value, o_orderkey AS k, o_orderkey % 3 = 0 AND o_orderdate >= TIMESTAMP '1998-01-01' AS late
+        FROM orders) GROUP BY ts"""
+    o["external_align_ffill"] = with_(TICKS, TICK_OBS, grid(3600), ASOF) + f"SELECT source, ts, {rounded('value')} FROM filled"
+    faded = money("value * greatest(0, 1 - ((epoch_us(ts) - epoch_us(seen)) // 900000000) / 4)", 6)
+    o["external_align_decay"] = with_(TICKS, TICK_OBS, grid(900), ASOF) + f"SELECT source, ts, {faded} AS value FROM filled"
+    between = money("CASE WHEN nk IS NULL OR nk = pk THEN pv ELSE pv + (nv - pv) * (k - pk) / (nk - pk) END", 6)
+    o["external_align_interpolate"] = with_(ORDER_OBS, grid(86400), ON_GRID,
+        """nb AS (SELECT source, ts, value, k, last_value(CASE WHEN value IS NOT NULL THEN k END IGNORE NULLS) OVER a AS pk,
+             last_value(value IGNORE NULLS) OVER a AS pv, first_value(CASE WHEN value IS NOT NULL THEN k END IGNORE NULLS) OVER b AS nk,
+             first_value(value IGNORE NULLS) OVER b AS nv FROM pts
+           WINDOW a AS (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING),
+                  b AS (PARTITION BY source ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""") + \
+        f"SELECT source, ts, {between} AS value FROM nb"
+    w = "OVER (PARTITION BY source ORDER BY k)"
+    total = money(f"CASE WHEN k > 1 THEN coalesce(value, 0) + coalesce(lag(value) {w}, 0) END", 6)
+    mean = money(f"(value + lag(value) {w}) / 2", 6)
+    o["external_align_sum_avg"] = with_(ORDER_OBS, grid(86400), ON_GRID) + f"""
+        SELECT source, ts, {total} AS value, 'sum' AS method FROM pts UNION ALL SELECT source, ts, {mean} AS value, 'avg' AS method FROM pts"""
+    o["features_join_external"] = with_(*BASE, TICK_OBS, grid(14400), ASOF, WIDE) + f"""
+        SELECT symbol, x.ts, close, {', '.join(NAMES)}, last_value(view IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY rn) AS view_bound,
+          0.0 AS nosuch FROM x LEFT JOIN wide USING (ts)"""
+    columns = ("rsi_14", "macd", "macd_signal", "macd_hist", "ema_9", "ema_21", "ema_50", "vwap", "obi", "ha_open", "ha_high",
+               "ha_low", "ha_close", "atr_14", "adx_14")
+    o["features_build"] = with_(*FULL, TICK_OBS, grid(14400), ASOF, WIDE) + \
+        f"SELECT symbol, ts, {BAR_OUT}, {rounded(*columns)}, regime, {', '.join(NAMES)} FROM ind LEFT JOIN wide USING (ts)"
+    return o
+
+
+# tables and ingest -----------------------------------------------------------------------
+
+
+def table_oracles():
+    o = {}
+    base = with_(TICKS, bars())
+    o["klines_to_bars"] = with_(TICKS, bars(), rebar("r4", "bars", bucket(14400))) + f"SELECT symbol, ts, {BAR_OUT} FROM r4"
+    first = "(SELECT symbol, date_trunc('day', min(ts)) AS d FROM bars GROUP BY symbol)"
+    o["resample_calendar"] = with_(
+        TICKS, bars(), f"b3 AS (SELECT bars.*, d FROM bars JOIN {first} USING (symbol))",
+        rebar("c3", "b3", "CAST(d + INTERVAL 3 DAYS * (date_diff('day', d, ts) // 3) AS TIMESTAMP)"),
+        rebar("cw", "bars", "CAST(date_trunc('week', ts) + INTERVAL 6 DAYS AS TIMESTAMP)"),
+        rebar("cm", "bars", "CAST(last_day(ts) AS TIMESTAMP)"),
+    ) + " UNION ALL ".join(f"SELECT symbol, ts, {BAR_OUT}, '{i}' AS interval FROM {t}" for i, t in (("3d", "c3"), ("1w", "cw"), ("1M", "cm")))
+    o["rollup_5m_1h"] = with_(TICKS, bars("b5", bucket(300)), bars("b60", bucket(3600))) + " UNION ALL ".join(
+        f"SELECT symbol, ts, {BAR_OUT}, '{i}' AS interval FROM {t}" for i, t in (("5m", "b5"), ("1h", "b60")))
+    o["bars_upsert"] = base + """SELECT 'test' AS exchange, symbol, ts, open, high, low,
+        round(CASE WHEN hour(ts) % 2 = 0 THEN close + 2 ELSE close END, 6) AS close, volume, strftime(ts, '%Y-%m') AS month FROM bars"""
+    o["bars_range_scan"] = base + """SELECT 'range' AS part, 'test' AS exchange, * FROM bars
+        WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20 12:00:00'
+        UNION ALL SELECT 'days', 'test', * FROM bars WHERE ts >= TIMESTAMP '2024-01-26'"""
+    o["bars_coverage"] = base + """SELECT 'test' AS exchange, symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM bars GROUP BY symbol"""
+    o["bars_insert_ignore"] = base + """SELECT symbol, ts, open, high, low, round(CASE WHEN hour(ts) % 2 = 0 THEN close ELSE close + 1 END, 6) AS close, volume FROM bars"""
+    o["bar_gaps"] = with_(*BASE) + """SELECT symbol, p + 3600000 AS from_ms, epoch_ms(ts) AS to_ms, (epoch_ms(ts) - p - 3600000) // 3600000 AS missing
+        FROM (SELECT symbol, ts, lag(epoch_ms(ts)) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM x) WHERE epoch_ms(ts) > p + 3600000"""
+    o["incremental_new_rows"] = with_(TICKS, bars(), """m AS (SELECT symbol, max(ts) AS mark FROM bars WHERE symbol <> 'click'
+          AND ts < CASE WHEN symbol = 'view' THEN TIMESTAMP '2024-01-10' ELSE TIMESTAMP '2024-01-20' END GROUP BY symbol)""") + """
+        SELECT bars.* FROM bars LEFT JOIN m USING (symbol) WHERE mark IS NULL OR ts >= mark + INTERVAL 60 SECONDS"""
+    sma = roll("avg", "close", 5)
+    raised = money(f"{sma} + CASE WHEN hour(ts) % 2 = 0 THEN 1 ELSE 0 END", 6)
+    o["features_upsert"] = with_(*BASE) + f"""SELECT symbol, ts, open, high, low, close, volume,
+        {raised} AS sma_5, CAST(volume AS BIGINT) AS count,
+        CASE WHEN hour(ts) % 2 = 0 THEN CAST(close > open AS VARCHAR) END AS up, strftime(ts, '%Y-%m') AS month FROM x"""
+    o["features_range_scan"] = with_(*BASE, f"""f AS (SELECT symbol, ts, open, high, low, close, volume, {money(sma, 6)} AS sma_5,
+          CAST(close > open AS VARCHAR) AS up, CAST(volume AS BIGINT) AS count FROM x)""") + """
+        SELECT *, count(*) OVER s AS rows, min(ts) OVER s AS first_ts, max(ts) OVER s AS last_ts FROM f
+        WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25 06:00:00' WINDOW s AS (PARTITION BY symbol)"""
+    win = "(PARTITION BY symbol ORDER BY ts_ms RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"
+    h6, h12 = win.format(21600000), win.format(43200000)
+    change = money("CASE WHEN count(*) OVER w >= 2 THEN (price - first_value(price) OVER w) / first_value(price) OVER w * 100 END", 6)
+    o["trailing_return_30s"] = with_(TICKS) + f"""SELECT symbol, ts_ms, seq, price, count(*) OVER w AS ticks, {change} AS return_pct
+        FROM ticks WINDOW w AS {h6}"""
+    o["trailing_trade_flow"] = with_(TICKS, "t AS (SELECT *, price * qty AS pq, CASE WHEN is_buyer_maker THEN -price * qty ELSE price * qty END AS s FROM ticks)") + f"""
+        SELECT symbol, ts_ms, seq, {money('sum(s) OVER a', 6)} AS cvd_short, {money('sum(s) OVER b', 6)} AS cvd_long,
+          {money('sum(pq) OVER b / nullif(sum(qty) OVER b, 0)', 6)} AS vwap, count(*) OVER b AS trade_count
+        FROM t WINDOW a AS {h6}, b AS {h12}"""
+    o["feed_staleness"] = with_(TICKS) + """SELECT symbol, max(ts) AS last_ts,
+        round((epoch_us(TIMESTAMP '2024-01-30 23:58:00') - epoch_us(max(ts))) / 1e6, 6) AS age_s,
+        (epoch_us(TIMESTAMP '2024-01-30 23:58:00') - epoch_us(max(ts))) / 1e6 < 1200 AS alive FROM ticks GROUP BY symbol"""
+    return o

@@ -20,7 +20,8 @@ from tidemark.operators import resample as rs
 from tidemark.operators.indicators import Request
 from tidemark.operators.rules import Condition, Rule
 from tidemark.operators.signals import add_signal, signal_chunks
-from tidemark.plans import barriers, research, slices
+from tidemark.functions.intervals import since
+from tidemark.plans import barriers, features, research, slices
 from tidemark.plans.cooldown import thin
 from tidemark.plans.series import index_rows
 from tidemark.sources import payloads, store
@@ -323,7 +324,7 @@ def leaderboard_compact(spark, sf):
     broken = F.col("run_id").cast("long") % 50 == 7
     log = staging.new_path(spark, "log")
     rows.select(F.when(broken, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(log)
-    return lb.compact(spark, log).select(*board.columns)
+    return lb.compact(spark, log).select(*board.columns).withColumn("overfit", F.col("overfit").cast("int"))
 
 
 @query
@@ -344,3 +345,246 @@ def leaderboard_digest(spark, sf):
 @query
 def lineage_chain(spark, sf):
     return lineage.chains(fx.lineage(spark, sf))
+
+
+# external series ---------------------------------------------------------------------------
+
+
+def _landed_json(spark, sf):
+    """Orders as JSON payloads of up to 100 items: times in four notations, some faulty items."""
+    k, ts = F.col("o_orderkey"), F.col("o_orderdate") + F.expr("INTERVAL 7305 DAYS")
+    seconds = F.unix_seconds(ts)
+    when = (
+        F.when(k % 31 == 0, F.lit("null"))
+        .when(k % 4 == 0, (seconds * 1000).cast("string"))
+        .when(k % 4 == 1, seconds.cast("string"))
+        .when(k % 4 == 2, F.concat(F.lit('"'), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"')))
+        .otherwise(F.concat(F.lit('"'), seconds.cast("string"), F.lit('"')))
+    )
+    value = F.when(k % 29 == 0, F.lit('"bad"')).otherwise(F.col("o_totalprice").cast("string"))
+    item = F.concat(F.lit('{"timestamp":'), when, F.lit(',"value":'), value, F.lit("}"))
+    block = F.floor(k / 100)
+    return (
+        fx.table(spark, sf, "orders")
+        .groupBy(F.concat_ws("/", "o_orderpriority", (block % 2).cast("string")).alias("source"), block.alias("payload_id"))
+        .agg(F.concat(F.lit("["), F.concat_ws(",", F.array_sort(F.collect_list(F.struct(k, item.alias("t"))))["t"]), F.lit("]")).alias("list"))
+        .withColumn("payload", F.when(F.col("payload_id") % 2 == 0, F.concat(F.lit('{"data":'), "list", F.lit("}"))).otherwise(F.col("list")))
+    )
+
+
+@query
+def external_json_parse(spark, sf):
+    landed = _landed_json(spark, sf)
+    nested = external.parse_json(landed.filter("payload_id % 2 = 0"), "data[0].timestamp", "data[0].value")
+    return nested.unionByName(external.parse_json(landed.filter("payload_id % 2 = 1"), "timestamp", "value"))
+
+
+@query
+def external_csv_parse(spark, sf):
+    k = F.col("o_orderkey")
+    path = staging.new_path(spark, "csv")
+    fx.table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("source"),
+        k,
+        F.when(k % 23 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("when"),
+        F.when(k % 19 == 0, "x").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+    ).write.option("header", True).csv(path)
+    rows = spark.read.option("header", True).csv(path).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+    return external.parse_csv(rows, "when", "price", order=["o_orderkey"])
+
+
+@query
+def external_retention(spark, sf):
+    k = F.col("o_orderkey")
+    rows = fx.table(spark, sf, "orders").select(
+        F.when(k % 10 < 7, "A").otherwise("B").alias("source"),
+        F.col("o_orderdate").alias("ts"),
+        F.col("o_totalprice").alias("value"),
+        k,
+        F.concat(F.lit('{"t":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('","v":'), k, F.lit("}")).alias("payload"),
+    )
+    kept = external.retain(rows.drop("payload"), rows.select("source", "payload"), "2001-08-01", 300_000)
+    return kept
+
+
+@query
+def external_upsert(spark, sf):
+    rows = fx.table(spark, sf, "orders").select(
+        F.lit("orders").alias("source"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value"), "o_orderkey"
+    )
+    path = staging.new_path(spark, "external")
+    late = (F.col("o_orderkey") % 3 == 0) & (F.col("ts") >= "1998-01-01")
+    for batch in (rows.filter(~late), rows.filter(late)):
+        store.upsert(batch, path, ["source", "ts"], ["source"], order=["o_orderkey"])
+    return store.read(spark, path)
+
+
+def _tick_observations(spark, sf):
+    return fx.ticks(spark, sf).select(F.col("symbol").alias("source"), "ts", F.col("price").alias("value"))
+
+
+def _order_observations(spark, sf):
+    return fx.table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("source"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value")
+    )
+
+
+@query
+def external_align_ffill(spark, sf):
+    return external.align(_tick_observations(spark, sf), "1h", "ffill")
+
+
+@query
+def external_align_decay(spark, sf):
+    return external.align(_tick_observations(spark, sf), "15m", "ffill", decay_periods=4)
+
+
+@query
+def external_align_interpolate(spark, sf):
+    return external.align(_order_observations(spark, sf), "1d", "interpolate")
+
+
+@query
+def external_align_sum_avg(spark, sf):
+    rows = _order_observations(spark, sf)
+    both = [external.align(rows, "1d", m).withColumn("method", F.lit(m)) for m in ("sum", "avg")]
+    return both[0].unionByName(both[1])
+
+
+SYMBOLS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query
+def features_join_external(spark, sf):
+    series = fx.series(spark, sf)
+    aligned = external.align(_tick_observations(spark, sf), "4h", "ffill")
+    out = external.join_external(series, aligned, SYMBOLS)
+    bound = external.bind_column(series, "view", aligned).select("symbol", "ts", F.col("view").alias("view_bound"))
+    out = external.bind_column(out.join(bound, ["symbol", "ts"]), "nosuch")
+    return out.select("symbol", "ts", "close", *SYMBOLS, "view_bound", "nosuch")
+
+
+# tables and ingest -------------------------------------------------------------------------
+
+
+@query
+def klines_to_bars(spark, sf):
+    one = F.array(F.unix_millis("ts").cast("string"), *(F.col(c).cast("string") for c in BAR))
+    landed = (
+        fx.bars(spark, sf).groupBy("symbol", F.to_date("ts").alias("day"))
+        .agg(F.to_json(F.array_sort(F.collect_list(one))).alias("payload"))
+    )
+    return rs.resample(payloads.klines_to_bars(landed), "4h")
+
+
+@query
+def resample_calendar(spark, sf):
+    bars = fx.bars(spark, sf)
+    parts = [rs.resample_calendar(bars, i).withColumn("interval", F.lit(i)) for i in ("3d", "1w", "1M")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def rollup_5m_1h(spark, sf):
+    return rs.rollups(fx.bars(spark, sf, "1m"))
+
+
+def _named_bars(spark, sf):
+    return store.normalise_bars(fx.bars(spark, sf).withColumn("symbol", F.upper("symbol")), "TEST")
+
+
+def _raised(bars, by):
+    return bars.filter(F.hour("ts") % 2 == 0).withColumn("close", F.col("close") + by)
+
+
+@query
+def bars_upsert(spark, sf):
+    bars, path = _named_bars(spark, sf), staging.new_path(spark, "bars")
+    store.upsert(bars, path)
+    twice = _raised(bars, 1).withColumn("o", F.lit(1)).unionByName(_raised(bars, 2).withColumn("o", F.lit(2)))
+    store.upsert(twice, path, order=["o"])
+    return store.read(spark, path)
+
+
+@query
+def bars_range_scan(spark, sf):
+    path = staging.new_path(spark, "bars")
+    store.upsert(_named_bars(spark, sf), path)
+    table = store.read(spark, path)
+    part = store.scan(table, "2024-01-10 00:00:00", "2024-01-20 12:00:00").withColumn("part", F.lit("range"))
+    late = table.filter(since(F.col("ts"), "2024-01-31", 5)).withColumn("part", F.lit("days"))
+    return part.unionByName(late).select("part", "exchange", "symbol", "ts", *BAR)
+
+
+@query
+def bars_coverage(spark, sf):
+    return store.coverage(_named_bars(spark, sf))
+
+
+@query
+def bars_insert_ignore(spark, sf):
+    bars, path = fx.bars(spark, sf), staging.new_path(spark, "copy")
+    store.insert_ignore(bars.filter(F.hour("ts") % 2 == 0), path)
+    again = bars.withColumn("close", F.col("close") + 1)
+    store.insert_ignore(again.unionByName(again), path)
+    return store.read(spark, path)
+
+
+@query
+def bar_gaps(spark, sf):
+    return trailing.bar_gaps(fx.series(spark, sf), 3_600_000)
+
+
+@query
+def incremental_new_rows(spark, sf):
+    bars = fx.bars(spark, sf)
+    until = F.when(F.col("symbol") == "view", "2024-01-10").when(F.col("symbol") != "click", "2024-01-20")
+    return store.new_rows(bars, bars.filter(F.col("ts") < until.cast("timestamp")))
+
+
+@query
+def features_build(spark, sf):
+    bars, path = fx.bars(spark, sf), staging.new_path(spark, "features")
+    aligned = external.align(_tick_observations(spark, sf), "4h", "ffill")
+    features.build_features(bars.filter(F.col("ts") < "2024-01-20"), path, aligned, SYMBOLS)
+    features.build_features(bars, path, aligned, SYMBOLS)
+    return features.load(spark, path, bars)
+
+
+def _feature_rows(spark, sf):
+    rows = ind.add_indicators(fx.series(spark, sf), [Request("sma_5", "sma", {"period": 5})])
+    return rows.withColumns({"up": F.col("close") > F.col("open"), "count": F.col("volume").cast("int")}).drop("rn", "n")
+
+
+@query
+def features_upsert(spark, sf):
+    rows, path = _feature_rows(spark, sf), staging.new_path(spark, "features")
+    features.write_features(rows.drop("up"), path)
+    features.write_features(rows.filter("hour(ts) % 2 = 0").withColumn("sma_5", F.col("sma_5") + 1), path)
+    return store.read(spark, path)
+
+
+@query
+def features_range_scan(spark, sf):
+    rows, path = _feature_rows(spark, sf), staging.new_path(spark, "features")
+    features.write_features(rows, path)
+    found = store.scan(store.read(spark, path), "2024-01-05", "2024-01-25 06:00:00")
+    return found.join(store.coverage(found, ["symbol"]), "symbol").drop("month")
+
+
+HOUR_MS = 3_600_000
+
+
+@query
+def trailing_return_30s(spark, sf):
+    return trailing.trailing_return(fx.ticks(spark, sf), 6 * HOUR_MS)
+
+
+@query
+def trailing_trade_flow(spark, sf):
+    return trailing.trailing_flow(fx.ticks(spark, sf), 6 * HOUR_MS, 12 * HOUR_MS)
+
+
+@query
+def feed_staleness(spark, sf):
+    return trailing.staleness(fx.ticks(spark, sf), "2024-01-30 23:58:00", 1200)

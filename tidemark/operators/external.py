@@ -13,18 +13,22 @@ from tidemark.plans.series import Run, chunked, index_rows
 TRIM_BYTES = 1_000_000
 TRIM_DAYS = 365
 DAY = 86_400_000_000
+MAX_MICROS = 9_223_372_036_854_775
 
 
 # parsing ---------------------------------------------------------------------------------
 
 
 def coerce_ts(text: Column) -> Column:
-    """Numbers as milliseconds, seconds or nanoseconds by magnitude; other text as ISO; NULL if neither."""
+    """Numbers as milliseconds, seconds or nanoseconds by magnitude; other text as ISO.
+
+    NULL if neither, or past what 64-bit nanoseconds can hold.
+    """
     number = text.try_cast("double")
     micros = F.when(number > 1e12, number * 1e3).when(number > 1e8, number * 1e6).otherwise(number / 1e3)
-    return F.when(number.isNotNull(), F.timestamp_micros(F.round(micros).cast("long"))).otherwise(
-        text.try_cast("timestamp")
-    )
+    at = F.when(number.isNotNull(), F.timestamp_micros(F.round(micros).try_cast("long")))
+    at = at.otherwise(text.try_cast("timestamp"))
+    return F.when(F.abs(F.unix_micros(at)) < MAX_MICROS, at)
 
 
 def _transform(item: Column, field: str, kind: str) -> Column:
@@ -84,9 +88,9 @@ def parse_csv(
     )
 
 
-def retain(observations: DataFrame, payloads: DataFrame, as_of) -> DataFrame:
+def retain(observations: DataFrame, payloads: DataFrame, as_of, trim_bytes: int = TRIM_BYTES) -> DataFrame:
     """Keep one year of sources whose payloads reach a megabyte, everything of the others."""
-    sizes = payloads.groupBy("source").agg((F.sum(F.octet_length("payload")) >= TRIM_BYTES).alias("_big"))
+    sizes = payloads.groupBy("source").agg((F.sum(F.octet_length("payload")) >= trim_bytes).alias("_big"))
     kept = ~F.coalesce("_big", F.lit(False)) | since(F.col("ts"), as_of, TRIM_DAYS)
     return observations.join(sizes, "source", "left").filter(kept).drop("_big")
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark import staging
 from tidemark.functions.intervals import month_of
 
 BAR_SCHEMA = T.StructType(
@@ -43,15 +43,19 @@ def feature_types(rows: DataFrame) -> DataFrame:
     return rows.select(*(stored(f).alias(f.name) for f in rows.schema))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the table was written before."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(target) and len(files.listStatus(target)) > 0
+
+
 def read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
     """The table, or None if nothing was written yet."""
-    try:
-        reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
-        return reader.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    if not exists(spark, path):
+        return None
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
+    return reader.parquet(path)
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -64,27 +68,32 @@ def upsert(
     rows: DataFrame,
     path: str,
     keys: Sequence[str] = ("exchange", "symbol", "ts"),
-    partitions: Sequence[str] = ("exchange", "symbol"),
+    partitions: Sequence[str] = ("exchange",),
     order: Sequence[str] = (),
 ) -> int:
     """Merge ``rows`` into the table by key, new rows winning; ``order`` ranks rows inside the batch.
 
     Only the months the batch touches are read and rewritten.  Returns the rows now in them.
+    Symbols are a sort order inside a month rather than folders: files stay large with many
+    symbols, an even share of rows each, and their statistics still prune a single symbol.
     """
     spark = rows.sparkSession
     parts = [*partitions, "month"]
-    batch = rows.withColumn("month", month_of(F.col("ts"))).withColumn("_batch", F.lit(1))
+    # The batch is read several times; staged, its plan runs once.
+    batch = staging.save(rows.withColumn("month", month_of(F.col("ts"))), "batch").withColumn("_batch", F.lit(1))
     ranked = latest(batch, keys, order).drop(*order) if order else latest(batch, keys, ["_batch"])
     old = read(spark, path)
     if old is not None:
         touched = batch.select(*parts).distinct()
         stored = old.join(touched, parts, "left_semi").withColumn("_batch", F.lit(0))
         ranked = latest(stored.unionByName(ranked, allowMissingColumns=True), keys, ["_batch"])
-    merged = ranked.drop("_batch")
-    merged.repartition(*parts).sortWithinPartitions(*parts, "ts").write.mode("overwrite").partitionBy(*parts).option(
+    seen = Observation()
+    merged = ranked.drop("_batch").observe(seen, F.count(F.lit(1)).alias("rows"))
+    layout = [*parts, *(k for k in keys if k not in parts)]
+    merged.repartitionByRange(*layout).sortWithinPartitions(*layout).write.mode("overwrite").partitionBy(*parts).option(
         "partitionOverwriteMode", "dynamic"
     ).parquet(path)
-    return read(spark, path).join(batch.select(*parts).distinct(), parts, "left_semi").count()
+    return int(seen.get["rows"])
 
 
 def insert_ignore(
