@@ -312,6 +312,7 @@ def build() -> dict[str, str]:
     o.update(ranking_oracles())
     o.update(external_oracles())
     o.update(table_oracles())
+    stream_oracles(o)
     return o
 
 
@@ -657,3 +658,59 @@ def table_oracles():
         round((epoch_us(TIMESTAMP '2024-01-30 23:58:00') - epoch_us(max(ts))) / 1e6, 6) AS age_s,
         (epoch_us(TIMESTAMP '2024-01-30 23:58:00') - epoch_us(max(ts))) / 1e6 < 1200 AS alive FROM ticks GROUP BY symbol"""
     return o
+
+
+# streaming -------------------------------------------------------------------------------
+
+
+def stream_oracles(o):
+    for name, source in {"stream_trailing_return": "trailing_return_30s", "stream_trade_flow": "trailing_trade_flow"}.items():
+        o[name] = o[source]
+    o["stream_features"] = with_(*FULL) + o["indicators_all"].rsplit("\n", 1)[-1].replace("FROM ind", "FROM ind WHERE rn >= 14")
+    o["stream_rollup"] = with_(TICKS, bars()) + f"SELECT symbol, ts, {BAR_OUT} FROM bars"
+    o["stream_bar_sink"] = with_(TICKS, bars()) + "SELECT 'bars' AS sink, * FROM bars UNION ALL SELECT 'copy', * FROM bars"
+    o["stream_closed_bars"] = """SELECT symbol, open_time_ms, min(seq) AS seq, arg_min(close, seq) AS close, true AS is_closed FROM (
+        SELECT event_type AS symbol, epoch_us(date_trunc('hour', ts)) // 1000 AS open_time_ms, event_id AS seq, value AS close FROM events
+        WHERE event_id % 3 = 0) GROUP BY symbol, open_time_ms"""
+    o["stream_bar_gaps"] = o["bar_gaps"]
+    o["stream_parse_events"] = """WITH e AS (SELECT event_id AS seq, event_id % 4 AS kind, upper(event_type) || 'USDT' AS symbol, event_type AS asset,
+          epoch_us(ts) // 1000 AS ms, value, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS k FROM events WHERE event_id % 37 <> 0)
+        SELECT seq, CASE WHEN kind < 2 THEN 'trade' WHEN kind = 2 THEN 'ticker' ELSE 'candle' END AS kind, symbol, asset,
+          CASE WHEN kind = 2 AND seq % 3 <> 0 THEN ms + 5 ELSE ms END AS ts_ms, CASE WHEN kind < 3 THEN value END AS price,
+          CASE WHEN kind < 2 THEN k END AS qty, CASE WHEN kind < 2 THEN CAST(seq % 8 < 4 AS INT) END AS is_buyer_maker,
+          CASE WHEN kind = 3 THEN value END AS open, CASE WHEN kind = 3 THEN value END AS high, CASE WHEN kind = 3 THEN value END AS low,
+          CASE WHEN kind = 3 THEN value END AS close, CASE WHEN kind = 3 THEN k END AS volume, CASE WHEN kind = 3 THEN CAST(seq % 3 = 0 AS INT) END AS is_closed
+        FROM e"""
+    exit_side = """CASE WHEN s.side = 0 THEN NULL
+        WHEN (s.side = 1 AND b.high >= s.e * 1.5) OR (s.side = -1 AND b.low <= s.e * 0.5) THEN 'tp'
+        WHEN (s.side = 1 AND b.low <= s.e * 0.6) OR (s.side = -1 AND b.high >= s.e * 1.4) THEN 'sl'
+        WHEN b.rn - s.since >= 12 THEN 'horizon' END"""
+    o["stream_episodes"] = recursive(
+        *VWAP_SIG, "b AS (SELECT x.*, signal FROM x JOIN sig USING (symbol, rn))",
+        f"""s AS (SELECT symbol, CAST(49 AS BIGINT) AS rn, 0 AS side, CAST(NULL AS DOUBLE) AS e, CAST(NULL AS TIMESTAMP) AS ets, CAST(0 AS BIGINT) AS since,
+               CAST(NULL AS VARCHAR) AS why, 0 AS cside, CAST(NULL AS DOUBLE) AS ce, CAST(NULL AS DOUBLE) AS cx, CAST(NULL AS TIMESTAMP) AS cts,
+               CAST(NULL AS TIMESTAMP) AS xts, CAST(0 AS BIGINT) AS held
+             FROM (SELECT DISTINCT symbol FROM b)
+             UNION ALL
+             SELECT symbol, rn, CASE WHEN side <> 0 AND w IS NULL THEN side ELSE signal END,
+               CASE WHEN side <> 0 AND w IS NULL THEN e WHEN signal <> 0 THEN close END,
+               CASE WHEN side <> 0 AND w IS NULL THEN ets WHEN signal <> 0 THEN ts END,
+               CASE WHEN side <> 0 AND w IS NULL THEN since ELSE rn END, w, side, e,
+               CASE w WHEN 'tp' THEN e * (1 + side * 0.5) WHEN 'sl' THEN e * (1 - side * 0.4) ELSE close END, ets, ts, rn - since
+             FROM (SELECT b.symbol, b.rn, b.close, b.ts, b.signal, s.side, s.e, s.ets, s.since, {exit_side} AS w
+                   FROM s JOIN b ON s.symbol = b.symbol AND b.rn = s.rn + 1))""",
+    ) + f"""SELECT symbol, CASE WHEN cside = 1 THEN 'LONG' ELSE 'SHORT' END AS side, cts AS entry_ts, xts AS exit_ts, {money('ce', 2)} AS entry_price,
+        {money('cx', 2)} AS exit_price, why AS exit_reason, held AS bars_held, {money('cside * (cx - ce) / ce * 50', 2)} AS gross_pnl, 0.1 AS fees,
+        {money('cside * (cx - ce) / ce * 50 - 0.1', 2)} AS net_pnl FROM s WHERE why IS NOT NULL"""
+    win = "(PARTITION BY symbol ORDER BY ts_ms RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"
+    o["stream_snapshot"] = with_(*BASE, "t AS (SELECT *, price * qty AS pq, CASE WHEN is_buyer_maker THEN -price * qty ELSE price * qty END AS s FROM ticks)",
+        "last AS (SELECT symbol, arg_max(volume, rn) AS volume, least(count(*), 100) AS candles_ready FROM x GROUP BY symbol)",
+        """g AS (SELECT symbol, count(*) AS gaps FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM x)
+             WHERE ts > p + INTERVAL 1 HOUR GROUP BY symbol)""") + f"""
+        SELECT symbol, ts_ms, seq, price, return_pct, cvd_short, cvd_long, vwap, trade_count, volume, candles_ready, coalesce(gaps, 0) AS gaps
+        FROM (SELECT symbol, ts_ms, seq, price, {money('CASE WHEN count(*) OVER a >= 2 THEN (price - first_value(price) OVER a) / first_value(price) OVER a * 100 END', 6)} AS return_pct,
+          {money('sum(s) OVER a', 6)} AS cvd_short, {money('sum(s) OVER b', 6)} AS cvd_long,
+          {money('sum(pq) OVER b / nullif(sum(qty) OVER b, 0)', 6)} AS vwap, count(*) OVER b AS trade_count,
+          row_number() OVER (PARTITION BY symbol ORDER BY ts_ms DESC, seq DESC) AS k
+          FROM t WINDOW a AS {win.format(21600000)}, b AS {win.format(43200000)}) JOIN last USING (symbol) LEFT JOIN g USING (symbol) WHERE k = 1"""
+    return o

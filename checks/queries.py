@@ -25,6 +25,7 @@ from tidemark.plans import barriers, features, research, slices
 from tidemark.plans.cooldown import thin
 from tidemark.plans.series import index_rows
 from tidemark.sources import payloads, store
+from tidemark.streaming import sinks, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -588,3 +589,132 @@ def trailing_trade_flow(spark, sf):
 @query
 def feed_staleness(spark, sf):
     return trailing.staleness(fx.ticks(spark, sf), "2024-01-30 23:58:00", 1200)
+
+
+# streaming ---------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf):
+    """The events table as a stream."""
+    schema = fx.configure(spark).read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _landed_stream(rows: DataFrame, label: str):
+    """A derived table landed as files and read back as a stream."""
+    spark, path = rows.sparkSession, staging.new_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _fresh(spark, *labels):
+    return [staging.new_path(spark, label) for label in labels]
+
+
+def _envelopes(events):
+    k, kind = F.col("event_id"), F.col("event_id") % 4
+    symbol = F.concat(F.upper("event_type"), F.lit("USDT"))
+    ms, text = F.unix_millis("ts"), F.col("value").cast("string")
+    qty = F.get_json_object("props", "$.k")
+    trade = F.to_json(F.struct(F.struct(
+        F.lit("aggTrade").alias("e"), symbol.alias("s"), ms.alias("T"), text.alias("p"), qty.alias("q"), (k % 8 < 4).alias("m")).alias("data")))
+    candle = F.to_json(F.struct(F.struct(F.lit("kline").alias("e"), symbol.alias("s"), F.struct(
+        ms.alias("t"), text.alias("o"), text.alias("h"), text.alias("l"), text.alias("c"), qty.alias("v"), (k % 3 == 0).alias("x")).alias("k")).alias("data")))
+    ticker = F.struct(symbol.alias("s"), text.alias("c"), F.when(k % 3 == 0, ms).alias("T"), (ms + 5).alias("E"))
+    ticker = F.when(k % 8 < 4, F.to_json(F.struct(ticker.alias("data")))).otherwise(F.to_json(ticker))
+    line = F.when(kind < 2, trade).when(kind == 2, ticker).otherwise(candle)
+    return events.select(k.alias("seq"), F.when(k % 37 == 0, F.substring(line, 1, 30)).otherwise(line).alias("value"))
+
+
+@query
+def stream_parse_events(spark, sf):
+    out, checkpoint = _fresh(spark, "events", "cp")
+    sinks.drain_to_table(payloads.parse_envelopes(_envelopes(_event_stream(spark, sf))), out, checkpoint)
+    flags = {c: F.col(c).cast("int") for c in ("is_buyer_maker", "is_closed")}
+    return spark.read.parquet(out).withColumns(flags)
+
+
+def _candles(events):
+    start = F.date_trunc("hour", "ts")
+    return events.select(
+        F.col("event_type").alias("symbol"), F.unix_millis(start).alias("open_time_ms"), F.col("event_id").alias("seq"),
+        F.col("value").alias("close"), (F.col("event_id") % 3 == 0).alias("is_closed"),
+    )
+
+
+@query
+def stream_closed_bars(spark, sf):
+    out, checkpoint = _fresh(spark, "closed", "cp")
+    sinks.drain(_candles(_event_stream(spark, sf)), sinks.closed_bar_sink(out), checkpoint)
+    return spark.read.parquet(out)
+
+
+@query
+def stream_bar_gaps(spark, sf):
+    out, checkpoint = _fresh(spark, "gaps", "cp")
+    sinks.drain_to_table(state.bar_gaps(_candles(_event_stream(spark, sf)), HOUR_MS), out, checkpoint)
+    return spark.read.parquet(out)
+
+
+@query
+def stream_rollup(spark, sf):
+    out, checkpoint = _fresh(spark, "rollup", "cp")
+    rolled = state.rollup(fx.shape_ticks(_event_stream(spark, sf)), "1h")
+    query = rolled.writeStream.outputMode("update").foreachBatch(sinks.rollup_sink(out))
+    sinks._finish(query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), 600)
+    return spark.read.parquet(out).drop("month")
+
+
+@query
+def stream_trailing_return(spark, sf):
+    out, tail, checkpoint = _fresh(spark, "returns", "tail", "cp")
+    sink = sinks.trailing_sink(trailing.trailing_return, out, tail, 6 * HOUR_MS, window_ms=6 * HOUR_MS)
+    sinks.drain(fx.shape_ticks(_event_stream(spark, sf)), sink, checkpoint)
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@query
+def stream_trade_flow(spark, sf):
+    out, tail, checkpoint = _fresh(spark, "flow", "tail", "cp")
+    windows = {"short_ms": 6 * HOUR_MS, "long_ms": 12 * HOUR_MS}
+    sink = sinks.trailing_sink(trailing.trailing_flow, out, tail, 12 * HOUR_MS, **windows)
+    sinks.drain(fx.shape_ticks(_event_stream(spark, sf)), sink, checkpoint)
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@query
+def stream_bar_sink(spark, sf):
+    bars_path, copy_path, checkpoint = _fresh(spark, "bars", "copy", "cp")
+
+    def broken(batch, batch_id):
+        raise ValueError("this sink always fails")
+
+    fan = sinks.bar_sinks({"broken": broken, "bars": sinks.upsert_sink(bars_path), "copy": sinks.copy_sink(copy_path)})
+    sinks.drain(_landed_stream(fx.bars(spark, sf).withColumn("exchange", F.lit("test")), "landed"), fan, checkpoint)
+    columns = ["symbol", "ts", *BAR]
+    bars = spark.read.parquet(bars_path).select(F.lit("bars").alias("sink"), *columns)
+    return bars.unionByName(spark.read.parquet(copy_path).select(F.lit("copy").alias("sink"), *columns))
+
+
+@query
+def stream_features(spark, sf):
+    bars_path, out, checkpoint = _fresh(spark, "bars", "features", "cp")
+    sinks.drain(_landed_stream(fx.bars(spark, sf), "landed"), sinks.feature_sink(bars_path, out), checkpoint)
+    return spark.read.parquet(out).drop("month")
+
+
+@query
+def stream_episodes(spark, sf):
+    out, checkpoint = _fresh(spark, "episodes", "cp")
+    signals = add_signal(fx.series(spark, sf), "vwap_bounce").drop("rn", "n")
+    sinks.drain_to_table(state.episodes(_landed_stream(signals, "signals"), tp=0.5, sl=0.4), out, checkpoint)
+    return state.priced(spark.read.parquet(out))
+
+
+@query
+def stream_snapshot(spark, sf):
+    out, tail, checkpoint = _fresh(spark, "snapshot", "tail", "cp")
+    sink = sinks.snapshot_sink(out, tail, fx.bars(spark, sf), 6 * HOUR_MS, 6 * HOUR_MS, 12 * HOUR_MS, HOUR_MS)
+    sinks.drain(fx.shape_ticks(_event_stream(spark, sf)), sink, checkpoint)
+    return sinks.latest_snapshot(spark, out, 0)

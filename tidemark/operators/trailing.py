@@ -41,12 +41,18 @@ def _inside(value: Column, window: int) -> Column:
     return F.when(kind == ENTER, value).when(kind == window + 1, -value).otherwise(F.lit(0).cast("double"))
 
 
-def trailing_return(ticks: DataFrame, window_ms: int = 30_000, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Per tick: price, and percent change from the oldest tick inside the window (NULL for a lone tick)."""
-    indexed = chunked(index_rows(ticks.select(*keys, "ts_ms", "seq", "price"), keys, ["ts_ms", "seq"], "ticks"), keys, after=1)
+def trailing_return(
+    ticks: DataFrame, window_ms: int = 30_000, keys: Sequence[str] = ("symbol",), keep: Sequence[str] = ()
+) -> DataFrame:
+    """Per tick: price, and percent change from the oldest tick inside the window (NULL for a lone tick).
+
+    ``keep`` names further columns to pass through.
+    """
+    rows = ticks.select(*keys, "ts_ms", "seq", "price", *keep)
+    indexed = chunked(index_rows(rows, keys, ["ts_ms", "seq"], "ticks"), keys, after=1)
     # Once a tick has left, its successor is the oldest one inside.
     linked = indexed.add(_next=F.lead("price").over(indexed.window)).own()
-    events = _events(linked, keys, [window_ms], {"price": F.col("price"), "_next": F.col("_next")})
+    events = _events(linked, keys, [window_ms], {c: F.col(c) for c in ("price", "_next", *keep)})
     ch = chunked(index_rows(events, keys, ["_at", "_kind", "seq"], "tick-events"), keys)
     left = F.col("_kind") != ENTER
     ch = ch.add(
@@ -65,12 +71,17 @@ def trailing_return(ticks: DataFrame, window_ms: int = 30_000, keys: Sequence[st
             "price",
             F.col("ticks").cast("long").alias("ticks"),
             F.when(F.col("ticks") >= 2, change).alias("return_pct"),
+            *keep,
         )
     )
 
 
 def trailing_flow(
-    trades: DataFrame, short_ms: int = 60_000, long_ms: int = 300_000, keys: Sequence[str] = ("symbol",)
+    trades: DataFrame,
+    short_ms: int = 60_000,
+    long_ms: int = 300_000,
+    keys: Sequence[str] = ("symbol",),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Per trade: signed volume over both windows, and mean price and count over the long one.
 
@@ -78,9 +89,8 @@ def trailing_flow(
     """
     notional = F.col("price") * F.col("qty")
     signed = F.when(F.col("is_buyer_maker"), -notional).otherwise(notional)
-    events = _events(
-        trades, keys, [short_ms, long_ms], {"_signed": signed, "_notional": notional, "_qty": F.col("qty")}
-    )
+    columns = {"_signed": signed, "_notional": notional, "_qty": F.col("qty"), **{c: F.col(c) for c in keep}}
+    events = _events(trades, keys, [short_ms, long_ms], columns)
     ch = chunked(index_rows(events, keys, ["_at", "_kind", "seq"], "trade-events"), keys)
     ch = ch.add(
         _s=_inside(F.col("_signed"), 0),
@@ -102,6 +112,7 @@ def trailing_flow(
             "cvd_long",
             F.when(half_up(volume, 9) != 0, F.col("_pv") / volume).alias("vwap"),
             F.col("_n").cast("long").alias("trade_count"),
+            *keep,
         )
     )
 
