@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import nonzero
+
 
 def trade_costs(
     size: Column,
@@ -31,5 +33,5 @@ def trade_costs(
 
 def spot_pnl(direction: Column, entry: Column, exit_: Column, size: Column) -> Column:
     """Gross profit of a BUY or SELL position before costs."""
-    change = (exit_ - entry) / entry
+    change = (exit_ - entry) / nonzero(entry)
     return F.when(direction == "SELL", -change).otherwise(change) * size

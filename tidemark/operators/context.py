@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import half_up
+from tidemark.functions.numbers import half_up, nonzero
 from tidemark.plans.series import Run, chunked, index_rows
 
 REGIMES = (0, 1, 2, 3)
@@ -23,7 +23,7 @@ def market_context(features: DataFrame, keys: Sequence[str] = ("symbol",), back:
     return features.groupBy(*keys).agg(
         *shares,
         last.alias("last_price"),
-        ((last - then) / then * 100).alias("return_pct"),
+        ((last - then) / nonzero(then) * 100).alias("return_pct"),
         F.avg("volume").alias("avg_volume"),
         F.max_by("adx_14", "rn").alias("latest_adx"),
     )

@@ -40,7 +40,7 @@ def _transform(item: Column, field: str, kind: str) -> Column:
         return number
     if kind == "int":
         whole = F.when(shape == "STRING", F.trim(text).try_cast("long"))
-        return F.coalesce(whole, F.when(shape != "STRING", number.cast("long")))
+        return F.coalesce(whole, F.when(shape != "STRING", number.try_cast("long")))
     return F.coalesce(text, F.lit("None"))
 
 
@@ -111,6 +111,9 @@ def grid(observations: DataFrame, interval: str, keys: Sequence[str] = ("source"
     # Blocks of a day's steps first, so that no row holds a long array.
     block = max(step, DAY)
     starts = span.withColumn("_block", F.explode(F.expr(f"sequence(_from, _to, {block}L)")))
+    # Few sources make many grid rows: spread the blocks before they grow.
+    spread = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = starts.repartition(spread, *keys, "_block")
     at = F.explode(F.expr(f"sequence(_block, least(_block + {block - step}L, _to), {step}L)"))
     return starts.withColumn("_at", at).select(
         *keys,

@@ -32,15 +32,21 @@ class _Pass:
     """What one chunked pass must compute; equal helper columns are shared by name."""
 
     def __init__(self):
-        self.before = 0
+        self.lookback = self.halo = 0
         self.levels: list[dict[str, Builder]] = [{} for _ in range(5)]
         self.scans: dict[str, Run | Ewm] = {}
         self.steps: dict[str, Callable[[pd.DataFrame], pd.Series]] = {}
+        self.step_reads: set[str] = set()
         self.bound: dict[str, Column] = {}
         self.outputs: dict[str, Column] = {}
 
     def rows(self, count: int) -> None:
-        self.before = max(self.before, count)
+        """Look-back of window columns."""
+        self.lookback = max(self.lookback, count)
+
+    def rows_after(self, count: int) -> None:
+        """Look-back of what is computed from finished window and scan columns."""
+        self.halo = max(self.halo, count)
 
     def at(self, level: int, name: str, build: Builder) -> str:
         self.levels[level].setdefault(name, build)
@@ -50,8 +56,9 @@ class _Pass:
         self.scans.setdefault(spec.out, spec)
         return spec.out
 
-    def step(self, name: str, fn: Callable[[pd.DataFrame], pd.Series]) -> str:
+    def step(self, name: str, fn: Callable[[pd.DataFrame], pd.Series], *reads: str) -> str:
         self.steps.setdefault(name, fn)
+        self.step_reads.update(reads)
         return name
 
     def bind(self, column: Column) -> str:
@@ -103,7 +110,7 @@ class _Pass:
         a, b = self.ema("close", fast), self.ema("close", slow)
         alpha = 2.0 / (signal + 1)
         # The halo is long enough for older terms of the second smoothing to vanish.
-        self.rows(underflow_rows(alpha) + slow)
+        self.rows_after(underflow_rows(alpha) + slow)
         line = F.col(a) - F.col(b)
         smooth = self.step(
             f"_signal_{fast}_{slow}_{signal}",
@@ -111,11 +118,18 @@ class _Pass:
         )
         return line, F.col(smooth)
 
+    def _spent(self) -> list[str]:
+        """Helper columns nothing reads after the window levels; they need not reach the Python workers."""
+        later = " ".join(str(c) for c in (*self.outputs.values(), *self.bound.values()))
+        read = {s.value for s in self.scans.values()} | self.step_reads
+        return [name for level in self.levels for name in level if name not in read and name not in later]
+
     def run(self, series: DataFrame, keys: Sequence[str], before: int, after: int) -> Chunks:
-        ch = chunked(series, keys, max(self.before, before), after)
+        ch = chunked(series, keys, self.lookback + self.halo + before, after)
         for level in self.levels:
             if level:
                 ch = ch.add(**{name: build(ch.window) for name, build in level.items()})
+        ch = ch.drop(*self._spent()).trim(self.lookback)
         steps = self.steps
         then = None
         if steps:
@@ -165,10 +179,12 @@ def _obi(p: _Pass) -> Column:
 def _regime(p: _Pass) -> Column:
     """0 ranging, 1 trending up, 2 trending down, 3 volatile."""
     atr = p.atr(14)
-    p.rows(14 + 100)
-    spike = F.col(atr) > F.col(p.mean(3, atr, 100)) * 1.5
+    p.rows_after(100)
     ema = p.ema("close", 50)
+    # Wide windows slide in linear time next to the average they need.
+    usual = p.step("_usual_atr", lambda pdf: pdf[atr].rolling(100).mean(), atr)
     share = F.col(p.step("_above_50", lambda pdf: (pdf["close"] > pdf[ema]).astype(float).rolling(50).mean()))
+    spike = F.col(atr) > F.col(usual) * 1.5
     trending = F.col(p.adx(14)) >= 20
     return F.when(trending & (share < 0.4), 2).when(trending & (share > 0.6), 1).when(spike, 3).otherwise(0)
 
@@ -223,6 +239,7 @@ REGISTRY: dict[str, tuple[dict, Callable]] = {
     "macd_signal": ({"fast": 12, "slow": 26, "signal": 9}, lambda p, **k: p.macd(**k)[1]),
     "macd_hist": ({"fast": 12, "slow": 26, "signal": 9}, lambda p, **k: (lambda m: m[0] - m[1])(p.macd(**k))),
     "vwap": ({}, _vwap),
+    "cum_volume": ({}, lambda p: F.col(p.scan(Run("_sum_volume", "volume")))),
     "obi": ({}, _obi),
     "atr": ({"period": 14}, lambda p, period: F.col(p.atr(period))),
     "adx": ({"period": 14}, lambda p, period: F.col(p.adx(period))),
@@ -300,7 +317,7 @@ def indicator_chunks(
     p = _Pass()
     for r in requests:
         p.outputs[r.out] = _build(p, r.name, r.params)
-    return p.run(series, keys, p.before + before, after)
+    return p.run(series, keys, before, after)
 
 
 def add_indicators(series: DataFrame, requests: Sequence[Request], keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark import staging
 from tidemark.functions.numbers import half_up
 from tidemark.plans.series import chunk_rows
 
@@ -97,7 +98,8 @@ def bootstrap_pvalue(
     holds more than one chunk.  Fewer than five values give 1.
     """
     keys = list(keys)
-    size = chunk_rows(rows.sparkSession)
+    # Every task draws a thousand times its rows: smaller chunks spread that work.
+    size = max(1, chunk_rows(rows.sparkSession) // 8)
     table = rows.select(*keys, value, F.floor(F.col(position) / F.lit(size)).alias("_chunk"))
     sizes = table.groupBy(*keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum")
@@ -112,24 +114,30 @@ def bootstrap_pvalue(
         [*key_fields, T.StructField("_draw", T.LongType()), T.StructField("_part", T.DoubleType())]
     )
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf[value].to_numpy() - float(pdf["_mean"].iloc[0])
-        chunks = [int(s["_chunk"]) for s in pdf["_sizes"].iloc[0]]
-        share = np.array([s["_rows"] for s in pdf["_sizes"].iloc[0]], dtype=float)
+    def draw(pdf: pd.DataFrame, run: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or run.empty:
+            return pd.DataFrame(columns=schema.names)
+        values = pdf[value].to_numpy() - float(run["_mean"].iloc[0])
+        chunks = [int(s["_chunk"]) for s in run["_sizes"].iloc[0]]
+        share = np.array([s["_rows"] for s in run["_sizes"].iloc[0]], dtype=float)
         total, mine = int(share.sum()), chunks.index(int(pdf["_chunk"].iloc[0]))
         shared = np.random.default_rng([seed, total])
         own = np.random.default_rng([seed, total, mine])
         parts = []
         for _ in range(resamples):
             count = total if len(chunks) == 1 else int(shared.multinomial(total, share / total)[mine])
-            parts.append(values[own.integers(0, len(values), count)].sum())
+            parts.append(values.take(own.integers(0, len(values), count, dtype=np.uint32)).sum())
         first = {k: [pdf[k].iloc[0]] * resamples for k in keys}
         return pd.DataFrame({**first, "_draw": np.arange(resamples), "_part": parts})
 
+    chunk_of_run = sizes.select(*keys, F.col("_chunk").alias("_part_of")).join(runs.filter("_n >= 5"), keys)
+    chunk_of_run = chunk_of_run.select(*(F.col(k).alias(f"_{k}") for k in keys), "_part_of", "_mean", "_sizes")
     draws = (
-        table.join(runs.filter("_n >= 5"), keys).groupBy(*keys, "_chunk").applyInPandas(draw, schema)
-        .groupBy(*keys, "_draw").agg(F.sum("_part").alias("_sum"))
-    )
+        table.groupBy(*keys, "_chunk")
+        .cogroup(chunk_of_run.groupBy(*(f"_{k}" for k in keys), "_part_of"))
+        .applyInPandas(draw, schema)
+    )
+    draws = draws.groupBy(*keys, "_draw").agg(F.sum("_part").alias("_sum"))
     judged = (
         draws.join(runs.select(*keys, "_n", "_mean"), keys)
         .groupBy(*keys)
@@ -158,6 +166,8 @@ def summarise(
     Runs listed in ``runs`` that made no trade appear with zeros and p-value 1.
     """
     keys = list(keys)
+    # Trades are few next to bars but costly to label; every part below reads them again.
+    trades = staging.save(trades, "trades")
     out = trade_metrics(trades, keys).join(
         max_drawdown(trades, keys).withColumn("max_dd", half_up(F.col("max_dd"), 2)), keys
     )

@@ -8,8 +8,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import nonzero
 from tidemark.operators.indicators import Request, indicator_chunks
-from tidemark.plans.series import Chunks, Run, chunked
+from tidemark.plans.series import Chunks, chunked
 
 
 def _named(name: str, *params) -> str:
@@ -49,7 +50,7 @@ def _ema(ch: Chunks, fast, medium, slow) -> tuple[Chunks, Column]:
 
 def _vwap(ch: Chunks, deviation_pct) -> tuple[Chunks, Column]:
     vwap = F.col(_named("vwap"))
-    gap = (F.col("close") - vwap) / vwap
+    gap = (F.col("close") - vwap) / nonzero(vwap)
     return ch, _signed(gap < -deviation_pct, gap > deviation_pct)
 
 
@@ -64,14 +65,16 @@ def _ha(ch: Chunks, min_streak, strict=False) -> tuple[Chunks, Column]:
         ch = _once(ch, **{reds: F.sum(1 - F.col("_green")).over(frame)})
         return ch, _signed(F.col(greens) == min_streak, F.col(reds) == min_streak)
     # The literal red count restarts only where a candle repeats its colour, so it counts
-    # the reds of an alternating run: reds so far less the reds before that run's first row.
-    if "_run_reds" not in ch.df.columns:
-        repeats = F.coalesce(F.col("_green") == F.lag("_green").over(ch.window), F.lit(False))
-        ch = ch.add(_red=1 - F.col("_green"), _repeats=repeats).scan(Run("_reds", "_red"))
-        ch = ch.add(_mark=F.when(F.col("_repeats"), F.col("_reds") - F.col("_red")))
-        ch = ch.scan(Run("_reds_before", "_mark", "last"))
-        ch = ch.add(_run_reds=F.col("_reds") - F.coalesce("_reds_before", F.lit(0)))
-    return ch, _signed(F.col(greens) == min_streak, F.col("_run_reds") >= min_streak)
+    # the reds of an alternating run.  Colours alternate inside it: its length and the last
+    # colour give the count, and 2 * min_streak + 1 rows always hold enough reds.
+    reach, start = 2 * min_streak + 1, _named("run_start", min_streak)
+    repeats = F.coalesce(F.col("_green") == F.lag("_green").over(ch.window), F.lit(False))
+    ch = _once(ch, _repeats=repeats)
+    frame = ch.window.rowsBetween(-(reach - 1), 0)
+    ch = _once(ch, **{start: F.max(F.when(F.col("_repeats"), F.col("rn"))).over(frame)})
+    length = F.coalesce(F.col("rn") - F.col(start) + 1, F.least(F.col("rn") + 1, F.lit(reach)))
+    reds = F.floor((length + 1 - F.col("_green")) / 2)
+    return ch, _signed(F.col(greens) == min_streak, reds >= min_streak)
 
 
 @dataclass(frozen=True)
@@ -85,7 +88,7 @@ class Signal:
     space: Mapping[str, tuple[float, float]]
 
     def lookback(self) -> int:
-        return int(self.params.get("min_streak", 1)) + 1
+        return 2 * int(self.params.get("min_streak", 1)) + 2
 
     def with_params(self, **params) -> "Signal":
         return replace(self, params={**self.params, **params})

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import half_up
+from tidemark.functions.numbers import half_up, nonzero
 from tidemark.plans.series import Run, chunked, index_rows
 
 ENTER = 0
@@ -60,7 +60,7 @@ def trailing_return(
         _count=_inside(F.lit(1.0), 0),
     )
     ch = ch.scan(Run("first_price", "_oldest", "last"), Run("ticks", "_count"))
-    change = (F.col("price") - F.col("first_price")) / F.col("first_price") * 100
+    change = (F.col("price") - F.col("first_price")) / nonzero(F.col("first_price")) * 100
     return (
         ch.own()
         .filter(~left)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.intervals import month_of
 from tidemark.functions.numbers import nonzero
 from tidemark.operators.external import join_external
-from tidemark.operators.indicators import add_all
-from tidemark.plans.series import Run, chunked, index_rows, underflow_rows
+from tidemark.operators.indicators import ALL, Request, add_all, add_indicators
+from tidemark.plans.series import index_rows, underflow_rows
 from tidemark.sources import store
 
 # Past rows after which no decayed aggregate of the feature set changes in a double.
@@ -50,7 +50,8 @@ def increment(bars: DataFrame, stored: DataFrame, context_rows: int = CONTEXT_RO
     starts = _context_start(bars, behind.filter(F.col("_mark").isNotNull()), context_rows)
     bounded = live.join(starts, "symbol", "left")
     inside = F.col("_from").isNull() | (F.col("ts") >= F.col("_from"))
-    features = add_all(index_rows(bounded.filter(inside).select(*bars.columns, "_mark", "_from")))
+    context = index_rows(bounded.filter(inside).select(*bars.columns, "_mark", "_from"))
+    features = add_indicators(context, [*ALL, Request("_volume_run", "cum_volume")])
 
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     before = bounded.filter(~inside).groupBy("symbol").agg(
@@ -60,8 +61,7 @@ def increment(bars: DataFrame, stored: DataFrame, context_rows: int = CONTEXT_RO
         stored["symbol"], F.col("obi").alias("_obi0")
     )
     # Cumulative values inside the context continue from the totals before it.
-    out = chunked(features).scan(Run("_volume_run", "volume")).own()
-    out = out.join(before, "symbol", "left").join(flow, "symbol", "left")
+    out = features.join(before, "symbol", "left").join(flow, "symbol", "left")
     carried = F.coalesce("_v0", F.lit(0.0))
     vwap = (F.coalesce("_pv0", F.lit(0.0)) + F.coalesce(F.col("vwap") * F.col("_volume_run"), F.lit(0.0))) / nonzero(
         carried + F.col("_volume_run")

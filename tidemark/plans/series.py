@@ -119,6 +119,16 @@ class Chunks:
     def drop(self, *columns: str) -> "Chunks":
         return replace(self, df=self.df.drop(*columns))
 
+    def trim(self, rows: int) -> "Chunks":
+        """Drop the first ``rows`` halo rows, whose own look-backs were cut off.
+
+        Scans add up halo rows, so columns made by look-back windows must be whole there.
+        """
+        if rows == 0:
+            return self
+        start = F.col("_chunk") * self.size - (self.before - rows)
+        return replace(self, df=self.df.filter(F.col("rn") >= start), before=self.before - rows)
+
     def own(self) -> DataFrame:
         return self.df.filter("_own").drop("_own", "_chunk")
 
@@ -235,7 +245,9 @@ def _apply_ewms(df, keys, ewms, then, then_schema) -> DataFrame:
     names = schema.names
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn", ignore_index=True)
+        # Rows usually arrive in order, behind a window over the same chunks.
+        if not pdf["rn"].is_monotonic_increasing:
+            pdf = pdf.sort_values("rn", ignore_index=True)
         steps = np.arange(1, len(pdf) + 1)
         made = {}
         for i, s in enumerate(ewms):

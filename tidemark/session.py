@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from tidemark.plans.series import chunk_rows
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _shipped: set[str] = set()
 
@@ -19,6 +21,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # Windows run over chunks of bounded size, so a whole chunk may stay in memory.
+    spark.conf.set("spark.sql.windowExec.buffer.in.memory.threshold", str(2 * chunk_rows(spark)))
     _ship_package(spark)
     return spark
 

@@ -13,8 +13,8 @@ def klines_to_bars(payloads: DataFrame, keys: Sequence[str] = ("symbol",)) -> Da
     names = ("open", "high", "low", "close", "volume")
     return rows.select(
         *keys,
-        F.timestamp_millis(F.col("_k")[0].cast("long")).alias("ts"),
-        *(F.col("_k")[i + 1].try_cast("double").alias(name) for i, name in enumerate(names)),
+        F.timestamp_millis(F.get("_k", F.lit(0)).try_cast("long")).alias("ts"),
+        *(F.get("_k", F.lit(i + 1)).try_cast("double").alias(name) for i, name in enumerate(names)),
     ).dropna()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,19 +81,20 @@ def upsert(
     parts = [*partitions, "month"]
     # The batch is read several times; staged, its plan runs once.
     batch = staging.save(rows.withColumn("month", month_of(F.col("ts"))), "batch").withColumn("_batch", F.lit(1))
+    if batch.isEmpty():
+        return 0
     ranked = latest(batch, keys, order).drop(*order) if order else latest(batch, keys, ["_batch"])
     old = read(spark, path)
     if old is not None:
         touched = batch.select(*parts).distinct()
         stored = old.join(touched, parts, "left_semi").withColumn("_batch", F.lit(0))
         ranked = latest(stored.unionByName(ranked, allowMissingColumns=True), keys, ["_batch"])
-    seen = Observation()
-    merged = ranked.drop("_batch").observe(seen, F.count(F.lit(1)).alias("rows"))
+    merged = ranked.drop("_batch")
     layout = [*parts, *(k for k in keys if k not in parts)]
     merged.repartitionByRange(*layout).sortWithinPartitions(*layout).write.mode("overwrite").partitionBy(*parts).option(
         "partitionOverwriteMode", "dynamic"
     ).parquet(path)
-    return int(seen.get["rows"])
+    return read(spark, path).join(batch.select(*parts).distinct(), parts, "left_semi").count()
 
 
 def insert_ignore(

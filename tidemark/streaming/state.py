@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.intervals import INTERVALS
-from tidemark.functions.numbers import half_up
+from tidemark.functions.numbers import half_up, nonzero
 
 GAP_SCHEMA = "symbol string, from_ms long, to_ms long, missing long"
 EPISODE_SCHEMA = (
@@ -131,7 +131,7 @@ def episodes(
 
 def priced(closed: DataFrame, size: float = 50.0, fee: float = 0.001) -> DataFrame:
     """Profit columns of closed episodes: fees on both sides, nothing else."""
-    change = (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price")
+    change = (F.col("exit_price") - F.col("entry_price")) / nonzero(F.col("entry_price"))
     gross = F.when(F.col("side") == "SHORT", -change).otherwise(change) * size
     fees = F.lit(size * fee * 2)
     return closed.withColumns(
