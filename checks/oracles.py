@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tidemark import fixtures as fx
 
 TICKS = """ticks AS (
@@ -14,6 +16,10 @@ def money(x, digits):
     return f"CAST(round(CAST({x} AS DECIMAL(28, 10)), {digits}) AS DOUBLE)"
 
 
+# Plain columns rounded to six digits, to be rounded the way the queries are.
+_PLAIN_ROUND = re.compile(r"round\(([^(),]+), 6\)")
+
+
 def bars(name="bars", bucket="date_trunc('hour', ts)"):
     return f"""{name} AS (
   SELECT symbol, {bucket} AS ts, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,
@@ -301,8 +307,8 @@ def build() -> dict[str, str]:
         f"a10 AS (SELECT symbol, rn, {roll('avg', 'tr', 10)} AS a FROM tr0)",
     ) + "SELECT symbol, ts, round(rsi.v, 6) AS rsi, round(e20.v, 6) AS ema, round(a, 6) AS atr, close AS price FROM x JOIN rsi USING (symbol, rn) JOIN e20 USING (symbol, rn) JOIN a10 USING (symbol, rn)"
     o["indicator_derived"] = with_(*BASE, ewm("e20", "x", "close", 2 / 21, 20), ewm("v10", "x", "volume", 2 / 11, 10)) + f"""
-        SELECT symbol, ts, round((close - e20.v) / e20.v * 100, 6) AS ema_gap_pct, round(sqrt(abs(close - v10.v)), 6) AS volume_root,
-               round(close / max(close) OVER (PARTITION BY symbol), 6) AS share_of_top
+        SELECT symbol, ts, {money('(close - e20.v) / e20.v * 100', 6)} AS ema_gap_pct, {money('sqrt(abs(close - v10.v))', 6)} AS volume_root,
+               {money('close / max(close) OVER (PARTITION BY symbol)', 6)} AS share_of_top
         FROM x JOIN e20 USING (symbol, rn) JOIN v10 USING (symbol, rn)"""
     for name in ("rsi", "macd", "ema"):
         o[f"signal_{name}"] = with_(*FULL) + \
@@ -313,7 +319,7 @@ def build() -> dict[str, str]:
     o.update(external_oracles())
     o.update(table_oracles())
     stream_oracles(o)
-    return o
+    return {name: _PLAIN_ROUND.sub(lambda m: money(m.group(1), 6), sql) for name, sql in o.items()}
 
 
 # rules ---------------------------------------------------------------------------------
