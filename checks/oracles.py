@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+
 import re
 
 from tidemark import fixtures as fx

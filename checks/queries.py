@@ -562,7 +562,7 @@ def features_upsert(spark, sf):
     rows, path = _feature_rows(spark, sf), staging.new_path(spark, "features")
     features.write_features(rows.drop("up"), path)
     features.write_features(rows.filter("hour(ts) % 2 = 0").withColumn("sma_5", F.col("sma_5") + 1), path)
-    return store.read(spark, path)
+    return store.read(spark, path, merge_schema=True)
 
 
 @query

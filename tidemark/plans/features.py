@@ -21,7 +21,7 @@ KEYS = ("symbol", "ts")
 
 def write_features(rows: DataFrame, path: str) -> int:
     """Upsert feature rows by (symbol, ts) with the stored types."""
-    return store.upsert(store.feature_types(rows), path, keys=KEYS, partitions=())
+    return store.upsert(store.feature_types(rows), path, keys=KEYS, partitions=(), merge_schema=True)
 
 
 def _context_start(bars: DataFrame, marks: DataFrame, rows: int) -> DataFrame:
@@ -83,7 +83,7 @@ def build_features(
 
     Returns the rows in the months written, 0 if nothing was new.
     """
-    stored = None if rebuild else store.read(bars.sparkSession, path)
+    stored = None if rebuild else store.read(bars.sparkSession, path, merge_schema=True)
     if stored is None:
         rows = add_all(index_rows(bars)).drop("rn", "n")
     else:
@@ -95,5 +95,5 @@ def build_features(
 
 def load(spark: SparkSession, features_path: str, bars: DataFrame) -> DataFrame:
     """Stored features if there are any, else indicators computed from the bars."""
-    stored = store.read(spark, features_path)
+    stored = store.read(spark, features_path, merge_schema=True)
     return stored.drop("month") if stored is not None else add_all(index_rows(bars)).drop("rn", "n")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidemark import staging
 from tidemark.functions.intervals import month_of
 
+MAX_LISTED_PARTITIONS = 10_000
 BAR_SCHEMA = T.StructType(
     [
         T.StructField("exchange", T.StringType()),
@@ -50,11 +51,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target) and len(files.listStatus(target)) > 0
 
 
-def read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """The table, or None if nothing was written yet."""
+def read(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, merge_schema: bool = False
+) -> DataFrame | None:
+    """The table, or None if nothing was written yet.
+
+    ``merge_schema`` opens every footer; only tables whose columns grow need it.
+    """
     if not exists(spark, path):
         return None
-    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", merge_schema)
     return reader.parquet(path)
 
 
@@ -64,12 +70,28 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return rows.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
+def _only_partitions(table: DataFrame, touched: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Rows of the touched partitions; all others are pruned before any file is opened.
+
+    The list of partition names is bounded metadata; past the bound a join does the same.
+    """
+    names = touched.select(_partition_name(parts).alias("name")).distinct().limit(MAX_LISTED_PARTITIONS + 1).collect()
+    if len(names) > MAX_LISTED_PARTITIONS:
+        return table.join(touched, list(parts), "left_semi")
+    return table.filter(_partition_name(parts).isin([r.name for r in names]))
+
+
+def _partition_name(parts: Sequence[str]) -> Column:
+    return F.concat_ws("/", *parts)
+
+
 def upsert(
     rows: DataFrame,
     path: str,
     keys: Sequence[str] = ("exchange", "symbol", "ts"),
     partitions: Sequence[str] = ("exchange",),
     order: Sequence[str] = (),
+    merge_schema: bool = False,
 ) -> int:
     """Merge ``rows`` into the table by key, new rows winning; ``order`` ranks rows inside the batch.
 
@@ -77,35 +99,49 @@ def upsert(
     Symbols are a sort order inside a month rather than folders: files stay large with many
     symbols, an even share of rows each, and their statistics still prune a single symbol.
     """
-    spark = rows.sparkSession
-    parts = [*partitions, "month"]
+    spark, parts = rows.sparkSession, [*partitions, "month"]
     # The batch is read several times; staged, its plan runs once.
     batch = staging.save(rows.withColumn("month", month_of(F.col("ts"))), "batch").withColumn("_batch", F.lit(1))
     if batch.isEmpty():
         return 0
     ranked = latest(batch, keys, order).drop(*order) if order else latest(batch, keys, ["_batch"])
-    old = read(spark, path)
+    touched = batch.select(*parts).distinct()
+    old = read(spark, path, merge_schema=merge_schema)
     if old is not None:
-        touched = batch.select(*parts).distinct()
-        stored = old.join(touched, parts, "left_semi").withColumn("_batch", F.lit(0))
+        stored = _only_partitions(old, touched, parts).withColumn("_batch", F.lit(0))
         ranked = latest(stored.unionByName(ranked, allowMissingColumns=True), keys, ["_batch"])
-    merged = ranked.drop("_batch")
     layout = [*parts, *(k for k in keys if k not in parts)]
-    merged.repartitionByRange(*layout).sortWithinPartitions(*layout).write.mode("overwrite").partitionBy(*parts).option(
-        "partitionOverwriteMode", "dynamic"
-    ).parquet(path)
-    return read(spark, path).join(batch.select(*parts).distinct(), parts, "left_semi").count()
+    (
+        ranked.drop("_batch")
+        .repartitionByRange(*layout)
+        .sortWithinPartitions(*layout)
+        .write.mode("overwrite")
+        .partitionBy(*parts)
+        .option("partitionOverwriteMode", "dynamic")
+        .parquet(path)
+    )
+    return _only_partitions(read(spark, path), touched, parts).count()
 
 
 def insert_ignore(
     rows: DataFrame, path: str, keys: Sequence[str] = ("symbol", "ts"), order: Sequence[str] = ("ts",)
 ) -> DataFrame:
-    """Append rows whose key the table lacks, the first one per key; returns the appended rows."""
+    """Append rows whose key the table lacks, the first one per key; returns the appended rows.
+
+    The last key is the time: stored files outside the batch's time range are skipped by
+    their statistics.
+    """
+    spark, time = rows.sparkSession, keys[-1]
     first = Window.partitionBy(*keys).orderBy(*order)
     fresh = rows.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
-    old = read(rows.sparkSession, path)
+    fresh = staging.save(fresh, "insert")
+    old = read(spark, path)
     if old is not None:
-        fresh = fresh.join(old.select(*keys), list(keys), "left_anti")
+        timed = isinstance(fresh.schema[time].dataType, T.TimestampType)
+        number, at = (F.unix_micros, F.timestamp_micros) if timed else (F.col, lambda c: c)
+        lo, hi = fresh.agg(F.min(number(time)), F.max(number(time))).first()
+        known = old.filter(F.col(time).between(at(F.lit(lo)), at(F.lit(hi)))).select(*keys)
+        fresh = fresh.join(known, list(keys), "left_anti")
     fresh.write.mode("append").parquet(path)
     return fresh
 
