@@ -193,12 +193,17 @@ def test_trailing_flow_cases(spark):
     assert last((1000, 100, 0, False)).vwap is None
 
 
-def test_trailing_windows_on_a_burst(spark, small_chunks):
+@pytest.mark.parametrize("bucket_rows", ["100", "100000"])
+def test_trailing_windows_on_a_burst(spark, small_chunks, bucket_rows):
+    # A burst too large for a time bucket, and the same rows in time buckets.
+    spark.conf.set(trailing.BUCKET_ROWS_CONF, bucket_rows)
     rng = np.random.default_rng(4)
-    rows = [(int(t), rng.uniform(1, 9), rng.integers(1, 5), bool(rng.random() < 0.5)) for t in np.sort(rng.integers(0, 4000, 900))]
+    spread = np.sort(np.concatenate([rng.integers(0, 4000, 500), 3_599_000 + rng.integers(0, 2000, 300)]))
+    rows = [(int(t), rng.uniform(1, 9), rng.integers(1, 5), bool(rng.random() < 0.5)) for t in spread]
     df = ticks(spark, *rows)
     ret = collect(trailing.trailing_return(df, 300), "seq")
     flow = collect(trailing.trailing_flow(df, 100, 300), "seq")
+    spark.conf.unset(trailing.BUCKET_ROWS_CONF)
     for i, (t, p, _, _) in enumerate(rows):
         inside = [r for r in rows[: i + 1] if r[0] >= t - 300]
         brief = [r for r in inside if r[0] >= t - 100]
