@@ -10,7 +10,7 @@ from tidemark import staging
 from tidemark.operators import external, leaderboard, lineage, resample, trailing
 from tidemark.plans import features
 from tidemark.plans.series import index_rows
-from tidemark.sources import payloads, store
+from tidemark.sources import payloads, results, store
 
 
 def bars(spark, times, close=100.5):
@@ -259,3 +259,35 @@ def test_lineage_stops_at_unknown_parents_and_in_cycles(spark):
     assert got["p"] == ["p", "q"] * 5
     assert [r.node for r in lineage.chain_of(spark, nodes, "c").orderBy("hop").collect()] == ["c", "b", "a"]
     assert lineage.edges(nodes).filter("strategy_id = 'b'").count() == 2
+
+
+def test_runs_and_logs(spark):
+    path = staging.new_path(spark, "runs")
+    trades = spark.createDataFrame([(1, 2.0)], "rn long, net_pnl double")
+    summary = spark.createDataFrame([("a", 1)], "symbol string, n_trades long")
+    for run in ("r1", "r2", "r1"):
+        results.save_run(trades, summary, path, run, "vwap_bounce", {"horizon": 12}, "2024-01-01")
+    got = results.read_run(spark, path).orderBy("run_id").collect()
+    assert [(r.run_id, json.loads(r.config)) for r in got] == [("r1", {"horizon": "12"}), ("r2", {"horizon": "12"})]
+    assert results.read_run(spark, path, "trades").count() == 2
+
+    log = staging.new_path(spark, "fp")
+    assert results.seen_fingerprints(spark, log).count() == 0
+    for _ in range(2):
+        results.record_fingerprints(spark.createDataFrame([("x", "n")], "fp string, name string"), log)
+    spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(log)
+    assert [r.fp for r in results.seen_fingerprints(spark, log).collect()] == ["x"]
+
+    out = staging.new_path(spark, "bars")
+    df = frame(spark, make_bars(100))
+    for interval in ("1h", "4h", "1h"):
+        results.write_resampled(resample.resample(df, interval), out, interval)
+    assert spark.read.parquet(out).groupBy("interval").count().count() == 2
+
+
+def test_scope_drops_what_was_staged_inside(spark):
+    with staging.scope(spark):
+        inside = staging.save(spark.range(3), "gone")
+        path = inside.inputFiles()[0].rsplit("/", 1)[0]
+        assert store.exists(spark, path)
+    assert not store.exists(spark, path)

@@ -25,8 +25,18 @@ CANDLES_KEPT = 100
 
 def drain(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, timeout_s: int = 600) -> None:
     """Process everything available and stop; batches failed half-way are repeated."""
-    query = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    _finish(query.start(), timeout_s)
+    query = stream.writeStream.foreachBatch(scoped(process)).option("checkpointLocation", checkpoint)
+    _finish(query.trigger(availableNow=True).start(), timeout_s)
+
+
+def scoped(process: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """The sink, leaving no staged tables behind after a batch."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        with staging.scope(batch.sparkSession):
+            process(batch, batch_id)
+
+    return run
 
 
 def drain_to_table(stream: DataFrame, path: str, checkpoint: str, timeout_s: int = 600) -> None:
@@ -69,6 +79,8 @@ class Tail:
         rows.join(newest, self.keys).filter(inside).drop("_newest", "_new").write.mode("overwrite").parquet(
             f"{self.path}/{batch_id}"
         )
+        # A batch may be repeated, and then needs its predecessor; older tails are done with.
+        staging.drop(rows.sparkSession, f"{self.path}/{batch_id - 2}")
 
 
 def trailing_sink(
