@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-from pathlib import Path
-
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 from tidemark.plans.series import chunk_rows
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_shipped: set[str] = set()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -23,18 +19,19 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # Windows run over chunks of bounded size, so a whole chunk may stay in memory.
     spark.conf.set("spark.sql.windowExec.buffer.in.memory.threshold", str(2 * chunk_rows(spark)))
-    _ship_package(spark)
+    _ship_package()
     return spark
 
 
-def _ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).parent
-        base = f"{tempfile.mkdtemp(prefix='tidemark-py-')}/tidemark"
-        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
-        _shipped.add(app)
+def _ship_package() -> None:
+    """Send this package's functions to the Python workers by value.
+
+    Workers then need no copy of the package, nor does the helper process that prepares
+    stateful stream operators, which does not see files added to the context.
+    """
+    import tidemark
+
+    cloudpickle.register_pickle_by_value(tidemark)
 
 
 def local_session(cores: int | str = 8, name: str = "tidemark") -> SparkSession:
