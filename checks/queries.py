@@ -50,11 +50,7 @@ def query(fn: Query) -> Query:
 
 @query
 def resample_bars(spark, sf):
-    base = fx.bars(spark, sf)
-    out = base.withColumn("interval", F.lit("1h"))
-    for name in ("4h", "12h", "1d"):
-        out = out.unionByName(rs.resample(base, name).withColumn("interval", F.lit(name)))
-    return out
+    return rs.resample_many(fx.bars(spark, sf), ["1h", "4h", "12h", "1d"])
 
 
 def _indicators(*requests: Request, keep=("symbol", "ts")) -> Query:
@@ -112,10 +108,9 @@ def indicator_derived(spark, sf):
             "ema_gap_pct", "(close - {base}) / {base} * 100", {"base": ("ema", {"period": "{period}"})}, {"period": 20}
         )
         ind.register("volume_root", "sqrt(abs(close - {v}))", {"v": ("ema", {"column": "volume", "period": 10})})
-    df = ind.add_indicators(
-        fx.series(spark, sf), [Request("ema_gap_pct", "ema_gap_pct"), Request("volume_root", "volume_root")]
-    )
-    df = ind.whole_series(df, top=F.max("close"))
+    series = fx.series(spark, sf)
+    df = ind.add_indicators(series, [Request("ema_gap_pct", "ema_gap_pct"), Request("volume_root", "volume_root")])
+    df = ind.whole_series(df, series, top=F.max("close"))
     return df.select("symbol", "ts", "ema_gap_pct", "volume_root", F.expr("close / top").alias("share_of_top"))
 
 
@@ -455,10 +450,17 @@ def external_align_sum_avg(spark, sf):
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 
 
+def _aligned(spark, sf):
+    """The aligned table of one timeframe, written and read back as its readers find it."""
+    path = staging.new_path(spark, "aligned")
+    external.write_aligned(external.align(_tick_observations(spark, sf), "4h", "ffill"), path, "4h")
+    return spark.read.parquet(path).filter("timeframe = '4h'")
+
+
 @query
 def features_join_external(spark, sf):
     series = fx.series(spark, sf)
-    aligned = external.align(_tick_observations(spark, sf), "4h", "ffill")
+    aligned = _aligned(spark, sf)
     out = external.join_external(series, aligned, SYMBOLS)
     bound = external.bind_column(series, "view", aligned).select("symbol", "ts", F.col("view").alias("view_bound"))
     out = external.bind_column(out.join(bound, ["symbol", "ts"]), "nosuch")
@@ -546,7 +548,7 @@ def incremental_new_rows(spark, sf):
 @query
 def features_build(spark, sf):
     bars, path = fx.bars(spark, sf), staging.new_path(spark, "features")
-    aligned = external.align(_tick_observations(spark, sf), "4h", "ffill")
+    aligned = _aligned(spark, sf)
     features.build_features(bars.filter(F.col("ts") < "2024-01-20"), path, aligned, SYMBOLS)
     features.build_features(bars, path, aligned, SYMBOLS)
     return features.load(spark, path, bars)

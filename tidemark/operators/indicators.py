@@ -328,7 +328,12 @@ def add_all(series: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     return add_indicators(series, ALL, keys)
 
 
-def whole_series(df: DataFrame, keys: Sequence[str] = ("symbol",), **aggregates: Column) -> DataFrame:
-    """Whole-series aggregates of each key beside every row."""
-    totals = df.groupBy(*keys).agg(*(c.alias(name) for name, c in aggregates.items()))
+def whole_series(
+    df: DataFrame, source: DataFrame | None = None, keys: Sequence[str] = ("symbol",), **aggregates: Column
+) -> DataFrame:
+    """Whole-series aggregates of each key beside every row.
+
+    Aggregates of plain bar columns are cheaper from the ``source`` the rows were made from.
+    """
+    totals = (df if source is None else source).groupBy(*keys).agg(*(c.alias(name) for name, c in aggregates.items()))
     return df.join(totals, list(keys))

@@ -104,6 +104,7 @@ def bootstrap_pvalue(
     sizes = table.groupBy(*keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum")
     )
+    sizes = staging.save(sizes, "run-chunks")
     runs = sizes.groupBy(*keys).agg(
         F.sum("_rows").alias("_n"),
         (F.sum("_sum") / F.sum("_rows")).alias("_mean"),

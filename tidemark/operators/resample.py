@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.intervals import INTERVALS, since
+from tidemark.functions.intervals import INTERVALS, floor_to, since
 
 BAR = ("open", "high", "low", "close", "volume")
 
@@ -65,14 +65,19 @@ def resample_calendar(bars: DataFrame, interval: str, keys: Sequence[str] = ("sy
     return _bars(bars, keys, start, BAR, ("ts",))
 
 
-def rollups(bars: DataFrame, intervals: Sequence[str] = ("5m", "1h")) -> DataFrame:
-    """Several rollups of one bar table in one result, told apart by ``interval``.
+def resample_many(bars: DataFrame, intervals: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Several intervals at once, told apart by ``interval``: one scan and one shuffle for all.
 
-    Wider buckets are built from the narrowest, so the bars are shuffled once.
+    Each bar counts towards its bucket of every interval; partial aggregation shrinks that
+    before the shuffle.
     """
-    narrow, *wider = intervals
-    base = resample(bars, narrow)
-    out = base.withColumn("interval", F.lit(narrow))
-    for name in wider:
-        out = out.unionByName(resample(base, name).withColumn("interval", F.lit(name)))
-    return out
+    buckets = F.explode(
+        F.array(*(F.struct(F.lit(i).alias("interval"), floor_to(F.col("ts"), i).alias("start")) for i in intervals))
+    )
+    spread = bars.withColumn("_bucket", buckets).withColumn("interval", F.col("_bucket.interval"))
+    return _bars(spread, [*keys, "interval"], F.col("_bucket.start"), BAR, ("ts",))
+
+
+def rollups(bars: DataFrame) -> DataFrame:
+    """The two maintained rollups."""
+    return resample_many(bars, ("5m", "1h"))
