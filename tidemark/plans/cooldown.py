@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import staging
-from tidemark.plans.series import chunk_rows
+from tidemark.plans.series import Run, chunk_rows, chunked
 
 BLOCK = 1024  # chunks composed per task
 
@@ -31,11 +31,21 @@ def _kept(rows: np.ndarray, first: int, cooldown: int) -> list[int]:
     return out
 
 
-def thin(rows: DataFrame, keys: Sequence[str], cooldown: int, position: str = "rn") -> DataFrame:
-    """Rows kept by the greedy rule, per ``keys`` in order of ``position``."""
+def _every_other(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cooldown of two rows: every other row of each unbroken run, found with windows alone."""
+    ch = chunked(staging.save(rows, "signals"), keys, before=1)
+    fresh = F.coalesce(F.lag("rn").over(ch.window) < F.col("rn") - 1, F.lit(True))
+    ch = ch.add(_start=F.when(fresh, F.col("rn"))).trim(1).scan(Run("_run", "_start", "max"))
+    return ch.own().filter((F.col("rn") - F.col("_run")) % 2 == 0).select(*rows.columns)
+
+
+def thin(rows: DataFrame, keys: Sequence[str], cooldown: int) -> DataFrame:
+    """Rows kept by the greedy rule, per ``keys`` in order of their position ``rn``."""
     if cooldown <= 1:
         return rows
-    keys = list(keys)
+    if cooldown == 2:
+        return _every_other(rows, keys)
+    keys, position = list(keys), "rn"
     size = max(chunk_rows(rows.sparkSession), cooldown)
     table = staging.save(rows.withColumn("_chunk", F.floor(F.col(position) / F.lit(size))), "signals")
     key_fields = [table.schema[k] for k in keys]

@@ -179,7 +179,9 @@ def chunked(
         df = series.withColumn("_chunk", home).withColumn("_own", F.lit(True))
     else:
         lo = F.greatest(F.floor((F.col("rn") - after) / F.lit(size)), F.lit(0))
-        hi = F.least(F.floor((F.col("rn") + before) / F.lit(size)), F.floor((F.col("n") - 1) / F.lit(size)))
+        hi = F.floor((F.col("rn") + before) / F.lit(size))
+        if "n" in series.columns:
+            hi = F.least(hi, F.floor((F.col("n") - 1) / F.lit(size)))
         df = series.withColumn("_chunk", F.explode(F.sequence(lo, hi))).withColumn("_own", F.col("_chunk") == home)
     return Chunks(df, tuple(keys), size, before)
 
