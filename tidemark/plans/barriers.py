@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.costs import spot_pnl, trade_costs
 from tidemark.functions.numbers import half_up
 from tidemark.plans.cooldown import thin
-from tidemark.plans.series import Chunks
+from tidemark.plans.series import Chunks, chunk_rows, chunked
+
+CHUNK = 8192  # positions per task of the barrier search
+BLOCK = 16384  # entries compared at once inside a task
+RUNS_PER_LANE = 64
 
 
 def candidates(ch: Chunks, warmup: int = 50, horizon: Column | int = 12) -> DataFrame:
@@ -33,60 +40,86 @@ def first_touch(
     run_keys: Sequence[str],
     bar_keys: Sequence[str],
     max_horizon: int,
+    lanes: int = 1,
 ) -> DataFrame:
     """Label each entry with the first barrier its following bars touch.
 
-    ``entries`` carry ``rn, signal, entry_price, entry_ts, tp, sl, horizon``.  Bars are
-    met through position buckets of ``max_horizon`` rows: an entry's bars lie in at most
-    two buckets, so the join is an equi-join however long or popular the series is.
+    ``entries`` carry ``rn, signal, entry_price, entry_ts, tp, sl, horizon``.  Entries meet
+    the bars of their position chunk plus one horizon of look-ahead rows, and all windows
+    of a chunk are compared at once.  A chunk holds at most ``CHUNK`` entries per run;
+    with many runs on the same bars, ``lanes`` deals the runs out to separate tasks.
     """
-    bucket = F.floor(F.col("rn") / F.lit(max_horizon))
-    first, last = F.col("rn") + 1, F.col("rn") + F.col("horizon")
-    spread = entries.withColumn(
-        "_bucket",
-        F.explode(F.sequence(F.floor(first / F.lit(max_horizon)), F.floor(last / F.lit(max_horizon)))),
+    size = max(min(CHUNK, chunk_rows(entries.sparkSession)), max_horizon)
+    dealt = entries.withColumn("_chunk", F.floor(F.col("rn") / F.lit(size))).withColumn(
+        "_lane", F.pmod(F.hash(*run_keys), F.lit(lanes))
     )
-    path = bars.select(
-        *bar_keys,
-        F.col("rn").alias("_at"),
-        F.col("ts").alias("_ts"),
-        F.col("high").alias("_high"),
-        F.col("low").alias("_low"),
-        F.col("close").alias("_close"),
-        bucket.alias("_bucket"),
+    path = chunked(bars.select(*bar_keys, "rn", "n", "ts", "high", "low", "close"), bar_keys, after=max_horizon, size=size).df
+    path = path.select(
+        *(F.col(k).alias(f"_{k}") for k in bar_keys),
+        F.col("_chunk").alias("_at"),
+        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_of"),
+        F.col("rn").alias("_rn"),
+        F.unix_micros("ts").alias("_us"),
+        *(F.col(c).cast("double").alias(f"_{c}") for c in ("high", "low", "close")),
     )
-    offset = F.col("_at") - first
-    seen = spread.join(path, [*bar_keys, "_bucket"]).filter((offset >= 0) & (offset < F.col("horizon")))
-
-    entry, tp, sl = F.col("entry_price"), F.col("tp"), F.col("sl")
-    long = F.col("signal") == 1
-    target = F.when(long, entry * (1 + tp)).otherwise(entry * (1 - tp))
-    stop = F.when(long, entry * (1 - sl)).otherwise(entry * (1 + sl))
-    hit_tp = F.when(long, F.col("_high") >= target).otherwise(F.col("_low") <= target)
-    hit_sl = F.when(long, F.col("_low") <= stop).otherwise(F.col("_high") >= stop)
-    # Flat aggregate buffers: 2 * offset, +1 for a target, so the stop wins a tie.
-    touch = F.when(hit_sl, offset * 2).when(hit_tp, offset * 2 + 1)
-    at_end = offset == F.col("horizon") - 1
-    labelled = seen.groupBy(*run_keys, *(c for c in entries.columns if c not in run_keys)).agg(
-        F.min(touch).alias("_touch"),
-        F.min_by("_ts", touch).alias("_touch_ts"),
-        F.max(F.when(at_end, F.col("_close"))).alias("_end_close"),
-        F.max(F.when(at_end, F.col("_ts"))).alias("_end_ts"),
+    columns = entries.columns
+    schema = T.StructType(
+        [
+            *entries.schema.fields,
+            T.StructField("exit_reason", T.StringType()),
+            T.StructField("exit_raw", T.DoubleType()),
+            T.StructField("horizon_bars", T.LongType()),
+            T.StructField("_exit_us", T.LongType()),
+        ]
     )
-    touched = F.col("_touch").isNotNull()
-    reason = F.when(~touched, "horizon").when(F.col("_touch") % 2 == 1, "tp").otherwise("sl")
-    return (
-        labelled.withColumn("exit_reason", reason)
-        .withColumn(
-            "exit_raw",
-            F.when(F.col("exit_reason") == "tp", target)
-            .when(F.col("exit_reason") == "sl", stop)
-            .otherwise(F.col("_end_close")),
-        )
-        .withColumn("horizon_bars", F.when(touched, F.floor(F.col("_touch") / 2)).otherwise(F.col("horizon") - 1))
-        .withColumn("exit_ts", F.coalesce("_touch_ts", "_end_ts"))
-        .drop("_touch", "_touch_ts", "_end_close", "_end_ts")
+
+    def label(found: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        if found.empty or path.empty:
+            return pd.DataFrame(columns=schema.names)
+        path = path.sort_values("_rn", ignore_index=True)
+        parts = [
+            _label(found.iloc[i : i + BLOCK], path, max_horizon) for i in range(0, len(found), BLOCK)
+        ]
+        made = {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
+        return found[columns].assign(**made)[schema.names]
+
+    labelled = (
+        dealt.groupBy(*bar_keys, "_chunk", "_lane")
+        .cogroup(path.groupBy(*(f"_{k}" for k in bar_keys), "_at", "_of"))
+        .applyInPandas(label, schema)
     )
+    return labelled.withColumn("exit_ts", F.timestamp_micros("_exit_us")).drop("_exit_us")
+
+
+def _label(found: pd.DataFrame, path: pd.DataFrame, max_horizon: int) -> dict[str, np.ndarray]:
+    """Exits of a block of entries: one row per entry, one column per bar ahead."""
+    first = (found["rn"] - path["_rn"].iloc[0] + 1).to_numpy()
+    ahead = np.arange(max_horizon)
+    window = np.minimum(first[:, None] + ahead, len(path) - 1)
+    horizon = found["horizon"].to_numpy()
+    inside = ahead < horizon[:, None]
+    high, low = (path[c].to_numpy()[window] for c in ("_high", "_low"))
+    entry, tp, sl = (found[c].to_numpy(dtype=float) for c in ("entry_price", "tp", "sl"))
+    long = found["signal"].to_numpy() == 1
+    target = np.where(long, entry * (1 + tp), entry * (1 - tp))
+    stop = np.where(long, entry * (1 - sl), entry * (1 + sl))
+    side = long[:, None]
+    hit_tp = np.where(side, high >= target[:, None], low <= target[:, None]) & inside
+    hit_sl = np.where(side, low <= stop[:, None], high >= stop[:, None]) & inside
+    hit = hit_tp | hit_sl
+    at, rows = hit.argmax(axis=1), np.arange(len(found))
+    touched, stopped = hit[rows, at], hit_sl[rows, at]
+    bars = np.where(touched, at, horizon - 1)
+    leave = np.minimum(first + bars, len(path) - 1)
+    # A bar that touches both barriers is a stop.
+    reason = np.where(touched, np.where(stopped, "sl", "tp"), "horizon")
+    price = np.where(touched, np.where(stopped, stop, target), path["_close"].to_numpy()[leave])
+    return {
+        "exit_reason": reason.astype(object),
+        "exit_raw": price,
+        "horizon_bars": bars.astype(np.int64),
+        "_exit_us": path["_us"].to_numpy()[leave],
+    }
 
 
 def price(
