@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,8 +13,6 @@ from tidemark.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(os.environ.get("TEST_CPUS", "8"), "tests")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemark-tests-"))
     yield session
     session.stop()
 

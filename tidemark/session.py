@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
@@ -34,8 +36,8 @@ def _ship_package() -> None:
     cloudpickle.register_pickle_by_value(tidemark)
 
 
-def local_session(cores: int | str = 8, name: str = "tidemark") -> SparkSession:
-    """A single-JVM session for tests and the bench."""
+def local_session(cores: int | str = 8, name: str = "tidemark", checkpoint_dir: str | None = None) -> SparkSession:
+    """A single-JVM session for tests and the bench; only here may the checkpoint folder be a local one."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -44,6 +46,7 @@ def local_session(cores: int | str = 8, name: str = "tidemark") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", checkpoint_dir or tempfile.mkdtemp(prefix=f"{name}-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -7,7 +7,6 @@ that several branches of one plan see the same row positions.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -20,15 +19,11 @@ _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only for a local session that names none."""
+    """The shared folder the session names; there is no other."""
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set(CHECKPOINT_DIR, made)
-    return made
+    if not named:
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors can reach")
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
