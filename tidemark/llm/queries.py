@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fingerprints, line_dedup, mixing
-from tidemark.llm.tables import table
+from tidemark.llm import decontaminate, fingerprints, language, line_dedup, mixing, quality, toxicity
+from tidemark.llm.tables import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,18 @@ def query(fn):
     return fn
 
 
+def _held_out(divisor: int, remainder: int) -> F.Column:
+    return F.coalesce(crc_mod("doc_id", divisor) == remainder, F.lit(False))
+
+
+@query
+def op2_toxicity(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(documents.where(~_held_out(4, 2)), labels.where(~_held_out(4, 2)))
+    scored = toxicity.score_documents(documents, model)
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op3_line_dedup(spark, sf_dir):
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
@@ -41,6 +53,13 @@ FROM k LEFT JOIN r USING (key) GROUP BY doc_id
 """
 
 
+@query
+def op4_language(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = language.train(documents.where(~_held_out(5, 0)))
+    return language.identify(documents, model).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op5_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
@@ -51,6 +70,14 @@ def op6_source_mix(spark, sf_dir):
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_quality(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(documents, labels.where(~_held_out(4, 2)))
+    scored = quality.score_documents(documents, model)
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op9_decontamination(spark, sf_dir):
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -153,3 +153,19 @@ def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
     if not len(hashes):
         return np.empty(0, np.uint64)
     return np.unique(runs(hashes, min(k, len(hashes))))
+
+
+def pieces(batches, rows: int = 2048):
+    """Record batches cut to at most ``rows`` rows, so that arrays per word stay small beside the batch."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def edge_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int, end: bool = False) -> np.ndarray:
+    """A hash of the first (or last) ``n`` bytes of each word, A-Z lower-cased; shorter words count whole."""
+    out = np.minimum(sizes, n).astype(np.uint64)
+    for i in range(n):
+        at = starts + (sizes - 1 - i if end else i)
+        out += np.where(i < sizes, _BYTE[data[np.clip(at, 0, max(len(data) - 1, 0))]] * _POWERS[i + 1], np.uint64(0))
+    return mix(out + np.uint64(1000 * n + end))
