@@ -19,7 +19,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import stage
@@ -29,7 +29,7 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 #: Distinct lines in a shard, and probes that one task answers; both bound memory, neither changes a result.
 SHARD_LINES = 200_000
-TASK_PROBES = 1_000_000
+TASK_PROBES = 200_000
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -112,11 +112,10 @@ def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, h1 long, h2 long")
 
 
-def repeated_lines(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``h1, h2, docs, last`` of the lines found in at least ``min_docs`` documents."""
+def counted_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``h1, h2, docs, last``: in how many documents each long line is, and in which last."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = _hashes(docs, min_chars).groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-    return counted.where(F.col("docs") >= min_docs)
+    return _hashes(docs, min_chars).groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
 
 
 def shard_arrays(repeated: DataFrame, shards: int) -> DataFrame:
@@ -162,8 +161,10 @@ def _unpack(row) -> tuple[list, np.ndarray, np.ndarray]:
 def drop_repeated_lines(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``documents`` with ``text`` less the repeated lines, ``n_lines`` and ``n_dropped`` (existing ones are replaced)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    repeated = stage(repeated_lines(documents, min_docs, min_chars), "lines")
-    shards = max(1, -(-repeated.count() // SHARD_LINES))
+    seen = Observation()
+    counted = counted_lines(documents, min_chars).observe(seen, F.sum("docs").alias("lines"))
+    repeated = stage(counted.where(F.col("docs") >= min_docs), "lines")
+    shards = max(1, -(-repeated.count() // SHARD_LINES), -(-(seen.get["lines"] or 0) // TASK_PROBES))
     arrays = stage(shard_arrays(repeated, shards), "line-arrays")
     parts = arrays.select("shard", (F.col("probes") / TASK_PROBES + 1).cast("long").alias("parts"))
     probes = (

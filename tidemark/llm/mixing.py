@@ -30,7 +30,7 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK_WORDS = 128
 SHARD_SLOTS = 8192
-STREAM_WORDS = 8_000_000
+STREAM_WORDS = 500_000
 MAX_SOURCES = 200_000
 
 
@@ -132,7 +132,7 @@ def mix_sources(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, mos
             (F.least((F.col("b") + 1) * block_words, F.col("at") + F.col("size")) - F.greatest(F.col("b") * block_words, F.col("at"))).alias("n_words"),
         )
     )
-    return docs.select("row", "doc_id", "source", "size", "source_size", "target"), pieces.join(_slots(spark, draws(owed, shard_slots, seed), blocks, seed), ["sid", "block"]).select(
+    return docs.select("row", "doc_id", "source", "size", "source_size", "target"), pieces.join(_slots(spark, draws(owed, shard_slots, seed), blocks, seed).hint("merge"), ["sid", "block"]).select(
         "shard", "slot", "sid", "row", "doc_id", "first_word", "n_words"
     )
 

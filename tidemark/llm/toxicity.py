@@ -1,7 +1,10 @@
 """Toxicity from confirmed toxic examples and unlabelled text: non-negative positive-unlabelled learning.
 
-A document is the set of its words and of its word beginnings (five bytes), hashed.  Features whose share among the
-toxic examples differs from that in unlabelled text beyond chance (a likelihood ratio) enter linear classifiers.  They
+A document is the set of its words and of its word beginnings (four to six bytes), hashed, each
+once for occurring, once for occurring twice and once for three times or more.  Features are
+chosen one by one: each time the one whose share among the toxic examples exceeds that in unlabelled text most surely (a
+likelihood ratio), counted over the documents that do not yet hold ``COVER`` chosen ones, so that words which
+merely go along with toxic ones stay out.  The chosen ones enter linear classifiers.  They
 minimise the class-prior-corrected risk ``p * R_P(+) + max(0, R_U(-) - p * R_P(-))`` with logistic loss; where the bracket
 turns negative the step goes the other way, so that the classifiers cannot fit unlabelled text as all negative.  The
 class prior is the share of toxic rows among the labelled ones (a parameter where only toxic rows are known).  The
@@ -25,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.samples import one_label, sample_rows
-from tidemark.llm.words import LETTERS, edge_hashes, flat, pieces, spans
-
-BITS = 20
-BEGINNING = 5
-MAX_POSITIVE = 6000
-MAX_UNLABELLED = 10_000
-MAX_FEATURES = 4096
-MIN_RATIO = 30.0
+from tidemark.llm.words import LETTERS, edge_hashes, flat, mix, pieces, seeds, spans
+
+BITS = 32
+BEGINNINGS = (4, 5, 6)
+MAX_POSITIVE = 3000
+MAX_UNLABELLED = 6000
+MAX_FEATURES = 1024
+MIN_RATIO = 15.0
+COVER = 3
+LEVELS = 3
 BAGS = 3
 PRIOR = 0.1
 
@@ -42,15 +47,22 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat(column)
     hashes, start, size, first = spans(data, offsets, LETTERS)
     of = np.repeat(np.arange(len(column)), np.diff(first))
-    long = size >= BEGINNING
-    begin = edge_hashes(data, start[long], size[long], BEGINNING)
-    number = np.concatenate([hashes, begin]) >> np.uint64(64 - BITS)
-    return number.astype(np.int64), np.concatenate([of, of[long]])
+    numbers, rows = [hashes], [of]
+    for n in BEGINNINGS:
+        long = size >= n
+        numbers.append(edge_hashes(data, start[long], size[long], n))
+        rows.append(of[long])
+    return (np.concatenate(numbers) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
 
 
 def _distinct(number: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(of << BITS | number)
-    return both & ((1 << BITS) - 1), both >> BITS
+    """Each feature once per row for being there, once more for being there twice, and for three times or more."""
+    both, times = np.unique(of << BITS | number, return_counts=True)
+    number, of = both & ((1 << BITS) - 1), both >> BITS
+    levels = [(number[times > i] << 2 | i, of[times > i]) for i in range(LEVELS)]
+    number, of = (np.concatenate(x) for x in zip(*levels))
+    order = np.argsort(of, kind="stable")
+    return number[order], of[order]
 
 
 def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,12 +72,19 @@ def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for batch in pieces(batches, 512):
             number, of = _distinct(*features(batch.column(1)))
             ends = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(number.astype(np.int32)))], ["role", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(number))], ["role", "features"])
 
-    table = rows.mapInArrow(read, "role int, features array<int>").toArrow()
+    table = rows.mapInArrow(read, "role int, features array<long>").toArrow()
     lists = table["features"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
-    return table["role"].to_numpy(), lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    return table["role"].to_numpy(), lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a sorted table holds."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
 
 
 @dataclass
@@ -77,9 +96,10 @@ class Model:
     biases: np.ndarray
 
     def logits(self, number: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.numbers, number), max(len(self.numbers) - 1, 0))
-        known = self.numbers[at] == number if len(self.numbers) else np.zeros(len(number), bool)
-        number, of = _distinct(number[known], of[known])
+        bases = np.unique(self.numbers >> 2)
+        number, of = _distinct(*(x[_held(bases, number)] for x in (number, of)))
+        known = _held(self.numbers, number)
+        number, of = number[known], of[known]
         at = np.searchsorted(self.numbers, number)
         return np.stack([np.bincount(of, w[at], rows) + b for w, b in zip(self.weights, self.biases)])
 
@@ -147,18 +167,70 @@ def train(documents: DataFrame, labels: DataFrame, max_positive: int = MAX_POSIT
     return fit(role, number, first, share, seed)
 
 
+def different(role: np.ndarray, number: np.ndarray, first: np.ndarray, keys: int = 3, width: int = 4) -> np.ndarray:
+    """Which rows to learn from: of near copies (by agreement of ``width`` minwise hashes) only the first."""
+    sets = np.flatnonzero(np.diff(first))
+    least = [np.minimum.reduceat(mix(number.astype(np.uint64) ^ salt), first[sets]) for salt in seeds(keys * width, 13)]
+    seen: set[tuple] = set()
+    keep = np.ones(len(role), bool)
+    for i, row in enumerate(sets.tolist()):
+        own = {(int(role[row]), k, *(int(least[k * width + j][i]) for j in range(width))) for k in range(keys)}
+        keep[row] = not (own & seen)
+        seen |= own
+    return keep
+
+
+def choose(role: np.ndarray, number: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Features (numbers from 0), chosen by what they add to those chosen before."""
+    width = int(number.max(initial=-1)) + 1
+    size = np.diff(first)
+    row = np.repeat(np.arange(len(role)), size)
+    toxic = role[row] == 1
+    n, total = (np.bincount(number[t], minlength=width) for t in (toxic, ~toxic))
+    n_p, n_u = int((role == 1).sum()), int((role == 0).sum())
+
+    def gain(p, u, left_p, left_u):
+        return np.where(p * left_u > u * left_p, _ratio(p, max(left_p, 1), u, max(left_u, 1)), 0)
+
+    candidates = np.flatnonzero(n >= 2)
+    candidates = candidates[gain(n[candidates], total[candidates], n_p, n_u) >= MIN_RATIO]
+    place = np.full(width, -1, np.int64)
+    place[candidates] = np.arange(len(candidates))
+    kept = place[number] >= 0
+    feature, row = place[number[kept]], row[kept]
+    by_row = np.searchsorted(row, np.arange(len(role) + 1))
+    order = np.argsort(feature, kind="stable")
+    by_feature = np.searchsorted(feature[order], np.arange(len(candidates) + 1))
+    counts = {r: np.bincount(feature[role[row] == r], minlength=len(candidates)) for r in (0, 1)}
+    left, hits, chosen = {0: n_u, 1: n_p}, np.zeros(len(role), np.int64), []
+    free = np.ones(len(candidates), bool)
+    while len(chosen) < min(MAX_FEATURES, len(candidates)):
+        value = np.where(free, gain(counts[1], counts[0], left[1], left[0]), 0)
+        best = int(value.argmax())
+        if value[best] < MIN_RATIO:
+            break
+        free[best] = False
+        chosen.append(best)
+        rows = row[order[by_feature[best] : by_feature[best + 1]]]
+        hits[rows] += 1
+        for r in rows[hits[rows] == COVER].tolist():
+            kind = int(role[r])
+            left[kind] -= 1
+            counts[kind][feature[by_row[r] : by_row[r + 1]]] -= 1
+    return np.sort(candidates[chosen]) if chosen else np.empty(0, np.int64)
+
+
 def fit(role: np.ndarray, number: np.ndarray, first: np.ndarray, prior: float, seed: int = 3) -> Model:
     """Classifiers from rows with role 1 (toxic) and 0 (unlabelled)."""
-    of = np.repeat(role, np.diff(first))
-    n_p, n_u = int((role == 1).sum()), int((role == 0).sum())
-    if not n_p or not n_u:
+    if len(number):
+        keep = different(role, number, first)
+        size = np.diff(first)
+        number, first, role = number[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]), role[keep]
+    if not (role == 1).any() or not (role == 0).any():
         return Model(np.empty(0, np.int64), np.empty((0, 0)), np.empty(0))
-    in_p, in_u = (np.bincount(number[of == r], minlength=1 << BITS) for r in (1, 0))
-    touched = np.flatnonzero(in_p + in_u)
-    ratio = _ratio(in_p[touched], n_p, in_u[touched], n_u)
-    order = np.argsort(-ratio, kind="stable")[:MAX_FEATURES]
-    chosen = np.sort(touched[order[ratio[order] >= MIN_RATIO]])
-    place = np.full(1 << BITS, -1, np.int64)
+    values, number = np.unique(number, return_inverse=True)
+    chosen = choose(role, number, first)
+    place = np.full(len(values), -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     row = np.repeat(np.arange(len(role)), np.diff(first))
     kept = place[number] >= 0
@@ -178,7 +250,7 @@ def fit(role: np.ndarray, number: np.ndarray, first: np.ndarray, prior: float, s
         w, b = nnpu(side(np.flatnonzero(role == 1)), side(half), len(chosen), prior)
         weights.append(w)
         biases.append(b)
-    return Model(chosen, np.array(weights), np.array(biases))
+    return Model(values[chosen], np.array(weights), np.array(biases))
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
