@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fingerprints, language, line_dedup, mixing, near_duplicates, quality, toxicity
-from tidemark.llm.tables import crc_mod, table
+from tidemark.llm import decontaminate, fingerprints, language, language_model, line_dedup, mixing, near_duplicates, quality, toxicity
+from tidemark.llm.tables import crc_mod, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,13 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """
+
+
+@query
+def op10_language_model(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    texts = documents.where(~_held_out(10, 0))
+    counts = stage(language_model.token_counts(texts), "token-counts")
+    model = language_model.train(texts, counts)
+    scored = language_model.score_documents(documents, model, counts)
+    return scored.select("doc_id", _held_out(10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
