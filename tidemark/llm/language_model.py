@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.samples import sample_rows
 from tidemark.llm.tables import stage
-from tidemark.llm.words import NOT_SPACE, flat, mix, pieces, spans
+from tidemark.llm.words import NOT_SPACE, flat, pieces, spans, sum_rows
 
 VOCABULARY = 4000
 KNOWN = 65_536
@@ -204,7 +204,7 @@ def _window(p, state, before, target, start, valid):
         grads["rec"] += old.T @ db
         d_next = (dh * z + db @ p["rec"].T) * fresh[t]
         d_embed.append((before[:, t], da @ p["in"].T))
-    np.add.at(grads["embed"], np.concatenate([i for i, _ in d_embed]), np.concatenate([g for _, g in d_embed]))
+    grads["embed"] = sum_rows(np.concatenate([i for i, _ in d_embed]), np.concatenate([g for _, g in d_embed]), len(p["embed"]))
     return state, grads
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fingerprints, language, language_model, line_dedup, mixing, near_duplicates, quality, toxicity
+from tidemark.llm import decontaminate, fingerprints, html_text, language, language_model, line_dedup, mixing, near_duplicates, quality, toxicity
 from tidemark.llm.tables import crc_mod, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,12 @@ def op7_quality(spark, sf_dir):
     return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op8_html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op9_decontamination(spark, sf_dir):
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

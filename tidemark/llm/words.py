@@ -169,3 +169,15 @@ def edge_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int,
         at = starts + (sizes - 1 - i if end else i)
         out += np.where(i < sizes, _BYTE[data[np.clip(at, 0, max(len(data) - 1, 0))]] * _POWERS[i + 1], np.uint64(0))
     return mix(out + np.uint64(1000 * n + end))
+
+
+def sum_rows(of: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """The sums of the rows of ``values`` that belong to each of ``rows`` groups."""
+    out = np.zeros((rows, values.shape[1]), values.dtype)
+    if len(of):
+        if (of[1:] < of[:-1]).any():
+            order = np.argsort(of, kind="stable")
+            of, values = of[order], values[order]
+        heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        out[of[heads]] = np.add.reduceat(values, heads, axis=0)
+    return out
