@@ -70,7 +70,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...], bool]] = []  # name, words, inline
     parts: list[str] = []
     linked = links = hidden = 0
-    raw = ""
+    page, at = page or "", 0
 
     def flush():
         nonlocal linked
@@ -87,12 +87,10 @@ def blocks(page: str) -> list[Block]:
         links -= name == "a"
         hidden -= "\0hidden" in words
 
-    for match in _TOKEN.finditer(page or ""):
+    while at < len(page):
+        match = _TOKEN.match(page, at)
+        at = match.end()
         close, name, rest, text = match.groups()
-        if raw:
-            if name and close and name.lower() == raw:
-                raw = ""
-            continue
         if text is not None:
             parts.append(text)
             if links:
@@ -120,7 +118,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in RAW:
             if not rest.rstrip().endswith("/"):
-                raw = name
+                end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+                at = end.start() if end else len(page)
             if name not in ("script", "style", "template", "button", "select"):
                 parts.append(" ")
             continue

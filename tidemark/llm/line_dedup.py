@@ -186,7 +186,7 @@ def drop_repeated_lines(documents: DataFrame, min_docs: int = MIN_DOCS, min_char
         return out[known & (lasts[np.maximum(place, 0)] != lines.doc_id.to_numpy(np.int64))]
 
     hits = probes.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInPandas(answer, "doc_id long, h1 long, h2 long")
-    drops = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops")).withColumnRenamed("doc_id", "__id")
+    drops = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drops")).withColumnRenamed("doc_id", "__id")
     joined = documents.drop("n_lines", "n_dropped").join(drops, F.col("doc_id").cast("long") == F.col("__id"), "left")
     return _rebuild(joined, [c for c in documents.columns if c not in ("n_lines", "n_dropped")], min_chars)
 
@@ -206,5 +206,5 @@ def _rebuild(joined: DataFrame, columns: list[str], min_chars: int) -> DataFrame
             out.append((b"\n".join(x for i, x in enumerate(raw.split(b"\n")) if i not in at).decode("utf-8", "replace"), n, len(at)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    made = joined.withColumn("__kept", keep(F.col("text").cast("string"), "drops"))
+    made = joined.withColumn("__kept", keep(F.col("text").cast("string"), "__drops"))
     return made.select(*(F.col("__kept.text").alias("text") if c == "text" else F.col(c) for c in columns), "__kept.n_lines", "__kept.n_dropped")

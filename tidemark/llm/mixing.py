@@ -71,7 +71,7 @@ def draws(owed: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
             got = np.minimum(rng.multinomial(n, left / left.sum()), left)
             row, left, n = row + got, left - got, n - int(got.sum())
         out.append(row)
-    return np.array(out, np.int64).reshape(-1, len(owed))
+    return np.array(out, np.int64).reshape(len(out), len(owed))
 
 
 def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:

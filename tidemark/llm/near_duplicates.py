@@ -9,8 +9,8 @@ minwise tokens and the set sizes, with a margin of four deviations; what passes
 What is asked for are components, so the join runs twice.  A first, cheap pass over few trees keeps of a small node only
 the likeliest spanning links, and of a large node the links to one pivot; confirmed, they merge most of every group
 of copies.  The second pass over all trees looks at links between different components only.  A node counts as small
-there if few of its members lie outside its largest component, however large that is: these few are compared
-with all members, in slices.  A node still large at the last level is compared whole, in blocks, so nothing is
+there if at most ``OUTSIDE`` of its members lie outside its largest component, however large that is: these are
+compared with all members, in slices.  A node still large at the last level is compared whole, in blocks, so nothing is
 capped.  No task ever holds a group, and no group is expanded into all its pairs.
 
 The chance to miss a pair at the threshold is about 0.16 ** TREES where nodes are small after one branching and 0.4 ** TREES
@@ -43,6 +43,7 @@ LEVELS = 8
 FIRST_LEVELS = 3
 TWO_WAYS = 3
 LEAF = 48
+OUTSIDE = 1024
 SLICE = 256
 _TOKEN_MUL, _TOKEN_ADD = seeds(TOKENS, 41), seeds(TOKENS, 42)
 
@@ -177,7 +178,7 @@ def candidates(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
     ``asking`` and ``members`` are the numbers of such rows; both sides are cut into blocks of bounded size.
     """
     cell = F.struct("c", "label", "n", "sig")
-    block = F.pmod(F.xxhash64("c"), F.ceil(F.col("asking") / LEAF))
+    block = F.pmod(F.xxhash64("c"), F.ceil(F.col("asking") / SLICE))
     piece = F.pmod(F.xxhash64("c"), F.ceil(F.col("members") / SLICE))
     askers = rows.where("ask").groupBy("node", block.alias("block")).agg(F.collect_list(cell).alias("askers"))
     pool = rows.groupBy("node", piece.alias("piece")).agg(F.collect_list(cell).alias("pool"))
@@ -207,7 +208,7 @@ def _descend(classes: DataFrame, trees: int, levels: int, similarity: float, fir
                 .select("node", "members", F.col("top.label").alias("main"), (F.col("members") - F.col("top.count")).alias("outside"))
             )
             nodes = stage(labelled.join(sized, "node").withColumnRenamed("label", "own"), f"nodes-{level}")
-            small = F.col("outside") <= LEAF if level < levels else F.lit(True)
+            small = F.col("outside") <= OUTSIDE if level < levels else F.lit(True)
             ask, asking = F.col("own") != F.col("main"), F.col("outside")
             ready, on = small, ~small
         full = nodes.join(classes, "c")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.samples import one_label, sample_rows
-from tidemark.llm.words import LETTERS, edge_hashes, flat, mix, pieces, seeds, spans
+from tidemark.llm.words import LETTERS, edge_hashes, flat, pieces, spans
 
 BITS = 32
 BEGINNINGS = (4, 5, 6)
@@ -36,7 +36,7 @@ MAX_POSITIVE = 3000
 MAX_UNLABELLED = 6000
 MAX_FEATURES = 1024
 MIN_RATIO = 15.0
-COVER = 3
+COVER = 5
 LEVELS = 3
 BAGS = 3
 PRIOR = 0.1
@@ -167,19 +167,6 @@ def train(documents: DataFrame, labels: DataFrame, max_positive: int = MAX_POSIT
     return fit(role, number, first, share, seed)
 
 
-def different(role: np.ndarray, number: np.ndarray, first: np.ndarray, keys: int = 3, width: int = 4) -> np.ndarray:
-    """Which rows to learn from: of near copies (by agreement of ``width`` minwise hashes) only the first."""
-    sets = np.flatnonzero(np.diff(first))
-    least = [np.minimum.reduceat(mix(number.astype(np.uint64) ^ salt), first[sets]) for salt in seeds(keys * width, 13)]
-    seen: set[tuple] = set()
-    keep = np.ones(len(role), bool)
-    for i, row in enumerate(sets.tolist()):
-        own = {(int(role[row]), k, *(int(least[k * width + j][i]) for j in range(width))) for k in range(keys)}
-        keep[row] = not (own & seen)
-        seen |= own
-    return keep
-
-
 def choose(role: np.ndarray, number: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Features (numbers from 0), chosen by what they add to those chosen before."""
     width = int(number.max(initial=-1)) + 1
@@ -222,10 +209,6 @@ def choose(role: np.ndarray, number: np.ndarray, first: np.ndarray) -> np.ndarra
 
 def fit(role: np.ndarray, number: np.ndarray, first: np.ndarray, prior: float, seed: int = 3) -> Model:
     """Classifiers from rows with role 1 (toxic) and 0 (unlabelled)."""
-    if len(number):
-        keep = different(role, number, first)
-        size = np.diff(first)
-        number, first, role = number[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]), role[keep]
     if not (role == 1).any() or not (role == 0).any():
         return Model(np.empty(0, np.int64), np.empty((0, 0)), np.empty(0))
     values, number = np.unique(number, return_inverse=True)
