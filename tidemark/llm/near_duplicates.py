@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -88,7 +88,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def branched(rows: DataFrame, level: int, trees: int, similarity: float) -> DataFrame:
-    """The children (``node, tree, c``) of rows ``node, tree, c, sig``; at level 1 rows are ``c, sig`` and belong to all roots."""
+    """The children (``node, tree, c, label``) of rows ``node, tree, c, label, sig``; at level 1 rows have no node and belong to all roots."""
     second = np.uint64(min(1 / similarity - 1, 1.0) * 2**32) if level <= TWO_WAYS else np.uint64(0)
 
     def branch(batches):
@@ -98,7 +98,7 @@ def branched(rows: DataFrame, level: int, trees: int, similarity: float) -> Data
             if not rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column(names.index("sig")).to_pylist()), np.uint32).reshape(rows, TOKENS)
-            c = batch.column(names.index("c")).to_numpy()
+            c, label = (batch.column(names.index(x)).to_numpy() for x in ("c", "label"))
             if level == 1:
                 tree = np.repeat(np.arange(trees, dtype=np.int64), rows)
                 at, node = np.tile(np.arange(rows), trees), mix(tree.astype(np.uint64) + np.uint64(99))
@@ -112,9 +112,9 @@ def branched(rows: DataFrame, level: int, trees: int, similarity: float) -> Data
                 child = mix(node ^ mix((function << np.uint64(32)) + sig[at, function.astype(np.int64)] + np.uint64(7)))
                 out.append((child[go], tree[go], at[go]))
             child, tree, at = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(tree.astype(np.int32)), pa.array(c[at])], ["node", "tree", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(tree.astype(np.int32)), pa.array(c[at]), pa.array(label[at])], ["node", "tree", "c", "label"])
 
-    return rows.mapInArrow(branch, "node long, tree int, c long")
+    return rows.mapInArrow(branch, "node long, tree int, c long, label long")
 
 
 # ---- comparison inside nodes --------------------------------------------------------------------------------------
@@ -187,40 +187,32 @@ def candidates(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
 
 
 def _descend(classes: DataFrame, trees: int, levels: int, similarity: float, first: bool) -> list[DataFrame]:
-    """Candidate pairs of one pass; ``classes`` has ``c, n, sig, label``."""
-    found, rows = [], branched(classes.select("c", "sig"), 1, trees, similarity)
+    """Candidate pairs of one pass, a written table per level; ``classes`` has ``c, n, sig, label``."""
+    found, rows = [], branched(classes.select("c", "label", "sig"), 1, trees, similarity)
+    key = F.xxhash64("c", "node")
     for level in range(1, levels + 1):
         rows = rows.distinct() if level > 1 else rows
         if first:
-            sized = rows.groupBy("node").agg(F.count("*").alias("members"), F.min(F.xxhash64("c", "node")).alias("pivot")).where("members > 1")
-            nodes = stage(rows.join(sized, "node"), f"nodes-{level}")
+            sized = rows.groupBy("node").agg(F.count("*").alias("members"), F.min(key).alias("main")).where("members > 1")
             small = F.col("members") <= LEAF
-            ask = small | (F.xxhash64("c", "node") == F.col("pivot"))
-            asking = F.when(small, F.col("members")).otherwise(1)
-            ready, on = F.lit(True), ~small
+            ask, asking = small | (key == F.col("main")), F.when(small, F.col("members")).otherwise(1)
         else:
-            labelled = rows.join(classes.select("c", "label"), "c")
-            by_label = labelled.groupBy("node", "label").count()
+            by_label = rows.groupBy("node", "label").count()
             sized = (
                 by_label.groupBy("node")
                 .agg(F.sum("count").alias("members"), F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels"))
                 .where("labels > 1")
                 .select("node", "members", F.col("top.label").alias("main"), (F.col("members") - F.col("top.count")).alias("outside"))
             )
-            nodes = stage(labelled.join(sized, "node").withColumnRenamed("label", "own"), f"nodes-{level}")
             small = F.col("outside") <= OUTSIDE if level < levels else F.lit(True)
-            ask, asking = F.col("own") != F.col("main"), F.col("outside")
-            ready, on = small, ~small
-        full = nodes.join(classes, "c")
-        keep = full.where(ready).select("node", "c", "label", "n", "sig", ask.alias("ask"), asking.alias("asking"), "members", small.alias("small"))
-        if first:
-            found.append(candidates(keep.where("small"), similarity, True))
-            found.append(candidates(keep.where("not small"), similarity, False))
-        else:
-            found.append(candidates(keep, similarity, False))
-        if level == levels or nodes.where(on).isEmpty():
+            ask, asking = F.col("label") != F.col("main"), F.col("outside")
+        nodes = rows.join(sized, "node").select("node", "tree", "c", "label", "members", small.alias("small"), ask.alias("ask"), asking.cast("long").alias("asking"))
+        seen = Observation()
+        full = stage(nodes.join(classes.select("c", "n", "sig"), "c").observe(seen, F.count(F.when(~F.col("small"), 1)).alias("large")), f"nodes-{level}")
+        found.append(stage(candidates(full if first else full.where("small"), similarity, first), f"pairs-{level}"))
+        if level == levels or not seen.get["large"]:
             break
-        rows = branched(full.where(on).select("node", "tree", "c", "sig"), level + 1, trees, similarity)
+        rows = branched(full.where("not small").select("node", "tree", "c", "label", "sig"), level + 1, trees, similarity)
     return found
 
 
