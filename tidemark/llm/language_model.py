@@ -51,7 +51,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = first[1:] + np.arange(n)
     words = np.ones(len(hashes) + n, bool)
     words[at] = False
-    out, bucket = np.full(len(words), END), np.full(len(words), -1, np.int64)
+    out, bucket = np.full(len(words), END), np.full(len(words), -1, np.int8)
     out[words] = np.where(hashes == END, hashes + np.uint64(1), hashes)
     last, head = data[start + size - 1] if len(start) else np.empty(0, np.uint8), data[start] if len(start) else np.empty(0, np.uint8)
     ending = np.select([last == ord("."), last == ord(","), last >= 0x80, (last | 0x20 >= ord("a")) & (last | 0x20 <= ord("z"))], [0, 1, 2, 3], 4)
@@ -68,7 +68,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
     """``token, bucket, count`` over all texts, the end included."""
 
     def count(batches):
-        for batch in pieces(batches, 4096):
+        for batch in pieces(batches, 1024):
             hashes, bucket, _ = tokens(batch.column(0))
             value, at, n = np.unique(hashes, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(bucket[at].astype(np.int32)), pa.array(n.astype(np.int64))], ["token", "bucket", "n"])
@@ -233,12 +233,12 @@ class Model:
         if not len(self.tokens):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == hashes, at, -1)
+        return np.where(self.tokens[at] == hashes, at, -1).astype(np.int32)
 
     def numbers(self, place: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """The output of each token; the end has one of its own."""
         out = np.where(place >= 0, self.outputs[place] if len(self.outputs) else -1, -1)
-        return np.where(out >= 0, out, np.where(bucket < 0, 0, self.bucket_output[bucket]))
+        return np.where(out >= 0, out, np.where(bucket < 0, 0, self.bucket_output[bucket])).astype(np.int32)
 
 
 def train(texts: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, known: int = KNOWN, max_docs: int = MAX_DOCS,
@@ -247,8 +247,8 @@ def train(texts: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, kno
     whole = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.asc(F.col("bucket") >= 0), F.desc("count"), "token").limit(known).toArrow()
     token, count, bucket = top["token"].to_numpy().view(np.uint64), top["count"].to_numpy(), top["bucket"].to_numpy()
-    outputs = np.full(len(token), -1, np.int64)
-    listed = np.flatnonzero(bucket >= 0)[:vocabulary]
+    outputs = np.full(len(token), -1, np.int32)
+    listed = np.flatnonzero(bucket >= 0)[:vocabulary].astype(np.int32)
     outputs[listed] = np.arange(len(listed)) + 1
     outputs[bucket < 0] = 0
     mass = np.full(BUCKETS, ALPHA)
@@ -257,7 +257,7 @@ def train(texts: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, kno
     np.subtract.at(mass, bucket[listed], count[listed] + ALPHA)
     n_outputs = 1 + len(listed) + BUCKETS
     order = np.argsort(token)
-    model = Model(token[order], count[order], outputs[order], 1 + len(listed) + np.arange(BUCKETS), np.maximum(mass, ALPHA), n_outputs, int(whole["n"]), int(whole["v"]), {})
+    model = Model(token[order], count[order], outputs[order], (1 + len(listed) + np.arange(BUCKETS)).astype(np.int32), np.maximum(mass, ALPHA), n_outputs, int(whole["n"]), int(whole["v"]), {})
     model.network = fit_network(_training_ids(texts, model, max_docs, max_tokens, seed), n_outputs, n_outputs, epochs, seed)
     return model
 
@@ -326,7 +326,7 @@ def score_documents(documents: DataFrame, model: Model, counts: DataFrame) -> Da
 
     def judge(batches):
         own = Model(*sent.value)
-        for batch in pieces(batches, 4096):
+        for batch in pieces(batches, 2048):
             hashes, bucket, first = tokens(batch.column(1))
             place = own.places(hashes)
             numbers = own.numbers(place, bucket)
