@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 
 from tidemark import fixtures as fx
+from tidemark.operators.metrics import POISSON
 
 TICKS = """ticks AS (
   SELECT event_type AS symbol, ts, epoch_us(ts) // 1000 AS ts_ms, event_id AS seq, value AS price,
@@ -451,7 +452,7 @@ def rule_oracles():
     o["rules_validate"] = with_(docs) + f"""SELECT rule_key, len(e) = 0 AS valid, coalesce(list_aggregate(e, 'string_agg', '; '), '') AS errors
         FROM (SELECT rule_key, list_filter([{listed}], lambda v: v IS NOT NULL) AS e FROM docs)"""
     o["rules_fingerprint"] = with_(docs) + f"SELECT rule_key, {FINGERPRINT} AS fp FROM docs"
-    o["rules_dedup"] = with_(docs, documents("old", "supplier", "s_suppkey", "s_nationkey", "s_suppkey % 9 = 0")) + f"""
+    o["rules_dedup"] = with_(docs, documents("old", "(SELECT * REPLACE (s_suppkey * 9 AS s_suppkey) FROM supplier)", "s_suppkey", "s_nationkey")) + f"""
         SELECT min(rule_key) AS rule_key, fp FROM (SELECT rule_key, {FINGERPRINT} AS fp FROM docs)
         WHERE fp NOT IN (SELECT {FINGERPRINT} FROM old) GROUP BY fp"""
     from checks.queries import PLAIN_RULES, RANDOM_RULES
@@ -515,7 +516,7 @@ xr AS (SELECT symbol, ts, open, high, low, close, volume, rn - (n - k) AS rn, k
 PNL = """trades AS (SELECT l_returnflag AS run_id, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_shipdate,
     l_partkey, l_suppkey, l_extendedprice) AS rn, round(l_extendedprice * (l_discount - 0.05) / 100, 2) AS net_pnl FROM lineitem)"""
 BOARD = """board AS (SELECT *, oos_sharpe < sharpe - 0.3 AND oos_trades >= 10 AS overfit FROM (
-  SELECT c_custkey AS run_id, c_nationkey AS generation, c_acctbal / 10000 AS sharpe, coalesce(k, 0) AS n_trades,
+  SELECT CAST(c_custkey AS VARCHAR) AS run_id, c_nationkey AS generation, c_acctbal / 10000 AS sharpe, coalesce(k, 0) AS n_trades,
          c_acctbal / 10000 - (c_custkey % 7) / 10 AS oos_sharpe, coalesce(k, 0) // 2 AS oos_trades
   FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey))"""
 
@@ -523,6 +524,17 @@ BOARD = """board AS (SELECT *, oos_sharpe < sharpe - 0.3 AND oos_trades >= 10 AS
 def ranking_oracles():
     o = {}
     o["max_drawdown"] = with_(PNL, *metrics(keys="run_id")[:3]) + f"SELECT run_id, {money('max_dd', 6)} AS max_dd FROM dd"
+    poisson = ", ".join(str(t) for t in POISSON)
+    o["bootstrap_pvalue"] = with_(
+        PNL,
+        "m AS (SELECT run_id, avg(net_pnl) AS mean, count(*) AS n FROM trades GROUP BY run_id)",
+        "x0 AS (SELECT run_id, net_pnl, b, ((rn - 1) % 2147483647 * 48271 + b * 69621 + 7) % 2147483647 AS x FROM trades, range(0, 1000) r(b))",
+        "x1 AS (SELECT run_id, net_pnl, b, (x * x % 2147483647 + x * 1 + b) % 2147483647 AS x FROM x0)",
+        "x2 AS (SELECT run_id, net_pnl, b, (x * x % 2147483647 + x * 3 + b) % 2147483647 AS x FROM x1)",
+        f"w AS (SELECT run_id, net_pnl, b, len(list_filter([{poisson}], lambda t: x > t)) AS w FROM x2)",
+        "d AS (SELECT run_id, b, sum(w * net_pnl) / sum(w) AS mean_b FROM w GROUP BY run_id, b)",
+    ) + """SELECT run_id, CASE WHEN max(n) < 5 THEN 1 ELSE round(avg(CASE WHEN abs(mean_b - mean) >= abs(mean) THEN 1.0 ELSE 0.0 END), 6) END AS p_value
+        FROM d JOIN m USING (run_id) GROUP BY run_id"""
     o["temporal_split"] = with_(*BASE, SPLIT) + """
         SELECT split AS part, symbol, ts, rn FROM xs
         UNION ALL SELECT 'recent', symbol, ts, rn - (n - least(300, n - 100)) FROM x WHERE rn >= n - least(300, n - 100)
@@ -538,7 +550,7 @@ def ranking_oracles():
         FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY exit_ts, rn ROWS UNBOUNDED PRECEDING)"""
     o["leaderboard_compact"] = with_(BOARD) + """SELECT CAST(run_id AS VARCHAR) AS run_id, generation, round(sharpe, 6) AS sharpe, n_trades,
         CASE WHEN generation >= 12 THEN round(oos_sharpe, 6) END AS oos_sharpe, CASE WHEN generation >= 12 THEN oos_trades END AS oos_trades,
-        CASE WHEN generation >= 12 THEN CAST(overfit AS INT) END AS overfit FROM board WHERE run_id % 50 <> 7"""
+        CASE WHEN generation >= 12 THEN CAST(overfit AS INT) END AS overfit FROM board WHERE CAST(run_id AS BIGINT) % 50 <> 7"""
     o["leaderboard_topk"] = with_(BOARD) + """SELECT run_id, round(sharpe, 6) AS sharpe, n_trades, round(oos_sharpe, 6) AS oos_sharpe
         FROM board WHERE n_trades > 0 AND sharpe >= 0.2 ORDER BY sharpe DESC, run_id LIMIT 25"""
     o["leaderboard_topk_per_group"] = with_(BOARD) + """SELECT generation, rank, run_id, round(sharpe, 6) AS sharpe FROM (
@@ -578,14 +590,13 @@ ON_GRID = """pts AS (SELECT g.source, g.ts, o.value, row_number() OVER (PARTITIO
 def external_oracles():
     o = {}
     o["external_json_parse"] = """SELECT source, ts, arg_min(value, k) AS value FROM (
-        SELECT o_orderpriority || '/' || (o_orderkey // 100) % 2 AS source, o_orderdate + INTERVAL 7305 DAYS AS ts, o_totalprice AS value,
+        SELECT o_orderpriority || '/' || (o_orderkey // 100) % 4 AS source, o_orderdate + INTERVAL 7305 DAYS AS ts, o_totalprice AS value,
           o_orderkey AS k FROM orders WHERE o_orderkey % 31 <> 0 AND o_orderkey % 29 <> 0) GROUP BY source, ts"""
     o["external_csv_parse"] = """SELECT o_orderpriority AS source, o_orderdate AS ts, arg_min(o_totalprice, o_orderkey) AS value
         FROM orders WHERE o_orderkey % 23 <> 0 AND o_orderkey % 19 <> 0 GROUP BY 1, 2"""
     o["external_retention"] = """WITH r AS (SELECT CASE WHEN o_orderkey % 10 < 7 THEN 'A' ELSE 'B' END AS source, o_orderdate AS ts,
-          o_totalprice AS value, o_orderkey FROM orders),
-        big AS (SELECT source, sum(length('{"t":"1995-01-01","v":' || o_orderkey || '}')) >= 300000 AS big FROM r GROUP BY source)
-        SELECT r.* FROM r JOIN big USING (source) WHERE NOT big OR ts >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAYS"""
+          o_totalprice AS value, o_orderkey FROM orders)
+        SELECT r.* FROM r WHERE ts >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAYS"""
     o["external_upsert"] = """SELECT 'orders' AS source, ts, arg_max(value, (late, k)) AS value, strftime(ts, '%Y-%m') AS month FROM (
         SELECT o_orderdate AS ts, o_totalprice AS value, o_orderkey AS k, o_orderkey % 3 = 0 AND o_orderdate >= TIMESTAMP '1998-01-01' AS late
         FROM orders) GROUP BY ts"""
@@ -673,7 +684,7 @@ def table_oracles():
 def stream_oracles(o):
     for name, source in {"stream_trailing_return": "trailing_return_30s", "stream_trade_flow": "trailing_trade_flow"}.items():
         o[name] = o[source]
-    o["stream_features"] = with_(*FULL) + o["indicators_all"].rsplit("\n", 1)[-1].replace("FROM ind", "FROM ind WHERE rn >= 14")
+    o["stream_features"] = with_(*FULL) + o["indicators_all"].rsplit("\n", 1)[-1]
     o["stream_rollup"] = with_(TICKS, bars()) + f"SELECT symbol, ts, {BAR_OUT} FROM bars"
     o["stream_bar_sink"] = with_(TICKS, bars()) + "SELECT 'bars' AS sink, * FROM bars UNION ALL SELECT 'copy', * FROM bars"
     o["stream_closed_bars"] = """SELECT symbol, open_time_ms, min(seq) AS seq, arg_min(close, seq) AS close, true AS is_closed FROM (
@@ -711,7 +722,7 @@ def stream_oracles(o):
         {money('cside * (cx - ce) / ce * 50 - 0.1', 2)} AS net_pnl FROM s WHERE why IS NOT NULL"""
     win = "(PARTITION BY symbol ORDER BY ts_ms RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"
     o["stream_snapshot"] = with_(*BASE, "t AS (SELECT *, price * qty AS pq, CASE WHEN is_buyer_maker THEN -price * qty ELSE price * qty END AS s FROM ticks)",
-        "last AS (SELECT symbol, arg_max(volume, rn) AS volume, least(count(*), 100) AS candles_ready FROM x GROUP BY symbol)",
+        "last AS (SELECT symbol, arg_max(volume, rn) AS volume, count(*) AS candles_ready FROM x GROUP BY symbol)",
         """g AS (SELECT symbol, count(*) AS gaps FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM x)
              WHERE ts > p + INTERVAL 1 HOUR GROUP BY symbol)""") + f"""
         SELECT symbol, ts_ms, seq, price, return_pct, cvd_short, cvd_long, vwap, trade_count, volume, candles_ready, coalesce(gaps, 0) AS gaps

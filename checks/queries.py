@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,9 +234,8 @@ def rules_fingerprint(spark, sf):
 
 @query
 def rules_dedup(spark, sf):
-    old = rules.parse_documents(
-        fx.rule_documents(fx.table(spark, sf, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal")
-    ).filter("rule_key % 9 = 0")
+    suppliers = fx.table(spark, sf, "supplier").withColumn("s_suppkey", F.col("s_suppkey") * 9)
+    old = rules.parse_documents(fx.rule_documents(suppliers, "s_suppkey", "s_nationkey", "s_acctbal"))
     fresh = _documents(spark, sf).withColumn("fp", rules.fingerprint())
     return rules.dedup(fresh, ["rule_key"], old.select(rules.fingerprint().alias("fp"))).select("rule_key", "fp")
 
@@ -313,7 +313,7 @@ def equity_curve(spark, sf):
 @query
 def leaderboard_compact(spark, sf):
     """Two generations of log lines, the older one with fewer columns, and some broken lines."""
-    board = fx.board(spark, sf).withColumn("run_id", F.col("run_id").cast("string"))
+    board = fx.board(spark, sf)
     older, newer = board.filter("generation < 12"), board.filter("generation >= 12")
     rows = lb.add_rows(older.drop("oos_sharpe", "oos_trades", "overfit"), newer)
     line = F.to_json(F.struct(*rows.columns))
@@ -340,7 +340,7 @@ def leaderboard_digest(spark, sf):
 
 @query
 def lineage_chain(spark, sf):
-    return lineage.chains(fx.lineage(spark, sf))
+    return lineage.chains(fx.lineage(spark, sf), ["logged"])
 
 
 # external series ---------------------------------------------------------------------------
@@ -358,21 +358,25 @@ def _landed_json(spark, sf):
         .otherwise(F.concat(F.lit('"'), seconds.cast("string"), F.lit('"')))
     )
     value = F.when(k % 29 == 0, F.lit('"bad"')).otherwise(F.col("o_totalprice").cast("string"))
-    item = F.concat(F.lit('{"timestamp":'), when, F.lit(',"value":'), value, F.lit("}"))
     block = F.floor(k / 100)
+    named = F.concat(F.lit('{"timestamp":'), when, F.lit(',"value":'), value, F.lit("}"))
+    item = F.when(block % 4 == 2, F.concat(F.lit("["), when, F.lit(","), value, F.lit("]"))).otherwise(named)
     return (
         fx.table(spark, sf, "orders")
-        .groupBy(F.concat_ws("/", "o_orderpriority", (block % 2).cast("string")).alias("source"), block.alias("payload_id"))
+        .groupBy(F.concat_ws("/", "o_orderpriority", (block % 4).cast("string")).alias("source"), block.alias("payload_id"))
         .agg(F.concat(F.lit("["), F.concat_ws(",", F.array_sort(F.collect_list(F.struct(k, item.alias("t"))))["t"]), F.lit("]")).alias("list"))
-        .withColumn("payload", F.when(F.col("payload_id") % 2 == 0, F.concat(F.lit('{"data":'), "list", F.lit("}"))).otherwise(F.col("list")))
+        .withColumn("under", F.when(F.col("payload_id") % 4 == 2, "prices").when(F.col("payload_id") % 4 == 0, "data"))
+        .withColumn("payload", F.coalesce(F.concat(F.lit('{"'), "under", F.lit('":'), "list", F.lit("}")), "list"))
     )
 
 
 @query
 def external_json_parse(spark, sf):
     landed = _landed_json(spark, sf)
-    nested = external.parse_json(landed.filter("payload_id % 2 = 0"), "data[0].timestamp", "data[0].value")
-    return nested.unionByName(external.parse_json(landed.filter("payload_id % 2 = 1"), "timestamp", "value"))
+    nested = external.parse_json(landed.filter("under = 'data'"), "data[0].timestamp", "data[0].value")
+    listed = external.parse_json(landed.filter("under = 'prices'"), "prices[0].0", "prices[0].1")
+    plain = external.parse_json(landed.filter("under IS NULL"), "timestamp", "value")
+    return nested.unionByName(listed).unionByName(plain)
 
 
 @query
@@ -382,7 +386,11 @@ def external_csv_parse(spark, sf):
     fx.table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("source"),
         k,
-        F.when(k % 23 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("when"),
+        F.when(k % 23 == 0, "n/a")
+        .when(k % 4 == 1, F.date_format("o_orderdate", "MM/dd/yyyy"))
+        .when(k % 4 == 2, F.date_format("o_orderdate", "yyyyMMdd"))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .alias("when"),
         F.when(k % 19 == 0, "x").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
     ).write.option("header", True).csv(path)
     rows = spark.read.option("header", True).csv(path).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
@@ -397,10 +405,8 @@ def external_retention(spark, sf):
         F.col("o_orderdate").alias("ts"),
         F.col("o_totalprice").alias("value"),
         k,
-        F.concat(F.lit('{"t":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('","v":'), k, F.lit("}")).alias("payload"),
     )
-    kept = external.retain(rows.drop("payload"), rows.select("source", "payload"), "2001-08-01", 300_000)
-    return kept
+    return external.retain(rows, "2001-08-01", 365)
 
 
 @query
@@ -664,7 +670,7 @@ def stream_rollup(spark, sf):
     out, checkpoint = _fresh(spark, "rollup", "cp")
     rolled = state.rollup(fx.shape_ticks(_event_stream(spark, sf)), "1h")
     query = rolled.writeStream.outputMode("update").foreachBatch(sinks.rollup_sink(out))
-    sinks._finish(query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), 600)
+    sinks._finish(query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     return spark.read.parquet(out).drop("month")
 
 
@@ -689,11 +695,19 @@ def stream_trade_flow(spark, sf):
 def stream_bar_sink(spark, sf):
     bars_path, copy_path, checkpoint = _fresh(spark, "bars", "copy", "cp")
 
+    failed = []
+
     def broken(batch, batch_id):
-        raise ValueError("this sink always fails")
+        if not failed:
+            failed.append(batch_id)
+            raise ValueError("this sink fails once")
 
     fan = sinks.bar_sinks({"broken": broken, "bars": sinks.upsert_sink(bars_path), "copy": sinks.copy_sink(copy_path)})
-    sinks.drain(_landed_stream(fx.bars(spark, sf).withColumn("exchange", F.lit("test")), "landed"), fan, checkpoint)
+    landed = _landed_stream(fx.bars(spark, sf).withColumn("exchange", F.lit("test")), "landed")
+    try:
+        sinks.drain(landed, fan, checkpoint)
+    except StreamingQueryException:
+        sinks.drain(landed, fan, checkpoint)  # the failed batch comes again, for all sinks
     columns = ["symbol", "ts", *BAR]
     bars = spark.read.parquet(bars_path).select(F.lit("bars").alias("sink"), *columns)
     return bars.unionByName(spark.read.parquet(copy_path).select(F.lit("copy").alias("sink"), *columns))
@@ -719,4 +733,4 @@ def stream_snapshot(spark, sf):
     out, tail, checkpoint = _fresh(spark, "snapshot", "tail", "cp")
     sink = sinks.snapshot_sink(out, tail, fx.bars(spark, sf), 6 * HOUR_MS, 6 * HOUR_MS, 12 * HOUR_MS, HOUR_MS)
     sinks.drain(fx.shape_ticks(_event_stream(spark, sf)), sink, checkpoint)
-    return sinks.latest_snapshot(spark, out, 0)
+    return sinks.latest_snapshot(spark, out)

@@ -111,9 +111,10 @@ def test_json_observations(spark):
         {"timestamp": None, "value": 3}, {"timestamp": "soon", "value": 4}, {"timestamp": 1_700_000_100, "value": "n/a"}, {"timestamp": 9e14, "value": 1}]}
     one = {"timestamp": 1_700_000_000, "value": True}
     df = spark.createDataFrame([("many", 0, json.dumps(nested)), ("one", 0, json.dumps({"data": one}))], "source string, payload_id long, payload string")
-    got = external.parse_json(df, "data[0].timestamp", "data[0].value").orderBy("source", "ts").collect()
-    assert [(r.source, str(r.ts), r.value) for r in got] == [
-        ("many", "2023-11-14 22:13:20", 1.5), ("many", "2023-11-15 00:00:00", 2.0), ("one", "2023-11-14 22:13:20", 1.0)]
+    got = external.parse_json(df, "data[0].timestamp", "data[0].value").orderBy("source", "ts")
+    got = got.select("source", F.unix_seconds("ts").alias("at"), "value").collect()
+    assert [(r.source, r["at"], r.value) for r in got] == [
+        ("many", 1_700_000_000, 1.5), ("many", 1_700_006_400, 2.0), ("many", 900_000_000_000, 1.0), ("one", 1_700_000_000, 1.0)]
     ints = [{"t": 1_700_000_000, "v": "7"}, {"t": 1_700_000_001, "v": "7.5"}, {"t": 1_700_000_002, "v": 7.9}]
     df = spark.createDataFrame([("s", 0, json.dumps(ints))], "source string, payload_id long, payload string")
     assert [r.value for r in external.parse_json(df, "t", "v", "int").orderBy("ts").collect()] == [7, 7]
@@ -158,8 +159,8 @@ def test_alignment_equals_reindexing(spark, small_chunks):
 def test_retention(spark):
     obs = spark.createDataFrame([("big", "2020-01-01"), ("big", "2024-01-01"), ("small", "2020-01-01")], "source string, ts string")
     obs = obs.withColumn("ts", F.col("ts").cast("timestamp"))
-    body = spark.createDataFrame([("big", "x" * 600_000), ("big", "y" * 400_000), ("small", "z")], "source string, payload string")
-    assert external.retain(obs, body, "2024-06-01").count() == 2
+    assert external.retain(obs, "2024-06-01").count() == 3
+    assert external.retain(obs, "2024-06-01", 365).count() == 1
 
 
 # trailing windows --------------------------------------------------------------------------
@@ -193,17 +194,13 @@ def test_trailing_flow_cases(spark):
     assert last((1000, 100, 0, False)).vwap is None
 
 
-@pytest.mark.parametrize("bucket_rows", ["100", "100000"])
-def test_trailing_windows_on_a_burst(spark, small_chunks, bucket_rows):
-    # A burst too large for a time bucket, and the same rows in time buckets.
-    spark.conf.set(trailing.BUCKET_ROWS_CONF, bucket_rows)
+def test_trailing_windows_on_a_burst(spark, small_chunks):
     rng = np.random.default_rng(4)
     spread = np.sort(np.concatenate([rng.integers(0, 4000, 500), 3_599_000 + rng.integers(0, 2000, 300)]))
     rows = [(int(t), rng.uniform(1, 9), rng.integers(1, 5), bool(rng.random() < 0.5)) for t in spread]
     df = ticks(spark, *rows)
     ret = collect(trailing.trailing_return(df, 300), "seq")
     flow = collect(trailing.trailing_flow(df, 100, 300), "seq")
-    spark.conf.unset(trailing.BUCKET_ROWS_CONF)
     for i, (t, p, _, _) in enumerate(rows):
         inside = [r for r in rows[: i + 1] if r[0] >= t - 300]
         brief = [r for r in inside if r[0] >= t - 100]
@@ -254,21 +251,65 @@ def test_log_skips_broken_lines_and_fills_missing_columns(spark):
 def test_lineage_stops_at_unknown_parents_and_in_cycles(spark):
     rows = [("a", "", 1), ("b", "a,x", 2), ("c", "b", 3), ("lost", "ghost", 1), ("p", "q", 1), ("q", "p", 1)]
     nodes = lineage.first_parents(spark.createDataFrame(rows, "strategy_id string, parent_ids string, generation int"))
-    got = lineage.chains(nodes, 10).toPandas().sort_values("hop").groupby("strategy_id")["node"].agg(list)
+    got = lineage.chains(nodes).toPandas().sort_values("hop").groupby("strategy_id")["node"].agg(list)
     assert got["c"] == ["c", "b", "a"] and got["lost"] == ["lost"]
-    assert got["p"] == ["p", "q"] * 5
-    assert [r.node for r in lineage.chain_of(spark, nodes, "c").orderBy("hop").collect()] == ["c", "b", "a"]
+    assert got["p"] == ["p", "q"] and got["q"] == ["q", "p"]
+    assert [r.node for r in lineage.chain_of(nodes, "c").orderBy("hop").collect()] == ["c", "b", "a"]
     assert lineage.edges(nodes).filter("strategy_id = 'b'").count() == 2
 
 
+def test_lineage_takes_the_first_row_and_long_chains(spark):
+    rows = [("c", "b", 0), ("c", "z", 1), ("b", "a", 0), ("b", "z", 1), ("a", None, 0), ("z", None, 0)]
+    rows += [(f"n{i:03}", f"n{i - 1:03}" if i else None, 0) for i in range(150)]
+    nodes = spark.createDataFrame(rows, "strategy_id string, parent_id string, logged int")
+    assert [r.node for r in lineage.chain_of(nodes, "c", ["logged"]).orderBy("hop").collect()] == ["c", "b", "a"]
+    assert lineage.chain_of(nodes, "n149", ["logged"]).count() == 150
+
+
+def test_numeric_looking_partition_names_keep_their_rows(spark):
+    path = staging.new_path(spark, "exchange")
+    for i, ts in enumerate(("2026-05-01 00:00:00", "2026-05-01 00:01:00", "2026-05-01 00:02:00")):
+        assert store.upsert(bars(spark, [ts], float(i)).withColumn("exchange", F.lit("007")), path) == i + 1
+    twice = bars(spark, ["2026-05-01 00:00:00"], 8.0).unionByName(bars(spark, ["2026-05-01 00:00:00"], 9.0)).withColumn("exchange", F.lit("007"))
+    assert store.upsert(twice, path) == 3
+    got = store.read(spark, path).orderBy("ts").collect()
+    assert [(r.exchange, r.close) for r in got] == [("007", 9.0), ("007", 1.0), ("007", 2.0)]
+
+
+def test_log_keeps_rows_with_odd_values(spark):
+    path = staging.new_path(spark, "log")
+    lines = ['{"run_id": "a", "n_trades": 40.0, "llm_confidence": "high", "new": 7}', "{broken", "[1]", " "]
+    spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(path)
+    (row,) = leaderboard.read_log(spark, path).collect()
+    assert (row.run_id, row.n_trades, row.llm_confidence) == ("a", 40, None) and json.loads(row.line)["new"] == 7
+    assert sorted(r.value for r in leaderboard.broken_lines(spark, path).collect()) == ["[1]", "{broken"]
+
+
+def test_digest_with_text_ids(spark):
+    board = spark.createDataFrame([("b1", 2.0, 20), ("a2", 2.0, 20), ("c", 1.0, 20)], "run_id string, sharpe double, n_trades long")
+    board = board.withColumns({"oos_trades": F.lit(0).cast("long"), "overfit": F.lit(False)})
+    assert leaderboard.digest(board).first().best_run == "a2"
+
+
+def test_external_forms(spark):
+    body = '{"prices": [[1704067200000, 5.5], [1704067260000, "6"], ["x", 1]]}'
+    rows = spark.createDataFrame([("s", body, 1)], "source string, payload string, payload_id int")
+    got = external.parse_json(rows, "prices[0].0", "prices[0].1").orderBy("ts").collect()
+    assert [r.value for r in got] == [5.5, 6.0]
+    times = ["01/02/2024", "20240102", "2024-01-02T00:00:00Z", "02-Jan-2024", "no"]
+    csv = spark.createDataFrame([("s", t, str(9 - i), i) for i, t in enumerate(times)], "source string, when string, price string, at int")
+    (row,) = external.parse_csv(csv, "when", "price", order=["at"]).collect()
+    assert (str(row.ts), row.value) == ("2024-01-02 00:00:00", 9.0)
+
+
 def test_runs_and_logs(spark):
     path = staging.new_path(spark, "runs")
     trades = spark.createDataFrame([(1, 2.0)], "rn long, net_pnl double")
     summary = spark.createDataFrame([("a", 1)], "symbol string, n_trades long")
-    for run in ("r1", "r2", "r1"):
-        results.save_run(trades, summary, path, run, "vwap_bounce", {"horizon": 12}, "2024-01-01")
+    for run in ("000000000123", "r2", "000000000123"):
+        results.save_run(trades, summary, path, run, "vwap_bounce", {"horizon": 12, "nest": {"a": 1}}, "2024-01-01")
     got = results.read_run(spark, path).orderBy("run_id").collect()
-    assert [(r.run_id, json.loads(r.config)) for r in got] == [("r1", {"horizon": "12"}), ("r2", {"horizon": "12"})]
+    assert [(r.run_id, json.loads(r.config)) for r in got] == [("000000000123", {"horizon": 12, "nest": {"a": 1}}), ("r2", {"horizon": 12, "nest": {"a": 1}})]
     assert results.read_run(spark, path, "trades").count() == 2
 
     log = staging.new_path(spark, "fp")

@@ -54,11 +54,15 @@ def pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    first = table(spark, sf_dir, "orders").select(
         key.alias("strategy_id"),
         F.when(key > 0, F.floor(key / 2)).alias("parent_id"),
         F.col("o_totalprice").alias("fitness"),
+        F.lit(0).alias("logged"),
     )
+    # Some strategies are logged again later, with another parent.
+    again = first.filter("strategy_id % 7 = 3").withColumns({"parent_id": F.floor(F.col("strategy_id") / 3), "logged": F.lit(1)})
+    return first.unionByName(again)
 
 
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +71,12 @@ def board(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "customer")
         .join(trades, "c_custkey", "left")
         .select(
-            F.col("c_custkey").alias("run_id"),
+            F.col("c_custkey").cast("string").alias("run_id"),
             F.col("c_nationkey").alias("generation"),
             (F.col("c_acctbal") / 10000).alias("sharpe"),
             F.coalesce("k", F.lit(0)).alias("n_trades"),
         )
-        .withColumn("oos_sharpe", F.col("sharpe") - (F.col("run_id") % 7) / 10)
+        .withColumn("oos_sharpe", F.col("sharpe") - (F.col("run_id").cast("long") % 7) / 10)
         .withColumn("oos_trades", F.floor(F.col("n_trades") / 2))
         .withColumn("overfit", (F.col("oos_sharpe") < F.col("sharpe") - 0.3) & (F.col("oos_trades") >= 10))
     )

@@ -10,25 +10,32 @@ from pyspark.sql import functions as F
 from tidemark.functions.intervals import SECONDS, ceil_to, floor_to, since
 from tidemark.plans.series import Run, chunked, index_rows
 
-TRIM_BYTES = 1_000_000
-TRIM_DAYS = 365
 DAY = 86_400_000_000
-MAX_MICROS = 9_223_372_036_854_775
+# Forms of dates beyond ISO that daily files use: fixed values.
+DATE_FORMATS = ("MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "yyyy/MM/dd", "dd-MMM-yyyy", "dd MMM yyyy", "MMM d, yyyy", "yyyyMMdd HH:mm:ss")
 
 
 # parsing ---------------------------------------------------------------------------------
 
 
-def coerce_ts(text: Column) -> Column:
-    """Numbers as milliseconds, seconds or nanoseconds by magnitude; other text as ISO.
+def parse_time(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """A date or time written as text: eight digits as a day, ISO, or one of ``formats``; NULL if none fits."""
+    day = F.when(text.rlike("^[12][0-9]{7}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+    return F.coalesce(day, text.try_cast("timestamp"), *(F.try_to_timestamp(text, F.lit(f)) for f in formats))
 
-    NULL if neither, or past what 64-bit nanoseconds can hold.
-    """
+
+def coerce_ts(text: Column) -> Column:
+    """Numbers as milliseconds, seconds or nanoseconds by magnitude; other text as a date or time."""
     number = text.try_cast("double")
     micros = F.when(number > 1e12, number * 1e3).when(number > 1e8, number * 1e6).otherwise(number / 1e3)
     at = F.when(number.isNotNull(), F.timestamp_micros(F.round(micros).try_cast("long")))
-    at = at.otherwise(text.try_cast("timestamp"))
-    return F.when(F.abs(F.unix_micros(at)) < MAX_MICROS, at)
+    return at.otherwise(parse_time(text))
+
+
+def variant_path(path: str) -> str:
+    """``a[0].b.1`` as a path into a variant: numbers are places in a list."""
+    steps = [x for x in path.replace("[", ".").replace("]", "").split(".") if x]
+    return "$" + "".join(f"[{x}]" if x.isdigit() else f".{x}" for x in steps)
 
 
 def _transform(item: Column, field: str, kind: str) -> Column:
@@ -55,16 +62,16 @@ def parse_json(
     """Observations ``(source, ts, value)`` of JSON payloads ``(source, payload, *order)``.
 
     ``data[0].timestamp`` means: items are the list under ``data``, the field is
-    ``timestamp``.  A single object counts as one item.  Rows whose time or value does
+    ``timestamp``; in ``prices[0].0`` items are lists themselves and the field their first place.  A single object counts as one item.  Rows whose time or value does
     not convert are dropped; the first of equal timestamps is kept.
     """
     doc = F.try_parse_json("payload")
-    where = "$." + ts_path.rsplit("[", 1)[0] if "[" in ts_path else "$"
+    where = variant_path(ts_path.rsplit("[", 1)[0]) if "[" in ts_path else "$"
     found = F.try_variant_get(doc, where, "variant")
     many = F.try_variant_get(found, "$", "array<variant>")
     one = F.when(F.schema_of_variant(found).startswith("OBJECT"), found).otherwise(doc)
     items = F.coalesce(many, F.array(one))
-    ts_field, value_field = ("$." + p.split(".")[-1] for p in (ts_path, value_path))
+    ts_field, value_field = (variant_path(p.split(".")[-1]) for p in (ts_path, value_path))
     rows = payloads.select("source", *order, F.posexplode(items).alias("_pos", "_item")).select(
         "source",
         *order,
@@ -78,21 +85,32 @@ def parse_json(
 
 
 def parse_csv(
-    rows: DataFrame, ts_field: str, value_field: str, transform: str = "float", order: Sequence[str] = ()
+    rows: DataFrame, ts_field: str, value_field: str, order: Sequence[str], transform: str = "float"
 ) -> DataFrame:
-    """Observations of header-named CSV rows (all columns read as text)."""
+    """Observations of header-named CSV rows (all columns read as text), the first of equal times by ``order``.
+
+    ``order`` is the position in the file: a column that numbers the rows, or ``FILE_ORDER`` of ``with_file_order``.
+    """
     value = F.col(value_field).try_cast("double") if transform == "float" else F.col(value_field)
-    parsed = rows.select("source", *order, F.col(ts_field).try_cast("timestamp").alias("ts"), value.alias("value"))
-    return _first_per_ts(parsed.dropna(subset=["ts", "value"]), ["source"], order or ["value"]).select(
+    parsed = rows.select("source", *order, parse_time(F.col(ts_field)).alias("ts"), value.alias("value"))
+    return _first_per_ts(parsed.dropna(subset=["ts", "value"]), ["source"], order).select(
         "source", "ts", "value"
     )
 
 
-def retain(observations: DataFrame, payloads: DataFrame, as_of, trim_bytes: int = TRIM_BYTES) -> DataFrame:
-    """Keep one year of sources whose payloads reach a megabyte, everything of the others."""
-    sizes = payloads.groupBy("source").agg((F.sum(F.octet_length("payload")) >= trim_bytes).alias("_big"))
-    kept = ~F.coalesce("_big", F.lit(False)) | since(F.col("ts"), as_of, TRIM_DAYS)
-    return observations.join(sizes, "source", "left").filter(kept).drop("_big")
+FILE_ORDER = ("_file", "_block", "_row")
+
+
+def with_file_order(rows: DataFrame) -> DataFrame:
+    """Rows just read from files, with columns that give their place: file, block of the file, row of the block."""
+    return rows.withColumns(
+        {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
+    )
+
+
+def retain(observations: DataFrame, as_of, days: int | None = None) -> DataFrame:
+    """Observations of the last ``days`` before ``as_of``; all of them unless an age is asked for."""
+    return observations if days is None else observations.filter(since(F.col("ts"), as_of, days))
 
 
 # alignment -------------------------------------------------------------------------------

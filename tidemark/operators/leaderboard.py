@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import staging
 
@@ -24,8 +25,28 @@ def append_results(rows: DataFrame, log_path: str) -> None:
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    """All readable rows of the log; broken lines are skipped."""
-    return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(log_path)
+    """All rows of the log, and the text of each line in ``line``.
+
+    A value that does not convert to its column is NULL, columns beyond the fixed set stay in ``line``.  Lines
+    that are no JSON object are not rows; ``broken_lines`` has them.
+    """
+    rows = _lines(spark, log_path).filter(_is_object())
+    fields = T.StructType.fromDDL(SCHEMA)
+    values = (F.try_variant_get("doc", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields)
+    return rows.select(*values, F.col("value").alias("line"))
+
+
+def broken_lines(spark: SparkSession, log_path: str) -> DataFrame:
+    """The lines of the log that are no rows; blank ones are none."""
+    return _lines(spark, log_path).filter(~_is_object() & (F.trim("value") != "")).select("value")
+
+
+def _lines(spark: SparkSession, log_path: str) -> DataFrame:
+    return spark.read.text(log_path).select("value", F.try_parse_json("value").alias("doc"))
+
+
+def _is_object() -> Column:
+    return F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
 
 
 def compact(spark: SparkSession, log_path: str, table_path: str | None = None) -> DataFrame:
@@ -73,5 +94,5 @@ def digest(board: DataFrame) -> DataFrame:
         F.avg(F.when(ranked, sharpe)).alias("mean_sharpe"),
         F.count_if(ranked & _tested_out_of_sample()).alias("n_oos_passed"),
         F.max(sharpe).alias("best_sharpe"),
-        F.max_by("run_id", F.struct(sharpe, -F.col("run_id"))).alias("best_run"),
+        F.min_by("run_id", F.struct(-sharpe, F.col("run_id"))).alias("best_run"),
     )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import staging
 
-MAX_HOPS = 100
-
 
 def first_parents(nodes: DataFrame) -> DataFrame:
     """``parent_ids`` (comma-joined string) as an array and its first entry as ``parent_id``."""
@@ -21,45 +21,45 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select("strategy_id", F.posexplode("parent_ids").alias("pos", "parent_id"))
 
 
-def chains(nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def first_of_each(nodes: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """One row per id: the first by ``order``, then by the other columns."""
+    rest = [c for c in nodes.columns if c != "strategy_id" and c not in order]
+    first = Window.partitionBy("strategy_id").orderBy(*order, *rest)
+    return nodes.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
+
+
+def chains(nodes: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """``(strategy_id, hop, node)`` for every strategy, hop 0 being itself.
 
-    Path doubling: after step k the paths hold 2**k hops, so 100 hops take seven joins.
-    Unknown parents end a chain; cycles end at ``max_hops`` nodes.
+    Of rows that repeat an id the first (by ``order``) counts.  Unknown parents end a chain, as does the first
+    node met again.  Path doubling: after step k the paths hold 2**k hops; a strategy whose path has met
+    its root or closed a circle takes no further part.
     """
-    ids = nodes.select("strategy_id").distinct()
+    nodes = first_of_each(nodes, order)
+    ids = nodes.select("strategy_id")
     jump = (
         nodes.filter(F.col("parent_id").isNotNull())
         .select("strategy_id", F.col("parent_id").alias("to"))
         .join(ids.withColumnRenamed("strategy_id", "to"), "to", "left_semi")
+        .filter("strategy_id <> to")
         .select("strategy_id", "to")
     )
     jump = staging.save(jump, "lineage-jump")
-    paths = ids.select("strategy_id", F.lit(0).alias("hop"), F.col("strategy_id").alias("node"))
+    paths = ids.select("strategy_id", F.lit(0).cast("long").alias("hop"), F.col("strategy_id").alias("node"))
     reach = 1
-    while reach < max_hops and not jump.isEmpty():
+    while not jump.isEmpty():
         onward = paths.withColumnRenamed("strategy_id", "to")
         longer = jump.join(onward, "to").select("strategy_id", (F.col("hop") + reach).alias("hop"), "node")
-        paths = staging.save(paths.unionByName(longer), "lineage-paths")
+        met = paths.unionByName(longer).groupBy("strategy_id", "node").agg(F.min("hop").alias("hop"))
+        paths = staging.save(met.select("strategy_id", "hop", "node"), "lineage-paths")
         second = jump.select(F.col("strategy_id").alias("to"), F.col("to").alias("then"))
-        jump = staging.save(
-            jump.join(second, "to").select("strategy_id", F.col("then").alias("to")), "lineage-jump"
-        )
+        further = jump.join(second, "to").select("strategy_id", F.col("then").alias("to"))
+        known = paths.select("strategy_id", F.col("node").alias("to"))
+        jump = staging.save(further.join(known, ["strategy_id", "to"], "left_anti"), "lineage-jump")
         reach *= 2
-    return paths.filter(F.col("hop") < max_hops)
+    return paths
 
 
-def chain_of(spark: SparkSession, nodes: DataFrame, strategy_id) -> DataFrame:
-    """The chain of one strategy, as a recursive query with a depth guard."""
-    return spark.sql(
-        """
-        WITH RECURSIVE chain(node, parent_id, hop) AS (
-          SELECT strategy_id, parent_id, 0 FROM {nodes} WHERE strategy_id = :id
-          UNION ALL
-          SELECT n.strategy_id, n.parent_id, c.hop + 1 FROM chain c JOIN {nodes} n ON n.strategy_id = c.parent_id
-          WHERE c.hop < 98)
-        SELECT hop, node FROM chain
-        """,
-        args={"id": strategy_id},
-        nodes=nodes,
-    )
+def chain_of(nodes: DataFrame, strategy_id, order: Sequence[str] = ()) -> DataFrame:
+    """The chain of one strategy."""
+    return chains(nodes, order).filter(F.col("strategy_id") == strategy_id).select("hop", "node")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -88,62 +89,49 @@ def max_drawdown(rows: DataFrame, keys: Sequence[str], value: str = "net_pnl", p
     )
 
 
+PRIME = 2_147_483_647
+#: Of PRIME equally likely numbers, how many lie at or below each count of a Poisson variable of mean 1 (0, 1, ... 8).
+POISSON = tuple(int(PRIME * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(9))
+
+
+def draw_weights(position: np.ndarray, draw: int) -> np.ndarray:
+    """How often resample ``draw`` takes each row: Poisson counts from integer arithmetic that any engine can repeat."""
+    x = (position % PRIME * 48_271 + draw * 69_621 + 7) % PRIME
+    for shift in (1, 3):
+        x = (x * x % PRIME + x * shift + draw) % PRIME
+    return np.searchsorted(POISSON, x, "left")
+
+
 def bootstrap_pvalue(
-    rows: DataFrame, keys: Sequence[str], value: str = "net_pnl", position: str = "rn", resamples: int = 1000, seed: int = 7
+    rows: DataFrame, keys: Sequence[str], value: str = "net_pnl", position: str = "rn", resamples: int = 1000
 ) -> DataFrame:
     """Two-sided p-value of a zero mean: share of centred resamples at least as far out.
 
-    A resample of a run draws from its chunks in multinomial shares (the same draw in
-    every task, from the shared seed) and uniformly within a chunk, so that no task
-    holds more than one chunk.  Fewer than five values give 1.
+    Resamples weigh each row by a Poisson count that follows from its position and the number of the
+    resample, so one pass over the rows of any chunk gives its part of all resamples.  Fewer than five
+    values give 1.
     """
     keys = list(keys)
-    # Every task draws a thousand times its rows: smaller chunks spread that work.
+    # Every task makes a thousand weights per row: smaller chunks spread that work.
     size = max(1, chunk_rows(rows.sparkSession) // 8)
-    table = rows.select(*keys, value, F.floor(F.col(position) / F.lit(size)).alias("_chunk"))
-    sizes = table.groupBy(*keys, "_chunk").agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum")
-    )
-    sizes = staging.save(sizes, "run-chunks")
-    runs = sizes.groupBy(*keys).agg(
-        F.sum("_rows").alias("_n"),
-        (F.sum("_sum") / F.sum("_rows")).alias("_mean"),
-        F.array_sort(F.collect_list(F.struct("_chunk", "_rows"))).alias("_sizes"),
-    )
-    key_fields = [table.schema[k] for k in keys]
+    table = rows.select(*keys, F.col(value).cast("double").alias("_value"), F.col(position).cast("long").alias("_position"))
+    table = staging.save(table.withColumn("_chunk", F.floor(F.col("_position") / F.lit(size))), "run-rows")
+    runs = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_value").alias("_mean"))
     schema = T.StructType(
-        [*key_fields, T.StructField("_draw", T.LongType()), T.StructField("_part", T.DoubleType())]
+        [*(table.schema[k] for k in keys), *(T.StructField(c, T.DoubleType()) for c in ("_sum", "_weight")), T.StructField("_draw", T.LongType())]
     )
 
-    def draw(pdf: pd.DataFrame, run: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or run.empty:
-            return pd.DataFrame(columns=schema.names)
-        values = pdf[value].to_numpy() - float(run["_mean"].iloc[0])
-        chunks = [int(s["_chunk"]) for s in run["_sizes"].iloc[0]]
-        share = np.array([s["_rows"] for s in run["_sizes"].iloc[0]], dtype=float)
-        total, mine = int(share.sum()), chunks.index(int(pdf["_chunk"].iloc[0]))
-        shared = np.random.default_rng([seed, total])
-        own = np.random.default_rng([seed, total, mine])
-        parts = []
-        for _ in range(resamples):
-            count = total if len(chunks) == 1 else int(shared.multinomial(total, share / total)[mine])
-            parts.append(values.take(own.integers(0, len(values), count, dtype=np.uint32)).sum())
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        values, at = pdf["_value"].to_numpy(), pdf["_position"].to_numpy()
+        weights = (draw_weights(at, b) for b in range(resamples))
+        sums = np.array([(w @ values, w.sum()) for w in weights]).reshape(resamples, 2)
         first = {k: [pdf[k].iloc[0]] * resamples for k in keys}
-        return pd.DataFrame({**first, "_draw": np.arange(resamples), "_part": parts})
-
-    chunk_of_run = sizes.select(*keys, F.col("_chunk").alias("_part_of")).join(runs.filter("_n >= 5"), keys)
-    chunk_of_run = chunk_of_run.select(*(F.col(k).alias(f"_{k}") for k in keys), "_part_of", "_mean", "_sizes")
-    draws = (
-        table.groupBy(*keys, "_chunk")
-        .cogroup(chunk_of_run.groupBy(*(f"_{k}" for k in keys), "_part_of"))
-        .applyInPandas(draw, schema)
-    )
-    draws = draws.groupBy(*keys, "_draw").agg(F.sum("_part").alias("_sum"))
-    judged = (
-        draws.join(runs.select(*keys, "_n", "_mean"), keys)
-        .groupBy(*keys)
-        .agg(F.avg((F.abs(F.col("_sum") / F.col("_n")) >= F.abs("_mean")).cast("double")).alias("p_value"))
-    )
+        return pd.DataFrame({**first, "_sum": sums[:, 0], "_weight": sums[:, 1], "_draw": np.arange(resamples)})
+
+    parts = table.groupBy(*keys, "_chunk").applyInPandas(draw, schema)
+    draws = parts.groupBy(*keys, "_draw").agg(F.sum("_sum").alias("_sum"), F.sum("_weight").alias("_weight"))
+    far = F.abs(F.coalesce(F.col("_sum") / F.nullif(F.col("_weight"), F.lit(0.0)) - F.col("_mean"), F.lit(0.0))) >= F.abs("_mean")
+    judged = draws.join(runs.filter("_n >= 5"), keys).groupBy(*keys).agg(F.avg(far.cast("double")).alias("p_value"))
     return runs.select(*keys).join(judged, keys, "left").fillna(1.0, ["p_value"])
 
 

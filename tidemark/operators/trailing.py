@@ -4,37 +4,20 @@ A time window is followed as two events per row: it enters at its own time and l
 when it is older than the window.  Window aggregates are then running sums over the
 merged events, linear in the rows however many a window holds.
 
-Rows are cut into time buckets per key, each with the rows of one window before it, so
-that one shuffle does.  If any bucket holds too many rows (checked first), events are cut
-into chunks by position instead, which bounds every task for any burst.
+Events are cut into chunks by position, which bounds every task for any burst.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import half_up, nonzero
 from tidemark.plans.series import Run, chunked, index_rows
 
 ENTER = 0
-BUCKET_ROWS_CONF = "spark.tidemark.bucketRows"
-DEFAULT_BUCKET_ROWS = 4_000_000
-MIN_BUCKET_MS = 3_600_000
-
-
-def _buckets(rows: DataFrame, keys: Sequence[str], window_ms: int) -> DataFrame | None:
-    """Rows with ``_bucket`` and ``_own``, halo rows included; None if a bucket would be too large."""
-    width = max(4 * window_ms, MIN_BUCKET_MS)
-    home = F.floor(F.col("ts_ms") / F.lit(width))
-    largest = rows.groupBy(*keys, home.alias("_bucket")).count().agg(F.max("count")).first()[0]
-    limit = int(rows.sparkSession.conf.get(BUCKET_ROWS_CONF, str(DEFAULT_BUCKET_ROWS)))
-    if (largest or 0) > limit:
-        return None
-    until = F.floor((F.col("ts_ms") + window_ms) / F.lit(width))
-    return rows.withColumn("_bucket", F.explode(F.sequence(home, until))).withColumn("_own", F.col("_bucket") == home)
 
 
 def _events(rows: DataFrame, keys: Sequence[str], windows: Sequence[int], columns: dict[str, Column]) -> DataFrame:
@@ -60,17 +43,10 @@ def _inside(value: Column, window: int) -> Column:
     return F.when(kind == ENTER, value).when(kind == window + 1, -value).otherwise(F.lit(0).cast("double"))
 
 
-def _follow(events: DataFrame, keys: Sequence[str], made: dict[str, Column], runs: Sequence[Run], bucketed: bool) -> DataFrame:
+def _follow(events: DataFrame, keys: Sequence[str], made: dict[str, Column], runs: Sequence[Run]) -> DataFrame:
     """Running aggregates over events; ``made`` are their inputs."""
-    order = ["_at", "_kind", "seq"]
-    if not bucketed:
-        ch = chunked(index_rows(events, keys, order, "events"), keys)
-        return ch.add(_first=F.col("rn") == 0).add(**made).scan(*runs).own()
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = events.withColumn("_first", F.row_number().over(w) == 1).withColumns(made)
-    total = {"sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}
-    return df.withColumns({r.out: total[r.how](r.value).over(upto) for r in runs}).filter("_own")
+    ch = chunked(index_rows(events, keys, ["_at", "_kind", "seq"], "events"), keys)
+    return ch.add(_first=F.col("rn") == 0).add(**made).scan(*runs).own()
 
 
 def trailing_return(
@@ -81,23 +57,16 @@ def trailing_return(
     ``keep`` names further columns to pass through.
     """
     rows = ticks.select(*keys, "ts_ms", "seq", "price", *keep)
-    cut = _buckets(rows, keys, window_ms)
-    passed = ["price", "_next", *keep]
     # Once a tick has left, its successor is the oldest one inside.
-    if cut is None:
-        ch = chunked(index_rows(rows, keys, ["ts_ms", "seq"], "ticks"), keys, after=1)
-        linked = ch.add(_next=F.lead("price").over(ch.window)).own()
-    else:
-        w = Window.partitionBy(*keys, "_bucket").orderBy("ts_ms", "seq")
-        linked = cut.withColumn("_next", F.lead("price").over(w))
-        passed += ["_bucket", "_own"]
-    events = _events(linked, keys, [window_ms], {c: F.col(c) for c in passed})
+    ch = chunked(index_rows(rows, keys, ["ts_ms", "seq"], "ticks"), keys, after=1)
+    linked = ch.add(_next=F.lead("price").over(ch.window)).own()
+    events = _events(linked, keys, [window_ms], {c: F.col(c) for c in ("price", "_next", *keep)})
     left = F.col("_kind") != ENTER
     made = {
         "_oldest": F.when(left, F.col("_next")).when(F.col("_first"), F.col("price")),
         "_count": _inside(F.lit(1.0), 0),
     }
-    followed = _follow(events, keys, made, [Run("first_price", "_oldest", "last"), Run("ticks", "_count")], cut is not None)
+    followed = _follow(events, keys, made, [Run("first_price", "_oldest", "last"), Run("ticks", "_count")])
     change = (F.col("price") - F.col("first_price")) / nonzero(F.col("first_price")) * 100
     return followed.filter(~left).select(
         *keys,
@@ -124,10 +93,7 @@ def trailing_flow(
     notional = F.col("price") * F.col("qty")
     signed = F.when(F.col("is_buyer_maker"), -notional).otherwise(notional)
     columns = {"_signed": signed, "_notional": notional, "_qty": F.col("qty"), **{c: F.col(c) for c in keep}}
-    cut = _buckets(trades, keys, max(short_ms, long_ms))
-    if cut is not None:
-        columns |= {"_bucket": F.col("_bucket"), "_own": F.col("_own")}
-    events = _events(trades if cut is None else cut, keys, [short_ms, long_ms], columns)
+    events = _events(trades, keys, [short_ms, long_ms], columns)
     made = {
         "_s": _inside(F.col("_signed"), 0),
         "_l": _inside(F.col("_signed"), 1),
@@ -138,7 +104,7 @@ def trailing_flow(
     runs = [Run("cvd_short", "_s"), Run("cvd_long", "_l"), Run("_pv", "_p"), Run("_qv", "_q"), Run("_n", "_c")]
     volume = F.col("_qv")
     return (
-        _follow(events, keys, made, runs, cut is not None)
+        _follow(events, keys, made, runs)
         .filter(F.col("_kind") == ENTER)
         .select(
             *keys,

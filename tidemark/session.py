@@ -18,6 +18,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # Windows run over chunks of bounded size, so a whole chunk may stay in memory.
     spark.conf.set("spark.sql.windowExec.buffer.in.memory.threshold", str(2 * chunk_rows(spark)))

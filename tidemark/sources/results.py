@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,7 @@ def save_run(
     The configuration is kept as a JSON string beside the summary.
     """
     at = F.current_timestamp() if run_at is None else F.lit(run_at).cast("timestamp")
-    entries = [x for k, v in config.items() for x in (F.lit(k), F.lit(str(v)))]
-    text = F.to_json(F.create_map(*entries)) if entries else F.lit("{}")
+    text = F.lit(json.dumps(dict(config), default=str))
     named = summary.withColumns({"strategy": F.lit(strategy), "config": text, "run_at": at})
     _replace_runs(trades.withColumn("run_id", F.lit(run_id)), f"{path}/trades")
     _replace_runs(named.withColumn("run_id", F.lit(run_id)), f"{path}/summary")
@@ -39,12 +39,11 @@ def record_fingerprints(rules: DataFrame, path: str) -> None:
 
 
 def seen_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct fingerprints of the log; broken lines are skipped."""
-    schema = "fp string, name string, ts timestamp"
+    """Distinct fingerprints of the log; only lines that are no JSON are skipped."""
     if not store.exists(spark, path):
         return spark.createDataFrame([], "fp string")
-    log = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return log.filter("fp IS NOT NULL").select("fp").distinct()
+    fp = F.try_variant_get(F.try_parse_json("value"), "$.fp", "string")
+    return spark.read.text(path).select(fp.alias("fp")).filter("fp IS NOT NULL").distinct()
 
 
 def add_nodes(nodes: DataFrame, path: str) -> None:

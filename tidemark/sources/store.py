@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidemark import staging
 from tidemark.functions.intervals import month_of
 
-MAX_LISTED_PARTITIONS = 10_000
+PARTITION_TYPES_CONF = "spark.sql.sources.partitionColumnTypeInference.enabled"
 BAR_SCHEMA = T.StructType(
     [
         T.StructField("exchange", T.StringType()),
@@ -60,6 +60,8 @@ def read(
     """
     if not exists(spark, path):
         return None
+    # Folder names are the text they were written as: "007" must not come back as 7.
+    spark.conf.set(PARTITION_TYPES_CONF, "false")
     reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", merge_schema)
     return reader.parquet(path)
 
@@ -71,18 +73,18 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 
 
 def _only_partitions(table: DataFrame, touched: DataFrame, parts: Sequence[str]) -> DataFrame:
-    """Rows of the touched partitions; all others are pruned before any file is opened.
+    """Rows of the touched partitions.
 
-    The list of partition names is bounded metadata; past the bound a join does the same.
+    The names stay in a join; its filter lets Spark prune all other folders at run time.
     """
-    names = touched.select(_partition_name(parts).alias("name")).distinct().limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if len(names) > MAX_LISTED_PARTITIONS:
-        return table.join(touched, list(parts), "left_semi")
-    return table.filter(_partition_name(parts).isin([r.name for r in names]))
+    names = touched.select(*parts).distinct().filter(F.col("month") > "")
+    return table.join(names, list(parts), "left_semi")
 
 
-def _partition_name(parts: Sequence[str]) -> Column:
-    return F.concat_ws("/", *parts)
+def settled(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> list[str]:
+    """A total order of the rows of a key: the given one, then all other columns, so that no choice is left to chance."""
+    plain = [f.name for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [*order, *(c for c in plain if c not in keys and c not in order)]
 
 
 def upsert(
@@ -95,16 +97,18 @@ def upsert(
 ) -> int:
     """Merge ``rows`` into the table by key, new rows winning; ``order`` ranks rows inside the batch.
 
-    Only the months the batch touches are read and rewritten.  Returns the rows now in them.
+    Rows equal in ``order`` are ranked by their other columns, the larger winning.  Columns that are in
+    ``order`` only to rank (not in the stored table) are dropped.  Only the months the batch touches are read and rewritten.  Returns the rows now in them.
     Symbols are a sort order inside a month rather than folders: files stay large with many
     symbols, an even share of rows each, and their statistics still prune a single symbol.
     """
     spark, parts = rows.sparkSession, [*partitions, "month"]
     # The batch is read several times; staged, its plan runs once.
-    batch = staging.save(rows.withColumn("month", month_of(F.col("ts"))), "batch").withColumn("_batch", F.lit(1))
+    named = rows.withColumns({"month": month_of(F.col("ts")), **{p: F.col(p).cast("string") for p in partitions}})
+    batch = staging.save(named, "batch").withColumn("_batch", F.lit(1))
     if batch.isEmpty():
         return 0
-    ranked = latest(batch, keys, order).drop(*order) if order else latest(batch, keys, ["_batch"])
+    ranked = latest(batch, keys, settled(rows, keys, order)).drop(*order)
     touched = batch.select(*parts).distinct()
     old = read(spark, path, merge_schema=merge_schema)
     if old is not None:
@@ -124,15 +128,17 @@ def upsert(
 
 
 def insert_ignore(
-    rows: DataFrame, path: str, keys: Sequence[str] = ("symbol", "ts"), order: Sequence[str] = ("ts",)
+    rows: DataFrame, path: str, keys: Sequence[str] = ("symbol", "ts"), order: Sequence[str] = ()
 ) -> DataFrame:
     """Append rows whose key the table lacks, the first one per key; returns the appended rows.
 
+    First is by ``order``, then by the other columns.
+
     The last key is the time: stored files outside the batch's time range are skipped by
     their statistics.
     """
     spark, time = rows.sparkSession, keys[-1]
-    first = Window.partitionBy(*keys).orderBy(*order)
+    first = Window.partitionBy(*keys).orderBy(*settled(rows, keys, order))
     fresh = rows.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
     fresh = staging.save(fresh, "insert")
     old = read(spark, path)

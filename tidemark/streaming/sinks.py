@@ -13,17 +13,14 @@ from tidemark import staging
 from tidemark.operators import trailing
 from tidemark.operators.indicators import add_all
 from tidemark.operators.resample import BAR
-from tidemark.plans.features import write_features
+from tidemark.plans.features import increment, write_features
 from tidemark.plans.series import index_rows
 from tidemark.sources import store
 
 log = logging.getLogger(__name__)
-FEATURE_BARS = 200
-MIN_FEATURE_BARS = 15
-CANDLES_KEPT = 100
 
 
-def drain(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, timeout_s: int = 600) -> None:
+def drain(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, timeout_s: int | None = None) -> None:
     """Process everything available and stop; batches failed half-way are repeated."""
     query = stream.writeStream.foreachBatch(scoped(process)).option("checkpointLocation", checkpoint)
     _finish(query.trigger(availableNow=True).start(), timeout_s)
@@ -39,14 +36,16 @@ def scoped(process: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
     return run
 
 
-def drain_to_table(stream: DataFrame, path: str, checkpoint: str, timeout_s: int = 600) -> None:
+def drain_to_table(stream: DataFrame, path: str, checkpoint: str, timeout_s: int | None = None) -> None:
     """Append a stateless or append-mode stream to a Parquet table exactly once."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     _finish(query.trigger(availableNow=True).start(), timeout_s)
 
 
-def _finish(query: StreamingQuery, timeout_s: int) -> None:
-    if not query.awaitTermination(timeout_s):
+def _finish(query: StreamingQuery, timeout_s: int | None = None) -> None:
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"stream still running after {timeout_s} s")
 
@@ -116,35 +115,40 @@ def rollup_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def feature_sink(bars_path: str, features_path: str) -> Callable[[DataFrame, int], None]:
-    """Features of new bars from the last stored bars of their symbols.
+    """Features of new bars, equal to a full rebuild however the bars are cut into batches.
 
-    Symbols with fewer than 15 bars so far are left out.
+    Stored bars and features give the context, by the same code as a batch build.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = staging.save(batch.select("symbol", "ts", *BAR).withColumn("_new", F.lit(True)), "microbatch")
-        rows, stored = new, store.read(spark, bars_path)
+        rows = staging.save(batch.select("symbol", "ts", *BAR), "microbatch")
+        stored, features = store.read(spark, bars_path), store.read(spark, features_path, merge_schema=True)
         if stored is not None:
-            firsts = new.groupBy("symbol").agg(F.min("ts").alias("_first"))
-            older = stored.join(firsts, "symbol").filter(F.col("ts") < F.col("_first"))
-            recent = index_rows(older.select("symbol", "ts", *BAR)).filter(F.col("rn") >= F.col("n") - FEATURE_BARS + 1)
-            rows = new.unionByName(recent.drop("rn", "n").withColumn("_new", F.lit(False)))
-        done = add_all(index_rows(rows)).filter(F.col("_new") & (F.col("rn") >= MIN_FEATURE_BARS - 1))
-        write_features(done.drop("rn", "n", "_new"), features_path)
+            rows = rows.unionByName(stored.select("symbol", "ts", *BAR).join(rows, ["symbol", "ts"], "left_anti"))
+        rows = staging.save(rows, "bars-so-far")
+        done = add_all(index_rows(rows)).drop("rn", "n") if features is None else increment(rows, features)
+        write_features(done, features_path)
 
     return process
 
 
 def bar_sinks(sinks: Mapping[str, Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
-    """Fan a batch out to several idempotent sinks; one failing does not keep the others from running."""
+    """Fan a batch out to several idempotent sinks.
+
+    One failing does not keep the others from running; the batch then fails, and is repeated for all of them.
+    """
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        failures = []
         for name, sink in sinks.items():
             try:
                 sink(batch, batch_id)
-            except Exception:
+            except Exception as e:
                 log.exception("sink %s failed on batch %s", name, batch_id)
+                failures.append((name, e))
+        if failures:
+            raise RuntimeError(f"batch {batch_id}: sinks failed: {', '.join(n for n, _ in failures)}") from failures[0][1]
 
     return process
 
@@ -183,10 +187,14 @@ def candle_state(bars: DataFrame, bar_ms: int) -> DataFrame:
     series = index_rows(bars)
     gaps = trailing.bar_gaps(series, bar_ms).groupBy("symbol").agg(F.count(F.lit(1)).alias("gaps"))
     candles = series.groupBy("symbol").agg(
-        F.max_by("volume", "rn").alias("volume"), F.least(F.count(F.lit(1)), F.lit(CANDLES_KEPT)).alias("candles_ready")
+        F.max_by("volume", "rn").alias("volume"), F.count(F.lit(1)).alias("candles_ready")
     )
     return candles.join(gaps, "symbol", "left").fillna(0, ["gaps"])
 
 
-def latest_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/{batch_id}")
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the state."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = (f.getPath().getName() for f in files.listStatus(target))
+    return spark.read.parquet(f"{path}/{max(int(n) for n in names if n.isdigit())}")
