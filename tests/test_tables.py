@@ -276,6 +276,16 @@ def test_numeric_looking_partition_names_keep_their_rows(spark):
     assert [(r.exchange, r.close) for r in got] == [("007", 9.0), ("007", 1.0), ("007", 2.0)]
 
 
+def test_nanosecond_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    at = pa.array([1_700_000_000_123_456_789, None], pa.timestamp("ns", tz="UTC"))
+    pq.write_table(pa.table({"ts": at, "close": [1.0, 2.0]}), tmp_path / "a.parquet", version="2.6")
+    got = store.read_nanos(spark, f"file://{tmp_path}").orderBy("close").select(F.unix_micros("ts").alias("us"), "close").collect()
+    assert [(r.us, r.close) for r in got] == [(1_700_000_000_123_456, 1.0), (None, 2.0)]
+
+
 def test_log_keeps_rows_with_odd_values(spark):
     path = staging.new_path(spark, "log")
     lines = ['{"run_id": "a", "n_trades": 40.0, "llm_confidence": "high", "new": 7}', "{broken", "[1]", " "]

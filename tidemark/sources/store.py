@@ -66,6 +66,22 @@ def read(
     return reader.parquet(path)
 
 
+NANOS_CONF = "spark.sql.legacy.parquet.nanosAsLong"
+
+
+def read_nanos(spark: SparkSession, path: str, times: Sequence[str] = ("ts",)) -> DataFrame:
+    """Files written elsewhere with times in nanoseconds, which Spark does not read as times: whole microseconds remain."""
+    before = spark.conf.get(NANOS_CONF)
+    spark.conf.set(NANOS_CONF, "true")
+    try:
+        rows = spark.read.parquet(path)
+        types = dict(rows.dtypes)
+    finally:
+        spark.conf.set(NANOS_CONF, before)
+    rows = spark.read.option("nanosAsLong", "true").schema(rows.schema).parquet(path)
+    return rows.withColumns({c: F.timestamp_micros(F.floor(F.col(c) / 1000)) for c in times if types.get(c) == "bigint"})
+
+
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last row of each key in the given order (pruned per task before the shuffle)."""
     newest = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
