@@ -4,10 +4,11 @@ A document is its set of word shingles.  Documents with the same set are one cla
 independent trees branch the classes: at a node a pseudorandom choice selects one minwise token function, or two (with
 probability 1 / threshold - 1, on the first levels), and a class goes to the child of each selected minwise token it
 holds.  Small nodes are compared exhaustively; large ones branch again.  Comparison in a node is by the ``TOKENS``
-minwise tokens and the set sizes, with a margin of four deviations; what passes is confirmed on the full sets.
+minwise tokens, then by four bits each of ``BITS_OF`` minwise tokens, and by the set sizes, with margins of four deviations;
+what passes is confirmed on the full sets.
 
 What is asked for are components, so the join runs twice.  A first, cheap pass over few trees keeps of a small node only
-the likeliest spanning links, and of a large node the links to one pivot; confirmed, they merge most of every group
+the likeliest spanning links, and of a large node those to about ``PIVOTS`` pivots; confirmed, they merge most of every group
 of copies.  The second pass over all trees looks at links between different components only.  A node counts as small
 there if at most ``OUTSIDE`` of its members lie outside its largest component, however large that is: these are
 compared with all members, in slices.  A node still large at the last level is compared whole, in blocks, so nothing is
@@ -39,28 +40,32 @@ SIMILARITY = 0.8
 TREES = 8
 FIRST_TREES = 3
 TOKENS = 64
+BITS_OF = 512
 LEVELS = 8
-FIRST_LEVELS = 3
+FIRST_LEVELS = 2
+PIVOTS = 16
 TWO_WAYS = 3
 LEAF = 48
 OUTSIDE = 1024
 SLICE = 256
-_TOKEN_MUL, _TOKEN_ADD = seeds(TOKENS, 41), seeds(TOKENS, 42)
+_TOKEN_MUL, _TOKEN_ADD = seeds(BITS_OF, 41), seeds(BITS_OF, 42)
 
 
 def _class_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def minwise(shingles: np.ndarray) -> np.ndarray:
-    """The minwise token of a set under each of ``TOKENS`` hash functions."""
-    out = np.full(TOKENS, ~np.uint64(0))
-    for low in range(0, len(shingles), 4096):
-        part = shingles[low : low + 4096, None] * _TOKEN_MUL
+def minwise(shingles: np.ndarray) -> bytes:
+    """The first ``TOKENS`` minwise tokens of a set (32 bits each), then four bits of each of the ``BITS_OF`` tokens."""
+    out = np.full(BITS_OF, ~np.uint64(0))
+    for low in range(0, len(shingles), 256):
+        part = shingles[low : low + 256, None] * _TOKEN_MUL
         part += _TOKEN_ADD
         part ^= part >> np.uint64(32)
         np.minimum(out, part.min(0), out=out)
-    return (mix(out) >> np.uint64(32)).astype(np.uint32)
+    out = mix(out)
+    bits = (out & np.uint64(15)).astype(np.uint8)
+    return (out[:TOKENS] >> np.uint64(32)).astype(np.uint32).tobytes() + (bits[::2] | bits[1::2] << 4).tobytes()
 
 
 def _sets(batch_column: pa.Array, k: int):
@@ -78,12 +83,18 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             for s in _sets(batch.column(1), k):
                 n.append(len(s))
                 c.append(_class_id(s))
-                sig.append(minwise(s).tobytes() if len(s) else None)
+                sig.append(minwise(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "c", "n", "sig"])
 
     return docs.mapInArrow(sign, "doc_id long, c long, n long, sig binary")
 
 
+def _signs(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Minwise tokens and packed bits of each row."""
+    raw = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), 4 * TOKENS + BITS_OF // 2)
+    return np.ascontiguousarray(raw[:, : 4 * TOKENS]).view(np.uint32), raw[:, 4 * TOKENS :]
+
+
 # ---- branching ----------------------------------------------------------------------------------------------------
 
 
@@ -97,7 +108,7 @@ def branched(rows: DataFrame, level: int, trees: int, similarity: float) -> Data
             rows = batch.num_rows
             if not rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(names.index("sig")).to_pylist()), np.uint32).reshape(rows, TOKENS)
+            sig, _ = _signs(batch.column(names.index("sig")).to_pylist())
             c, label = (batch.column(names.index(x)).to_numpy() for x in ("c", "label"))
             if level == 1:
                 tree = np.repeat(np.arange(trees, dtype=np.int64), rows)
@@ -139,30 +150,38 @@ def _forest(a: np.ndarray, b: np.ndarray, likely: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _unpack(cells) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (
-        np.array([x["c"] for x in cells], np.int64), np.array([x["label"] for x in cells], np.int64), np.array([x["n"] for x in cells], np.int64),
-        np.frombuffer(b"".join(x["sig"] for x in cells), np.uint32).reshape(len(cells), TOKENS),
-    )
+def _unpack(cells) -> tuple[np.ndarray, ...]:
+    return (*(np.array([x[k] for x in cells], np.int64) for k in ("c", "label", "n")), *_signs([x["sig"] for x in cells]))
+
+
+def _equal_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many four-bit fields the rows of ``x`` and ``y`` agree."""
+    z = x ^ y
+    return (z & 15 == 0).sum(1) + (z & 240 == 0).sum(1)
 
 
 def _compare(similarity: float, forest: bool):
-    least = int(np.ceil(TOKENS * similarity - 4 * np.sqrt(TOKENS * similarity * (1 - similarity))))
+    def least(n: int, share: float) -> int:
+        return int(np.ceil(n * share - 4 * np.sqrt(n * share * (1 - share))))
+
+    least_tokens, least_bits = least(TOKENS, similarity), least(BITS_OF, similarity + (1 - similarity) / 16)
 
     def compare(batches):
         for batch in batches:
             left, right = [], []
             for askers, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c, label, n, sig = _unpack(askers)
-                d, label_d, m, sig_d = _unpack(members)
+                c, label, n, sig, bits = _unpack(askers)
+                d, label_d, m, sig_d, bits_d = _unpack(members)
                 same = np.empty((len(c), len(d)), np.int64)
                 for i in range(len(c)):
                     same[i] = (sig_d == sig[i]).sum(1)
-                fits = (same >= least) & (label[:, None] != label_d) & (c[:, None] != d)
+                fits = (same >= least_tokens) & (label[:, None] != label_d) & (c[:, None] != d)
                 fits &= np.minimum(n[:, None], m) >= similarity * np.maximum(n[:, None], m) - 1e-9
                 i, j = np.nonzero(fits)
+                equal = np.concatenate([np.empty(0, np.int64), *(_equal_bits(bits[i[k : k + 8192]], bits_d[j[k : k + 8192]]) for k in range(0, len(i), 8192))])
+                i, j, equal = (x[equal >= least_bits] for x in (i, j, equal))
                 if forest and len(i) > 1:
-                    keep = _forest(c[i], d[j], same[i, j])
+                    keep = _forest(c[i], d[j], equal)
                     i, j = i[keep], j[keep]
                 left.append(np.minimum(c[i], d[j]))
                 right.append(np.maximum(c[i], d[j]))
@@ -195,7 +214,8 @@ def _descend(classes: DataFrame, trees: int, levels: int, similarity: float, fir
         if first:
             sized = rows.groupBy("node").agg(F.count("*").alias("members"), F.min(key).alias("main")).where("members > 1")
             small = F.col("members") <= LEAF
-            ask, asking = small | (key == F.col("main")), F.when(small, F.col("members")).otherwise(1)
+            chance = F.pmod(F.xxhash64(F.lit(1), "c", "node"), F.lit(1 << 20)) * F.col("members") < PIVOTS * (1 << 20)
+            ask, asking = small | chance | (key == F.col("main")), F.when(small, F.col("members")).otherwise(PIVOTS)
         else:
             by_label = rows.groupBy("node", "label").count()
             sized = (
