@@ -115,9 +115,9 @@ def fit(counts: np.ndarray, labels: np.ndarray, dims: int = DIMS, rounds: int =
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, dims: int = DIMS, seed: int = 7) -> Model:
-    """Learn from ``labels`` (``doc_id, quality``) of ``documents``."""
+    """Learn from ``labels`` (``doc_id, quality``) of ``documents``; the ids of the sample, bounded by ``max_rows``, are broadcast."""
     marked = sample_rows(one_label(labels, "doc_id", "quality"), "id", max_rows, "label", seed)
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(marked, "id").select("id", "label", "text")
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "id").select("id", "label", "text")
 
     def read(batches):
         for batch in pieces(batches, 256):
