@@ -162,7 +162,7 @@ def train(documents: DataFrame, labels: DataFrame, max_positive: int = MAX_POSIT
     toxic = sample_rows(marked.where("label = 1"), "id", max_positive, "label", seed).select("id")
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("role", F.lit(0))
     plain = sample_rows(docs.where("id is not null"), "id", max_unlabelled, "role", seed + 1).select("role", "text")
-    known = docs.join(toxic, "id", "left_semi").select(F.lit(1).alias("role"), "text")
+    known = docs.join(F.broadcast(toxic), "id", "left_semi").select(F.lit(1).alias("role"), "text")
     role, number, first = _collected(known.unionByName(plain))
     return fit(role, number, first, share, seed)
 
