@@ -189,3 +189,33 @@ def test_gradients_match_differences():
         down = loss()
         p[name][at] = old
         assert grads[name][at] == pytest.approx((up - down) / (2 * e), rel=1e-3, abs=1e-6), name
+
+
+def test_training_sees_all_tokens_of_all_texts(spark):
+    words = [f"v{i}" for i in range(8)]
+    late = " ".join(f"u{i % 50}" for i in range(3000)) + " " + " ".join(words * 400)
+    rows = [(None, " ".join(words * 20))] * 1500 + [(None, None), (1, late), (1, late), (2, "")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = language_model.token_counts(texts).persist()
+    model = language_model.train(texts, counts, vocabulary=100, known=200, shard=150_000, rounds=2)
+    # texts without an id are learned from too: after each word the next one is known
+    out = language_model.score_documents(texts.where("doc_id is null and text is not null").limit(3), model, counts).collect()
+    assert len(out) == 3 and all(r["score"] > r["base_score"] / 2 for r in out)
+    # every token is dealt once, the last ones of long texts too, and nothing ends where no text does
+    numbers = collections.Counter()
+    for r in language_model.dealt(texts, model, 7).collect():
+        before, target, heads = language_model._sequence([bytes(r["numbers"])], language_model._kind(model.n_outputs))
+        numbers.update(target.tolist())
+        assert heads[0] and before[0] == model.n_outputs and (before[1:] == target[:-1]).all() and not heads[1:].any()
+    assert numbers[0] == len(rows) and sum(numbers.values()) == model.total
+
+
+def test_long_texts_are_dealt_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "RUN", 10)
+    texts = spark.createDataFrame([(1, " ".join(f"u{i}" for i in range(34)))], "doc_id long, text string")
+    model = language_model.train(texts, language_model.token_counts(texts).persist(), epochs=1)
+    rows = sorted(language_model.dealt(texts, model, 3).collect(), key=lambda r: r["nth"])
+    kind = language_model._kind(model.n_outputs)
+    parts = [language_model._sequence([bytes(r["numbers"])], kind) for r in rows]
+    assert [len(p[1]) for p in parts] == [10, 10, 10, 5] and parts[-1][1][-1] == 0
+    assert all(b[0][0] == a[1][-1] for a, b in zip(parts, parts[1:]))

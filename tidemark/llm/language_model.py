@@ -4,8 +4,15 @@ Tokens are words between white space, A-Z lower-cased, and one end per text.  To
 model's outputs are the ``VOCABULARY`` most frequent tokens, the end, and buckets of all other tokens (by last character, first byte and
 length); they are dealt into classes of equal size by frequency, and the softmax is factored into class and member.
 A token of a bucket gets the bucket's probability times its smoothed share of the bucket's count, so every text
-has a probability.  A GRU is trained with truncated backpropagation on a bounded sample of the training texts (``MAX_DOCS``
-texts, ``MAX_TOKENS`` tokens); in scoring, state is carried through all windows of a text, many texts side by side.
+has a probability.  In scoring, state is carried through all windows of a text, many texts side by side.
+
+A GRU is trained with truncated backpropagation on all tokens of all training texts, ``EPOCHS`` times.  Texts are numbered once
+and dealt by hash to shards of about ``SHARD`` tokens, longer ones in runs of ``RUN`` tokens that know the token before them.  A
+pass has up to ``ROUNDS`` rounds; in each, a task per shard trains on from the last parameters, which are then averaged
+in Spark, weighted by tokens, so that work and tasks grow with the corpus and the driver holds one set of parameters.  Shards depend
+on seed and data, not on the layout of files (equal rows are dealt by their place in a batch; they are the same text).  The
+outputs stay ``VOCABULARY`` words at every size: the cost is that the network tells all rarer words apart by bucket only, and
+within a bucket by their counts.
 
 Counts of frequent tokens (``KNOWN``, bounded) go to the tasks; rarer tokens of each text meet their counts in one join, so
 the table of all tokens is never sent around, and no token that is frequent enough to be a hot key is in that join.
@@ -24,20 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.samples import sample_rows
 from tidemark.llm.tables import stage
-from tidemark.llm.words import NOT_SPACE, flat, pieces, spans, sum_rows
+from tidemark.llm.words import NOT_SPACE, flat, mix, pieces, spans, sum_rows
 
 VOCABULARY = 4000
 KNOWN = 65_536
-MAX_DOCS = 3000
-MAX_TOKENS = 1_000_000
+SHARD = 1_000_000
+RUN = 65_536
+ROUNDS = 4
+PART = 8192
 HIDDEN = 24
 EMBED = 16
 CLASS = 64
 WINDOW = 32
 STREAMS = 128
 EPOCHS = 3
+WARM_UP = 20
 ALPHA = 0.1
 BUCKETS = 64
 END = np.uint64(1)
@@ -124,35 +133,34 @@ def log_members(p: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray
     return out
 
 
-def fit_network(ids: np.ndarray, outputs: int, start: int, epochs: int = EPOCHS, seed: int = 23) -> dict[str, np.ndarray]:
-    """Truncated backpropagation over one long sequence cut into parallel streams; ``start`` is the input before a text."""
-    rng = np.random.default_rng(seed)
-    classes = -(-outputs // CLASS)
-    p = new_parameters(outputs, classes, rng)
+def fit_network(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, heads: np.ndarray, outputs: int, start: float = 0.0, end: float = 1.0) -> dict[str, np.ndarray]:
+    """Truncated backpropagation from ``p`` over one long sequence cut into parallel streams.
+
+    ``heads`` marks tokens that start from an empty state; ``start`` and ``end`` say how far the whole training has come.
+    """
+    p = {k: v.copy() for k, v in p.items()}
     valid = valid_members(outputs)
-    if len(ids) < 2:
+    if not len(target):
         return p
-    streams = max(1, min(STREAMS, len(ids) // (2 * WINDOW)))
-    length = len(ids) // streams
-    grid = ids[: streams * length].reshape(streams, length)
-    before = np.hstack([np.full((streams, 1), start), grid[:, :-1]])
+    streams = max(1, min(STREAMS, len(target) // (2 * WINDOW)))
+    length = -(-len(target) // streams)
+    before, target, heads = (np.concatenate([x, np.full(streams * length - len(x), fill, x.dtype)]).reshape(streams, length) for x, fill in ((before, outputs), (target, -1), (heads, True)))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    turn, total = 0, max(1, epochs * (-(-length // WINDOW)))
-    for _ in range(epochs):
-        state = np.zeros((streams, HIDDEN), np.float32)
-        for low in range(0, length, WINDOW):
-            turn += 1
-            state, grads = _window(p, state, before[:, low : low + WINDOW], grid[:, low : low + WINDOW], start, valid)
-            size = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
-            scale = min(1.0, 5.0 / (size + 1e-9))
-            rate = 0.01 * (1 - turn / (total + 1)) + 0.0005
-            for k, g in grads.items():
-                m, v = moments[k]
-                m *= 0.9
-                m += 0.1 * scale * g
-                v *= 0.995
-                v += 0.005 * (scale * g) ** 2
-                p[k] -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.995**turn)) + 1e-8)
+    total = -(-length // WINDOW)
+    state = np.zeros((streams, HIDDEN), np.float32)
+    for turn, low in enumerate(range(0, length, WINDOW), 1):
+        cut = slice(low, low + WINDOW)
+        state, grads = _window(p, state, before[:, cut], target[:, cut], outputs, valid, heads[:, cut])
+        size = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
+        scale = min(1.0, 5.0 / (size + 1e-9))
+        rate = (0.01 * (1 - start - (end - start) * turn / (total + 1)) + 0.0005) * min(1.0, turn / WARM_UP)
+        for k, g in grads.items():
+            m, v = moments[k]
+            m *= 0.9
+            m += 0.1 * scale * g
+            v *= 0.995
+            v += 0.005 * (scale * g) ** 2
+            p[k] -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.995**turn)) + 1e-8)
     return p
 
 
@@ -161,23 +169,25 @@ def valid_members(outputs: int) -> np.ndarray:
     return np.where(np.arange(-(-outputs // CLASS) * CLASS) < outputs, 0, -1e9).astype(np.float32).reshape(-1, CLASS)
 
 
-def _window(p, state, before, target, start, valid):
-    """One window forward and back; a text's first token starts from an empty state."""
+def _window(p, state, before, target, start, valid, heads=None):
+    """One window forward and back; a text's first token starts from an empty state, and targets below 0 do not count."""
     streams, length = target.shape
     kept, states, fresh = [], [], []
     for t in range(length):
-        new = before[:, t] == start
+        new = before[:, t] == start if heads is None else heads[:, t]
         fresh.append(~new[:, None])
         state, memo = step(p, state * fresh[-1], before[:, t])
         kept.append(memo)
         states.append(state)
     flat_states = np.concatenate(states)
     goal = target.T.ravel()
+    real = goal >= 0
+    goal = np.maximum(goal, 0)
     of, member, rows = goal // CLASS, goal % CLASS, np.arange(streams * length)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     d = np.exp(_log_softmax(flat_states @ p["to_class"] + p["class_bias"]))
     d[rows, of] -= 1
-    d /= streams
+    d *= real[:, None] / np.float32(streams)
     grads["to_class"], grads["class_bias"] = flat_states.T @ d, d.sum(0)
     d_states = d @ p["to_class"].T
     order = np.argsort(of, kind="stable")
@@ -186,7 +196,7 @@ def _window(p, state, before, target, start, valid):
         own = order[cuts[k] : cuts[k + 1]]
         e = np.exp(_log_softmax(flat_states[own] @ p["to_member"][k] + p["member_bias"][k] + valid[k]))
         e[np.arange(len(own)), member[own]] -= 1
-        e /= streams
+        e *= real[own, None] / np.float32(streams)
         grads["to_member"][k], grads["member_bias"][k] = flat_states[own].T @ e, e.sum(0)
         d_states[own] += e @ p["to_member"][k].T
     d_next = np.zeros_like(state)
@@ -241,9 +251,9 @@ class Model:
         return np.where(out >= 0, out, np.where(bucket < 0, 0, self.bucket_output[bucket])).astype(np.int32)
 
 
-def train(texts: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, known: int = KNOWN, max_docs: int = MAX_DOCS,
-          max_tokens: int = MAX_TOKENS, epochs: int = EPOCHS, seed: int = 23) -> Model:
-    """A model of ``texts`` (``doc_id, text``) with their ``token_counts``."""
+def train(texts: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, known: int = KNOWN, epochs: int = EPOCHS,
+          shard: int = SHARD, rounds: int = ROUNDS, seed: int = 23) -> Model:
+    """A model of ``texts`` (``doc_id, text``) with their ``token_counts``, trained on all of their tokens."""
     whole = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.asc(F.col("bucket") >= 0), F.desc("count"), "token").limit(known).toArrow()
     token, count, bucket = top["token"].to_numpy().view(np.uint64), top["count"].to_numpy(), top["bucket"].to_numpy()
@@ -258,31 +268,98 @@ def train(texts: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, kno
     n_outputs = 1 + len(listed) + BUCKETS
     order = np.argsort(token)
     model = Model(token[order], count[order], outputs[order], (1 + len(listed) + np.arange(BUCKETS)).astype(np.int32), np.maximum(mass, ALPHA), n_outputs, int(whole["n"]), int(whole["v"]), {})
-    model.network = fit_network(_training_ids(texts, model, max_docs, max_tokens, seed), n_outputs, n_outputs, epochs, seed)
+    model.network = new_parameters(n_outputs, -(-n_outputs // CLASS), np.random.default_rng(seed))
+    shards = max(1, -(-model.total // shard))
+    runs, rounds = stage(dealt(texts, model, shards, seed), "runs"), min(rounds, shards)
+    for turn in range(epochs * rounds):
+        own = runs.where(F.pmod("shard", F.lit(rounds)) == turn % rounds)
+        model.network = _round(own, model, -(-shards // rounds), rounds, turn / (epochs * rounds), (turn + 1) / (epochs * rounds))
     return model
 
 
-def _training_ids(texts: DataFrame, model: Model, max_docs: int, max_tokens: int, seed: int) -> np.ndarray:
-    rows = texts.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.lit(0).alias("role"))
-    rows = sample_rows(rows.where("id is not null"), "id", max_docs, "role", seed).select("id", "text")
+def _kind(n_outputs: int) -> type:
+    return np.uint16 if n_outputs < 1 << 16 else np.int32
+
+
+def dealt(texts: DataFrame, model: Model, shards: int, seed: int = 23) -> DataFrame:
+    """``shard, key, nth, numbers``: all tokens of all texts as outputs, in runs led by the token before (the start: ``n_outputs``)."""
+    text = F.col("text").cast("string")
+    rows = texts.select(text.alias("text"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text).alias("key"))
+    kind, start = _kind(model.n_outputs), model.n_outputs
     sent = texts.sparkSession.sparkContext.broadcast((model.tokens, model.outputs, model.bucket_output))
 
     def read(batches):
         known, outputs, by_bucket = sent.value
         own = Model(known, known, outputs, by_bucket, by_bucket, 0, 0, 0, {})
         for batch in pieces(batches, 256):
-            hashes, bucket, first = tokens(batch.column(1))
-            numbers = own.numbers(own.places(hashes), bucket).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(numbers))], ["id", "numbers"])
-
-    table = rows.mapInArrow(read, "id long, numbers array<int>").toArrow()
-    lists = table.sort_by("id")["numbers"].combine_chunks()
-    ids = lists.flatten().to_numpy().astype(np.int64)
-    sizes = np.diff(lists.offsets.to_numpy())
-    per_text = max(1, max_tokens // max(len(sizes), 1))  # long texts give as many tokens to training as others, no more
-    inside = np.arange(len(ids)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if len(ids) else ids
-    keep = (inside < 4 * per_text) | (ids == 0)
-    return ids[keep][:max_tokens]
+            hashes, bucket, first = tokens(batch.column(0))
+            numbers = own.numbers(own.places(hashes), bucket).astype(kind)
+            of, nth, cells = [], [], []
+            for i, (low, high) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                for k, at in enumerate(range(low, high, RUN)):
+                    cell = np.empty(min(RUN, high - at) + 1, kind)
+                    cell[0], cell[1:] = numbers[at - 1] if k else start, numbers[at : at + len(cell) - 1]
+                    of.append(i)
+                    nth.append(k)
+                    cells.append(cell.tobytes())
+            key, nth = batch.column(1).to_numpy().view(np.uint64)[of], np.array(nth, np.int64)
+            order = np.lexsort((nth, key))
+            same = np.append(False, (key[order][1:] == key[order][:-1]) & (nth[order][1:] == nth[order][:-1]))
+            place = np.arange(len(order))
+            copy = np.empty(len(order), np.uint64)
+            copy[order] = place - np.maximum.accumulate(np.where(same, 0, place))
+            shard = mix(key + mix(nth.astype(np.uint64) * np.uint64(1 << 32) + copy)) % np.uint64(shards)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(nth), pa.array(cells, pa.binary())], ["shard", "key", "nth", "numbers"])
+
+    return rows.mapInArrow(read, "shard int, key long, nth long, numbers binary")
+
+
+def _sequence(cells: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token before each token, the token, and whether it heads a run."""
+    numbers = np.frombuffer(b"".join(cells), kind).astype(np.int64)
+    leads = np.concatenate([[0], np.cumsum([len(c) // np.dtype(kind).itemsize for c in cells])])[:-1].astype(np.int64)
+    inner = np.ones(len(numbers), bool)
+    inner[leads] = False
+    at = np.flatnonzero(inner)
+    return numbers[at - 1], numbers[at], ~inner[at - 1]
+
+
+def _round(runs: DataFrame, model: Model, tasks: int, rounds: int, start: float, end: float) -> dict[str, np.ndarray]:
+    """The mean of the parameters that each shard of ``runs`` leads to from the model's."""
+    old, outputs, kind = model.network, model.n_outputs, _kind(model.n_outputs)
+    size = sum(v.size for v in old.values())
+    sent = runs.sparkSession.sparkContext.broadcast(old)
+
+    def fit(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(shard, []).append(row)
+        for shard in sorted(held):
+            before, target, heads = _sequence([r[2] for r in sorted(held.pop(shard))], kind)
+            p = fit_network(sent.value, before, target, heads, outputs, start, end)
+            flat_p = np.concatenate([v.ravel() for v in p.values()])
+            parts = [flat_p[low : low + PART].tobytes() for low in range(0, size, PART)]
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, len(target))), pa.array(parts, pa.binary())], ["part", "shard", "n", "numbers"])
+
+    def mean(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(part, []).append(row)
+        for part, rows in held.items():
+            rows.sort()
+            whole = sum(n * np.frombuffer(x, np.float32).astype(np.float64) for _, n, x in rows) / sum(n for _, n, _ in rows)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([whole.astype(np.float32).tobytes()], pa.binary())], ["part", "numbers"])
+
+    fitted = runs.repartitionById(tasks, F.expr(f"shard div {rounds}").cast("int")).mapInArrow(fit, "part int, shard int, n long, numbers binary")
+    found = fitted.repartitionById(-(-size // PART), F.col("part")).mapInArrow(mean, "part int, numbers binary").toArrow().sort_by("part")
+    if not found.num_rows:
+        return old
+    new = np.frombuffer(b"".join(found["numbers"].to_pylist()), np.float32)
+    cuts = np.cumsum([v.size for v in old.values()])[:-1]
+    return {k: x.reshape(v.shape).copy() for (k, v), x in zip(old.items(), np.split(new, cuts))}
 
 
 def _states_and_scores(model: Model, numbers: np.ndarray, first: np.ndarray, block: int = 1 << 15) -> np.ndarray:
