@@ -167,3 +167,24 @@ def test_lstm_gradients_match_differences():
         down = loss()
         p[name][at] = old
         assert grads[name][at] == pytest.approx((up - down) / (2 * e), rel=0.05, abs=1e-4), name
+
+
+def test_all_words_of_a_block_are_read():
+    plain = " ".join(f"w{i}" for i in range(500))
+    one, other = (html_text.encode(html_text.blocks(f"<div><p>{plain} {last}</p></div>")) for last in ("Telling", "Common"))
+    assert len(one.words) == len(other.words) == 501 and (one.words[:500] == other.words[:500]).all() and one.words[500] != other.words[500]
+    two = html_text.encode(html_text.blocks("<p>a b c</p><p>...</p><p>d</p>"))
+    assert two.words_of.tolist() == [0, 0, 0, 2]
+
+
+def test_late_words_decide_a_label(spark):
+    """Bare pages whose paragraphs differ only in words after the first hundred."""
+    words = [f"w{i}" for i in range(40)]
+
+    def paragraph(i, late):
+        return "<p>" + " ".join(words[(i * 7 + j * 3) % 40] for j in range(100)) + " " + " ".join([late] * 60) + ".</p>"
+
+    learned = html_text.fit([html_text.blocks("<body>" + "".join(f"<{'article' if k else 'aside'}>{paragraph(i + j, 'gist' if k else 'advert')}</{'article' if k else 'aside'}>" for j, k in enumerate((i % 2, 1, 0, (i // 2) % 2, 1)))) for i in range(400)])
+    bare = [html_text.blocks("<body>" + paragraph(i, "gist") + paragraph(i + 1, "advert") + paragraph(i + 2, "gist")) for i in range(20)]
+    got = html_text.main_text(learned, bare)
+    assert sum("advert" not in text and text.count("gist") == 120 for text in got) >= 18

@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into blocks: runs of text between block-level tags, with character references decoded, scripts, styles and
-comments left out.  Each block is a vector: the tags on its path with their class, id and role words (hashed embeddings), its words
+comments left out.  Each block is a vector: the tags on its path with their class, id and role words (hashed embeddings), all its words
 (hashed embeddings), its length, share of text in links and place in the page.  A bidirectional LSTM in numpy
 reads all blocks of a page and labels each one as main text or not, so every label sees the whole document.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import mix, sum_rows
+from tidemark.llm.words import ALNUM, mix, sum_rows, word_hashes
 
 MAX_PAGES = 1500
 HIDDEN = 24
@@ -35,8 +35,9 @@ PATH = 20
 WORDS = 12
 BUCKETS = 2048
 NUMBERS = 8
+#: Words whose vectors are held at a time.
+STEP = 1 << 18
 EPOCHS = 3
-WORDS_READ = 24
 #: Elements whose content is never text, elements without content, and elements inside a line: fixed values of HTML.
 RAW = frozenset("script style noscript template svg math iframe object canvas title select textarea button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +52,6 @@ SCOPES = frozenset("ul ol dl table div article section main aside nav header foo
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_WORD = re.compile(r"[^\W_]+")
 _PARTS = re.compile(r"[a-z]+")
 
 
@@ -183,20 +183,18 @@ class Page:
 
 
 def encode(found: list[Block]) -> Page:
-    path, path_of, words, words_of = [], [], [], []
+    path, path_of = [], []
     numbers = np.zeros((len(found), NUMBERS), np.float32)
     for i, b in enumerate(found):
         own = [w for step in b.path for w in step if w not in ("html", "body")]
         own.append("<" + (b.path[-1][0] if b.path else ""))
         path += [_bucket(w) for w in own]
         path_of += [i] * len(own)
-        read = _WORD.findall(b.text[:400].lower())[:WORDS_READ]
-        words += [_bucket(w) for w in read]
-        words_of += [i] * len(read)
         n = len(b.text)
         numbers[i] = (np.log1p(n) / 5, min(b.linked / n, 1), i / len(found), (len(found) - i) / len(found), n > 120, n < 25, b.text[-1] in ".!?", len(b.path) / 8)
-    as_array = [np.array(x, np.int64) for x in (path, path_of, words, words_of)]
-    return Page(*as_array, numbers)
+    words, first = word_hashes(pa.array([b.text.lower().encode("utf-8", "replace") for b in found], pa.large_binary()), ALNUM)
+    words_of = np.repeat(np.arange(len(found)), np.diff(first))
+    return Page(np.array(path, np.int64), np.array(path_of, np.int64), (words % np.uint64(BUCKETS)).astype(np.int64), words_of, numbers)
 
 
 # ---- the network -------------------------------------------------------------------------------------------------
@@ -219,9 +217,17 @@ def new_parameters(rng) -> dict[str, np.ndarray]:
     return p | {"out": normal(2 * HIDDEN, 1), "out_bias": np.zeros(1, np.float32)}
 
 
+def _sums(of: np.ndarray, values: np.ndarray, at: np.ndarray, rows: int) -> np.ndarray:
+    """The sums of ``values[at]`` in each of ``rows`` groups, a bounded number of them at a time."""
+    out = np.zeros((rows, values.shape[1]), values.dtype)
+    for low in range(0, len(of), STEP):
+        out += sum_rows(of[low : low + STEP], values[at[low : low + STEP]], rows)
+    return out
+
+
 def _bag(table: np.ndarray, items: np.ndarray, of: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.maximum(np.bincount(of, minlength=rows), 1).astype(np.float32)
-    return sum_rows(of, table[items], rows) / np.sqrt(n)[:, None], np.sqrt(n)
+    return _sums(of, table, items, rows) / np.sqrt(n)[:, None], np.sqrt(n)
 
 
 def _layout(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
@@ -297,8 +303,8 @@ def backward(p, memo, d_logits: np.ndarray) -> dict[str, np.ndarray]:
             grads[f"{way}_bias"] += da.sum(0)
             d_x[rows] += da @ p[f"{way}_in"].T
             next_h[live], next_c[live] = da @ p[f"{way}_rec"].T, dc * f
-    grads["path"] = sum_rows(path, (d_x[:, :PATH] / n_path[:, None])[path_of], BUCKETS)
-    grads["words"] = sum_rows(words, (d_x[:, PATH : PATH + WORDS] / n_words[:, None])[words_of], BUCKETS)
+    grads["path"] = _sums(path, d_x[:, :PATH] / n_path[:, None], path_of, BUCKETS)
+    grads["words"] = _sums(words, d_x[:, PATH : PATH + WORDS] / n_words[:, None], words_of, BUCKETS)
     return grads
 
 
