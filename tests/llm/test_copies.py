@@ -158,3 +158,20 @@ def test_edits_come_from_the_next_document(odd_docs, no_docs):
     assert fp.compare_with_edits(no_docs).count() == 0
     alone = fp.compare_with_edits(odd_docs.where(F.col("doc_id") == 4)).collect()
     assert len(alone) == 1 and alone[0]["near_next"] == 1
+
+
+def test_recall_holds_at_the_deepest_level(spark, monkeypatch):
+    stated = 0.001
+    assert nd.miss(nd.SURE, 0.8) ** nd.TREES < stated and nd.miss(nd.LEVELS, 0.8) ** nd.TREES > stated
+    assert nd.miss(nd.LEVELS, 0.8) ** (nd.TREES + nd.further(nd.TREES, 0.8)) < stated
+    # pairs of similarity 0.8 stay together in trees as often as that says: the second way is there at deep levels too
+    rows = spark.range(400).selectExpr("1L as node", "0 as tree", "id as c", "id as label", f"cast(repeat('x', {4 * nd.TOKENS + nd.BITS_OF // 2}) as binary) as sig")
+    assert nd.branched(rows.withColumn("node", rows.c * 7919), nd.LEVELS, 1, 0.8).count() > 440
+    # classes that pass through large nodes are branched in further trees
+    monkeypatch.setattr(nd, "LEVELS", 4)
+    monkeypatch.setattr(nd, "OUTSIDE", -1)
+    seen, plain = [], nd._descend
+    monkeypatch.setattr(nd, "_descend", lambda *a: seen.append((a[1], a[5:])) or plain(*a))
+    copies = [(i, " ".join(f"w{(j * j * 31 + (i if j % 29 == 0 else 0)) % 997}" for j in range(60))) for i in range(12)]
+    nd.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string")).collect()
+    assert [s for s in seen if s[1] == (nd.TREES,)] == [(nd.further(nd.TREES, 0.8), (nd.TREES,))]

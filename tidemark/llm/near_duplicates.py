@@ -2,7 +2,7 @@
 
 A document is its set of word shingles.  Documents with the same set are one class; the join runs over classes.  ``TREES``
 independent trees branch the classes: at a node a pseudorandom choice selects one minwise token function, or two (with
-probability 1 / threshold - 1, on the first levels), and a class goes to the child of each selected minwise token it
+probability 1 / threshold - 1), and a class goes to the child of each selected minwise token it
 holds.  Small nodes are compared exhaustively; large ones branch again.  Comparison in a node is by the ``TOKENS``
 minwise tokens, then by four bits each of ``BITS_OF`` minwise tokens, and by the set sizes, with margins of four deviations;
 what passes is confirmed on the full sets.
@@ -14,8 +14,10 @@ there if at most ``OUTSIDE`` of its members lie outside its largest component, h
 compared with all members, in slices.  A node still large at the last level is compared whole, in blocks, so nothing is
 capped.  No task ever holds a group, and no group is expanded into all its pairs.
 
-The chance to miss a pair at the threshold is about 0.16 ** TREES where nodes are small after one branching and 0.4 ** TREES
-after three (8 trees: below 0.001); pairs of equal sets are never missed.
+A tree misses a pair at the threshold with a chance of 0.16 where nodes are small after one branching, 0.36 after three and 0.59
+after eight.  Classes that pass through a node still large after ``SURE`` levels therefore get ``further`` trees, so many that the
+chance to miss a pair in all trees is at every depth at most that of ``TREES`` trees of ``SURE`` levels (below 0.001); pairs
+of equal sets are never missed.
 
 Defined results: null and empty texts (and blank ones) have empty sets and are linked with nothing; a text of fewer
 words than a shingle is one shingle; a doc_id that repeats with several texts ties its components together only if
@@ -44,7 +46,7 @@ BITS_OF = 512
 LEVELS = 8
 FIRST_LEVELS = 2
 PIVOTS = 16
-TWO_WAYS = 3
+SURE = 3
 LEAF = 48
 OUTSIDE = 1024
 SLICE = 256
@@ -98,9 +100,25 @@ def _signs(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 # ---- branching ----------------------------------------------------------------------------------------------------
 
 
-def branched(rows: DataFrame, level: int, trees: int, similarity: float) -> DataFrame:
+def miss(levels: int, similarity: float) -> float:
+    """The chance that a pair of this similarity does not meet after ``levels`` branchings of one tree."""
+    second, out = min(1 / similarity - 1, 1.0), 0.0
+    for _ in range(levels):
+        one_way = 1 - similarity + similarity * out
+        out = (1 - second) * one_way + second * one_way**2
+    return out
+
+
+def further(trees: int, similarity: float) -> int:
+    """How many more trees give classes of ``LEVELS`` levels the recall of ``trees`` trees of ``SURE`` levels."""
+    if similarity >= 1:
+        return 0
+    return max(0, int(np.ceil(trees * np.log(miss(SURE, similarity)) / np.log(miss(LEVELS, similarity)))) - trees)
+
+
+def branched(rows: DataFrame, level: int, trees: int, similarity: float, base: int = 0) -> DataFrame:
     """The children (``node, tree, c, label``) of rows ``node, tree, c, label, sig``; at level 1 rows have no node and belong to all roots."""
-    second = np.uint64(min(1 / similarity - 1, 1.0) * 2**32) if level <= TWO_WAYS else np.uint64(0)
+    second = np.uint64(min(1 / similarity - 1, 1.0) * 2**32)
 
     def branch(batches):
         for batch in pieces(batches, 4096):
@@ -111,7 +129,7 @@ def branched(rows: DataFrame, level: int, trees: int, similarity: float) -> Data
             sig, _ = _signs(batch.column(names.index("sig")).to_pylist())
             c, label = (batch.column(names.index(x)).to_numpy() for x in ("c", "label"))
             if level == 1:
-                tree = np.repeat(np.arange(trees, dtype=np.int64), rows)
+                tree = np.repeat(np.arange(base, base + trees, dtype=np.int64), rows)
                 at, node = np.tile(np.arange(rows), trees), mix(tree.astype(np.uint64) + np.uint64(99))
             else:
                 tree = batch.column(names.index("tree")).to_numpy().astype(np.int64)
@@ -205,9 +223,12 @@ def candidates(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
     return met.mapInArrow(_compare(similarity, forest), "a long, b long").distinct()
 
 
-def _descend(classes: DataFrame, trees: int, levels: int, similarity: float, first: bool) -> list[DataFrame]:
-    """Candidate pairs of one pass, a written table per level; ``classes`` has ``c, n, sig, label``."""
-    found, rows = [], branched(classes.select("c", "label", "sig"), 1, trees, similarity)
+def _descend(classes: DataFrame, trees: int, levels: int, similarity: float, first: bool, base: int = 0) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Candidate pairs of one pass, a written table per level, and the classes (``c``) in nodes still large after ``SURE`` levels.
+
+    ``classes`` has ``c, n, sig, label``; trees are numbered from ``base``.
+    """
+    found, deep, rows = [], [], branched(classes.select("c", "label", "sig"), 1, trees, similarity, base)
     key = F.xxhash64("c", "node")
     for level in range(1, levels + 1):
         rows = rows.distinct() if level > 1 else rows
@@ -232,8 +253,11 @@ def _descend(classes: DataFrame, trees: int, levels: int, similarity: float, fir
         found.append(stage(candidates(full if first else full.where("small"), similarity, first), f"pairs-{level}"))
         if level == levels or not seen.get["large"]:
             break
-        rows = branched(full.where("not small").select("node", "tree", "c", "label", "sig"), level + 1, trees, similarity)
-    return found
+        large = full.where("not small")
+        if level >= SURE:
+            deep.append(large.select("c"))
+        rows = branched(large.select("node", "tree", "c", "label", "sig"), level + 1, trees, similarity)
+    return found, deep
 
 
 # ---- confirmation -------------------------------------------------------------------------------------------------
@@ -291,7 +315,9 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, similarity: fl
         if not first:
             roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
             plain = stage(classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select(*classes.columns, F.coalesce("root", "c").alias("label")), "labelled")
-        found = _descend(plain, min(FIRST_TREES, trees) if first else trees, FIRST_LEVELS if first else LEVELS, similarity, first)
+        found, deep = _descend(plain, min(FIRST_TREES, trees) if first else trees, FIRST_LEVELS if first else LEVELS, similarity, first)
+        if deep and further(trees, similarity):
+            found += _descend(plain.join(_union(deep), "c", "left_semi"), further(trees, similarity), LEVELS, similarity, False, trees)[0]
         pairs = stage(_union(found), "pairs")
         if first or not pairs.isEmpty():
             new = stage(confirmed(pairs, docs, classes, shingle, similarity), "links")
