@@ -50,9 +50,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their words, their source's words and target, and the words the mix takes from them."""
-    of = mixing.taken_words(docs).groupBy(F.col("doc_id").alias("__id")).agg(*(F.max(c).alias(f"__{c}") for c in ("size", "source_size", "target")), F.sum("taken").alias("__taken"))
     made = ("size", "source_size", "target", "taken")
-    joined = docs.join(of, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    of = mixing.taken_by_row(numbered, row="__row").select(F.col("row").alias("__of"), *(F.col(c).alias(f"__{c}") for c in made))
+    joined = numbered.join(of, F.col("__row") == F.col("__of"), "left")
     return joined.select(*(c for c in docs.columns if c not in made), *(F.col(f"__{c}").alias(c) for c in made))
 
 

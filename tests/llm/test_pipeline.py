@@ -45,3 +45,11 @@ def test_toxic_documents_go(spark):
     n = {r["toxic"]: r["count"] for r in kept.groupBy("toxic").count().collect()}
     was = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     assert n[0] >= 0.97 * was[0] and n.get(1, 0) <= 0.5 * was[1]
+
+
+def test_mix_counts_each_row_once(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(n)), "s") for i, n in ((None, 300), (None, 200), (None, 900), (1, 500), (1, 400), (2, 700))]
+    out = corpus_pipeline.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF).collect()
+    assert sorted(r["size"] for r in out) == [200, 300, 400, 500, 700, 900]
+    assert all(r["size"] == len(r["text"].split()) and r["taken"] <= 2 * r["size"] for r in out)
+    assert abs(sum(r["taken"] for r in out) - out[0]["target"]) <= 128

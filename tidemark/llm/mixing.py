@@ -34,16 +34,16 @@ STREAM_WORDS = 500_000
 MAX_SOURCES = 200_000
 
 
-def sizes(documents: DataFrame) -> DataFrame:
-    """``row, doc_id, source, size``: the words of each document row."""
+def sizes(documents: DataFrame, row: str | None = None) -> DataFrame:
+    """``row, doc_id, source, size``: the words of each document row; ``row`` names a column that numbers the rows already."""
 
     def count(batches):
         for batch in batches:
             _, _, _, first = spans(*flat(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first))], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), batch.column(3)], ["doc_id", "source", "size", "row"])
 
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return docs.mapInArrow(count, "doc_id long, source string, size long").withColumn("row", F.monotonically_increasing_id())
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+    return docs.mapInArrow(count, "doc_id long, source string, size long, row long")
 
 
 def targets(words: np.ndarray, weights: np.ndarray, total: float, most: float = MOST) -> np.ndarray:
@@ -89,14 +89,14 @@ def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def mix_sources(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS,
-                shard_slots: int = SHARD_SLOTS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+                shard_slots: int = SHARD_SLOTS, seed: int = 17, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables: documents (``row, doc_id, source, size, source_size, target``) and the mix.
 
     The mix has one row per piece: output ``shard`` and ``slot``, ``row`` and ``doc_id`` of the document, its first word in
     the document and the number of words.
     """
     spark = documents.sparkSession
-    sized = stage(sizes(documents), "sizes")
+    sized = stage(sizes(documents, row), "sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).toArrow().to_pylist()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -159,6 +159,11 @@ def _slots(spark, drawn: np.ndarray, blocks: np.ndarray, seed: int) -> DataFrame
 
 def taken_words(documents: DataFrame, **options) -> DataFrame:
     """Per document row: ``doc_id, size, source_size, target`` and the words the mix takes from it."""
+    return taken_by_row(documents, **options).drop("row")
+
+
+def taken_by_row(documents: DataFrame, **options) -> DataFrame:
+    """Per document row: ``row, doc_id, size, source_size, target`` and the words the mix takes from it."""
     docs, mixed = mix_sources(documents, **options)
     taken = mixed.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    return docs.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return docs.join(taken, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
