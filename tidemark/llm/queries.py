@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fingerprints, html_text, language, language_model, line_dedup, mixing, near_duplicates, quality, toxicity
+from tidemark.llm import centroids, decontaminate, exact_dedup, fingerprints, html_text, language, language_model, line_dedup, mixing, near_duplicates, prefix_trie, quality, toxicity
 from tidemark.llm.tables import crc_mod, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,86 @@ def op10_language_model(spark, sf_dir):
     model = language_model.train(texts, counts)
     scored = language_model.score_documents(documents, model, counts)
     return scored.select("doc_id", _held_out(10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = r"""
+WITH r AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY rn) AS turns FROM r GROUP BY conv_id),
+h AS (
+  SELECT *, xor(list_reduce(
+      list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295::BIGINT) % 4 AS h
+  FROM o),
+c AS (
+  SELECT a.conv_id, list_concat(CASE WHEN a.h = 0 OR b.turns IS NULL THEN [] ELSE b.turns[1:a.h] END, a.turns[a.h + 1:]) AS t
+  FROM h a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 20),
+p AS (SELECT conv_id, t[1:d] AS k, d, len(t) AS n, t[d].text AS last FROM (SELECT conv_id, t, unnest(generate_series(0, len(t))) AS d FROM c)),
+g AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS deepest,
+         (count(*) - 1) * len(regexp_extract_all(coalesce(any_value(last), ''), '[^ 	-
+]+')) AS cost,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM p GROUP BY k, d),
+u AS (SELECT g.d, g.conv_id, g.cost, g.deepest, g.k, unnest(generate_series(0, g.d)) AS up FROM g),
+s AS (SELECT k[1:up] AS k, sum(cost) AS saved, count(*) FILTER (deepest = d) AS leaves FROM u GROUP BY 1),
+ch AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM g WHERE d > 0 GROUP BY 1)
+SELECT g.conv_id, g.d::BIGINT AS depth, q.conv_id AS parent_conv_id, g.n_convs, coalesce(ch.n, 0) AS n_children, s.leaves AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, g.ends_sha256
+FROM g JOIN s ON s.k = g.k LEFT JOIN ch ON ch.k = g.k LEFT JOIN g q ON g.d > 0 AND q.k = g.k[1:g.d - 1]
+"""
+
+
+@query
+def op12_exact_dedup(spark, sf_dir):
+    kept = exact_dedup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op12_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query
+def op13_centroids(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _centroid_sql(rounds: int = 10) -> str:
+    """Every round as a pair of common table expressions: nearest centroids, then their floored means."""
+    near = """a{i} AS MATERIALIZED (
+  SELECT row, vec_id, v, cluster, distance FROM (
+    SELECT k.row, k.vec_id, k.v, c.cluster, list_sum(list_transform(list_zip(k.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS distance,
+           row_number() OVER (PARTITION BY k.row ORDER BY list_sum(list_transform(list_zip(k.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), c.cluster) AS r
+    FROM k CROSS JOIN c{i} c) WHERE r = 1)"""
+    mean = """c{j} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+    SELECT cluster, list(m ORDER BY i) AS v FROM (
+      SELECT cluster, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+      FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY cluster, i) GROUP BY cluster) m USING (cluster))"""
+    steps = [near.format(i=0)] + [part for i in range(rounds) for part in (mean.format(i=i, j=i + 1), near.format(i=i + 1))]
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR) NULLS LAST, v) - 1 AS cluster, v FROM k
+  QUALIFY cluster < 8),
+{", ".join(steps)}
+SELECT a.vec_id, a.cluster::INTEGER AS cluster, a.distance, sum(a.distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+       sum(a.distance) OVER ()::BIGINT AS inertia, sha256(list_aggregate(c.v, 'string_agg', ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (cluster)
+"""
+
+
+ORACLES["op13_centroids"] = _centroid_sql()
