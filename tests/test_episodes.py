@@ -126,3 +126,58 @@ def test_parameter_sweep_honours_parameters(spark):
     assert both["n_trades"].tolist() == [lone]
     assert len(research.parameter_grid("ema_trend", 2)) == 8
     assert research.parameter_sample("ema_trend", 5, 1) == research.parameter_sample("ema_trend", 5, 1)
+
+
+def touches(high, low, start, end, upper, lower):
+    """First touch, bar by bar."""
+    out = []
+    for s, e, u, d in zip(start, end, upper, lower):
+        out.append(next((i for i in range(s, e) if high[i] >= u or low[i] <= d), e))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_galloping_search_equals_the_bar_loop(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 400))
+    mid = np.cumsum(rng.normal(0, 1, n))
+    high, low = mid + rng.random(n), mid - rng.random(n)
+    high[rng.random(n) < 0.1] = low[rng.random(n) < 0.1] = np.nan
+    start = rng.integers(0, n, 300)
+    end = np.minimum(start + rng.integers(0, 2 * n, 300), n)
+    base, reach = mid[start], rng.choice([0, 0.5, 3, 20, np.nan], 300)
+    got = barriers.first_outside(high, low, start, end, base + reach, base - reach)
+    assert got.tolist() == touches(high, low, start, end, base + reach, base - reach)
+
+
+def test_long_horizons_need_memory_for_the_chunk_only():
+    """20,000 bars ahead for 16,384 entries: a matrix of them would hold 328 million cells an array."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    path = pd.DataFrame({"_rn": np.arange(40_000), "_us": np.arange(40_000), "_close": 100 + np.cumsum(rng.normal(0, 0.05, 40_000))})
+    path["_high"], path["_low"] = path["_close"] + 0.1, path["_close"] - 0.1
+    rn = np.arange(16_384)
+    found = pd.DataFrame({"rn": rn, "signal": 1, "entry_price": path["_close"].to_numpy()[rn + 1], "tp": 0.2, "sl": 0.1, "horizon": 20_000})
+    tracemalloc.start()
+    got = barriers._label(found, path)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert got["horizon_bars"].max() > 12 and set(got["exit_reason"]) <= {"tp", "sl", "horizon"}
+    some = rng.integers(0, 16_384, 40)
+    entry = found["entry_price"].to_numpy()[some]
+    want = touches(path["_high"].to_numpy(), path["_low"].to_numpy(), some + 1, some + 20_001, entry * 1.2, entry * 0.9)
+    at = np.where(got["exit_reason"][some] == "horizon", some + 20_001, some + 1 + got["horizon_bars"][some])
+    assert at.tolist() == want
+
+
+def test_runs_that_share_bars_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(barriers, "TASK_ENTRIES", 50)
+    series = index_rows(frame(spark, make_bars(500, seed=6, step=0.6)))
+    candidates = [{"deviation_pct": 0.001 * i} for i in range(1, 6)]
+    dealt = collect(research.parameter_sweep(series, "vwap_bounce", candidates), "candidate")
+    monkeypatch.setattr(barriers, "TASK_ENTRIES", 1 << 17)
+    whole = collect(research.parameter_sweep(series, "vwap_bounce", candidates), "candidate")
+    assert dealt["n_trades"].sum() > 200
+    pd.testing.assert_frame_equal(dealt, whole)

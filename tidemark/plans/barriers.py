@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark import staging
 from tidemark.functions.costs import spot_pnl, trade_costs
 from tidemark.functions.numbers import half_up
 from tidemark.plans.cooldown import thin
 from tidemark.plans.series import Chunks, chunk_rows, chunked
 
 CHUNK = 8192  # positions per task of the barrier search
-BLOCK = 16384  # entries compared at once inside a task
-RUNS_PER_LANE = 64
+TASK_ENTRIES = 1 << 17  # entries of one task, where several runs share the bars
 
 
 def candidates(ch: Chunks, warmup: int = 50, horizon: Column | int = 12) -> DataFrame:
@@ -35,29 +35,34 @@ def candidates(ch: Chunks, warmup: int = 50, horizon: Column | int = 12) -> Data
 
 
 def first_touch(
-    entries: DataFrame,
-    bars: DataFrame,
-    run_keys: Sequence[str],
-    bar_keys: Sequence[str],
-    max_horizon: int,
-    lanes: int = 1,
+    entries: DataFrame, bars: DataFrame, run_keys: Sequence[str], bar_keys: Sequence[str], max_horizon: int
 ) -> DataFrame:
     """Label each entry with the first barrier its following bars touch.
 
     ``entries`` carry ``rn, signal, entry_price, entry_ts, tp, sl, horizon``.  Entries meet
-    the bars of their position chunk plus one horizon of look-ahead rows, and all windows
-    of a chunk are compared at once.  A chunk holds at most ``CHUNK`` entries per run;
-    with many runs on the same bars, ``lanes`` deals the runs out to separate tasks.
+    the bars of their position chunk plus one horizon of look-ahead rows, and all entries
+    of a task search the chunk's doubling tables at once: time grows with the logarithm of the
+    horizon and memory with the chunk, not with entries times horizon.  One run has at most
+    ``CHUNK`` entries in a chunk; where several share the bars, a chunk's entries are counted and
+    dealt to as many tasks as they need, and only chunks with entries are read.
     """
     size = max(min(CHUNK, chunk_rows(entries.sparkSession)), max_horizon)
-    dealt = entries.withColumn("_chunk", F.floor(F.col("rn") / F.lit(size))).withColumn(
-        "_lane", F.pmod(F.hash(*run_keys), F.lit(lanes))
-    )
+    dealt = entries.withColumn("_chunk", F.floor(F.col("rn") / F.lit(size)))
     path = chunked(bars.select(*bar_keys, "rn", "n", "ts", "high", "low", "close"), bar_keys, after=max_horizon, size=size).df
+    lane = F.lit(0).cast("long")
+    if set(run_keys) - set(bar_keys):
+        dealt = staging.save(dealt, "entries")
+        lanes = dealt.groupBy(*bar_keys, "_chunk").agg(F.ceil(F.count(F.lit(1)) / TASK_ENTRIES).alias("_lanes"))
+        dealt = dealt.join(lanes, [*bar_keys, "_chunk"])
+        dealt = dealt.withColumn("_lane", F.pmod(F.xxhash64(*run_keys, "rn"), F.col("_lanes"))).drop("_lanes")
+        path = path.join(lanes, [*bar_keys, "_chunk"])
+        lane = F.explode(F.sequence(lane, F.col("_lanes") - 1))
+    else:
+        dealt = dealt.withColumn("_lane", lane)
     path = path.select(
         *(F.col(k).alias(f"_{k}") for k in bar_keys),
         F.col("_chunk").alias("_at"),
-        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_of"),
+        lane.alias("_of"),
         F.col("rn").alias("_rn"),
         F.unix_micros("ts").alias("_us"),
         *(F.col(c).cast("double").alias(f"_{c}") for c in ("high", "low", "close")),
@@ -77,11 +82,7 @@ def first_touch(
         if found.empty or path.empty:
             return pd.DataFrame(columns=schema.names)
         path = path.sort_values("_rn", ignore_index=True)
-        parts = [
-            _label(found.iloc[i : i + BLOCK], path, max_horizon) for i in range(0, len(found), BLOCK)
-        ]
-        made = {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
-        return found[columns].assign(**made)[schema.names]
+        return found[columns].assign(**_label(found, path))[schema.names]
 
     labelled = (
         dealt.groupBy(*bar_keys, "_chunk", "_lane")
@@ -91,32 +92,64 @@ def first_touch(
     return labelled.withColumn("exit_ts", F.timestamp_micros("_exit_us")).drop("_exit_us")
 
 
-def _label(found: pd.DataFrame, path: pd.DataFrame, max_horizon: int) -> dict[str, np.ndarray]:
-    """Exits of a block of entries: one row per entry, one column per bar ahead."""
-    first = (found["rn"] - path["_rn"].iloc[0] + 1).to_numpy()
-    ahead = np.arange(max_horizon)
-    window = np.minimum(first[:, None] + ahead, len(path) - 1)
+def _doubling(values: np.ndarray, pick: Callable, levels: int) -> list[np.ndarray]:
+    """``pick`` (max or min) over the ``2 ** k`` rows from each row on, for each level ``k``; shorter at the end."""
+    tables = [values]
+    for k in range(levels):
+        below = tables[-1]
+        tables.append(pick(below[: -(1 << k)], below[1 << k :]) if len(below) > 1 << k else below[:0])
+    return tables
+
+
+def first_outside(high: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """First row in ``[start, end)`` whose high reaches ``upper`` or whose low reaches ``lower``, else ``end``.
+
+    A galloping search over doubling tables: strides double while a stretch touches neither
+    barrier, then halve.  Missing highs and lows, and missing barriers, touch nothing.
+    """
+    levels = int(max(int((end - start).max(initial=1)), 1)).bit_length()
+    top = _doubling(np.where(np.isnan(high), -np.inf, high), np.maximum, levels)
+    bottom = _doubling(np.where(np.isnan(low), np.inf, low), np.minimum, levels)
+    at = start.astype(np.int64).copy()
+    active = np.arange(len(at))
+
+    def stride(k: int, rows: np.ndarray) -> np.ndarray:
+        """Moves the rows whose next ``2 ** k`` bars fit and touch nothing; returns those moved."""
+        rows = rows[at[rows] + (1 << k) <= end[rows]]
+        here = at[rows]
+        clear = ~((top[k][here] >= upper[rows]) | (bottom[k][here] <= lower[rows]))
+        at[rows[clear]] += 1 << k
+        return rows[clear]
+
+    for k in range(levels + 1):
+        active = stride(k, active)
+        if not len(active):
+            break
+    for k in range(levels, -1, -1):
+        stride(k, np.arange(len(at)))
+    return at
+
+
+def _label(found: pd.DataFrame, path: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Exits of a chunk's entries."""
+    start = (found["rn"] - path["_rn"].iloc[0] + 1).to_numpy()
     horizon = found["horizon"].to_numpy()
-    inside = ahead < horizon[:, None]
-    high, low = (path[c].to_numpy()[window] for c in ("_high", "_low"))
+    high, low, close = (path[c].to_numpy(dtype=float) for c in ("_high", "_low", "_close"))
+    end = np.minimum(start + horizon, len(path))
     entry, tp, sl = (found[c].to_numpy(dtype=float) for c in ("entry_price", "tp", "sl"))
     long = found["signal"].to_numpy() == 1
     target = np.where(long, entry * (1 + tp), entry * (1 - tp))
     stop = np.where(long, entry * (1 - sl), entry * (1 + sl))
-    side = long[:, None]
-    hit_tp = np.where(side, high >= target[:, None], low <= target[:, None]) & inside
-    hit_sl = np.where(side, low <= stop[:, None], high >= stop[:, None]) & inside
-    hit = hit_tp | hit_sl
-    at, rows = hit.argmax(axis=1), np.arange(len(found))
-    touched, stopped = hit[rows, at], hit_sl[rows, at]
-    bars = np.where(touched, at, horizon - 1)
-    leave = np.minimum(first + bars, len(path) - 1)
+    at = first_outside(high, low, start, end, np.where(long, target, stop), np.where(long, stop, target))
+    touched = at < end
+    bars = np.where(touched, at - start, horizon - 1)
+    leave = np.minimum(start + bars, len(path) - 1)
+    stopped = touched & np.where(long, low[leave] <= stop, high[leave] >= stop)
     # A bar that touches both barriers is a stop.
     reason = np.where(touched, np.where(stopped, "sl", "tp"), "horizon")
-    price = np.where(touched, np.where(stopped, stop, target), path["_close"].to_numpy()[leave])
     return {
         "exit_reason": reason.astype(object),
-        "exit_raw": price,
+        "exit_raw": np.where(touched, np.where(stopped, stop, target), close[leave]),
         "horizon_bars": bars.astype(np.int64),
         "_exit_us": path["_us"].to_numpy()[leave],
     }

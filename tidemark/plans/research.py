@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 import random
 from collections.abc import Mapping, Sequence
 
@@ -16,16 +15,12 @@ from tidemark.operators.metrics import summarise
 from tidemark.operators.rules import Rule, fired
 from tidemark.operators.signals import Signal, needed, resolve, signal_on_slices
 from tidemark.plans import slices
-from tidemark.plans.barriers import RUNS_PER_LANE, backtest, first_touch, price
+from tidemark.plans.barriers import backtest, first_touch, price
 from tidemark.plans.cooldown import thin
 
 MIN_TRADES = 30
 
 
-def _lanes(runs: int) -> int:
-    return math.ceil(runs / RUNS_PER_LANE)
-
-
 def sweep(
     series: DataFrame,
     rules: Sequence[Rule],
@@ -42,7 +37,7 @@ def sweep(
     run = ["rule_id", *keys]
     kept = thin(found, run, cooldown)
     longest = max(r.horizon for r in rules)
-    return price(first_touch(kept, series, run, keys, longest, _lanes(len(rules))), run, size)
+    return price(first_touch(kept, series, run, keys, longest), run, size)
 
 
 def rule_runs(series: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> DataFrame:
@@ -206,7 +201,7 @@ def parameter_sweep(
     entries = thin(found, run, cooldown).withColumns(
         {"tp": F.lit(float(tp)), "sl": F.lit(float(sl)), "horizon": F.lit(horizon)}
     )
-    labelled = first_touch(entries, series, run, keys, horizon, _lanes(len(variants)))
+    labelled = first_touch(entries, series, run, keys, horizon)
     metrics = summarise(price(labelled, run, size), run, with_pvalue=False)
     ids = F.explode(F.sequence(F.lit(0), F.lit(len(variants) - 1))).alias("candidate")
     every = series.groupBy(*keys).agg(F.max("n").alias("n")).select(ids, *keys)
