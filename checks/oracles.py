@@ -344,6 +344,36 @@ FINGERPRINT = """substr(md5('[' || coalesce(list_aggregate(list_transform(list_s
     lambda c: {'i': coalesce(c.i, '?'), 'o': coalesce(c.o, '?')})), lambda p: '["' || p.i || '", "' || p.o || '"]'), 'string_agg', ', '), '') || ']'), 1, 12)"""
 
 
+def stored_conditions(name, table, key, size):
+    """``name``: one row per condition of the stored documents (rule, fingerprint, indicator, operator, level, exits)."""
+    i, o = f"(({key} * 7 + s * 3 + j * 2) % 5)", f"(({key} + s * 5 + j * 4) % 9)"
+    level = " ".join(f"WHEN {n} THEN {v.replace('D', '::DOUBLE')}" for n, v in enumerate(fx.STORED_LEVELS.values()))
+    return f"""{name}c AS (SELECT {key} AS k, 'rule_' || {key} AS rule_id, {choice(list(fx.STORED_LEVELS), i)} AS i, {choice(fx.STORED_OPS, o)} AS o,
+           CASE WHEN {o} = 8 THEN 3 ELSE CASE {i} {level} END END AS v
+         FROM (SELECT {key}, CAST({size} AS BIGINT) AS s, unnest(range(0, CAST({key} % 3 + 1 AS BIGINT))) AS j FROM {table} WHERE {key} % 13 <> 0)),
+{name}f AS (SELECT rule_id, {FINGERPRINT} AS fp FROM (SELECT rule_id, list({{'i': i, 'o': o}}) AS conds FROM {name}c GROUP BY rule_id))"""
+
+
+def stored_signals(name, src, columns):
+    """``name(rule_id, symbol, rn, signal, tp, sl, hz)``: where all conditions of the stored rules hold on ``src``."""
+    w = "(PARTITION BY symbol ORDER BY rn)"
+    values = " UNION ALL ".join(
+        f"""SELECT symbol, rn, '{i}' AS i, {x} AS x, lag({x}) OVER {w} AS prev, {roll('avg', x, 20, 'symbol')} AS mean,
+              sum(CASE WHEN {x} > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY rn ROWS 2 PRECEDING) AS ups FROM {src}"""
+        for i, x in columns.items()
+    )
+    tests = {
+        "lt": "x < v", "gt": "x > v", "lte": "x <= v", "gte": "x >= v", "cross_above": "prev <= v AND x > v", "cross_below": "prev >= v AND x < v",
+        "gt_rolling": "x > mean", "lt_rolling": "x < mean", "streak_gte": "ups = 3",
+    }
+    case = " ".join(f"WHEN '{op}' THEN {test}" for op, test in tests.items())
+    return f"""{name}v AS ({values}),
+{name} AS (SELECT rule_id, symbol, rn, 1 AS signal, any_value(0.01::DOUBLE + (k % 4) / 100::DOUBLE) AS tp, any_value(0.01::DOUBLE + (k % 3) / 100::DOUBLE) AS sl,
+             any_value([12, 24, 48][k % 3 + 1]) AS hz
+           FROM docc JOIN tried USING (rule_id) JOIN {name}v USING (i) WHERE rn >= 50 GROUP BY rule_id, symbol, rn
+           HAVING bool_and(coalesce(CASE o {case} END, false)))"""
+
+
 def any_(test):
     return f"coalesce(len(list_filter(conds, lambda c: coalesce({test}, false))) > 0, false)"
 
@@ -461,6 +491,14 @@ def rule_oracles():
         *WITH_E20, f"sigr AS ({indicator_rules(RANDOM_RULES, COLUMNS, 'i20')})",
         *trades("sigr", keys="rule_id, symbol", bar_keys="symbol"), *metrics(keys="rule_id, symbol"),
     ) + "SELECT * FROM summary"
+    stored = [
+        stored_conditions("doc", "part", "p_partkey", "p_size"), stored_conditions("old", "supplier", "s_suppkey", "s_nationkey"),
+        """tried AS (SELECT rule_id FROM docf WHERE fp NOT IN (SELECT fp FROM oldf) QUALIFY row_number() OVER (PARTITION BY fp ORDER BY rule_id) = 1)""",
+    ]
+    stored_columns = {"rsi": "rsi_14", "close": "close", "volume": "volume", "macd": "macd", "ema": "ema_20"}
+    o["rule_store_sweep"] = recursive(
+        *WITH_E20, *stored, stored_signals("sigd", "i20", stored_columns), *trades("sigd", keys="rule_id, symbol", bar_keys="symbol"), *metrics(keys="rule_id, symbol")
+    ) + "SELECT * FROM summary"
     train = "xt AS (SELECT * EXCLUDE (split) FROM xs WHERE split = 'train')"
     recent = """xr0 AS (SELECT *, greatest(least(2880, n - 100), 0) AS k FROM xt),
 xr AS (SELECT symbol, ts, open, high, low, close, volume, rn - (n - k) AS rn, k AS n FROM xr0 WHERE rn >= n - k)"""
@@ -471,6 +509,24 @@ xr AS (SELECT symbol, ts, open, high, low, close, volume, rn - (n - k) AS rn, k
         f"sigt AS ({indicator_rules(PLAIN_RULES, {}, 'xt')})",
         *trades("sigt", "xt", "rule_id, symbol", "symbol", tag="t"), *metrics("t", "rule_id, symbol"),
     ) + "SELECT summaryt.* FROM summaryt SEMI JOIN (SELECT * FROM summaryq WHERE sharpe > -0.05 AND n_trades >= 3) USING (rule_id, symbol)"
+
+    def indicators_on(src, tag):
+        """``i{tag}``: the indicators of the stored rules, begun anew on a slice."""
+        parts = [
+            f"y{tag} AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY rn) AS pc FROM {src})",
+            *rsi(14, tag), *macd(12, 26, 9, tag), ewm(f"e{tag}", "x", "close", 2 / 21, 20),
+            f"""i{tag} AS (SELECT x.*, rsi{tag}.v AS rsi_14, macd{tag}.m AS macd, e{tag}.v AS ema_20
+              FROM y{tag} x JOIN rsi{tag} USING (symbol, rn) JOIN macd{tag} USING (symbol, rn) JOIN e{tag} USING (symbol, rn))""",
+        ]
+        return [t.replace("FROM x)", f"FROM y{tag})").replace("FROM x a JOIN x b", f"FROM y{tag} a JOIN y{tag} b") for t in parts]
+
+    o["rule_store_screen"] = recursive(
+        *BASE, SPLIT, train, recent, *stored,
+        *indicators_on("xr", "_r"), stored_signals("sig_r", "i_r", stored_columns),
+        *trades("sig_r", "xr", "rule_id, symbol", "symbol", tag="_q"), *metrics("_q", "rule_id, symbol"),
+        *indicators_on("xt", "_t"), stored_signals("sig_t", "i_t", stored_columns),
+        *trades("sig_t", "xt", "rule_id, symbol", "symbol", tag="_w"), *metrics("_w", "rule_id, symbol"),
+    ) + "SELECT summary_w.* FROM summary_w SEMI JOIN (SELECT * FROM summary_q WHERE sharpe > -0.05 AND n_trades >= 3) USING (rule_id, symbol)"
     periods = (3, 15, 30, 100)
     grid = [(f, m, s) for f in (3, 15) for m in (15, 30) for s in (30, 100)]
     candidates = " UNION ALL ".join(

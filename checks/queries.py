@@ -22,10 +22,10 @@ from tidemark.operators.indicators import Request
 from tidemark.operators.rules import Condition, Rule
 from tidemark.operators.signals import add_signal, signal_chunks
 from tidemark.functions.intervals import since
-from tidemark.plans import barriers, features, research, slices
+from tidemark.plans import barriers, features, research, rulebook, slices
 from tidemark.plans.cooldown import thin
 from tidemark.plans.series import index_rows
-from tidemark.sources import payloads, store
+from tidemark.sources import payloads, results, store
 from tidemark.streaming import sinks, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,6 +246,29 @@ def rule_sweep(spark, sf):
     return met.summarise(trades, ["rule_id", "symbol"], with_pvalue=False)
 
 
+def _stored_rules(spark, sf):
+    """Documents written by one job, read by another, and deduplicated against the log of rules tried before."""
+    path, log = _fresh(spark, "documents", "log")
+    results.write_documents(fx.stored_documents(fx.table(spark, sf, "part"), "p_partkey", "p_size"), path)
+    old = rules.parse_documents(fx.stored_documents(fx.table(spark, sf, "supplier"), "s_suppkey", "s_nationkey"))
+    old = rules.validate(old).filter("valid").select(rules.fingerprint().alias("fp"), F.col("rule.name").alias("name"))
+    results.record_fingerprints(old, log)
+    tried, _ = rulebook.load(spark, path, results.seen_fingerprints(spark, log))
+    return staging.save(rulebook.rule_table(tried), "tried")
+
+
+@query
+def rule_store_sweep(spark, sf):
+    trades = rulebook.sweep(fx.series(spark, sf), _stored_rules(spark, sf))
+    return met.summarise(trades, ["rule_id", "symbol"], with_pvalue=False)
+
+
+@query
+def rule_store_screen(spark, sf):
+    train = slices.holdout(fx.series(spark, sf)).filter("split = 'train'").drop("split")
+    return rulebook.screened_sweep(train, _stored_rules(spark, sf))
+
+
 @query
 def rule_screen(spark, sf):
     train = slices.holdout(fx.series(spark, sf)).filter("split = 'train'").drop("split")

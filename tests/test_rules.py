@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import time
 
 import pandas as pd
 import pytest
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import rules
 from tidemark.operators.rules import Condition, Rule
-from tidemark.plans import research
+from tidemark.plans import research, rulebook
 from tidemark.plans.series import index_rows
+from tidemark.sources import results
 
 
 def holds(c: Condition, x: pd.Series, i: int) -> bool:
@@ -130,3 +132,88 @@ def test_sweep_equals_single_rules(spark, small_chunks):
         assert alone["net_raw"].sum() == pytest.approx(mine["net_raw"].sum())
     read = Rule.from_document(json.loads(json.dumps(GOOD)))
     assert (read.tp, read.sl, read.horizon) == (0.04, 0.02, 48)
+
+
+# rules as a table ---------------------------------------------------------------------------
+
+
+def stored(spark, rule_list):
+    """Rule objects as a table of parsed documents."""
+    docs = [
+        {
+            "name": r.rule_id,
+            "entry_conditions": [{k: v for k, v in {"indicator": c.indicator, "op": c.op, "value": c.value, "params": dict(c.params) or None, "rolling": c.rolling, "period": c.period}.items() if v is not None} for c in r.conditions],
+            "exit": {"tp_pct": r.tp, "sl_pct": r.sl, "horizon_bars": r.horizon},
+        }
+        for r in rule_list
+    ]
+    return rulebook.rule_table(documents(spark, *docs).withColumn("name", F.col("rule.name")))
+
+
+MIXED = [
+    *(Rule(f"one_{i}", (c,), 0.02, 0.01, 12) for i, c in enumerate(CONDITIONS)),
+    Rule("two", (CONDITIONS[0], CONDITIONS[5]), 0.01, 0.01, 5),
+    Rule("twice", (CONDITIONS[1], CONDITIONS[1]), 0.03, 0.01, 30),
+    Rule("short_rsi", (Condition("rsi", "lt", 40, {"period": 5, "nosuch": 3.0}),), 0.02, 0.01, 12),
+    Rule("long_rsi", (Condition("rsi", "lt", 40),), 0.02, 0.01, 12),
+    Rule("none", (Condition("close", "lt", -1.0), CONDITIONS[0])),
+]
+
+
+@pytest.mark.parametrize("limits", [(24, 2048, 4096), (2, 3, 64)])
+def test_a_table_of_rules_fires_as_single_rules_do(spark, small_chunks, monkeypatch, limits):
+    for name, value in zip(("OPERANDS", "CONDITIONS", "SPAN"), limits):
+        monkeypatch.setattr(rulebook, name, value)
+    series = index_rows(frame(spark, pd.concat([make_bars(330, seed=13, step=0.6), make_bars(90, "b", 5)])))
+    table = stored(spark, MIXED)
+    got = rulebook.fired(series, table).toPandas()
+    want = rules.fired(series, MIXED).toPandas()
+    inside = got.merge(series.groupBy("symbol").agg(F.max("n").alias("n")).toPandas())
+    inside = inside[inside["rn"] + 1 + inside["horizon"] < inside["n"]]
+    for r in MIXED:
+        a, b = (sorted(map(tuple, x.loc[x["rule_id"] == r.rule_id, ["symbol", "rn"]].values)) for x in (inside, want))
+        assert a == b, r
+    assert not got.duplicated(["rule_id", "symbol", "rn"]).any()
+
+
+def test_a_table_of_rules_sweeps_as_a_list_does(spark, small_chunks):
+    series = index_rows(frame(spark, make_bars(420, seed=17, step=0.7)))
+    many = rules.random_rules(9, 3, {"rsi": [40, 60], "volume": [10, 30], "macd": [-1, 0, 1]})
+    columns = ["rule_id", "symbol", "rn", "exit_reason", "horizon_bars", "net_pnl"]
+    got = rulebook.sweep(series, stored(spark, many)).select(*columns).toPandas()
+    want = research.sweep(series, many).select(*columns).toPandas()
+    order = ["rule_id", "rn"]
+    pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True))
+    screened = rulebook.screened_sweep(series, stored(spark, many)).toPandas().sort_values("rule_id", ignore_index=True)
+    old = research.screened_sweep(series, many).toPandas().sort_values("rule_id", ignore_index=True)
+    assert len(old) and screened.equals(old[screened.columns])
+    none = stored(spark, many).limit(0)
+    assert rulebook.sweep(series, none).count() == 0
+
+
+def test_passes_are_bounded_and_thousands_of_rules_plan_quickly(spark, monkeypatch):
+    monkeypatch.setattr(rulebook, "CONDITIONS", 1000)
+    many = spark.range(5000).select(
+        F.col("id").cast("string").alias("rule_id"), F.lit(0.01).alias("tp"), F.lit(0.01).alias("sl"), F.lit(12).alias("horizon"),
+        F.expr("""transform(sequence(0, cast(id % 3 as int)), j -> named_struct('indicator', element_at(array('rsi', 'close', 'volume'), j + 1), 'op', if(id % 2 = 0, 'lt', 'gt'),
+                  'value', parse_json(cast(id / 50 as string)), 'params', cast(NULL as map<string, double>), 'rolling', cast(NULL as string), 'period', cast(NULL as int)))""").alias("conditions"),
+    )
+    start = time.time()
+    made = list(rulebook.passes(rulebook.conditions_of(many)))
+    assert sum(len(p.conditions) for p in made) == rulebook.conditions_of(many).select("condition_id").distinct().count()
+    assert all(len(p.conditions) <= 1000 and len({r["operand"] for r in p.conditions}) <= rulebook.OPERANDS for p in made)
+    assert time.time() - start < 60
+    series = index_rows(frame(spark, make_bars(300, seed=1)))
+    assert rulebook.fired(series, many).select("rule_id").distinct().count() > 1000
+
+
+def test_documents_are_stored_read_and_deduplicated(spark, tmp_path):
+    docs = [GOOD, {**GOOD, "name": "b"}, with_condition(op="between"), {**with_condition(indicator="adx"), "name": "c"}, {**with_condition(indicator="macd"), "name": "d"}]
+    path, log = str(tmp_path / "docs"), str(tmp_path / "log")
+    table = documents(spark, *docs)
+    results.write_documents(table.filter("rule_key < 3"), path)
+    results.write_documents(table.filter("rule_key >= 3"), path)
+    results.record_fingerprints(table.filter("rule_key = 4").select(rules.fingerprint().alias("fp"), F.col("rule.name").alias("name")), log)
+    tried, rejected = rulebook.load(spark, path, results.seen_fingerprints(spark, log))
+    assert sorted(r["name"] for r in tried.collect()) == ["a", "c"]  # b is a copy of a, d was tried before
+    assert [r["errors"] for r in rejected.collect()] == [["invalid op"]]

@@ -110,3 +110,25 @@ def rule_documents(rows: DataFrame, key: str, size: str, number: str) -> DataFra
             'entry_conditions', if({key} % 17 = 0, NULL, transform(sequence(0L, {key} % 3), j -> {condition})),
             'exit', named_struct('tp_pct', 0.04D, 'sl_pct', 0.015D, 'horizon_bars', 48))) AS document""",
     )
+
+
+# What the stored rule documents draw from, with the level of each indicator as a function of ``s``.
+STORED_LEVELS = {"rsi": "30 + s * 0.8D", "close": "25 + s * 1D", "volume": "s * 10D", "macd": "(s - 25) / 10D", "ema": "25 + s * 1D"}
+STORED_OPS = ["lt", "gt", "lte", "gte", "cross_above", "cross_below", "gt_rolling", "lt_rolling", "streak_gte"]
+
+
+def stored_documents(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """One rule document per row of a table, all but every thirteenth valid; levels fit the bars of these tables."""
+    i, o = f"cast(({key} * 7 + s * 3 + j * 2) % 5 as int)", f"cast(({key} + s * 5 + j * 4) % 9 as int)"
+    level = " ".join(f"WHEN {n} THEN {v}" for n, v in enumerate(STORED_LEVELS.values()))
+    condition = f"""named_struct(
+        'indicator', element_at(array({', '.join(repr(x) for x in STORED_LEVELS)}), {i} + 1),
+        'op', if({key} % 13 = 0, 'between', element_at(array({', '.join(map(repr, STORED_OPS))}), {o} + 1)),
+        'value', if({o} = 8, 3D, CASE {i} {level} END), 'rolling', 'sma', 'period', 20)"""
+    return rows.withColumn("s", F.expr(f"cast({size} as long)")).selectExpr(
+        f"""to_json(named_struct(
+            'name', concat('rule_', {key}),
+            'entry_conditions', transform(sequence(0L, {key} % 3), j -> {condition}),
+            'exit', named_struct('tp_pct', 0.01D + ({key} % 4) / 100D, 'sl_pct', 0.01D + ({key} % 3) / 100D,
+                                 'horizon_bars', element_at(array(12, 24, 48), cast({key} % 3 as int) + 1)))) AS document""",
+    )

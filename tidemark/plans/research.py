@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import staging
 from tidemark.functions.numbers import half_up
 from tidemark.operators.indicators import add_indicators, indicator_chunks
 from tidemark.operators.metrics import summarise
@@ -29,12 +30,18 @@ def sweep(
     cooldown: int = 2,
     size: float = 50.0,
     exits: tuple[float, float, int] | None = None,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
-    """Trades of every rule on every series; ``exits`` overrides the rules' own exit settings."""
+    """Trades of every rule on every series; ``exits`` overrides the rules' own exit settings.
+
+    ``runs`` (``rule_id`` and keys) keeps only the pairs it names; the others leave before they are labelled.
+    """
     if exits:
         rules = [Rule(r.rule_id, r.conditions, *exits) for r in rules]
     found = fired(series, rules, keys).filter(F.col("rn") >= warmup)
     run = ["rule_id", *keys]
+    if runs is not None:
+        found = found.join(runs.select(*run), run, "left_semi")
     kept = thin(found, run, cooldown)
     longest = max(r.horizon for r in rules)
     return price(first_touch(kept, series, run, keys, longest), run, size)
@@ -57,10 +64,12 @@ def screen(series: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ("sym
 
 
 def screened_sweep(series: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Full evaluation of the pairs that survive the screen."""
+    """Full evaluation of the pairs that survive the screen, which runs first; rules without such a pair are left out."""
     run = ["rule_id", *keys]
-    trades = sweep(series, rules, keys).join(screen(series, rules, keys).select(*run), run, "left_semi")
-    return summarise(trades, run, with_pvalue=False)
+    passed = staging.save(screen(series, rules, keys).select(*run), "screened")
+    names = {r["rule_id"] for r in passed.select("rule_id").distinct().collect()}
+    left = [r for r in rules if r.rule_id in names] or list(rules[:1])
+    return summarise(sweep(series, left, keys, runs=passed), run, with_pvalue=False)
 
 
 def walk_forward(
