@@ -378,6 +378,10 @@ def any_(test):
     return f"coalesce(len(list_filter(conds, lambda c: coalesce({test}, false))) > 0, false)"
 
 
+GAPS = """SELECT symbol, p + 3600000 AS from_ms, epoch_ms(ts) AS to_ms, (epoch_ms(ts) - p - 3600000) // 3600000 AS missing
+        FROM (SELECT symbol, ts, lag(epoch_ms(ts)) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM x) WHERE epoch_ms(ts) > p + 3600000"""
+
+
 def indicator_rules(rule_list, columns, src, keys="symbol"):
     """One (rule_id, keys, rn, signal, tp, sl, hz) relation of plain threshold, cross and sma rules."""
     w = f"(PARTITION BY {keys} ORDER BY rn)"
@@ -705,8 +709,7 @@ def table_oracles():
         UNION ALL SELECT 'days', 'test', * FROM bars WHERE ts >= TIMESTAMP '2024-01-26'"""
     o["bars_coverage"] = base + """SELECT 'test' AS exchange, symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM bars GROUP BY symbol"""
     o["bars_insert_ignore"] = base + """SELECT symbol, ts, open, high, low, round(CASE WHEN hour(ts) % 2 = 0 THEN close ELSE close + 1 END, 6) AS close, volume FROM bars"""
-    o["bar_gaps"] = with_(*BASE) + """SELECT symbol, p + 3600000 AS from_ms, epoch_ms(ts) AS to_ms, (epoch_ms(ts) - p - 3600000) // 3600000 AS missing
-        FROM (SELECT symbol, ts, lag(epoch_ms(ts)) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM x) WHERE epoch_ms(ts) > p + 3600000"""
+    o["bar_gaps"] = with_(*BASE) + GAPS
     o["incremental_new_rows"] = with_(TICKS, bars(), """m AS (SELECT symbol, max(ts) AS mark FROM bars WHERE symbol <> 'click'
           AND ts < CASE WHEN symbol = 'view' THEN TIMESTAMP '2024-01-10' ELSE TIMESTAMP '2024-01-20' END GROUP BY symbol)""") + """
         SELECT bars.* FROM bars LEFT JOIN m USING (symbol) WHERE mark IS NULL OR ts >= mark + INTERVAL 60 SECONDS"""
@@ -777,6 +780,11 @@ def stream_oracles(o):
         {money('cx', 2)} AS exit_price, why AS exit_reason, held AS bars_held, {money('cside * (cx - ce) / ce * 50', 2)} AS gross_pnl, 0.1 AS fees,
         {money('cside * (cx - ce) / ce * 50 - 0.1', 2)} AS net_pnl FROM s WHERE why IS NOT NULL"""
     win = "(PARTITION BY symbol ORDER BY ts_ms RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"
+    o["stream_candle_states"] = with_(*BASE, f"g AS ({GAPS})") + f"""
+        SELECT symbol, 'gap' AS kind, NULL::BIGINT AS at_ms, from_ms, to_ms, missing, NULL::DOUBLE AS volume, NULL::BIGINT AS candles_ready, NULL::BIGINT AS gaps FROM g
+        UNION ALL
+        SELECT symbol, 'state', max(epoch_ms(ts)), NULL, NULL, NULL, {money('arg_max(volume, rn)', 6)}, count(*), coalesce(any_value(k), 0)
+        FROM x LEFT JOIN (SELECT symbol, count(*) AS k FROM g GROUP BY symbol) USING (symbol) GROUP BY symbol"""
     o["stream_snapshot"] = with_(*BASE, "t AS (SELECT *, price * qty AS pq, CASE WHEN is_buyer_maker THEN -price * qty ELSE price * qty END AS s FROM ticks)",
         "last AS (SELECT symbol, arg_max(volume, rn) AS volume, count(*) AS candles_ready FROM x GROUP BY symbol)",
         """g AS (SELECT symbol, count(*) AS gaps FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM x)

@@ -26,7 +26,7 @@ from tidemark.plans import barriers, features, research, rulebook, slices
 from tidemark.plans.cooldown import thin
 from tidemark.plans.series import index_rows
 from tidemark.sources import payloads, results, store
-from tidemark.streaming import sinks, state
+from tidemark.streaming import keyed, sinks, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -697,21 +697,55 @@ def stream_rollup(spark, sf):
     return spark.read.parquet(out).drop("month")
 
 
+def _shuffled_stream(rows: DataFrame, time: str, slices: int = 6):
+    """A derived table landed as time slices of one file each, every second one before its predecessor, and an end row.
+
+    Returns the stream (one file a micro-batch) and how late its rows may come.
+    """
+    spark, path = rows.sparkSession, staging.new_path(rows.sparkSession, "slices")
+    rows = staging.save(rows, "landed")
+    low, high = rows.agg(F.min(time), F.max(time)).first()
+    width = (high - low) // slices + 1
+    part = F.floor((F.col(time) - low) / width)
+    for i in sorted(range(slices), key=lambda i: i ^ 1):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    end = rows.limit(1).withColumns({time: F.lit(high + 400 * 24 * HOUR_MS), "symbol": F.lit(END_OF_FEED)})
+    end.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), 2 * width
+
+
+END_OF_FEED = "~"
+
+
+def _keyed_rows(spark, made: DataFrame) -> DataFrame:
+    """The table a keyed stream leaves, without the end row's symbol."""
+    out, checkpoint = _fresh(spark, "keyed", "cp")
+    sinks.drain_to_table(made, out, checkpoint)
+    return spark.read.parquet(out).filter(F.col("symbol") != END_OF_FEED)
+
+
 @query
 def stream_trailing_return(spark, sf):
-    out, tail, checkpoint = _fresh(spark, "returns", "tail", "cp")
-    sink = sinks.trailing_sink(trailing.trailing_return, out, tail, 6 * HOUR_MS, window_ms=6 * HOUR_MS)
-    sinks.drain(fx.shape_ticks(_event_stream(spark, sf)), sink, checkpoint)
-    return spark.read.parquet(out).drop("batch_id")
+    ticks, late = _shuffled_stream(fx.ticks(spark, sf).drop("ts"), "ts_ms")
+    made = _keyed_rows(spark, keyed.trailing_return(ticks, 6 * HOUR_MS, late_ms=late))
+    return made.filter("NOT late").drop("late")
 
 
 @query
 def stream_trade_flow(spark, sf):
-    out, tail, checkpoint = _fresh(spark, "flow", "tail", "cp")
-    windows = {"short_ms": 6 * HOUR_MS, "long_ms": 12 * HOUR_MS}
-    sink = sinks.trailing_sink(trailing.trailing_flow, out, tail, 12 * HOUR_MS, **windows)
-    sinks.drain(fx.shape_ticks(_event_stream(spark, sf)), sink, checkpoint)
-    return spark.read.parquet(out).drop("batch_id")
+    trades, late = _shuffled_stream(fx.ticks(spark, sf).drop("ts"), "ts_ms")
+    made = _keyed_rows(spark, keyed.trailing_flow(trades, 6 * HOUR_MS, 12 * HOUR_MS, late_ms=late))
+    return made.filter("NOT late").drop("late")
+
+
+@query
+def stream_candle_states(spark, sf):
+    """Gaps, and the last state of each symbol, of candles that come out of order."""
+    bars = fx.bars(spark, sf).select("symbol", F.unix_millis("ts").alias("open_time_ms"), F.lit(0).cast("long").alias("seq"), "volume", F.lit(True).alias("is_closed"))
+    candles, late = _shuffled_stream(bars, "open_time_ms")
+    rows = _keyed_rows(spark, keyed.candle_states(candles, HOUR_MS, late_ms=late)).filter("kind <> 'late'")
+    gaps, states = rows.filter("kind = 'gap'"), rows.filter("kind = 'state'")
+    return gaps.unionByName(store.latest(states, ["symbol"], ["at_ms"]))
 
 
 @query
