@@ -702,6 +702,7 @@ def table_oracles():
     ) + " UNION ALL ".join(f"SELECT symbol, ts, {BAR_OUT}, '{i}' AS interval FROM {t}" for i, t in (("3d", "c3"), ("1w", "cw"), ("1M", "cm")))
     o["rollup_5m_1h"] = with_(TICKS, bars("b5", bucket(300)), bars("b60", bucket(3600))) + " UNION ALL ".join(
         f"SELECT symbol, ts, {BAR_OUT}, '{i}' AS interval FROM {t}" for i, t in (("5m", "b5"), ("1h", "b60")))
+    o["rollup_maintained"] = o["rollup_5m_1h"]
     o["bars_upsert"] = base + """SELECT 'test' AS exchange, symbol, ts, open, high, low,
         round(CASE WHEN hour(ts) % 2 = 0 THEN close + 2 ELSE close END, 6) AS close, volume, strftime(ts, '%Y-%m') AS month FROM bars"""
     o["bars_range_scan"] = base + """SELECT 'range' AS part, 'test' AS exchange, * FROM bars

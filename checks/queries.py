@@ -13,7 +13,7 @@ from tidemark import fixtures as fx
 from tidemark import staging
 from tidemark.functions.costs import spot_pnl, trade_costs
 from tidemark.functions.numbers import half_up
-from tidemark.operators import context, external, lineage, rules, trailing
+from tidemark.operators import context, external, lineage, rollup, rules, trailing
 from tidemark.operators import indicators as ind
 from tidemark.operators import leaderboard as lb
 from tidemark.operators import metrics as met
@@ -738,6 +738,18 @@ def stream_trade_flow(spark, sf):
     return made.filter("NOT late").drop("late")
 
 
+@query
+def rollup_maintained(spark, sf):
+    """Both rollups from five-minute bars that micro-batches out of order added, merged on the way and on reading."""
+    ticks, _ = _shuffled_stream(fx.ticks(spark, sf).drop("ts"), "ts_ms")
+    path, checkpoint = _fresh(spark, "rollup", "cp")
+    timed = ticks.filter(F.col("symbol") != END_OF_FEED).withColumn("ts", F.timestamp_millis("ts_ms"))
+    sinks.drain(timed, rollup.sink(path, days=12, refresh_every=3), checkpoint)
+    parts = staging.save(rollup.stored(spark, path), "parts")
+    both = [rollup.bars(parts, i).withColumn("interval", F.lit(i)) for i in ("5m", "1h")]
+    return both[0].unionByName(both[1])
+
+
 @query
 def stream_candle_states(spark, sf):
     """Gaps, and the last state of each symbol, of candles that come out of order."""
