@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import metrics as met
 from tidemark.operators.signals import add_signal, signal_chunks
 from tidemark.plans import barriers, research, slices
+from tidemark.plans import cooldown as cool
 from tidemark.plans.cooldown import thin
 from tidemark.plans.series import index_rows
 
@@ -24,6 +25,21 @@ def test_cooldown_equals_the_greedy_loop(spark, small_chunks, cooldown):
         assert sorted(got.loc[got["symbol"] == k, "rn"]) == greedy(v.tolist(), cooldown), k
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_jump_pointers_equal_the_greedy_loop(seed):
+    rng = np.random.default_rng(seed)
+    rows = np.flatnonzero(rng.random(int(rng.integers(1, 3000))) < rng.choice([0.01, 0.3, 0.9, 1.0]))
+    for cooldown in (3, 4, 17, 500):
+        for first in (0, 1, cooldown - 1, 10_000):
+            want = greedy(rows[rows >= first].tolist(), cooldown)
+            assert rows[cool._kept(rows, first, cooldown)].tolist() == want
+        firsts = np.arange(cooldown)
+        last = cool._last_kept(rows, firsts, cooldown)
+        for f, i in zip(firsts, last):
+            want = greedy(rows[rows >= f].tolist(), cooldown)
+            assert (rows[i] == want[-1]) if want else i == len(rows)
+
+
 @pytest.mark.parametrize("name,horizon,tp,sl", [("ema_trend", 12, 0.005, 0.005), ("vwap_bounce", 48, 0.02, 0.004), ("macd_crossover", 3, 0.004, 0.004)])
 def test_backtest_equals_the_bar_loop(spark, small_chunks, name, horizon, tp, sl):
     pdf = make_bars(900, seed=21, step=0.4)

@@ -22,13 +22,32 @@ from tidemark.plans.series import Run, chunk_rows, chunked
 BLOCK = 1024  # chunks composed per task
 
 
-def _kept(rows: np.ndarray, first: int, cooldown: int) -> list[int]:
-    following = np.searchsorted(rows, rows + cooldown).tolist()
-    i, out = int(np.searchsorted(rows, first)), []
-    while i < len(rows):
-        out.append(i)
-        i = following[i]
-    return out
+def _following(rows: np.ndarray, cooldown: int) -> np.ndarray:
+    """For each row the index of the next one that may be kept after it; the number of rows stands for none."""
+    return np.append(np.searchsorted(rows, rows + cooldown), len(rows))
+
+
+def _kept(rows: np.ndarray, first: int, cooldown: int) -> np.ndarray:
+    """Indices of the rows kept from position ``first`` on, by pointer doubling: twice as many after each step."""
+    kept, jump = np.array([np.searchsorted(rows, first)]), _following(rows, cooldown)
+    while True:
+        more = jump[kept]
+        more = more[more < len(rows)]
+        if not len(more):
+            return np.sort(kept[kept < len(rows)])
+        kept, jump = np.concatenate([kept, more]), jump[jump]
+
+
+def _last_kept(rows: np.ndarray, first: np.ndarray, cooldown: int) -> np.ndarray:
+    """Index of the last row kept from each of the positions ``first``; the number of rows stands for none."""
+    jumps = [_following(rows, cooldown)]
+    while (jumps[-1][:-1] < len(rows)).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    at = np.searchsorted(rows, first)
+    for jump in reversed(jumps):
+        onward = jump[at]
+        at = np.where(onward < len(rows), onward, at)
+    return at
 
 
 def _every_other(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,11 +74,10 @@ def thin(rows: DataFrame, keys: Sequence[str], cooldown: int) -> DataFrame:
         at = np.sort(pdf[position].to_numpy())
         chunk = int(pdf["_chunk"].iloc[0])
         start, end = chunk * size, (chunk + 1) * size
-        leaves = []
-        for blocked in range(cooldown):
-            kept = _kept(at, start + blocked, cooldown)
-            leaves.append(max(0, int(at[kept[-1]]) + cooldown - end) if kept else max(0, start + blocked - end))
-        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "_chunk": [chunk], "_exit": [leaves]})
+        first = start + np.arange(cooldown)
+        last = _last_kept(at, first, cooldown)
+        leaves = np.where(last < len(at), at[np.minimum(last, len(at) - 1)] + cooldown, first) - end
+        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "_chunk": [chunk], "_exit": [np.maximum(leaves, 0).tolist()]})
 
     summary_schema = T.StructType([*key_fields, T.StructField("_chunk", T.LongType()), exit_field])
     chunks = table.select(*keys, position, "_chunk").groupBy(*keys, "_chunk").applyInPandas(summarise, summary_schema)
