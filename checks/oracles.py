@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 
 from tidemark import fixtures as fx
-from tidemark.operators.metrics import POISSON
+from tidemark.operators.metrics import COUNTS, MIX
 
 TICKS = """ticks AS (
   SELECT event_type AS symbol, ts, epoch_us(ts) // 1000 AS ts_ms, event_id AS seq, value AS price,
@@ -222,7 +222,7 @@ def trades(signals, series="x", keys="symbol", bar_keys=None, warmup=50, cooldow
         f"""trades{tag} AS (SELECT {cols('p')}, p.rn, p.ets AS ts, CASE WHEN signal = 1 THEN 'BUY' ELSE 'SELL' END AS direction,
                {money('e', 2)} AS entry_price, {money('p.x', 2)} AS exit_price, exit_reason,
                b.ts AS exit_ts, p.off AS horizon_bars, {money('gross', 2)} AS gross_pnl, {size} * 0.002 AS fees,
-               {size} * 0.0002 AS spread_cost, {size} * 0.0001 AS slippage, {money('gross - cost', 2)} AS net_pnl,
+               {size} * 0.0002 AS spread_cost, {size} * 0.0001 AS slippage, {money('gross - cost', 2)} AS net_pnl, gross - cost AS net_raw,
                CASE WHEN gross - cost > 0 THEN 'WIN' ELSE 'LOSS' END AS outcome
              FROM pnl0{tag} p JOIN {series} b ON {on('p', 'b', bs)} AND b.rn = p.rn + 1 + p.off)""",
     ]
@@ -253,6 +253,30 @@ def metrics(tag="", keys="symbol", order="rn"):
     ]
 
 
+def bootstrap(keys="symbol", position="rn", resamples=1000):
+    """CTE ``pv(keys, p_value)`` over ``trades(keys, rn, net_pnl)``: bytes of mixed 32-bit words of position and draw as weights."""
+    low, high, number, a, b = (f"{m}::HUGEINT" for m in MIX)
+    ends = ", ".join(str(sum(COUNTS[: i + 1])) for i in range(len(COUNTS) - 1))
+
+    def mixed(x, shift):
+        return f"xor({x}, {x} >> {shift})"
+
+    return [
+        f"pm AS (SELECT {keys}, avg(net_pnl) AS mean, count(*) AS n FROM trades GROUP BY {keys})",
+        f"""p0 AS (SELECT {keys}, net_pnl, word, ((({position}) % 4294967296 * {low} + ({position}) // 4294967296 * {high} + word * {number} + 1) % 4294967296)::BIGINT AS x
+             FROM trades, range(0, {-(-resamples // 4)}) r(word))""",
+        f"p1 AS (SELECT {keys}, net_pnl, word, ({mixed('x', 16)} * {a} % 4294967296)::BIGINT AS x FROM p0)",
+        f"p2 AS (SELECT {keys}, net_pnl, word, ({mixed('x', 15)} * {b} % 4294967296)::BIGINT AS x FROM p1)",
+        f"p3 AS (SELECT {keys}, net_pnl, word, {mixed('x', 16)} AS x FROM p2)",
+        f"p4 AS (SELECT {keys}, net_pnl, 4 * word + k AS draw, len(list_filter([{ends}], lambda t: ((x >> (8 * k)) & 255) >= t)) AS w FROM p3, range(0, 4) q(k))",
+        f"p5 AS (SELECT {keys}, draw, sum(w * net_pnl) / sum(w) AS m FROM p4 GROUP BY {keys}, draw)",
+        f"""pv AS (SELECT {keys}, CASE WHEN max(n) < 5 THEN 1 ELSE avg(CASE WHEN abs(m - mean) >= abs(mean) THEN 1.0 ELSE 0.0 END) END AS p_value
+             FROM p5 JOIN pm USING ({keys}) GROUP BY {keys})""",
+    ]
+
+
+GATES = """n_trades >= 30 AND win_rate >= 0.43 AND sharpe >= 0.5 AND abs(max_dd) / (n_trades * 50.0) <= 0.25 AND p_value <= 0.05"""
+
 TRADE_OUT = """symbol, rn, ts, direction, entry_price, exit_price, exit_reason, exit_ts, CAST(horizon_bars AS BIGINT) AS horizon_bars,
   gross_pnl, round(fees, 4) AS fees, round(spread_cost, 4) AS spread_cost, round(slippage, 4) AS slippage, net_pnl, outcome"""
 VWAP_SIG = [*BASE, CUMULATIVE, f"sig AS (SELECT symbol, rn, {SIGNALS['vwap']} AS signal FROM x JOIN cum USING (symbol, rn))"]
@@ -283,7 +307,8 @@ def build() -> dict[str, str]:
               CASE WHEN l_extendedprice * 100 > 0 THEN l_quantity * least(1 + 0.5 * l_quantity / (l_extendedprice * 100) * 10000, 20) / 10000
                    ELSE l_quantity * 0.0001 END AS slip FROM lineitem)"""
     o["backtest_trades"] = recursive(*VWAP_TRADES) + f"SELECT {TRADE_OUT} FROM trades"
-    o["backtest_summary"] = recursive(*VWAP_TRADES, *metrics()) + "SELECT * FROM summary"
+    o["backtest_summary"] = recursive(*VWAP_TRADES, *metrics(), *bootstrap()) + f"""SELECT summary.*, round(p_value, 6) AS p_value, {GATES} AS passes_gates
+        FROM summary JOIN pv USING (symbol)"""
     o["indicator_shift_diff"] = with_(*BASE) + f"""SELECT symbol, ts, lag(close, 3) OVER w AS shift_3,
         round(close - lag(close, 3) OVER w, 6) AS diff_3, round(close / nullif(lag(close, 3) OVER w, 0) - 1, 6) AS pct_3
         FROM x WINDOW w AS (PARTITION BY symbol ORDER BY rn)"""
@@ -346,7 +371,7 @@ FINGERPRINT = """substr(md5('[' || coalesce(list_aggregate(list_transform(list_s
 
 def stored_conditions(name, table, key, size):
     """``name``: one row per condition of the stored documents (rule, fingerprint, indicator, operator, level, exits)."""
-    i, o = f"(({key} * 7 + s * 3 + j * 2) % 5)", f"(({key} + s * 5 + j * 4) % 9)"
+    i, o = f"(({key} * 7 + s * 3 + j * (1 + s % 4)) % 5)", f"(({key} + s * 5 + j * (4 + {key} % 7)) % 9)"
     level = " ".join(f"WHEN {n} THEN {v.replace('D', '::DOUBLE')}" for n, v in enumerate(fx.STORED_LEVELS.values()))
     return f"""{name}c AS (SELECT {key} AS k, 'rule_' || {key} AS rule_id, {choice(list(fx.STORED_LEVELS), i)} AS i, {choice(fx.STORED_OPS, o)} AS o,
            CASE WHEN {o} = 8 THEN 3 ELSE CASE {i} {level} END END AS v
@@ -496,7 +521,7 @@ def rule_oracles():
         *trades("sigr", keys="rule_id, symbol", bar_keys="symbol"), *metrics(keys="rule_id, symbol"),
     ) + "SELECT * FROM summary"
     stored = [
-        stored_conditions("doc", "part", "p_partkey", "p_size"), stored_conditions("old", "supplier", "s_suppkey", "s_nationkey"),
+        stored_conditions("doc", "part", "p_partkey", "p_size"), stored_conditions("old", "nation", "n_nationkey", "n_regionkey"),
         """tried AS (SELECT rule_id FROM docf WHERE fp NOT IN (SELECT fp FROM oldf) QUALIFY row_number() OVER (PARTITION BY fp ORDER BY rule_id) = 1)""",
     ]
     stored_columns = {"rsi": "rsi_14", "close": "close", "volume": "volume", "macd": "macd", "ema": "ema_20"}
@@ -584,17 +609,7 @@ BOARD = """board AS (SELECT *, oos_sharpe < sharpe - 0.3 AND oos_trades >= 10 AS
 def ranking_oracles():
     o = {}
     o["max_drawdown"] = with_(PNL, *metrics(keys="run_id")[:3]) + f"SELECT run_id, {money('max_dd', 6)} AS max_dd FROM dd"
-    poisson = ", ".join(str(t) for t in POISSON)
-    o["bootstrap_pvalue"] = with_(
-        PNL,
-        "m AS (SELECT run_id, avg(net_pnl) AS mean, count(*) AS n FROM trades GROUP BY run_id)",
-        "x0 AS (SELECT run_id, net_pnl, b, ((rn - 1) % 2147483647 * 48271 + b * 69621 + 7) % 2147483647 AS x FROM trades, range(0, 1000) r(b))",
-        "x1 AS (SELECT run_id, net_pnl, b, (x * x % 2147483647 + x * 1 + b) % 2147483647 AS x FROM x0)",
-        "x2 AS (SELECT run_id, net_pnl, b, (x * x % 2147483647 + x * 3 + b) % 2147483647 AS x FROM x1)",
-        f"w AS (SELECT run_id, net_pnl, b, len(list_filter([{poisson}], lambda t: x > t)) AS w FROM x2)",
-        "d AS (SELECT run_id, b, sum(w * net_pnl) / sum(w) AS mean_b FROM w GROUP BY run_id, b)",
-    ) + """SELECT run_id, CASE WHEN max(n) < 5 THEN 1 ELSE round(avg(CASE WHEN abs(mean_b - mean) >= abs(mean) THEN 1.0 ELSE 0.0 END), 6) END AS p_value
-        FROM d JOIN m USING (run_id) GROUP BY run_id"""
+    o["bootstrap_pvalue"] = with_(PNL, *bootstrap("run_id", "rn - 1")) + "SELECT run_id, round(p_value, 6) AS p_value FROM pv"
     o["temporal_split"] = with_(*BASE, SPLIT) + """
         SELECT split AS part, symbol, ts, rn FROM xs
         UNION ALL SELECT 'recent', symbol, ts, rn - (n - least(300, n - 100)) FROM x WHERE rn >= n - least(300, n - 100)
@@ -605,8 +620,8 @@ def ranking_oracles():
         arg_max(close, rn) AS last_price,
         {money('(arg_max(close, rn) - max(CASE WHEN rn = greatest(n - 300, 0) THEN close END)) / max(CASE WHEN rn = greatest(n - 300, 0) THEN close END) * 100', 6)} AS return_pct,
         {money('avg(volume)', 6)} AS avg_volume, {money('arg_max(adx_14, rn)', 6)} AS latest_adx FROM ind GROUP BY symbol"""
-    o["equity_curve"] = recursive(*VWAP_TRADES) + f"""SELECT symbol, exit_ts, rn AS trade_rn, {money('10000 + sum(net_pnl) OVER w', 2)} AS equity,
-        {money('sum(net_pnl) OVER w', 2)} AS total_pnl, {money('sum(fees) OVER w', 4)} AS total_fees, count(*) OVER w AS n_trades
+    o["equity_curve"] = recursive(*VWAP_TRADES) + f"""SELECT symbol, exit_ts, rn AS trade_rn, {money('10000 + sum(net_raw) OVER w', 2)} AS equity,
+        {money('sum(net_raw) OVER w', 2)} AS total_pnl, {money('sum(fees) OVER w', 4)} AS total_fees, count(*) OVER w AS n_trades
         FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY exit_ts, rn ROWS UNBOUNDED PRECEDING)"""
     o["leaderboard_compact"] = with_(BOARD) + """SELECT CAST(run_id AS VARCHAR) AS run_id, generation, round(sharpe, 6) AS sharpe, n_trades,
         CASE WHEN generation >= 12 THEN round(oos_sharpe, 6) END AS oos_sharpe, CASE WHEN generation >= 12 THEN oos_trades END AS oos_trades,

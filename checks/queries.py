@@ -162,7 +162,7 @@ def backtest_trades(spark, sf):
 
 @query
 def backtest_summary(spark, sf):
-    return met.summarise(_vwap_trades(spark, sf), ["symbol"], with_pvalue=False)
+    return met.summarise(_vwap_trades(spark, sf), ["symbol"])
 
 
 # rules ---------------------------------------------------------------------------------
@@ -250,7 +250,7 @@ def _stored_rules(spark, sf):
     """Documents written by one job, read by another, and deduplicated against the log of rules tried before."""
     path, log = _fresh(spark, "documents", "log")
     results.write_documents(fx.stored_documents(fx.table(spark, sf, "part"), "p_partkey", "p_size"), path)
-    old = rules.parse_documents(fx.stored_documents(fx.table(spark, sf, "supplier"), "s_suppkey", "s_nationkey"))
+    old = rules.parse_documents(fx.stored_documents(fx.table(spark, sf, "nation"), "n_nationkey", "n_regionkey"))
     old = rules.validate(old).filter("valid").select(rules.fingerprint().alias("fp"), F.col("rule.name").alias("name"))
     results.record_fingerprints(old, log)
     tried, _ = rulebook.load(spark, path, results.seen_fingerprints(spark, log))

@@ -4,6 +4,7 @@ import pytest
 from helpers import collect, frame, greedy, make_bars, slow_backtest
 from pyspark.sql import functions as F
 
+from tidemark.operators import context
 from tidemark.operators import metrics as met
 from tidemark.operators.signals import add_signal, signal_chunks
 from tidemark.plans import barriers, research, slices
@@ -107,6 +108,36 @@ def test_bootstrap_pvalue(spark):
     assert (got["far"], got["few"]) == (0.0, 1.0)
 
 
+def test_resamples_take_each_row_once_on_average():
+    w = met.draw_weights(np.array([*range(2000), 2**40, 2**40 + 1]), 0, 250)
+    assert w.shape == (2002, 1000) and (w.mean(), w.var()) == (pytest.approx(1, abs=0.01), pytest.approx(1, abs=0.02))
+    assert abs(np.corrcoef(w[:, :40].T) - np.eye(40)).max() < 0.12
+    assert (w[:, 100:200] == met.draw_weights(np.array([*range(2000), 2**40, 2**40 + 1]), 25, 25)).all()
+
+
+GOOD_RUN = {"n_trades": 30, "win_rate": 0.43, "sharpe": 0.5, "max_dd": -375.0, "p_value": 0.05}
+
+
+@pytest.mark.parametrize("change", [{}, *({k: v} for k, v in {"n_trades": 29, "win_rate": 0.4299, "sharpe": 0.4999, "max_dd": -375.01, "p_value": 0.051}.items())])
+def test_the_gate_at_and_beyond_each_limit(spark, change):
+    run = spark.createDataFrame([{**GOOD_RUN, **change}], "n_trades long, win_rate double, sharpe double, max_dd double, p_value double")
+    assert run.select(met.passes_gates(F.lit(1500.0))).first()[0] is (not change)
+
+
+def test_a_good_run_passes_and_a_short_or_poor_one_does_not(spark):
+    rng = np.random.default_rng(4)
+    good = np.where(rng.random(60) < 0.8, 3.0, -1.0)
+    got = met.summarise(runs(spark, {"good": good, "short": good[:20], "poor": -good}), ["run_id"]).toPandas().set_index("run_id")
+    assert got["passes_gates"].to_dict() == {"good": True, "short": False, "poor": False}
+    assert got.loc["good", "p_value"] == 0 and got.loc["poor", "p_value"] == 0
+
+
+def test_equity_adds_up_unrounded_profits(spark):
+    trades = spark.createDataFrame([("a", i, (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i)).to_pydatetime(), 0.0, 0.004, 0.1) for i in range(10)], "symbol string, rn long, exit_ts timestamp, net_pnl double, net_raw double, fees double")
+    last = collect(context.equity_curve(trades), "trade_rn").iloc[-1]
+    assert (last.total_pnl, last.equity, last.n_trades) == (0.04, 10_000.04, 10)
+
+
 def test_folds_and_splits(spark):
     series = index_rows(frame(spark, pd.concat([make_bars(103, "a"), make_bars(3, "b")])))
     folds = slices.folds(series, 4).groupBy("symbol", "fold").agg(F.min("rn"), F.max("rn"), F.max("n")).toPandas()

@@ -119,7 +119,7 @@ STORED_OPS = ["lt", "gt", "lte", "gte", "cross_above", "cross_below", "gt_rollin
 
 def stored_documents(rows: DataFrame, key: str, size: str) -> DataFrame:
     """One rule document per row of a table, all but every thirteenth valid; levels fit the bars of these tables."""
-    i, o = f"cast(({key} * 7 + s * 3 + j * 2) % 5 as int)", f"cast(({key} + s * 5 + j * 4) % 9 as int)"
+    i, o = f"cast(({key} * 7 + s * 3 + j * (1 + s % 4)) % 5 as int)", f"cast(({key} + s * 5 + j * (4 + {key} % 7)) % 9 as int)"
     level = " ".join(f"WHEN {n} THEN {v}" for n, v in enumerate(STORED_LEVELS.values()))
     condition = f"""named_struct(
         'indicator', element_at(array({', '.join(repr(x) for x in STORED_LEVELS)}), {i} + 1),

@@ -32,13 +32,16 @@ def market_context(features: DataFrame, keys: Sequence[str] = ("symbol",), back:
 def equity_curve(
     trades: DataFrame, keys: Sequence[str] = ("symbol",), initial: float = 10_000.0, order: Sequence[str] = ("exit_ts", "rn")
 ) -> DataFrame:
-    """Account state after each closed trade: running profit, fees, equity and count."""
+    """Account state after each closed trade: running profit, fees, equity and count.
+
+    Unrounded profits (``net_raw``) are added up; only what is reported is rounded.
+    """
     closed = trades.select(
-        *keys, *order, "net_pnl", "fees", F.lit(1).alias("_one"), F.col("rn").alias("trade_rn")
+        *keys, *order, "net_raw", "fees", F.lit(1).alias("_one"), F.col("rn").alias("trade_rn")
     ).drop("rn")
     order = ["trade_rn" if c == "rn" else c for c in order]
     ch = chunked(index_rows(closed, keys, order, "trades"), keys)
-    ch = ch.scan(Run("total_pnl", "net_pnl"), Run("total_fees", "fees"), Run("n_trades", "_one"))
+    ch = ch.scan(Run("total_pnl", "net_raw"), Run("total_fees", "fees"), Run("n_trades", "_one"))
     return ch.own().select(
         *keys,
         *order,
