@@ -9,8 +9,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import language, language_model, quality, toxicity
+from tidemark.llm import language, language_model, quality, samples, toxicity
 from tidemark.llm.tables import crc_mod
 
 rnd = random.Random(9)
@@ -219,3 +220,28 @@ def test_long_texts_are_dealt_in_runs(spark, monkeypatch):
     parts = [language_model._sequence([bytes(r["numbers"])], kind) for r in rows]
     assert [len(p[1]) for p in parts] == [10, 10, 10, 5] and parts[-1][1][-1] == 0
     assert all(b[0][0] == a[1][-1] for a, b in zip(parts, parts[1:]))
+
+
+def test_samples_keep_rows_of_tiny_shares_and_stay_bounded(spark):
+    assert 0 < samples.threshold(1, 10**12) < samples.DRAWS // 10**11
+    assert samples.threshold(5, 5) == samples.DRAWS
+    rows = spark.range(20_000).select(F.col("id"), F.lit("x").alias("label"))
+    kept = samples.sample_rows(rows, "id", 500, "label", 1).count()
+    assert 380 < kept < 620
+    same = spark.range(20_000).select(F.lit(1).alias("id"), F.lit("the same").alias("text")).unionByName(spark.range(30).select(F.lit(2).alias("id"), F.col("id").cast("string").alias("text")))
+    assert samples.distinct_texts(same, 10, 1).count() == 10
+    assert samples.distinct_texts(same, 100, 1).count() == 31
+
+
+def test_features_counted_in_spark_leave_the_model_as_it_is(marked):
+    """All features on the driver, or the likely ones only: the same choice and the same weights."""
+    docs, labels = marked
+    toxic = [r["doc_id"] for r in labels.where("toxic = 1").collect()]
+    both = docs.where(F.col("doc_id").isin(toxic)).select(F.lit(1).alias("role"), "text").unionByName(docs.select(F.lit(0).alias("role"), "text")).orderBy("role", "text")
+    table = toxicity._featured(both.coalesce(1)).toArrow()
+    lists = table["features"].combine_chunks()
+    first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    whole = toxicity.fit(table["role"].to_numpy(), lists.flatten().to_numpy(), first, 0.2)
+    few = toxicity.fit(*toxicity._collected(both.coalesce(1)), 0.2)
+    assert len(whole.numbers) and (whole.numbers == few.numbers).all()
+    np.testing.assert_allclose(whole.weights, few.weights)

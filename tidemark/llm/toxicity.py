@@ -10,10 +10,12 @@ turns negative the step goes the other way, so that the classifiers cannot fit u
 class prior is the share of toxic rows among the labelled ones (a parameter where only toxic rows are known).  The
 score is the mean of ``BAGS`` classifiers trained on different halves of the unlabelled text.
 
-Fitting uses bounded samples (``max_positive``, ``max_unlabelled`` rows); scoring takes whole texts.
+Fitting uses bounded samples (at most ``max_positive`` and ``max_unlabelled`` distinct rows); their features are counted in
+Spark, and only those that could be chosen reach the driver.  Scoring takes whole texts.
 
 Defined results: null and empty texts get the score of a document without features; without any toxic example
-the score is 0; of conflicting labels of an id the larger counts; rows that repeat an id are scored each; other
+the score is 0; of conflicting labels of an id the larger counts; of rows that
+repeat an id each distinct text may be learnt from, once; they are scored each; other
 columns are not read.
 """
 
@@ -27,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.samples import one_label, sample_rows
+from tidemark.llm.samples import distinct_texts, one_label, sample_rows
+from tidemark.llm.tables import stage
 from tidemark.llm.words import LETTERS, edge_hashes, flat, pieces, spans
 
 BITS = 32
@@ -40,6 +43,7 @@ COVER = 5
 LEVELS = 3
 BAGS = 3
 PRIOR = 0.1
+SCORED_AT_ONCE = 1024
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +69,8 @@ def _distinct(number: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return number[order], of[order]
 
 
-def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct features of the sampled rows (``role, text``) on the driver: role per row, features, first feature per row."""
+def _featured(rows: DataFrame) -> DataFrame:
+    """Distinct features of the sampled rows (``role, text``)."""
 
     def read(batches):
         for batch in pieces(batches, 512):
@@ -74,10 +78,47 @@ def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ends = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(number))], ["role", "features"])
 
-    table = rows.mapInArrow(read, "role int, features array<long>").toArrow()
+    return rows.mapInArrow(read, "role int, features array<long>")
+
+
+def _likely(rows: DataFrame) -> np.ndarray:
+    """The features that a choice could take, sorted; counted in Spark.
+
+    They occur in two toxic rows or more, and more surely there than elsewhere (by a little less than ``MIN_RATIO``, which
+    ``choose`` asks for again).
+    """
+    sizes = {r["role"]: r["count"] for r in rows.groupBy("role").count().collect()}
+    n, m = (F.lit(float(max(sizes.get(role, 0), 1))) for role in (1, 0))
+    counts = rows.select("role", F.explode("features").alias("f")).groupBy("f").agg(
+        F.sum("role").cast("double").alias("a"), F.sum(1 - F.col("role")).cast("double").alias("b")
+    )
+    share = F.least(F.greatest((F.col("a") + F.col("b")) / (n + m), F.lit(1e-12)), F.lit(1 - 1e-12))
+
+    def side(k, size):
+        held = F.when(k > 0, k * F.log(k / size / share)).otherwise(0.0)
+        return held + F.when(k < size, (size - k) * F.log((1 - k / size) / (1 - share))).otherwise(0.0)
+
+    a, b = F.col("a"), F.col("b")
+    found = counts.where((a >= 2) & (a * m > b * n) & (2 * (side(a, n) + side(b, m)) >= MIN_RATIO - 0.01)).select("f").toArrow()
+    return np.sort(found["f"].to_numpy())
+
+
+def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sampled rows, role, likely features, and first feature per row: all that reaches the driver."""
+    rows = stage(_featured(rows), "features")
+    likely = _likely(rows)
+
+    def keep(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            number = lists.flatten().to_numpy()
+            kept = _held(likely, number)
+            ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(number[kept]))], ["role", "features"])
+
+    table = rows.mapInArrow(keep, "role int, features array<long>").toArrow()
     lists = table["features"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    return table["role"].to_numpy(), lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+    return table["role"].to_numpy(), lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
 
 
 def _held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -161,9 +202,10 @@ def train(documents: DataFrame, labels: DataFrame, max_positive: int = MAX_POSIT
     share = min(max(share, 1e-3), 0.9)
     toxic = sample_rows(marked.where("label = 1"), "id", max_positive, "label", seed).select("id")
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("role", F.lit(0))
-    plain = sample_rows(docs.where("id is not null"), "id", max_unlabelled, "role", seed + 1).select("role", "text")
-    known = docs.join(F.broadcast(toxic), "id", "left_semi").select(F.lit(1).alias("role"), "text")
-    role, number, first = _collected(known.unionByName(plain))
+    plain = distinct_texts(sample_rows(docs.where("id is not null"), "id", max_unlabelled, "role", seed + 1), max_unlabelled, seed)
+    known = distinct_texts(docs.join(F.broadcast(toxic), "id", "left_semi"), max_positive, seed)
+    both = known.select(F.lit(1).alias("role"), "text").unionByName(plain.select(F.lit(0).alias("role"), "text"))
+    role, number, first = _collected(both)
     return fit(role, number, first, share, seed)
 
 
@@ -254,6 +296,8 @@ def add_score(documents: DataFrame, model: Model, column: str = "score") -> Data
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
-        return pd.Series(Model(*sent.value).score(pa.array(texts, pa.string())))
+        own, column = Model(*sent.value), pa.array(texts, pa.string())
+        parts = [own.score(column.slice(low, SCORED_AT_ONCE)) for low in range(0, len(column), SCORED_AT_ONCE)]
+        return pd.Series(np.concatenate([np.empty(0), *parts]))
 
     return documents.withColumn(column, judge(F.col("text").cast("string")))
