@@ -57,6 +57,32 @@ def test_near_duplicates_match_brute_force_with_large_groups(spark, monkeypatch,
     assert got == brute_components(texts, 4)
 
 
+def test_cells_give_fewer_links_than_members_and_miss_none(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LEAF", 4)
+    monkeypatch.setattr(nd, "SLICE", 16)
+    told = []
+    plain = nd.stage
+    monkeypatch.setattr(nd, "stage", lambda df, label: told.append((label, plain(df, label))) or told[-1][1])
+    rnd = random.Random(8)
+    words = [f"u{i}" for i in range(3000)]
+    base = [rnd.choice(words) for _ in range(120)]
+    texts = {}
+    for i in range(150):  # a group in which few pairs are similar enough and many nearly are
+        copy = list(base)
+        for _ in range(rnd.choice([2, 3, 4, 5])):
+            copy[rnd.randrange(len(copy))] = rnd.choice(words)
+        texts[i] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(docs, shingle=4).collect()}
+    assert got == brute_components(texts, 4) and len(set(got.values())) > 10
+    cells = [df for label, df in told if label.startswith("pairs-") and "partners" in df.columns]
+    assert cells
+    for df in cells:
+        assert df.groupBy("node", "block", "piece").count().where(f"count > {2 * nd.SLICE + 32}").isEmpty()
+        told_once = df.selectExpr("c", "explode(partners) as d").selectExpr("least(c, d) as a", "greatest(c, d) as b").groupBy("a", "b").count()
+        assert told_once.where("count > 1").isEmpty()
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     out = nd.near_duplicates(odd_docs).collect()
     assert len(out) == odd_docs.count()

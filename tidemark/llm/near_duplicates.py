@@ -12,7 +12,10 @@ the likeliest spanning links, and of a large node those to about ``PIVOTS`` pivo
 of copies.  The second pass over all trees looks at links between different components only.  A node counts as small
 there if at most ``OUTSIDE`` of its members lie outside its largest component, however large that is: these are
 compared with all members, in slices.  A node still large at the last level is compared whole, in blocks, so nothing is
-capped.  No task ever holds a group, and no group is expanded into all its pairs.
+capped.  No task ever holds a group, and no group is expanded into all its pairs: a pair that meets in several nodes of a level is
+looked at in the least of them only, and what passes the sketches stays in its cell (a slice of askers and a slice of members,
+at most ``SLICE`` each), to which the full sets of these members come.  There they are compared, likeliest first and only
+while their components differ, so a cell gives fewer links than it has members, however many pairs are refuted in it.
 
 A tree misses a pair at the threshold with a chance of 0.16 where nodes are small after one branching, 0.36 after three and 0.59
 after eight.  Classes that pass through a node still large after ``SURE`` levels therefore get ``further`` trees, so many that the
@@ -30,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -168,6 +171,18 @@ def _forest(a: np.ndarray, b: np.ndarray, likely: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
+def _first_common(nodes: list[np.ndarray], i: np.ndarray, others: list[np.ndarray], j: np.ndarray, node: int) -> np.ndarray:
+    """Whether ``node`` is the least node that ``nodes[i]`` and ``others[j]`` share, for each pair."""
+    width = max(1, *(len(x) for x in nodes), *(len(x) for x in others))
+    none = np.iinfo(np.int64).max
+    a, b = (np.array([np.pad(x, (0, width - len(x)), constant_values=none) for x in side]) for side in (nodes, others))
+    out, step_ = np.empty(len(i), bool), max(1, (1 << 22) // width**2)
+    for k in range(0, len(i), step_):
+        x, y = a[i[k : k + step_]], b[j[k : k + step_]]
+        out[k : k + step_] = np.where((x[:, :, None] == y[:, None, :]).any(2), x, none).min(1) == node
+    return out
+
+
 def _unpack(cells) -> tuple[np.ndarray, ...]:
     return (*(np.array([x[k] for x in cells], np.int64) for k in ("c", "label", "n")), *_signs([x["sig"] for x in cells]))
 
@@ -178,53 +193,107 @@ def _equal_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (z & 15 == 0).sum(1) + (z & 240 == 0).sum(1)
 
 
-def _compare(similarity: float, forest: bool):
+def _alike(similarity: float):
+    """A function of the askers and members of a cell: which pairs pass the sketches (``i, j``), and their equal bits."""
+
     def least(n: int, share: float) -> int:
         return int(np.ceil(n * share - 4 * np.sqrt(n * share * (1 - share))))
 
     least_tokens, least_bits = least(TOKENS, similarity), least(BITS_OF, similarity + (1 - similarity) / 16)
 
+    def alike(askers: tuple[np.ndarray, ...], members: tuple[np.ndarray, ...]):
+        (c, label, n, sig, bits), (d, label_d, m, sig_d, bits_d) = askers, members
+        same = np.empty((len(c), len(d)), np.int64)
+        for i in range(len(c)):
+            same[i] = (sig_d == sig[i]).sum(1)
+        fits = (same >= least_tokens) & (label[:, None] != label_d) & (c[:, None] != d)
+        fits &= np.minimum(n[:, None], m) >= similarity * np.maximum(n[:, None], m) - 1e-9
+        i, j = np.nonzero(fits)
+        equal = np.concatenate([np.empty(0, np.int64), *(_equal_bits(bits[i[k : k + 8192]], bits_d[j[k : k + 8192]]) for k in range(0, len(i), 8192))])
+        some = equal >= least_bits
+        return i[some], j[some], equal[some]
+
+    return alike
+
+
+def _met(rows: DataFrame, *more: str) -> DataFrame:
+    """``node, block, piece, askers, pool`` of rows ``node, c, label, n, sig, ask, asking, members``: those that ask beside all of their node.
+
+    ``asking`` and ``members`` are the numbers of such rows; both sides are cut into blocks of bounded size.
+    """
+    cell = F.struct("c", "label", "n", "sig", *more)
+    block = F.pmod(F.xxhash64("c"), F.ceil(F.col("asking") / SLICE))
+    piece = F.pmod(F.xxhash64("c"), F.ceil(F.col("members") / SLICE))
+    askers = rows.where("ask").groupBy("node", block.alias("block")).agg(F.collect_list(cell).alias("askers"))
+    pool = rows.groupBy("node", piece.alias("piece")).agg(F.collect_list(cell).alias("pool"))
+    return askers.join(pool, "node").select("node", "block", "piece", "askers", "pool")
+
+
+def spanning(rows: DataFrame, similarity: float) -> DataFrame:
+    """The likeliest spanning links ``a < b`` of each cell, not yet confirmed."""
+    alike = _alike(similarity)
+
     def compare(batches):
         for batch in batches:
             left, right = [], []
             for askers, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c, label, n, sig, bits = _unpack(askers)
-                d, label_d, m, sig_d, bits_d = _unpack(members)
-                same = np.empty((len(c), len(d)), np.int64)
-                for i in range(len(c)):
-                    same[i] = (sig_d == sig[i]).sum(1)
-                fits = (same >= least_tokens) & (label[:, None] != label_d) & (c[:, None] != d)
-                fits &= np.minimum(n[:, None], m) >= similarity * np.maximum(n[:, None], m) - 1e-9
-                i, j = np.nonzero(fits)
-                equal = np.concatenate([np.empty(0, np.int64), *(_equal_bits(bits[i[k : k + 8192]], bits_d[j[k : k + 8192]]) for k in range(0, len(i), 8192))])
-                i, j, equal = (x[equal >= least_bits] for x in (i, j, equal))
-                if forest and len(i) > 1:
-                    keep = _forest(c[i], d[j], equal)
-                    i, j = i[keep], j[keep]
-                left.append(np.minimum(c[i], d[j]))
-                right.append(np.maximum(c[i], d[j]))
+                askers, members = _unpack(askers), _unpack(members)
+                i, j, equal = alike(askers, members)
+                c, d = askers[0][i], members[0][j]
+                keep = _forest(c, d, equal)
+                left.append(np.minimum(c, d)[keep])
+                right.append(np.maximum(c, d)[keep])
             a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return compare
+    return _met(rows).select("askers", "pool").mapInArrow(compare, "a long, b long").distinct()
 
 
-def candidates(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """Pairs ``a < b`` of rows ``node, c, label, n, sig, ask, asking, members``: those that ask against all of their node.
+_LISTS = pa.list_(pa.int64())
 
-    ``asking`` and ``members`` are the numbers of such rows; both sides are cut into blocks of bounded size.
+
+def suspects(rows: DataFrame, similarity: float) -> DataFrame:
+    """``node, block, piece, c, label, partners, likely``: per cell its members that full sets must decide about.
+
+    An asker lists its ``partners`` in the cell; members that only answer have an empty list.  ``rows`` have, too, the ``nodes``
+    of their class in which pairs are compared.
     """
-    cell = F.struct("c", "label", "n", "sig")
-    block = F.pmod(F.xxhash64("c"), F.ceil(F.col("asking") / SLICE))
-    piece = F.pmod(F.xxhash64("c"), F.ceil(F.col("members") / SLICE))
-    askers = rows.where("ask").groupBy("node", block.alias("block")).agg(F.collect_list(cell).alias("askers"))
-    pool = rows.groupBy("node", piece.alias("piece")).agg(F.collect_list(cell).alias("pool"))
-    met = askers.join(pool, "node").select("askers", "pool")
-    return met.mapInArrow(_compare(similarity, forest), "a long, b long").distinct()
+    alike = _alike(similarity)
+
+    def compare(batches):
+        for batch in batches:
+            for node, block, piece, askers, members in zip(*(x.to_pylist() for x in batch.columns)):
+                nodes, others = ([np.array(x["nodes"], np.int64) for x in side] for side in (askers, members))
+                answers = np.array([x["ask"] for x in members])
+                askers, members = _unpack(askers), _unpack(members)
+                i, j, equal = alike(askers, members)
+                c, d = askers[0], members[0]
+                once = ~answers[j] | (c[i] < d[j])  # two that ask each other are told once
+                i, j, equal = i[once], j[once], equal[once]
+                first = _first_common(nodes, i, others, j, node)
+                i, j, equal = i[first], j[first], equal[first]
+                if not len(i):
+                    continue
+                cuts = np.searchsorted(i, np.arange(len(c) + 1))  # i is in order
+                asks = np.flatnonzero(np.diff(cuts))
+                quiet = np.setdiff1d(d[j], c[asks])
+                label = dict(zip(np.concatenate([c, d]).tolist(), np.concatenate([askers[1], members[1]]).tolist()))
+                ids = np.concatenate([c[asks], quiet])
+                none: list = [[]] * len(quiet)
+                partners = [d[j[cuts[k] : cuts[k + 1]]] for k in asks] + none
+                likely = [equal[cuts[k] : cuts[k + 1]] for k in asks] + none
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(len(ids), x, np.int64)) for x in (node, block, piece)), pa.array(ids), pa.array([label[x] for x in ids.tolist()], pa.int64()), pa.array(partners, _LISTS), pa.array(likely, _LISTS)],
+                    ["node", "block", "piece", "c", "label", "partners", "likely"],
+                )
+
+    schema = "node long, block long, piece long, c long, label long, partners array<long>, likely array<long>"
+    return _met(rows, "nodes", "ask").mapInArrow(compare, schema)
 
 
 def _descend(classes: DataFrame, trees: int, levels: int, similarity: float, first: bool, base: int = 0) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Candidate pairs of one pass, a written table per level, and the classes (``c``) in nodes still large after ``SURE`` levels.
+    """Candidates of one pass (pairs of the first, suspects of the second), a written table per level, and the classes (``c``) in
+    nodes still large after ``SURE`` levels.
 
     ``classes`` has ``c, n, sig, label``; trees are numbered from ``base``.
     """
@@ -248,9 +317,11 @@ def _descend(classes: DataFrame, trees: int, levels: int, similarity: float, fir
             small = F.col("outside") <= OUTSIDE if level < levels else F.lit(True)
             ask, asking = F.col("label") != F.col("main"), F.col("outside")
         nodes = rows.join(sized, "node").select("node", "tree", "c", "label", "members", small.alias("small"), ask.alias("ask"), asking.cast("long").alias("asking"))
+        if not first:
+            nodes = nodes.withColumn("nodes", F.collect_list(F.when(F.col("small"), F.col("node"))).over(Window.partitionBy("c")))
         seen = Observation()
         full = stage(nodes.join(classes.select("c", "n", "sig"), "c").observe(seen, F.count(F.when(~F.col("small"), 1)).alias("large")), f"nodes-{level}")
-        found.append(stage(candidates(full if first else full.where("small"), similarity, first), f"pairs-{level}"))
+        found.append(stage(spanning(full, similarity) if first else suspects(full.where("small"), similarity), f"pairs-{level}"))
         if level == levels or not seen.get["large"]:
             break
         large = full.where("not small")
@@ -263,12 +334,10 @@ def _descend(classes: DataFrame, trees: int, levels: int, similarity: float, fir
 # ---- confirmation -------------------------------------------------------------------------------------------------
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (``a, b``) whose full sets are similar enough."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+def _sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``c, items``: the full sets of the wanted classes."""
     holders = classes.join(wanted, "c", "left_semi").select(F.xxhash64("least").alias("h"))
-    bitmap = spark.sparkContext.broadcast(membership(holders, "h"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(membership(holders, "h"))
 
     def read(batches):
         for batch in pieces(batches, 1024):
@@ -280,7 +349,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, sim
             yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["c", "items"])
 
     sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(read, "c long, items binary").dropDuplicates(["c"])
-    sets = stage(sets, "sets")
+    return stage(sets, "sets")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, share: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= share * (len(x) + len(y) - common)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (``a, b``) whose full sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    sets = _sets_of(wanted, docs, classes, k)
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("items").alias("y")), "b")
     share = round(100 * similarity)
 
@@ -288,20 +368,46 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, sim
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= share * (len(x) + len(y) - common):
+                if _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share):
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def confirmed_in_cells(cells: DataFrame, docs: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (``a, b``) that join the components of each cell of ``suspects`` as all of its similar enough pairs would."""
+    sets = _sets_of(cells.select("c").distinct(), docs, classes, k)
+    share = round(100 * similarity)
+
+    def check(cell: pa.Table) -> pa.Table:
+        c, label, likely, partners = (cell[x].to_pylist() for x in ("c", "label", "likely", "partners"))
+        items = {x: np.frombuffer(s.as_py(), np.uint64) for x, s in zip(c, cell["items"])}
+        root = {x: x for x in label}
+        of = dict(zip(c, label))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = []
+        for _, a, b in sorted(((-e, a, b) for a, bs, es in zip(c, partners, likely) for b, e in zip(bs, es))):
+            x, y = find(of[a]), find(of[b])
+            if x != y and _linked(items[a], items[b], share):
+                root[x] = y
+                links.append((min(a, b), max(a, b)))
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return cells.join(sets, "c").groupBy("node", "block", "piece").applyInArrow(check, "a long, b long")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.distinct()
+    return out
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, trees: int = TREES) -> DataFrame:
@@ -310,18 +416,17 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, similarity: fl
     rows = stage(signed(docs, shingle), "signed")
     classes = stage(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     plain = classes.withColumn("label", F.col("c"))
-    edges = None
     for first in (True, False):
         if not first:
             roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
             plain = stage(classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select(*classes.columns, F.coalesce("root", "c").alias("label")), "labelled")
         found, deep = _descend(plain, min(FIRST_TREES, trees) if first else trees, FIRST_LEVELS if first else LEVELS, similarity, first)
         if deep and further(trees, similarity):
-            found += _descend(plain.join(_union(deep), "c", "left_semi"), further(trees, similarity), LEVELS, similarity, False, trees)[0]
-        pairs = stage(_union(found), "pairs")
-        if first or not pairs.isEmpty():
-            new = stage(confirmed(pairs, docs, classes, shingle, similarity), "links")
-            edges = new if edges is None else edges.unionByName(new)
+            found += _descend(plain.join(_union(deep).distinct(), "c", "left_semi"), further(trees, similarity), LEVELS, similarity, False, trees)[0]
+        if first:
+            edges = stage(confirmed(stage(_union(found).distinct(), "pairs"), docs, classes, shingle, similarity), "links")
+        elif not (cells := _union(found)).isEmpty():
+            edges = edges.unionByName(stage(confirmed_in_cells(cells, docs, classes, shingle, similarity), "links"))
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "c")
     tied = classes.select("c", "least").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
