@@ -1,7 +1,8 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page is cut into blocks: runs of text between block-level tags, with character references decoded, scripts, styles and
-comments left out.  Each block is a vector: the tags on its path with their class, id and role words (hashed embeddings), all its words
+A page is cut into blocks: runs of text between block-level tags, with character references decoded, scripts, styles, form
+controls and comments left out.  Formulas, drawings and what embedded objects hold for readers without them are part of their line;
+that a block is hidden is a word of its path, for the labeller to weigh.  Each block is a vector: the tags on its path with their class, id and role words (hashed embeddings), all its words
 (hashed embeddings), its length, share of text in links and place in the page.  A bidirectional LSTM in numpy
 reads all blocks of a page and labels each one as main text or not, so every label sees the whole document.
 
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.samples import draw, threshold
 from tidemark.llm.words import ALNUM, mix, sum_rows, word_hashes
 
 MAX_PAGES = 1500
@@ -39,7 +41,9 @@ NUMBERS = 8
 STEP = 1 << 18
 EPOCHS = 3
 #: Elements whose content is never text, elements without content, and elements inside a line: fixed values of HTML.
-RAW = frozenset("script style noscript template svg math iframe object canvas title select textarea button".split())
+RAW = frozenset("script style template title select textarea button".split())
+#: Elements inside a line that hold elements of their own, which are inside the line, too: fixed values of HTML.
+WITHIN = frozenset("math svg object canvas iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
@@ -69,7 +73,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []  # name, words, inline
     parts: list[str] = []
-    linked = links = hidden = 0
+    linked = links = within = 0
     page, at = page or "", 0
 
     def flush():
@@ -77,15 +81,15 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
-            if text and not hidden:
+            if text:
                 out.append(Block(tuple(w for _, w, inline in stack if not inline), text, min(linked, len(text))))
             linked = 0
 
     def pop():
-        nonlocal links, hidden
-        name, words, _ = stack.pop()
+        nonlocal links, within
+        name, _, _ = stack.pop()
         links -= name == "a"
-        hidden -= "\0hidden" in words
+        within -= name in WITHIN
 
     while at < len(page):
         match = _TOKEN.match(page, at)
@@ -100,13 +104,17 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if close:
-            if name in INLINE:
+            if name in INLINE or name in WITHIN or within and name not in NOT_IN_P:
                 for i in range(len(stack) - 1, -1, -1):
                     if not stack[i][2]:
                         break
                     if stack[i][0] == name:
-                        links -= name == "a"
-                        del stack[i]
+                        if name in WITHIN:
+                            while len(stack) > i:
+                                pop()
+                        else:
+                            links -= name == "a"
+                            del stack[i]
                         break
             elif any(s[0] == name for s in stack):
                 flush()
@@ -123,9 +131,11 @@ def blocks(page: str) -> list[Block]:
             if name not in ("script", "style", "template", "button", "select"):
                 parts.append(" ")
             continue
-        if name in INLINE and name not in VOID:
-            stack.append((name, (), True))
-            links += name == "a"
+        if (within or name in INLINE or name in WITHIN) and name not in VOID:
+            if not rest.rstrip().endswith("/"):
+                stack.append((name, (), True))
+                links += name == "a"
+                within += name in WITHIN
             continue
         if name in VOID:
             if name == "br":
@@ -149,8 +159,7 @@ def blocks(page: str) -> list[Block]:
             for _, value in _ATTRIBUTE.findall(rest):
                 words += _PARTS.findall(value.lower())
             if _HIDDEN.search(rest):
-                words.append("\0hidden")
-                hidden += 1
+                words.append("hidden")
         stack.append((name, tuple(words), False))
     flush()
     return out
@@ -420,13 +429,13 @@ def main_text(p: dict[str, np.ndarray], pages: list[list[Block]]) -> list[str]:
 
 
 def train(pages: DataFrame, max_pages: int = MAX_PAGES, seed: int = 31) -> dict[str, np.ndarray]:
-    """Learn from about ``max_pages`` pages, chosen by a hash of the html."""
+    """Learn from at most ``max_pages`` distinct pages, chosen by a hash of the html."""
     rows = pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
     n = rows.count()
     if not n:
         return new_parameters(np.random.default_rng(seed))
-    share = int(1_000_000 * min(1.0, max_pages / n))
-    sample = rows.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("html")).toArrow()["html"].to_pylist()
+    drawn = rows.where(draw(seed, "html") < threshold(max_pages, n)).distinct()
+    sample = drawn.orderBy(F.xxhash64("html"), "html").limit(max_pages).toArrow()["html"].to_pylist()
     return fit([blocks(page) for page in sample], seed=seed)
 
 
