@@ -130,7 +130,8 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in got] == ["a", "b", "cde", "f", "g", "h", "<i>"]
     assert html_text.blocks(None) == html_text.blocks("") == html_text.blocks("<p> \n </p><img src=x>") == []
     assert [b.text for b in html_text.blocks("<p>1 < 2 and 3 > 2")] == ["1 < 2 and 3 > 2"]
-    assert html_text.blocks("<p hidden>x</p><p>y</p>")[0].text == "y"
+    both = html_text.blocks("<p hidden>x</p><p>y</p>")  # the labeller decides about hidden blocks
+    assert [b.text for b in both] == ["x", "y"] and "hidden" in both[0].path[0] and "hidden" not in both[1].path[0]
     assert len(html_text.blocks("<div>" * 3000 + "deep")) == 1
 
 
@@ -188,3 +189,32 @@ def test_late_words_decide_a_label(spark):
     bare = [html_text.blocks("<body>" + paragraph(i, "gist") + paragraph(i + 1, "advert") + paragraph(i + 2, "gist")) for i in range(20)]
     got = html_text.main_text(learned, bare)
     assert sum("advert" not in text and text.count("gist") == 120 for text in got) >= 18
+
+
+def test_formulas_and_fallback_text_stay_in_their_line():
+    def texts(page):
+        return [b.text for b in html_text.blocks(page)]
+
+    assert texts("<article><p>See <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here</p><p>b</p></article>") == ["See x=2 here", "b"]
+    assert texts("<p>a <svg><path d='M0 0'/><text>label</text></svg> b</p>") == ["a label b"]
+    assert texts("<p>a <object><em>plan</em></object><canvas>c</canvas><noscript>d</noscript> e</p><p>f</p>") == ["a plancd e", "f"]
+    assert texts("<p>a<svg><g>open</p><div>b</div>") == ["aopen", "b"]
+    assert texts("<p>a<script>x</script><template>y</template></p><form><button>z</button></form>") == ["a"]
+
+
+def test_mix_does_not_depend_on_layout_and_takes_parts_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STREAM_WORDS", 300)
+    rows = [(i, " ".join(f"w{j}" for j in range(5 + i * 7 % 40)), "big" if i % 10 else "small") for i in range(120)] + [(500, "a b c " * 30, "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, *others = (sorted(tuple(r) for r in mixing.taken_words(docs.repartition(n), block_words=16).collect()) for n in (1, 3, 7))
+    assert all(x == first for x in others)
+    by = {}
+    for doc_id, size, source_size, target, taken in first:
+        assert taken <= 2 * size
+        by[target] = by.get(target, 0) + taken
+    # streams of 300 words end in part blocks, so a slot holds 16 words or fewer: near the target, not on it
+    assert len(by) == 3 and all(abs(taken - target) <= 16 + 0.03 * target for target, taken in by.items())
+    # a source that owes less than a block gives just that
+    small = spark.createDataFrame([(1, "a " * 1000, "x"), (2, "b " * 100, "y")], "doc_id long, text string, source string")
+    taken = {r["doc_id"]: r for r in mixing.taken_words(small, weights=(50.0, 1.0), share=0.9).collect()}
+    assert 0 < taken[2]["target"] < 64 and abs(taken[2]["taken"] - taken[2]["target"]) <= 1

@@ -8,11 +8,13 @@ network walked until it lands inside).  So a source is read through once before
 meet in one join by index.
 
 What the driver sees is one row per source (``MAX_SOURCES`` at most, else an error) and the draws per shard.  A large source is
-packed in several streams of about ``STREAM_WORDS`` words, so no window holds a whole source.
+packed in several streams of about ``STREAM_WORDS`` words by a hash of id and text, so no window holds a whole source (rows that
+repeat both share a stream).  The last slot of a source takes only the words that it still owes.
 
 Defined results: null and empty texts have no words and are never taken; a null source is a source of its own, last in
 order; a target is at most ``most`` times its source's words; repeated rows are documents of their own; empty
-input gives an empty mix; other columns are not read.  Draws depend on ``seed`` and the data alone.
+input gives an empty mix; other columns are not read.  The mix depends on ``seed`` and the data alone, not on files or partitions;
+of rows that repeat id and text it is left to chance which takes which of their shares.
 """
 
 from __future__ import annotations
@@ -35,15 +37,17 @@ MAX_SOURCES = 200_000
 
 
 def sizes(documents: DataFrame, row: str | None = None) -> DataFrame:
-    """``row, doc_id, source, size``: the words of each document row; ``row`` names a column that numbers the rows already."""
+    """``row, doc_id, source, size, key``: the words of each document row and a hash of its id and text; ``row`` names a column that numbers the rows already."""
 
     def count(batches):
         for batch in batches:
             _, _, _, first = spans(*flat(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), batch.column(3)], ["doc_id", "source", "size", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), batch.column(3), batch.column(4)], ["doc_id", "source", "size", "row", "key"])
 
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
-    return docs.mapInArrow(count, "doc_id long, source string, size long, row long")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    docs = documents.select(id_.alias("doc_id"), F.col("source").cast("string"), text.alias("text"), number.alias("row"), F.xxhash64(id_, text).alias("key"))
+    return docs.mapInArrow(count, "doc_id long, source string, size long, row long, key long")
 
 
 def targets(words: np.ndarray, weights: np.ndarray, total: float, most: float = MOST) -> np.ndarray:
@@ -109,7 +113,7 @@ def mix_sources(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, mos
         "sid int, __source string, source_size long, target double, streams long",
     )
     docs = stage(
-        sized.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("__source"))).withColumn("stream", F.pmod(F.xxhash64("row"), F.col("streams"))).drop("__source"), "sources"
+        sized.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("__source"))).withColumn("stream", F.pmod(F.xxhash64("key"), F.col("streams"))).drop("__source"), "sources"
     )
     full = docs.where("size > 0")
     streams = full.groupBy("sid", "stream").agg(F.sum("size").alias("words")).withColumn("blocks", F.ceil(F.col("words") / block_words))
@@ -120,8 +124,11 @@ def mix_sources(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, mos
         blocks[r["sid"]] = r["n"]
     owed = np.zeros(len(found), np.int64)
     some = blocks > 0
-    owed[some] = np.minimum(np.rint(goal[some] * blocks[some] / words[some]), np.floor(most) * blocks[some]).astype(np.int64)
-    along = Window.partitionBy("sid", "stream").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    mean = words[some] / blocks[some]
+    owed[some] = np.minimum(np.ceil(goal[some] / mean - 1e-9), np.ceil(most) * blocks[some]).astype(np.int64)
+    last = np.zeros(len(found), np.int64)  # the last slot of a source takes what is still owed, no whole block
+    last[some] = np.rint(goal[some] - (owed[some] - 1) * mean)
+    along = Window.partitionBy("sid", "stream").orderBy("doc_id", "key", "row").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (
         full.withColumn("at", F.coalesce(F.sum("size").over(along), F.lit(0).cast("long")))
         .join(streams.select("sid", "stream", "from_block"), ["sid", "stream"])
@@ -130,18 +137,21 @@ def mix_sources(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, mos
             "sid", "row", "doc_id", (F.col("from_block") + F.col("b")).alias("block"),
             F.greatest(F.col("b") * block_words - F.col("at"), F.lit(0)).alias("first_word"),
             (F.least((F.col("b") + 1) * block_words, F.col("at") + F.col("size")) - F.greatest(F.col("b") * block_words, F.col("at"))).alias("n_words"),
+            F.greatest(F.col("at") - F.col("b") * block_words, F.lit(0)).alias("in_block"),
         )
     )
-    return docs.select("row", "doc_id", "source", "size", "source_size", "target"), pieces.join(_slots(spark, draws(owed, shard_slots, seed), blocks, seed).hint("merge"), ["sid", "block"]).select(
-        "shard", "slot", "sid", "row", "doc_id", "first_word", "n_words"
+    slots = _slots(spark, draws(owed, shard_slots, seed), blocks, seed, last, block_words)
+    words_left = F.least("n_words", F.col("room") - F.col("in_block"))
+    return docs.select("row", "doc_id", "source", "size", "source_size", "target"), pieces.join(slots.hint("merge"), ["sid", "block"]).where("room > in_block").select(
+        "shard", "slot", "sid", "row", "doc_id", "first_word", words_left.alias("n_words")
     )
 
 
-def _slots(spark, drawn: np.ndarray, blocks: np.ndarray, seed: int) -> DataFrame:
-    """``shard, slot, sid, block``: which block each slot of the output takes."""
+def _slots(spark, drawn: np.ndarray, blocks: np.ndarray, seed: int, last: np.ndarray, block_words: int) -> DataFrame:
+    """``shard, slot, sid, block, room``: which block each slot of the output takes, and how many of its first words."""
     first = np.vstack([np.zeros((1, drawn.shape[1]), np.int64), np.cumsum(drawn, 0)[:-1]]) if len(drawn) else drawn
     shard, sid = np.nonzero(drawn)
-    plan = pa.table({"shard": shard, "sid": sid.astype(np.int32), "first": first[shard, sid], "n": drawn[shard, sid], "blocks": blocks[sid]})
+    plan = pa.table({"shard": shard, "sid": sid.astype(np.int32), "first": first[shard, sid], "n": drawn[shard, sid], "blocks": blocks[sid], "end": drawn.sum(0)[sid] - 1, "last": last[sid]})
 
     def fill(batches):
         for batch in batches:
@@ -149,12 +159,12 @@ def _slots(spark, drawn: np.ndarray, blocks: np.ndarray, seed: int) -> DataFrame
                 slot = r["first"] + np.arange(r["n"], dtype=np.int64)
                 taken = permuted(slot % r["blocks"], r["blocks"], seed * 1_000_003 + r["sid"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(slot), r["shard"], np.int64)), pa.array(slot), pa.array(np.full(len(slot), r["sid"], np.int32)), pa.array(taken)],
-                    ["shard", "slot", "sid", "block"],
+                    [pa.array(np.full(len(slot), r["shard"], np.int64)), pa.array(slot), pa.array(np.full(len(slot), r["sid"], np.int32)), pa.array(taken), pa.array(np.where(slot == r["end"], r["last"], block_words))],
+                    ["shard", "slot", "sid", "block", "room"],
                 )
 
     parts = max(1, min(len(shard), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame(plan, "shard long, sid int, first long, n long, blocks long").repartition(parts).mapInArrow(fill, "shard long, slot long, sid int, block long")
+    return spark.createDataFrame(plan, "shard long, sid int, first long, n long, blocks long, end long, last long").repartition(parts).mapInArrow(fill, "shard long, slot long, sid int, block long, room long")
 
 
 def taken_words(documents: DataFrame, **options) -> DataFrame:
