@@ -138,7 +138,7 @@ def test_language_model_base_and_probabilities(spark, odd_docs, no_docs):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in out)
     # all outputs of one step make up one, and so do the known and one unknown token of each bucket
     p, width = model.network, model.n_outputs
-    state = np.repeat(language_model.step(p, np.zeros((1, language_model.HIDDEN), np.float32), np.array([width]))[0], width, 0)
+    state = np.repeat(language_model.step(p, np.zeros((1, language_model.HIDDEN), np.float32), np.array([width])), width, 0)
     logs = language_model.log_members(p, state, np.arange(width), language_model.valid_members(width))
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
     nothing = language_model.token_counts(no_docs)
@@ -159,7 +159,7 @@ def test_state_is_carried_and_batches_do_not_matter(spark, odd_docs):
     for low, high in zip(first, first[1:]):
         state, before = np.zeros((1, language_model.HIDDEN), np.float32), np.array([model.n_outputs])
         for at in range(low, high):
-            state = language_model.step(model.network, state, before)[0]
+            state = language_model.step(model.network, state, before)
             before = numbers[at : at + 1]
             one_by_one.append(language_model.log_members(model.network, state, before, language_model.valid_members(model.n_outputs))[0])
     assert together == pytest.approx(one_by_one, abs=1e-4)
@@ -176,7 +176,7 @@ def test_gradients_match_differences():
     def loss():
         state, total = np.zeros((3, language_model.HIDDEN)), 0.0
         for t in range(6):
-            state = language_model.step(p, state * (before[:, t] != start)[:, None], before[:, t])[0]
+            state = language_model.step(p, state * (before[:, t] != start)[:, None], before[:, t])
             total -= language_model.log_members(p, state, ids[:, t], valid).sum() / 3
         return total
 

@@ -36,7 +36,7 @@ from tidemark.llm.words import NOT_SPACE, flat, mix, pieces, spans, sum_rows
 
 VOCABULARY = 4000
 KNOWN = 65_536
-SHARD = 1_000_000
+SHARD = 2_000_000
 RUN = 65_536
 ROUNDS = 4
 PART = 8192
@@ -44,9 +44,12 @@ HIDDEN = 24
 EMBED = 16
 CLASS = 64
 WINDOW = 32
-STREAMS = 128
-EPOCHS = 3
-WARM_UP = 20
+STREAMS = 512
+#: Windows that a stream has at least, so that few tokens are learned in many steps, too.
+STEPS = 120
+EPOCHS = 1
+WARM_UP = 8
+RATE = 0.03
 ALPHA = 0.1
 BUCKETS = 64
 END = np.uint64(1)
@@ -89,7 +92,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    return np.tanh(x * 0.5) * 0.5 + 0.5
 
 
 def new_parameters(outputs: int, classes: int, rng) -> dict[str, np.ndarray]:
@@ -104,32 +107,33 @@ def new_parameters(outputs: int, classes: int, rng) -> dict[str, np.ndarray]:
     }
 
 
-def step(p: dict[str, np.ndarray], state: np.ndarray, previous: np.ndarray):
-    """The next state of each row, with what the way back needs."""
-    x = p["embed"][previous]
-    a = x @ p["in"] + p["bias"]
+def step(p: dict[str, np.ndarray], state: np.ndarray, previous: np.ndarray, led: np.ndarray | None = None) -> np.ndarray:
+    """The next state of each row; ``led`` holds what each output leads to the gates, if it is known."""
+    a = p["embed"][previous] @ p["in"] + p["bias"] if led is None else led[previous]
     b = state @ p["rec"]
     gates = _sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
     c = np.tanh(a[:, 2 * HIDDEN :] + r * b[:, 2 * HIDDEN :])
-    return z * state + (1 - z) * c, (x, z, r, c, b[:, 2 * HIDDEN :], state)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    return c + z * (state - c)
 
 
 def log_members(p: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """Natural log probability of ``target`` (an output number) for each state."""
-    of, member = target // CLASS, target % CLASS
-    out = _log_softmax(states @ p["to_class"] + p["class_bias"])[np.arange(len(of)), of].astype(np.float64)
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(len(p["class_bias"]) + 1))
+
+    def log_shares(x, at):
+        x -= x.max(1, keepdims=True)
+        own = x[np.arange(len(x)), at].astype(np.float64)
+        return own - np.log(np.exp(x, out=x).sum(1, dtype=np.float64))
+
+    order = np.argsort((target // CLASS).astype(np.int16), kind="stable")
+    states, of, member = states[order], target[order] // CLASS, target[order] % CLASS
+    found, bias = log_shares(states @ p["to_class"] + p["class_bias"], of), p["member_bias"] + valid
+    cuts = np.searchsorted(of, np.arange(len(bias) + 1))
     for k in np.flatnonzero(np.diff(cuts)).tolist():
-        rows = order[cuts[k] : cuts[k + 1]]
-        inner = _log_softmax(states[rows] @ p["to_member"][k] + p["member_bias"][k] + valid[k])
-        out[rows] += inner[np.arange(len(rows)), member[rows]]
+        own = slice(cuts[k], cuts[k + 1])
+        found[own] += log_shares(states[own] @ p["to_member"][k] + bias[k], member[own])
+    out = np.empty(len(found))
+    out[order] = found
     return out
 
 
@@ -142,7 +146,7 @@ def fit_network(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray
     valid = valid_members(outputs)
     if not len(target):
         return p
-    streams = max(1, min(STREAMS, len(target) // (2 * WINDOW)))
+    streams = max(1, min(STREAMS, len(target) // (STEPS * WINDOW)))
     length = -(-len(target) // streams)
     before, target, heads = (np.concatenate([x, np.full(streams * length - len(x), fill, x.dtype)]).reshape(streams, length) for x, fill in ((before, outputs), (target, -1), (heads, True)))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
@@ -153,7 +157,7 @@ def fit_network(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray
         state, grads = _window(p, state, before[:, cut], target[:, cut], outputs, valid, heads[:, cut])
         size = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
         scale = min(1.0, 5.0 / (size + 1e-9))
-        rate = (0.01 * (1 - start - (end - start) * turn / (total + 1)) + 0.0005) * min(1.0, turn / WARM_UP)
+        rate = (RATE * (1 - start - (end - start) * turn / (total + 1)) + 0.0005) * min(1.0, turn / WARM_UP)
         for k, g in grads.items():
             m, v = moments[k]
             m *= 0.9
@@ -169,52 +173,71 @@ def valid_members(outputs: int) -> np.ndarray:
     return np.where(np.arange(-(-outputs // CLASS) * CLASS) < outputs, 0, -1e9).astype(np.float32).reshape(-1, CLASS)
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Probabilities of each row, in place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 def _window(p, state, before, target, start, valid, heads=None):
     """One window forward and back; a text's first token starts from an empty state, and targets below 0 do not count."""
     streams, length = target.shape
-    kept, states, fresh = [], [], []
+    kind, cut = p["in"].dtype, 2 * HIDDEN
+    previous, goal = before.T.ravel(), target.T.ravel()
+    fresh = ~(before == start if heads is None else heads).T[:, :, None]
+    x = p["embed"][previous]
+    led = (p["embed"] @ p["in"] + p["bias"])[previous].reshape(length, streams, -1)
+    old, states, rec, z, r, c = (np.empty((length, streams, HIDDEN), kind) for _ in range(6))
     for t in range(length):
-        new = before[:, t] == start if heads is None else heads[:, t]
-        fresh.append(~new[:, None])
-        state, memo = step(p, state * fresh[-1], before[:, t])
-        kept.append(memo)
-        states.append(state)
-    flat_states = np.concatenate(states)
-    goal = target.T.ravel()
-    real = goal >= 0
+        np.multiply(state, fresh[t], out=old[t])
+        b = old[t] @ p["rec"]
+        both = _sigmoid(led[t, :, :cut] + b[:, :cut])
+        z[t], r[t], rec[t] = both[:, :HIDDEN], both[:, HIDDEN:], b[:, cut:]
+        c[t] = np.tanh(led[t, :, cut:] + r[t] * rec[t])
+        state = states[t] = c[t] + z[t] * (old[t] - c[t])
+    flat_states = states.reshape(-1, HIDDEN)
+    weight = ((goal >= 0) / streams).astype(kind)[:, None]
     goal = np.maximum(goal, 0)
-    of, member, rows = goal // CLASS, goal % CLASS, np.arange(streams * length)
+    of, member, rows = goal // CLASS, goal % CLASS, np.arange(len(goal))
     grads = {k: np.zeros_like(v) for k, v in p.items()}
-    d = np.exp(_log_softmax(flat_states @ p["to_class"] + p["class_bias"]))
+    d = np.empty((length, streams, len(valid)), kind)
+    for t in range(length):  # a step's rows fit the cache
+        np.matmul(states[t], p["to_class"], out=d[t])
+        d[t] += p["class_bias"]
+        _softmax(d[t])
+    d = d.reshape(len(rows), -1)
     d[rows, of] -= 1
-    d *= real[:, None] / np.float32(streams)
+    d *= weight
     grads["to_class"], grads["class_bias"] = flat_states.T @ d, d.sum(0)
     d_states = d @ p["to_class"].T
-    order = np.argsort(of, kind="stable")
+    order = np.argsort(of.astype(np.int16), kind="stable")
     cuts = np.searchsorted(of[order], np.arange(len(valid) + 1))
+    sorted_states, sorted_member, sorted_weight = flat_states[order], member[order], weight[order]
+    d_sorted, bias = np.empty_like(sorted_states), p["member_bias"] + valid
     for k in np.flatnonzero(np.diff(cuts)).tolist():
-        own = order[cuts[k] : cuts[k + 1]]
-        e = np.exp(_log_softmax(flat_states[own] @ p["to_member"][k] + p["member_bias"][k] + valid[k]))
-        e[np.arange(len(own)), member[own]] -= 1
-        e *= real[own, None] / np.float32(streams)
-        grads["to_member"][k], grads["member_bias"][k] = flat_states[own].T @ e, e.sum(0)
-        d_states[own] += e @ p["to_member"][k].T
+        own = slice(cuts[k], cuts[k + 1])
+        e = _softmax(sorted_states[own] @ p["to_member"][k] + bias[k])
+        e[rows[: len(e)], sorted_member[own]] -= 1
+        e *= sorted_weight[own]
+        grads["to_member"][k], grads["member_bias"][k] = sorted_states[own].T @ e, e.sum(0)
+        d_sorted[own] = e @ p["to_member"][k].T
+    d_states[order] += d_sorted
+    d_states = d_states.reshape(length, streams, HIDDEN)
+    da, db = (np.empty((length, streams, 3 * HIDDEN), kind) for _ in range(2))
     d_next = np.zeros_like(state)
-    d_embed = []
     for t in reversed(range(length)):
-        x, z, r, c, b, old = kept[t]
-        dh = d_states[t * streams : (t + 1) * streams] + d_next
-        dc = dh * (1 - z) * (1 - c**2)
-        dz = dh * (old - c) * z * (1 - z)
-        dr = dc * b * r * (1 - r)
-        da = np.hstack([dz, dr, dc])
-        db = np.hstack([dz, dr, dc * r])
-        grads["in"] += x.T @ da
-        grads["bias"] += da.sum(0)
-        grads["rec"] += old.T @ db
-        d_next = (dh * z + db @ p["rec"].T) * fresh[t]
-        d_embed.append((before[:, t], da @ p["in"].T))
-    grads["embed"] = sum_rows(np.concatenate([i for i, _ in d_embed]), np.concatenate([g for _, g in d_embed]), len(p["embed"]))
+        dh = d_states[t] + d_next
+        rest = dh * (1 - z[t])
+        dc = rest * (1 - c[t] * c[t])
+        da[t, :, :HIDDEN], da[t, :, HIDDEN:cut], da[t, :, cut:] = rest * (old[t] - c[t]) * z[t], dc * rec[t] * r[t] * (1 - r[t]), dc
+        db[t, :, :cut], db[t, :, cut:] = da[t, :, :cut], dc * r[t]
+        d_next = (dh * z[t] + db[t] @ p["rec"].T) * fresh[t]
+    da = da.reshape(-1, 3 * HIDDEN)
+    grads["in"], grads["bias"] = x.T @ da, da.sum(0)
+    grads["rec"] = old.reshape(-1, HIDDEN).T @ db.reshape(-1, 3 * HIDDEN)
+    grads["embed"] = sum_rows(previous, da @ p["in"].T, len(p["embed"]))
     return state, grads
 
 
@@ -370,6 +393,7 @@ def _states_and_scores(model: Model, numbers: np.ndarray, first: np.ndarray, blo
     state = np.zeros((len(order), HIDDEN), np.float32)
     valid = valid_members(model.n_outputs)
     previous = np.full(len(order), model.n_outputs)
+    led = model.network["embed"] @ model.network["in"] + model.network["bias"]
     live, waiting = len(order), []
     held = 0
 
@@ -382,7 +406,7 @@ def _states_and_scores(model: Model, numbers: np.ndarray, first: np.ndarray, blo
         while live and ordered[live - 1] <= t:
             live -= 1
         at = first[order[:live]] + t
-        state = step(model.network, state[:live], previous[:live])[0]
+        state = step(model.network, state[:live], previous[:live], led)
         previous = numbers[at]
         waiting.append((at, state))
         held += live
