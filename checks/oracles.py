@@ -724,6 +724,9 @@ def table_oracles():
         WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20 12:00:00'
         UNION ALL SELECT 'days', 'test', * FROM bars WHERE ts >= TIMESTAMP '2024-01-26'"""
     o["bars_coverage"] = base + """SELECT 'test' AS exchange, symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM bars GROUP BY symbol"""
+    o["bars_append_compact"] = base + """SELECT 'test' AS exchange, symbol, ts, open, high, low, round(CASE WHEN hour(ts) % 2 = 1 THEN close
+          WHEN ts >= TIMESTAMP '2024-01-26' THEN close + 3 ELSE close + 2 END, 6) AS close, volume FROM bars"""
+    o["bars_manifest_coverage"] = o["bars_coverage"]
     o["bars_insert_ignore"] = base + """SELECT symbol, ts, open, high, low, round(CASE WHEN hour(ts) % 2 = 0 THEN close ELSE close + 1 END, 6) AS close, volume FROM bars"""
     o["bar_gaps"] = with_(*BASE) + GAPS
     o["incremental_new_rows"] = with_(TICKS, bars(), """m AS (SELECT symbol, max(ts) AS mark FROM bars WHERE symbol <> 'click'

@@ -25,7 +25,7 @@ from tidemark.functions.intervals import since
 from tidemark.plans import barriers, features, research, rulebook, slices
 from tidemark.plans.cooldown import thin
 from tidemark.plans.series import index_rows
-from tidemark.sources import payloads, results, store
+from tidemark.sources import payloads, results, store, versions
 from tidemark.streaming import keyed, sinks, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -553,6 +553,28 @@ def bars_coverage(spark, sf):
     return store.coverage(_named_bars(spark, sf))
 
 
+def _appended_bars(spark, sf):
+    """All bars, then the even hours raised twice in one batch, compacted, then late bars of the last days raised again."""
+    bars, path = _named_bars(spark, sf), staging.new_path(spark, "versions")
+    versions.append(bars, path, batch="first")
+    twice = _raised(bars, 1).withColumn("o", F.lit(1)).unionByName(_raised(bars, 2).withColumn("o", F.lit(2)))
+    versions.append(twice, path, order=["o"], batch="second")
+    versions.append(twice, path, order=["o"], batch="second")
+    versions.compact(spark, path)
+    versions.append(_raised(bars, 3).filter(F.col("ts") >= "2024-01-26"), path)
+    return path
+
+
+@query
+def bars_append_compact(spark, sf):
+    return versions.read(spark, _appended_bars(spark, sf))
+
+
+@query
+def bars_manifest_coverage(spark, sf):
+    return versions.coverage(spark, _appended_bars(spark, sf))
+
+
 @query
 def bars_insert_ignore(spark, sf):
     bars, path = fx.bars(spark, sf), staging.new_path(spark, "copy")
