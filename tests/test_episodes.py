@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -115,6 +117,30 @@ def test_resamples_take_each_row_once_on_average():
     assert (w[:, 100:200] == met.draw_weights(np.array([*range(2000), 2**40, 2**40 + 1]), 25, 25)).all()
 
 
+def test_every_resample_draws_a_poisson_count_of_its_own():
+    at = np.array([*range(3000), met.PRIME - 1, met.PRIME, 2**40])
+    got = met.poisson_weights(at, 0, 1000)
+    draw = np.arange(1000)
+    for p, row in zip(at.tolist()[::500] + at.tolist()[-3:], [*got[::500], *got[-3:]]):
+        x = (p % met.PRIME * 48_271 + draw * 69_621 + 7) % met.PRIME
+        for shift in (1, 3):
+            x = (x * x % met.PRIME + x * shift + draw) % met.PRIME
+        assert (row == np.searchsorted(met.POISSON, x, "left")).all()
+    shares = np.bincount(got.astype(int).ravel(), minlength=8)[:8] / got.size
+    assert shares == pytest.approx([np.exp(-1) / math.factorial(k) for k in range(8)], abs=0.002)
+    assert got.max() >= 7 and abs(np.corrcoef(got[:, :40].T) - np.eye(40)).max() < 0.12
+    assert (met.poisson_weights(at, 96, 8) == got[:, 96:104]).all()
+
+
+def test_pvalue_is_that_of_poisson_resamples(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0.05, 1, 500)
+    got = met.bootstrap_pvalue(runs(spark, {"a": x}), ["run_id"]).first()["p_value"]
+    w = met.poisson_weights(np.arange(500), 0, 1000)
+    means = x @ w / w.sum(0)
+    assert got == pytest.approx((abs(means - x.mean()) >= abs(x.mean())).mean(), abs=1e-9)
+
+
 GOOD_RUN = {"n_trades": 30, "win_rate": 0.43, "sharpe": 0.5, "max_dd": -375.0, "p_value": 0.05}
 
 

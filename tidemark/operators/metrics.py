@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,36 @@ def max_drawdown(rows: DataFrame, keys: Sequence[str], value: str = "net_pnl", p
     )
 
 
+PRIME = 2_147_483_647
+#: Of PRIME equally likely numbers, how many lie at or below each count of a Poisson variable of mean 1 (0, 1, ... 8).
+POISSON = tuple(int(PRIME * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(9))
+#: Counts by the upper 16 bits of a number; bins that a limit divides hold ``_DIVIDED``.
+_DIVIDED = 255
+_COUNT_OF_BIN = np.searchsorted(POISSON, np.arange(1 << 16) << 15, "left").astype(np.uint8)
+_COUNT_OF_BIN[np.array(POISSON) >> 15] = _DIVIDED
+DRAWS_AT_ONCE = 4
+
+
+def _modulo_prime(x: np.ndarray) -> np.ndarray:
+    """``x % PRIME`` for 0 <= x < 2**62, by folding: PRIME is 2**31 - 1."""
+    for _ in range(2):
+        x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def poisson_weights(position: np.ndarray, first_draw: int, draws: int) -> np.ndarray:
+    """How often each resample takes each row (rows x draws): a Poisson count from a number of its own per position and draw."""
+    draw = np.arange(first_draw, first_draw + draws, dtype=np.int64)[:, None]
+    x = _modulo_prime((position.astype(np.int64) % PRIME * 48_271)[None, :] + draw * 69_621 + 7)
+    for shift in (1, 3):
+        square = x * x
+        x = _modulo_prime((square & PRIME) + (square >> 31) + x * shift + draw)
+    counts = _COUNT_OF_BIN[x >> 15]
+    divided = counts == _DIVIDED
+    counts[divided] = np.searchsorted(POISSON, x[divided], "left")
+    return counts.astype(float).T
+
+
 #: How many of the 256 values of a byte stand for each count 0, 1, ... 5: mean and variance are exactly 1.
 COUNTS = (94, 95, 46, 16, 4, 1)
 _COUNT_OF_BYTE = np.repeat(np.arange(len(COUNTS), dtype=float), COUNTS)
@@ -111,13 +142,26 @@ def draw_weights(position: np.ndarray, first_word: int, words: int) -> np.ndarra
     return _COUNT_OF_BYTE[x.astype("<u4").view(np.uint8)]
 
 
+def byte_weights(position: np.ndarray, first_draw: int, draws: int) -> np.ndarray:
+    """``draw_weights`` by the number of the draw, four of which share a word."""
+    first_word, last_word = first_draw // DRAWS_PER_WORD, -(-(first_draw + draws) // DRAWS_PER_WORD)
+    skipped = first_draw - first_word * DRAWS_PER_WORD
+    return draw_weights(position, first_word, last_word - first_word)[:, skipped : skipped + draws]
+
+
 def bootstrap_pvalue(
-    rows: DataFrame, keys: Sequence[str], value: str = "net_pnl", position: str = "rn", resamples: int = 1000
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: str = "net_pnl",
+    position: str = "rn",
+    resamples: int = 1000,
+    weights: Callable[[np.ndarray, int, int], np.ndarray] = poisson_weights,
+    draws_at_once: int = DRAWS_AT_ONCE,
 ) -> DataFrame:
     """Two-sided p-value of a zero mean: share of centred resamples at least as far out.
 
-    Resamples weigh each row by a count (mean and variance 1) that follows from its position and the number of the
-    resample, so one pass over the rows of any chunk gives its part of all resamples.  Fewer than five
+    Resamples weigh each row by a Poisson count (or by other ``weights``) that follows from its position and the number of
+    the resample, so one pass over the rows of any chunk gives its part of all resamples.  Fewer than five
     values give 1.
     """
     keys = list(keys)
@@ -130,12 +174,11 @@ def bootstrap_pvalue(
         [*(table.schema[k] for k in keys), *(T.StructField(c, T.DoubleType()) for c in ("_sum", "_weight")), T.StructField("_draw", T.LongType())]
     )
 
-    words = -(-resamples // DRAWS_PER_WORD)
-
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         both = np.stack([pdf["_value"].to_numpy(), np.ones(len(pdf))])
         at = pdf["_position"].to_numpy()
-        sums = np.concatenate([both @ draw_weights(at, w, min(WORDS_AT_ONCE, words - w)) for w in range(0, words, WORDS_AT_ONCE)], axis=1)[:, :resamples]
+        blocks = ((first, min(draws_at_once, resamples - first)) for first in range(0, resamples, draws_at_once))
+        sums = np.concatenate([both @ weights(at, first, draws) for first, draws in blocks], axis=1)
         first = {k: [pdf[k].iloc[0]] * resamples for k in keys}
         return pd.DataFrame({**first, "_sum": sums[0], "_weight": sums[1], "_draw": np.arange(resamples)})
 
@@ -172,7 +215,7 @@ def summarise(
         max_drawdown(trades, keys).withColumn("max_dd", half_up(F.col("max_dd"), 2)), keys
     )
     if with_pvalue:
-        out = out.join(bootstrap_pvalue(trades, keys), keys)
+        out = out.join(bootstrap_pvalue(trades, keys, weights=byte_weights, draws_at_once=DRAWS_PER_WORD * WORDS_AT_ONCE), keys)
     if runs is not None:
         out = runs.select(*keys).distinct().join(out, keys, "left")
         zeros = [c for c in out.columns if c not in keys and c != "p_value"]
