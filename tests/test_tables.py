@@ -266,6 +266,30 @@ def test_lineage_takes_the_first_row_and_long_chains(spark):
     assert lineage.chain_of(nodes, "n149", ["logged"]).count() == 150
 
 
+def test_lineage_writes_a_row_per_strategy_and_step_not_per_node(spark, monkeypatch):
+    n, written, save = 1000, [], staging.save
+    monkeypatch.setattr(staging, "save", lambda df, label: [made := save(df, label), written.append(made.count())][0])
+    got = lineage.chains(spark.createDataFrame([(i, i // 2 or None) for i in range(1, n + 1)], "strategy_id long, parent_id long"))
+    assert {r.strategy_id: r["count"] for r in got.groupBy("strategy_id").count().collect()} == {i: i.bit_length() for i in range(1, n + 1)}
+    assert sum(written) < 8 * n
+
+
+def test_lineage_of_circles_with_tails_and_odd_ids(spark):
+    parent = {i: int(p) for i, p in enumerate(np.random.default_rng(5).integers(0, 330, 300))} | {7: 7, 8: 9, 9: 8, **{i: i + 1 for i in range(200, 237)}, 237: 200}
+    rows = [*parent.items(), (None, 3), (None, None)]
+    got: dict = {}
+    for r in lineage.chains(spark.createDataFrame(rows, "strategy_id long, parent_id long")).collect():
+        got.setdefault(r.strategy_id, {})[r.hop] = r.node
+    want = {None: [None]}
+    for i in parent:
+        chain, at = [], i
+        while at in parent and at not in chain:
+            chain.append(at)
+            at = parent[at]
+        want[i] = chain
+    assert {k: [v[h] for h in range(len(v))] for k, v in got.items()} == want
+
+
 def test_numeric_looking_partition_names_keep_their_rows(spark):
     path = staging.new_path(spark, "exchange")
     for i, ts in enumerate(("2026-05-01 00:00:00", "2026-05-01 00:01:00", "2026-05-01 00:02:00")):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,32 +33,26 @@ def chains(nodes: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """``(strategy_id, hop, node)`` for every strategy, hop 0 being itself.
 
     Of rows that repeat an id the first (by ``order``) counts.  Unknown parents end a chain, as does the first
-    node met again.  Path doubling: after step k the paths hold 2**k hops; a strategy whose path has met
-    its root or closed a circle takes no further part.
+    node met again.  Path doubling: after step k a path holds 2**k nodes, one row per strategy; a path that has met
+    its root or closed a circle is never written again.  A path of d nodes has d * d / 2 rows in the result, its own
+    ancestors' included, so the paths stay short beside the result.
     """
     nodes = first_of_each(nodes, order)
-    ids = nodes.select("strategy_id")
-    jump = (
-        nodes.filter(F.col("parent_id").isNotNull())
-        .select("strategy_id", F.col("parent_id").alias("to"))
-        .join(ids.withColumnRenamed("strategy_id", "to"), "to", "left_semi")
-        .filter("strategy_id <> to")
-        .select("strategy_id", "to")
-    )
-    jump = staging.save(jump, "lineage-jump")
-    paths = ids.select("strategy_id", F.lit(0).cast("long").alias("hop"), F.col("strategy_id").alias("node"))
-    reach = 1
-    while not jump.isEmpty():
-        onward = paths.withColumnRenamed("strategy_id", "to")
-        longer = jump.join(onward, "to").select("strategy_id", (F.col("hop") + reach).alias("hop"), "node")
-        met = paths.unionByName(longer).groupBy("strategy_id", "node").agg(F.min("hop").alias("hop"))
-        paths = staging.save(met.select("strategy_id", "hop", "node"), "lineage-paths")
-        second = jump.select(F.col("strategy_id").alias("to"), F.col("to").alias("then"))
-        further = jump.join(second, "to").select("strategy_id", F.col("then").alias("to"))
-        known = paths.select("strategy_id", F.col("node").alias("to"))
-        jump = staging.save(further.join(known, ["strategy_id", "to"], "left_anti"), "lineage-jump")
-        reach *= 2
-    return paths
+    strategy = F.col("strategy_id")
+    start = nodes.select(strategy, F.array(strategy).alias("path"), F.when(strategy != F.col("parent_id"), F.col("parent_id")).alias("to"))
+    tables = [staging.save(start, "lineage-paths")]
+    while not (growing := tables[-1].filter("to is not null")).isEmpty():
+        settled = [t.filter("to is null") for t in tables]
+        # Staged, as few ends are left after a few steps: then they are broadcast, and paths are not moved.
+        ends = staging.save(growing.select("to").distinct(), "lineage-ends")
+        lookup = reduce(DataFrame.unionByName, [*settled, growing]).toDF("end", "onward", "then")
+        met = staging.save(lookup.join(ends, F.col("end") == F.col("to"), "left_semi"), "lineage-met")
+        path = F.when(F.col("onward").isNull(), F.col("path")).otherwise(F.array_union("path", "onward"))
+        longer = growing.join(met, F.col("to") == F.col("end"), "left").select("strategy_id", path.alias("path"), "then")
+        goes_on = F.when(~F.array_contains("path", F.col("then")), F.col("then"))
+        tables.append(staging.save(longer.select("strategy_id", "path", goes_on.alias("to")), "lineage-paths"))
+    paths = reduce(DataFrame.unionByName, [t.filter("to is null") for t in tables])
+    return paths.select("strategy_id", F.posexplode("path").alias("hop", "node")).withColumn("hop", F.col("hop").cast("long"))
 
 
 def chain_of(nodes: DataFrame, strategy_id, order: Sequence[str] = ()) -> DataFrame:
