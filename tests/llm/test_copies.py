@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,18 @@ def test_edits_come_from_the_next_document(odd_docs, no_docs):
     assert len(alone) == 1 and alone[0]["near_next"] == 1
 
 
+def test_neighbours_are_answered_in_small_pieces():
+    texts = [f"{i % 7} some words of text {i % 11}" for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 1000), pa.array([False] * 999 + [True]), pa.array(range(1000)), pa.array(texts)], ["range", "guest", "doc_id", "text"])
+    out = list(fp._neighbours(iter([batch])))
+    assert max(b.num_rows for b in out) <= fp._ROWS
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(999))
+    assert [r["fingerprint"] for r in rows] == [fp.fingerprint(t.encode()) for t in texts[:-1]]
+    edited = [t[: len(t) - len(t) // 3] + after[: len(t) // 3] for t, after in zip(texts, texts[1:])]
+    assert [r["edited_fingerprint"] for r in rows] == [fp.fingerprint(t.encode()) for t in edited]
+
+
 def test_recall_holds_at_the_deepest_level(spark, monkeypatch):
     stated = 0.001
     assert nd.miss(nd.SURE, 0.8) ** nd.TREES < stated and nd.miss(nd.LEVELS, 0.8) ** nd.TREES > stated

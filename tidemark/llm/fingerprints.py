@@ -22,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import seeds
+from tidemark.llm.words import pieces, seeds
 
 SPAN = 7
 LETTERS = 64
 LEAST = 3
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _PIECE = 1 << 20
+#: Rows that a task holds as Python strings at once, and fingerprints that it remembers.
+_ROWS = 128
+_KNOWN = 20_000
 _MULTIPLY = (seeds(SPAN, 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _VALUE = (seeds(256, 22) >> np.uint64(32)).astype(np.uint32)
 
@@ -150,7 +153,7 @@ def likeness(left: list[str], right: list[str]) -> np.ndarray:
 def compare_with_edits(documents: DataFrame, rows_per_range: int = 4000) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and likeness to the edit and to the next document.
 
-    Texts move once, to ranges of descending doc_id; the first document of a range also goes to the
+    Texts move once, to ranges of descending doc_id, a task for each; the first document of a range also goes to the
     range before it, whose last document needs it.
     """
     spark = documents.sparkSession
@@ -166,7 +169,7 @@ def compare_with_edits(documents: DataFrame, rows_per_range: int = 4000) -> Data
     order_of = sorted(heads)
     before = {r: order_of[i - 1] for i, r in enumerate(order_of)}  # the first range follows the last
     guests = _deal(placed, heads, before)
-    out = guests.repartition(max(ranges, 1), "range").sortWithinPartitions("range", "guest", "key", "text").select("range", "guest", "doc_id", "text")
+    out = guests.repartitionById(ranges, F.col("range").cast("int")).sortWithinPartitions("range", "guest", "key", "text").select("range", "guest", "doc_id", "text")
     return out.mapInArrow(_neighbours, _OUT)
 
 
@@ -204,7 +207,8 @@ def _deal(placed: DataFrame, heads: dict[int, int], before: dict[int, int]) -> D
 def _neighbours(batches):
     """Rows come by range, own rows in order and then guests; each row is answered once its next one is known."""
     waiting, current, met_guest = None, None, False
-    for batch in batches:
+    known: dict[bytes, str] = {}
+    for batch in pieces(batches, _ROWS):
         done: list[tuple] = []
         for place, guest, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if place != current:
@@ -216,26 +220,34 @@ def _neighbours(batches):
             waiting, met_guest = (doc, text), guest
             if guest:
                 waiting = None
-        yield _answers(done)
+        if done:
+            yield _answers(done, known)
 
 
-def _answers(rows: list[tuple]) -> pa.RecordBatch:
-    cache: dict[str, str] = {}
+def _answers(rows: list[tuple], known: dict[bytes, str]) -> pa.RecordBatch:
+    """``known`` holds fingerprints by digest, never texts."""
+    if len(known) > _KNOWN:
+        known.clear()
 
-    def of(text: str) -> str:
-        if text not in cache:
-            cache[text] = fingerprint(text.encode("utf-8", "replace"))
-        return cache[text]
+    def of(raw: bytes, digest: bytes) -> str:
+        if digest not in known:
+            known[digest] = fingerprint(raw)
+        return known[digest]
+
+    def of_text(text: str) -> str:
+        raw = text.encode("utf-8", "replace")
+        return of(raw, hashlib.sha256(raw).digest())
 
     own, edited, following, hashes = [], [], [], []
-    for _, text, after in rows:
+    for place, (_, text, after) in enumerate(rows):
         n = len(text) // 3
         changed = text[: len(text) - n] + after[:n]
         raw = changed.encode("utf-8", "replace")
-        own.append(of(text))
-        following.append(of(after))
-        edited.append(own[-1] if changed == text else fingerprint(raw))
-        hashes.append(hashlib.sha256(raw).hexdigest())
+        digest = hashlib.sha256(raw).digest()
+        own.append(following[-1] if place and text is rows[place - 1][2] else of_text(text))
+        following.append(of_text(after))
+        edited.append(of(raw, digest))
+        hashes.append(digest.hex())
     return pa.RecordBatch.from_arrays(
         [
             pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array(hashes, pa.string()), pa.array(own, pa.string()),
