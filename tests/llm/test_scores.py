@@ -94,6 +94,25 @@ def test_neighbours_are_exact():
     assert model.score(texts, k=5) == pytest.approx(want, abs=1e-4)
 
 
+def test_softmax_without_levelling_is_exact_and_large_weights_are_levelled():
+    rng = np.random.default_rng(4)
+    p = language_model.new_parameters(100, 2, rng)
+    states, target = np.tanh(rng.standard_normal((500, language_model.HIDDEN))).astype(np.float32), rng.integers(0, 100, 500)
+    valid = language_model.valid_members(100)
+    large = {k: v * 200 for k, v in p.items()}
+    assert not language_model._must_level(p) and language_model._must_level(large)
+    assert language_model._must_level({k: v * np.nan for k, v in p.items()})
+    for q in (p, large):
+        of, member = target // language_model.CLASS, target % language_model.CLASS
+        want = np.zeros(500)
+        for x, at in (
+            (states.astype(float) @ q["to_class"] + q["class_bias"], of),
+            (np.einsum("nh,nhm->nm", states.astype(float), q["to_member"][of]) + q["member_bias"][of] + valid[of], member),
+        ):
+            want += x[np.arange(500), at] - np.logaddexp.reduce(x, axis=1)
+        assert language_model.log_members(q, states, target, valid) == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
 def test_language_words_first_then_shorter_grams(spark, odd_docs, no_docs):
     rows = [(i, "the cat and the dog in house", "en") for i in range(5)] + [(10 + i, "der hund und die katze im haus", "de") for i in range(5)] + [(20, None, "en"), (21, "x", None)]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
