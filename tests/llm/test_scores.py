@@ -264,3 +264,21 @@ def test_features_counted_in_spark_leave_the_model_as_it_is(marked):
     few = toxicity.fit(*toxicity._collected(both.coalesce(1)), 0.2)
     assert len(whole.numbers) and (whole.numbers == few.numbers).all()
     np.testing.assert_allclose(whole.weights, few.weights)
+
+
+def test_scoring_steps_hold_few_texts_of_like_length(spark, odd_docs, monkeypatch):
+    learned = odd_docs.where("doc_id between 3 and 9").select("doc_id", "text")
+    model = language_model.train(learned, language_model.token_counts(learned).persist(), vocabulary=40, known=60, epochs=1)
+    hashes, bucket, first = language_model.tokens(pa.array(["w38x " * n for n in (1, 90, 3, 0, 2, 88, 700, 1)]))
+    # the table of top bits finds what a search of all known tokens finds
+    odd = np.concatenate([hashes, model.tokens, model.tokens + np.uint64(1), model.tokens - np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+    where = {int(t): i for i, t in enumerate(model.tokens)}
+    assert model.places(odd).tolist() == [where.get(int(h), -1) for h in odd]
+    numbers = model.numbers(model.places(hashes), bucket)
+    want = language_model._states_and_scores(model, numbers, first)
+    widths, turn = [], language_model._turn
+    monkeypatch.setattr(language_model, "ABREAST", 3)
+    monkeypatch.setattr(language_model, "_turn", lambda *a: (widths.append(a[0].shape[1]), turn(*a)))
+    assert language_model._states_and_scores(model, numbers, first, block=50) == pytest.approx(want, abs=1e-4)
+    # 701, 91 and 89 tokens side by side, then 4, 3, 2 and 2, 1: short texts are not drawn along by the longest
+    assert max(widths) == 3 and 701 <= len(widths) <= 701 + 4 + 2 and sum(widths) < 2 * len(numbers)

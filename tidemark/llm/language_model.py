@@ -25,6 +25,7 @@ columns are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,9 @@ EMBED = 16
 CLASS = 64
 #: Values whose exponentials a 32-bit softmax can add up as they are.
 SAFE = 60.0
-BLOCK = 2048
+BLOCK = 1024
+#: Texts that are scored side by side, so that a step's numbers fit the cache.
+ABREAST = 512
 WINDOW = 32
 STREAMS = 512
 #: Windows that a stream has at least, so that few tokens are learned in many steps, too.
@@ -55,6 +58,8 @@ WARM_UP = 8
 RATE = 0.03
 ALPHA = 0.1
 BUCKETS = 64
+#: Top bits of a hash that lead to the known tokens.
+LEAD = 16
 END = np.uint64(1)
 
 
@@ -132,44 +137,30 @@ def step(p: dict[str, np.ndarray], state: np.ndarray, previous: np.ndarray, led:
     return c + z * (state - c)
 
 
-def _step(rec: np.ndarray, state: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """``step`` with halved weights of the gates; ``a``, what the outputs lead to, is used up."""
-    b = state @ rec
-    a[:, : 2 * HIDDEN] += b[:, : 2 * HIDDEN]
-    gates = np.tanh(a[:, : 2 * HIDDEN])
-    gates += 1
-    gates *= 0.5
-    c = b[:, 2 * HIDDEN :]
-    c *= gates[:, HIDDEN:]
-    c += a[:, 2 * HIDDEN :]
-    c = np.tanh(c)
-    out = state - c
-    out *= gates[:, :HIDDEN]
-    out += c
-    return out
-
-
 def log_members(p: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """Natural log probability of ``target`` (an output number) for each state."""
-
     level = _must_level(p)
-
-    def log_shares(x, at):
-        if level:
-            x -= x.max(1, keepdims=True)
-        own = x[np.arange(len(x)), at].astype(np.float64)
-        return own - np.log((np.exp(x, out=x) @ _ones(x)).astype(np.float64))
-
     order = np.argsort((target // CLASS).astype(np.int16), kind="stable")
-    states, of, member = states[order], target[order] // CLASS, target[order] % CLASS
-    found, bias = np.empty(len(of)), p["member_bias"] + valid
-    for low in range(0, len(of), BLOCK):  # rows that fit the cache
-        own = slice(low, low + BLOCK)
-        found[own] = log_shares(states[own] @ p["to_class"] + p["class_bias"], of[own])
-    cuts = np.searchsorted(of, np.arange(len(bias) + 1))
+    states, of, member = states.take(order, axis=0), target[order] // CLASS, target[order] % CLASS
+    found, rows = np.zeros(len(of)), np.arange(BLOCK)
+
+    def add_log_shares(low: int, high: int, weight: np.ndarray, bias: np.ndarray, at: np.ndarray) -> None:
+        factor, room = np.exp(bias), np.empty((min(BLOCK, high - low), weight.shape[1]), np.result_type(states, weight))
+        for start in range(low, high, BLOCK):  # rows that fit the cache
+            own = slice(start, min(start + BLOCK, high))
+            x = np.matmul(states[own], weight, out=room[: own.stop - start])
+            if level:
+                x += bias
+                x -= x.max(1, keepdims=True)
+            share = x[rows[: len(x)], at[own]].astype(np.float64)
+            np.exp(x, out=x)
+            # where weights bound them, biases come in as factors of the sum
+            found[own] += share - np.log((x @ _ones(x)).astype(np.float64)) if level else share + bias[at[own]] - np.log((x @ factor).astype(np.float64))
+
+    add_log_shares(0, len(of), p["to_class"], p["class_bias"], of)
+    bias, cuts = p["member_bias"] + valid, np.searchsorted(of, np.arange(len(valid) + 1))
     for k in np.flatnonzero(np.diff(cuts)).tolist():
-        own = slice(cuts[k], cuts[k + 1])
-        found[own] += log_shares(states[own] @ p["to_member"][k] + bias[k], member[own])
+        add_log_shares(int(cuts[k]), int(cuts[k + 1]), p["to_member"][k], bias[k], member)
     out = np.empty(len(found))
     out[order] = found
     return out
@@ -187,22 +178,33 @@ def fit_network(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray
     streams = max(1, min(STREAMS, len(target) // (STEPS * WINDOW)))
     length = -(-len(target) // streams)
     before, target, heads = (np.concatenate([x, np.full(streams * length - len(x), fill, x.dtype)]).reshape(streams, length) for x, fill in ((before, outputs), (target, -1), (heads, True)))
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    total = -(-length // WINDOW)
+    flat_p = np.concatenate([v.ravel() for v in p.values()])
+    mean, square, cuts = np.zeros_like(flat_p), np.zeros_like(flat_p), np.cumsum([v.size for v in p.values()])[:-1]
+    p = {k: x.reshape(v.shape) for (k, v), x in zip(p.items(), np.split(flat_p, cuts))}  # views
+    total, room = -(-length // WINDOW), {}
     state = np.zeros((streams, HIDDEN), np.float32)
     for turn, low in enumerate(range(0, length, WINDOW), 1):
         cut = slice(low, low + WINDOW)
-        state, grads = _window(p, state, before[:, cut], target[:, cut], outputs, valid, heads[:, cut])
+        state, grads = _window(p, state, before[:, cut], target[:, cut], outputs, valid, heads[:, cut], room)
         size = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
         scale = min(1.0, 5.0 / (size + 1e-9))
         rate = (RATE * (1 - start - (end - start) * turn / (total + 1)) + 0.0005) * min(1.0, turn / WARM_UP)
-        for k, g in grads.items():
-            m, v = moments[k]
+        flat_g = np.concatenate([grads[k].ravel() for k in p])
+        for at in range(0, len(flat_p), PART):  # numbers that fit the cache
+            g, m, v = (x[at : at + PART] for x in (flat_g, mean, square))
             m *= 0.9
-            m += 0.1 * scale * g
+            m += (0.1 * scale) * g
             v *= 0.995
-            v += 0.005 * (scale * g) ** 2
-            p[k] -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.995**turn)) + 1e-8)
+            clipped = scale * g
+            clipped *= clipped
+            clipped *= 0.005
+            v += clipped
+            change = m / (1 - 0.9**turn)
+            change *= rate
+            root = np.sqrt(np.divide(v, 1 - 0.995**turn, out=g), out=g)
+            root += 1e-8
+            change /= root
+            flat_p[at : at + PART] -= change
     return p
 
 
@@ -231,59 +233,94 @@ def _softmax(x: np.ndarray, level: bool = True) -> np.ndarray:
     return x
 
 
-def _window(p, state, before, target, start, valid, heads=None):
-    """One window forward and back; a text's first token starts from an empty state, and targets below 0 do not count."""
+def _window(p, state, before, target, start, valid, heads=None, room=None):
+    """One window forward and back; a text's first token starts from an empty state, and targets below 0 do not count.
+
+    ``room`` keeps the large arrays for the next window.
+    """
+    room = {} if room is None else room
+
+    def empty(name: str, *shape: int) -> np.ndarray:
+        if (name, shape) not in room:
+            room[name, shape] = np.empty(shape, kind)
+        return room[name, shape]
+
     streams, length = target.shape
     kind, cut = p["in"].dtype, 2 * HIDDEN
     previous, goal = before.T.ravel(), target.T.ravel()
     fresh = ~(before == start if heads is None else heads).T[:, :, None]
-    x = p["embed"][previous]
-    led = (p["embed"] @ p["in"] + p["bias"])[previous].reshape(length, streams, -1)
-    old, states, rec, z, r, c = (np.empty((length, streams, HIDDEN), kind) for _ in range(6))
+    x, leads = p["embed"].take(previous, axis=0), p["embed"] @ p["in"] + p["bias"]
+    old, states, rec, gap, c = (empty(name, length, streams, HIDDEN) for name in ("old", "states", "rec", "gap", "c"))
+    gates, b = empty("gates", length, streams, cut), np.empty((streams, 3 * HIDDEN), kind)
     for t in range(length):
+        led = leads.take(previous[t * streams : (t + 1) * streams], axis=0)
         np.multiply(state, fresh[t], out=old[t])
-        b = old[t] @ p["rec"]
-        both = _sigmoid(led[t, :, :cut] + b[:, :cut])
-        z[t], r[t], rec[t] = both[:, :HIDDEN], both[:, HIDDEN:], b[:, cut:]
-        c[t] = np.tanh(led[t, :, cut:] + r[t] * rec[t])
-        state = states[t] = c[t] + z[t] * (old[t] - c[t])
+        np.matmul(old[t], p["rec"], out=b)
+        both, rec[t] = gates[t], b[:, cut:]
+        np.add(led[:, :cut], b[:, :cut], out=both)
+        both *= 0.5
+        np.tanh(both, out=both)
+        both *= 0.5
+        both += 0.5
+        np.multiply(both[:, HIDDEN:], rec[t], out=c[t])
+        c[t] += led[:, cut:]
+        np.tanh(c[t], out=c[t])
+        np.subtract(old[t], c[t], out=gap[t])
+        state = np.multiply(both[:, :HIDDEN], gap[t], out=states[t])
+        state += c[t]
     flat_states = states.reshape(-1, HIDDEN)
     weight, level = ((goal >= 0) / streams).astype(kind)[:, None], _must_level(p)
     goal = np.maximum(goal, 0)
     of, member, rows = goal // CLASS, goal % CLASS, np.arange(len(goal))
     grads = {k: np.zeros_like(v) for k, v in p.items()}
-    d = np.empty((length, streams, len(valid)), kind)
-    for t in range(length):  # a step's rows fit the cache
-        np.matmul(states[t], p["to_class"], out=d[t])
-        d[t] += p["class_bias"]
-        _softmax(d[t], level)
-    d = d.reshape(len(rows), -1)
-    d[rows, of] -= 1
-    d *= weight
+    d, d_states, steps = empty("d", length, streams, len(valid)), empty("d_states", length, streams, HIDDEN), (length, streams)
+    for x_t, own, at, share, d_t in zip(d, states, of.reshape(steps), weight.reshape(*steps, 1), d_states):  # a step's rows fit the cache
+        np.matmul(own, p["to_class"], out=x_t)
+        x_t += p["class_bias"]
+        _softmax(x_t, level)
+        x_t[rows[:streams], at] -= 1
+        x_t *= share
+        np.matmul(x_t, p["to_class"].T, out=d_t)
+    d, d_states = d.reshape(len(rows), -1), d_states.reshape(-1, HIDDEN)
     grads["to_class"], grads["class_bias"] = flat_states.T @ d, np.ones(len(d), kind) @ d
-    d_states = d @ p["to_class"].T
     order = np.argsort(of.astype(np.int16), kind="stable")
     cuts = np.searchsorted(of[order], np.arange(len(valid) + 1))
-    sorted_states, sorted_member, sorted_weight = flat_states[order], member[order], weight[order]
-    d_sorted, bias = np.empty_like(sorted_states), p["member_bias"] + valid
+    sorted_states, sorted_member, sorted_weight = flat_states.take(order, axis=0), member[order], weight[order]
+    d_sorted, all_e, bias = np.empty_like(sorted_states), empty("e", len(rows), CLASS), p["member_bias"] + valid
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         own = slice(cuts[k], cuts[k + 1])
-        e = _softmax(sorted_states[own] @ p["to_member"][k] + bias[k], level)
+        e = np.matmul(sorted_states[own], p["to_member"][k], out=all_e[own])
+        e += bias[k]
+        _softmax(e, level)
         e[rows[: len(e)], sorted_member[own]] -= 1
         e *= sorted_weight[own]
         grads["to_member"][k], grads["member_bias"][k] = sorted_states[own].T @ e, np.ones(len(e), kind) @ e
-        d_sorted[own] = e @ p["to_member"][k].T
+        np.matmul(e, p["to_member"][k].T, out=d_sorted[own])
     d_states[order] += d_sorted
     d_states = d_states.reshape(length, streams, HIDDEN)
-    da, db = (np.empty((length, streams, 3 * HIDDEN), kind) for _ in range(2))
+    da, db = (empty(name, length, streams, 3 * HIDDEN) for name in ("da", "db"))
     d_next = np.zeros_like(state)
+    rest, dc = np.empty_like(state), np.empty_like(state)
     for t in reversed(range(length)):
-        dh = d_states[t] + d_next
-        rest = dh * (1 - z[t])
-        dc = rest * (1 - c[t] * c[t])
-        da[t, :, :HIDDEN], da[t, :, HIDDEN:cut], da[t, :, cut:] = rest * (old[t] - c[t]) * z[t], dc * rec[t] * r[t] * (1 - r[t]), dc
-        db[t, :, :cut], db[t, :, cut:] = da[t, :, :cut], dc * r[t]
-        d_next = (dh * z[t] + db[t] @ p["rec"].T) * fresh[t]
+        z, r, dh = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:], d_states[t]
+        dh += d_next
+        np.subtract(1, z, out=rest)
+        rest *= dh
+        np.multiply(c[t], c[t], out=dc)
+        np.subtract(1, dc, out=dc)
+        dc *= rest
+        rest *= gap[t]
+        rest *= z
+        da[t, :, :HIDDEN], da[t, :, cut:] = rest, dc
+        np.multiply(dc, rec[t], out=rest)
+        rest *= r
+        rest *= np.subtract(1, r, out=gap[t])
+        da[t, :, HIDDEN:cut] = rest
+        db[t, :, :cut] = da[t, :, :cut]
+        np.multiply(dc, r, out=db[t, :, cut:])
+        np.multiply(dh, z, out=d_next)
+        d_next += db[t] @ p["rec"].T
+        d_next *= fresh[t]
     da = da.reshape(-1, 3 * HIDDEN)
     grads["in"], grads["bias"] = x.T @ da, np.ones(len(da), kind) @ da
     grads["rec"] = old.reshape(-1, HIDDEN).T @ db.reshape(-1, 3 * HIDDEN)
@@ -315,8 +352,21 @@ class Model:
     def places(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.tokens):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == hashes, at, -1).astype(np.int32)
+        # hashes are spread evenly: their top bits lead to the few tokens that share them
+        at = self.leads[(hashes >> np.uint64(64 - LEAD)).view(np.int64)]
+        out, left = np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
+        while len(left):
+            here = self.tokens.take(at, mode="clip")
+            same = here == hashes
+            out[left[same]] = at[same]
+            on = np.flatnonzero((here < hashes) & (at < len(self.tokens) - 1))
+            left, at, hashes = left[on], at[on] + 1, hashes[on]
+        return out
+
+    @cached_property
+    def leads(self) -> np.ndarray:
+        """The first known token of each value of a hash's top bits."""
+        return np.searchsorted(self.tokens, np.arange(1 << LEAD, dtype=np.uint64) << np.uint64(64 - LEAD)).astype(np.int32)
 
     def numbers(self, place: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """The output of each token; the end has one of its own."""
@@ -435,36 +485,74 @@ def _round(runs: DataFrame, model: Model, tasks: int, rounds: int, start: float,
     return {k: x.reshape(v.shape).copy() for (k, v), x in zip(old.items(), np.split(new, cuts))}
 
 
+#: What sums are multiplied by: a gate is taken as tanh of half its sum.
+_HALVES = np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)
+
+
+def _leads(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings led by a one for the bias, and what takes them and states to the gates, turned and with halved sums of gates."""
+    embed = np.ones((len(p["embed"]), EMBED + 1), p["embed"].dtype)
+    embed[:, :EMBED] = p["embed"]
+    lead = np.vstack([p["in"], p["bias"]]) * _HALVES
+    return embed, np.ascontiguousarray(lead.T), np.ascontiguousarray((p["rec"] * _HALVES).T)
+
+
+def _turn(a: np.ndarray, b: np.ndarray, old: np.ndarray, reset: np.ndarray, gap: np.ndarray, out: np.ndarray) -> None:
+    """``step`` with a column per row of its states: ``a`` (from outputs) becomes the gates and the candidate, ``b`` comes from ``old``."""
+    gates, c = a[: 2 * HIDDEN], a[2 * HIDDEN :]
+    gates += b[: 2 * HIDDEN]
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
+    np.multiply(gates[HIDDEN:], b[2 * HIDDEN :], out=reset)
+    c += reset
+    np.tanh(c, out=c)
+    np.subtract(old, c, out=gap)
+    np.multiply(gates[:HIDDEN], gap, out=out)
+    out += c
+
+
 def _states_and_scores(model: Model, numbers: np.ndarray, first: np.ndarray, block: int = 1 << 15) -> np.ndarray:
-    """Natural log probability of each token; state runs through each text, texts side by side, longest first."""
+    """Natural log probability of each token; state runs through each text, ``ABREAST`` texts of like length side by side, longest first.
+
+    Some steps at a time share what needs no state before them; texts that end within these run on idly to the last of them.
+    """
     sizes = np.diff(first)
     order = np.argsort(-sizes, kind="stable")
-    out = np.zeros(len(numbers))
-    state = np.zeros((len(order), HIDDEN), np.float32)
-    valid = valid_members(model.n_outputs)
-    previous = np.full(len(order), model.n_outputs)
-    led = model.network["embed"] @ model.network["in"] + model.network["bias"]
-    live, waiting = len(order), []
-    held, begin, gates = 0, first[order], np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)
-    # gates are tanh of half their sums: the halves are taken once
-    led, rec = led * gates, model.network["rec"] * gates
-
-    def settle():
+    out, valid = np.zeros(len(numbers)), valid_members(model.n_outputs)
+    embed, lead, turned = _leads(model.network)
+    waiting, held = [], 0
+
+    def settle() -> None:
         at = np.concatenate([w[0] for w in waiting])
         out[at] = log_members(model.network, np.concatenate([w[1] for w in waiting]), numbers[at], valid)
 
-    ordered = sizes[order]
-    for t in range(int(sizes.max(initial=0))):
-        while live and ordered[live - 1] <= t:
-            live -= 1
-        at = begin[:live] + t
-        state = _step(rec, state[:live], led[previous[:live]])
-        previous = numbers[at]
-        waiting.append((at, state))
-        held += live
-        if held >= block:
-            settle()
-            waiting, held = [], 0
+    for low in range(0, len(order), ABREAST):
+        own = order[low : low + ABREAST]
+        live, t, longest = len(own), 0, int(sizes[own[0]])
+        state = np.zeros((HIDDEN, live), np.float32)
+        while t < longest:
+            while sizes[own[live - 1]] <= t:
+                live -= 1
+            steps = min(max(4, 4 * ABREAST // live), longest - t)
+            at = np.arange(t, t + steps)[:, None] + first[own[:live]]
+            inside = at < first[own[:live] + 1]
+            previous = numbers[np.clip(at - 1, 0, len(numbers) - 1)]
+            if not t:
+                previous[0] = model.n_outputs
+            gates = np.matmul(lead, embed.take(previous, axis=0).transpose(0, 2, 1))
+            states, (b, reset, gap) = np.empty((steps, HIDDEN, live), np.float32), (np.empty((n * HIDDEN, live), np.float32) for n in (3, 1, 1))
+            state = np.ascontiguousarray(state[:, :live])
+            for k in range(steps):
+                np.matmul(turned, state, out=b)
+                _turn(gates[k], b, state, reset, gap, states[k])
+                state = states[k]
+            waiting.append((at[inside], states.transpose(0, 2, 1)[inside]))
+            held += len(waiting[-1][0])
+            t += steps
+            if held >= block:
+                settle()
+                waiting, held = [], 0
     if waiting:
         settle()
     return out

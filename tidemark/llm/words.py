@@ -8,6 +8,7 @@ vectorised passes over slices of about a megabyte, so that memory does not follo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +54,23 @@ _BYTE = seeds(256, 1)[_LOWER]
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n - 1, 1), _BASE, np.uint64))]).astype(np.uint64)
+def _running_products(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, out=out)
+
+
+@lru_cache
+def _kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _running_products(int(_BASE), n), _running_products(pow(int(_BASE), -1, 1 << 64), n)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse; up to a slice's length they are kept."""
+    return _kept_powers(1 << max(8, (n - 1).bit_length())) if n <= SLICE else _kept_powers.__wrapped__(n)
 
 
-_POWERS = _powers(256)
+_POWERS = _powers(256)[0]
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +116,11 @@ def spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_SPACE
             continue
         at = np.flatnonzero(first[inside])
         size = np.diff(np.append(at, len(body)))
-        longest = int(size.max())
-        powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
+        # powers run on through the slice; each word's sum is led back to a first power of one
+        powers, inverse = _powers(len(body))
         value = _BYTE[body]
-        value *= powers[np.arange(len(body)) - np.repeat(at, size)]
-        hashes.append(np.add.reduceat(value, at))
+        value *= powers[: len(body)]
+        hashes.append(np.add.reduceat(value, at) * inverse[at])
         starts.append(np.flatnonzero(first) + low)
         lengths.append(size)
     if not hashes:
@@ -177,7 +189,7 @@ def sum_rows(of: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     if len(of):
         if (of[1:] < of[:-1]).any():
             order = np.argsort(of, kind="stable")
-            of, values = of[order], values[order]
+            of, values = of[order], values.take(order, axis=0)
         heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         out[of[heads]] = np.add.reduceat(values, heads, axis=0)
     return out
