@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 15 << 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,8 +66,8 @@ def _kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``n`` powers of the base and of its inverse; up to a slice's length they are kept."""
-    return _kept_powers(1 << max(8, (n - 1).bit_length())) if n <= SLICE else _kept_powers.__wrapped__(n)
+    """At least ``n`` powers of the base and of its inverse; for most slices they are kept."""
+    return _kept_powers(1 << max(8, (n - 1).bit_length())) if n <= 1 << 20 else _kept_powers.__wrapped__(n)
 
 
 _POWERS = _powers(256)[0]
@@ -104,25 +104,25 @@ def _cuts(data: np.ndarray, low: int, high: int, is_word: np.ndarray) -> Iterato
 def spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and length of each word, A-Z lower-cased, and the first word of each text (``len + 1``)."""
     hashes, starts, lengths = [], [], []
+    byte = np.where(is_word, _BYTE, np.uint64(0))
     for low, high in _cuts(data, int(offsets[0]), int(offsets[-1]), is_word):
         part = data[low:high]
         inside = is_word[part]
-        first = inside.copy()
+        first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
         edges = offsets[(offsets > low) & (offsets < high)] - low
-        first[edges] = inside[edges]
-        body = part[inside]
-        if not len(body):
+        first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
+        at = np.flatnonzero(first)
+        if not len(at):
             continue
-        at = np.flatnonzero(first[inside])
-        size = np.diff(np.append(at, len(body)))
-        # powers run on through the slice; each word's sum is led back to a first power of one
-        powers, inverse = _powers(len(body))
-        value = _BYTE[body]
-        value *= powers[: len(body)]
+        # powers run on through the slice; each word's sum is led back to a first power of one, and bytes between words add nothing
+        powers, inverse = _powers(len(part))
+        value = byte[part]
+        value *= powers[: len(part)]
         hashes.append(np.add.reduceat(value, at) * inverse[at])
-        starts.append(np.flatnonzero(first) + low)
-        lengths.append(size)
+        starts.append(at + low)
+        lengths.append(np.flatnonzero(last) + 1 - at)
     if not hashes:
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64)
